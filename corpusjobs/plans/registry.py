@@ -2,10 +2,336 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corpusjobs.functions import tagset, text
+from corpusjobs.operators import association, evaluation, lexicon, treebank
+from corpusjobs.plans.derive import PARALLEL_SQL, TOKENS_SQL, parallel, table, tokens
+from corpusjobs.sources.readers import conllu_lines
+
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable) -> Callable:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def places(c, k: int = 6):
+    return F.round(c, k)
+
+
+# Association
+
+
+@query(PARALLEL_SQL + "select src, tgt, n, s, t, total from d_counts")
+def pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return association.pair_counts(parallel(spark, sf_dir))
+
+
+@query(PARALLEL_SQL + """select src, tgt, n, round(log2((n / total) / ((s / total) * pow(t / total, 0.75))), 6) as pmi, round(2.0 * n / (s + t), 6) as dice,
+round(ln((n + 0.5) * (total - n - (t - n) - (s - n) + 0.5) / ((s - n + 0.5) * (t - n + 0.5))), 6) as odds_ratio, round(n / s, 6) as rel_freq from d_counts""")
+def association_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = association.scores(association.pair_counts(parallel(spark, sf_dir)))
+    return own.select("src", "tgt", "n", *(places(F.col(c)).alias(c) for c in ("pmi", "dice", "odds_ratio", "rel_freq")))
+
+
+@query(PARALLEL_SQL + """, p as (select src, tgt, n, round(log2((n / total) / ((s / total) * pow(t / total, 0.75))), 6) as pmi from d_counts),
+r as (select *, row_number() over (partition by src order by pmi desc, tgt) as rank from p) select src, tgt, n, pmi, cast(rank as int) as rank from r where rank <= 3""")
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three strongest associations of each source word, a top-k report."""
+    own = association.scores(association.pair_counts(parallel(spark, sf_dir)))
+    return association.best(own.select("src", "tgt", "n", places(F.col("pmi")).alias("pmi")), "pmi", 3)
+
+
+@query(TOKENS_SQL + """, f as (select lemma, count(*) as f from d_tokens group by lemma), b as (select lemma as a, lead(lemma) over (partition by sent_id order by tok_idx) as b from d_tokens),
+p as (select a, b, count(*) as n from b where b is not null group by a, b having count(*) >= 5), t as (select count(*) as total from d_tokens),
+q as (select a, b, n, ln((n / total) / ((x.f / total) * (y.f / total))) / -ln(n / total) as npmi from p join f x on x.lemma = a join f y on y.lemma = b, t)
+select a, b, n, round(npmi, 6) as npmi from q where round(npmi, 6) >= 0.2""")
+def mine_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = association.phrases(tokens(spark, sf_dir), least=0.19)
+    return own.withColumn("npmi", places(F.col("npmi"))).filter("npmi >= 0.2")
+
+
+# Text and tags
+
+
+@query(r"""select doc_id, n, string_split(t, ' ')[1] as first, string_split(t, ' ')[-1] as last from (select doc_id, t, len(string_split(t, ' ')) as n from (
+select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '([.,—"·;()‑“”„‘«»ʽ:•˙（）†\x{387}\x{37e}\x{b7}])|--', ' \1 ', 'g'), '[\s\x0B\x85\p{Z}]+', ' ', 'g'), '^ | $', '', 'g') as t from documents))""")
+def tokenize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"))
+    return own.select("doc_id", F.size("t").cast("long").alias("n"), F.element_at("t", 1).alias("first"), F.element_at("t", -1).alias("last"))
+
+
+@query(r"""select doc_id, md5(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(replace(regexp_replace(regexp_replace(text, '[\x{1fbd}''\x{2bc}\x{b4}]', '’', 'g'), '[\x{2011}\x{2014}]', '—', 'g'), '--', '—'), '[\x{201c}\x{201d}\x{201e}\x{2018}\x{ab}\x{bb}\x{2bd}]', '"', 'g'), chr(894), ';'), chr(65288), '('), chr(65289), ')'), '[:\x{b7}\x{2022}\x{2d9}]', chr(903), 'g'), '\x{387}', chr(903), 'g')) as folded from documents""")
+def normalize_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.fold_punctuation(F.col("text"))).alias("folded"))
+
+
+@query(TOKENS_SQL + "select form, strip_accents(form) as bare, count(*) as n from d_tokens group by form")
+def strip_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = tokens(spark, sf_dir).groupBy("form").agg(F.count("*").alias("n"))  # different forms only
+    return own.select("form", text.strip_accents(F.col("form")).alias("bare"), "n")
+
+
+@query(TOKENS_SQL + r""", g as (select distinct lower(unnest(string_split(n_name, ' '))) as key from nation)
+select form, regexp_matches(form, '^\p{Lu}') as capital, key is not null as in_gazetteer, n from (select form, lemma, count(*) as n from d_tokens group by form, lemma) left join g on lemma = key""")
+def capital_gazetteer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "nation").select(F.explode(F.split(F.lower("n_name"), " ")).alias("key")).distinct()
+    own = tokens(spark, sf_dir).groupBy("form", "lemma").agg(F.count("*").alias("n"))
+    own = own.join(names, F.col("lemma") == F.col("key"), "left")
+    return own.select("form", text.is_capital(F.col("form")).alias("capital"), F.col("key").isNotNull().alias("in_gazetteer"), "n")
+
+
+@query(TOKENS_SQL + """select sent_id, tok_idx, case when case_ = '_' then '_' else 'case=' || case_ || '|number=' || number_ end as feats, case_ as case_value from d_tokens""")
+def feats_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = tokens(spark, sf_dir).withColumn("feats", text.feats_string(F.col("feats")))
+    return own.select("sent_id", "tok_idx", text.feats_string(text.feats_map(F.col("feats"))).alias("feats"), text.feature(F.col("feats"), "case").alias("case_value"))
+
+
+@query("""with t as (select l_orderkey, l_linenumber, l_quantity, substr('vnladcrgmiupbzqex', cast(l_partkey % 17 + 1 as int), 1) || substr('123-', cast(l_suppkey % 4 + 1 as int), 1) || substr('spd-', cast(l_linenumber % 4 + 1 as int), 1) || '--' || '-' || substr('mfn-', cast(l_partkey % 4 + 1 as int), 1) || substr('ngdavbl-', cast(l_suppkey % 8 + 1 as int), 1) || '-' as tag from lineitem)
+select tag, count(*) as n, replace(replace(substr(tag, 1, 1), 'x', 'p'), 'b', 'c') || substr(tag, 2) as back from t group by tag""")
+def positional_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags derived from lineitem keys, read into records and written back."""
+    at = lambda letters, c: F.substr(F.lit(letters), (F.col(c) % len(letters) + 1).cast("int"), F.lit(1))
+    tag = F.concat(at("vnladcrgmiupbzqex", "l_partkey"), at("123-", "l_suppkey"), at("spd-", "l_linenumber"), F.lit("---"), at("mfn-", "l_partkey"), at("ngdavbl-", "l_suppkey"), F.lit("-"))
+    own = table(spark, sf_dir, "lineitem").select(tag.alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    return own.withColumn("r", tagset.tag_record(F.col("tag"))).select("tag", "n", tagset.record_tag(F.col("r")).alias("back"))
+
+
+@query(TOKENS_SQL + """select sent_id, md5(string_agg(tok_idx || chr(9) || form || chr(9) || lemma || chr(9) || upos || chr(9) || '_' || chr(9) || case when case_ = '_' then '_' else 'case=' || case_ || '|number=' || number_ end || repeat(chr(9) || '_', 4), chr(10) order by tok_idx)) as block from d_tokens group by sent_id""")
+def conllu_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conllu_lines(tokens(spark, sf_dir)).select("sent_id", F.md5("block").alias("block"))
+
+
+@query(TOKENS_SQL + """select form, cast(sum(pos) as bigint) as places, count(*) as n from (select form, tok_idx as pos, concat_ws(' ', lag(form) over w, '[' || form || ']', lead(form) over w) as window from d_tokens window w as (partition by sent_id order by tok_idx)) group by form""")
+def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = Window.partitionBy("sent_id").orderBy("tok_idx")
+    rows = tokens(spark, sf_dir).select("form", F.col("tok_idx").alias("pos"), F.concat_ws(" ", F.lag("form").over(own), F.concat(F.lit("["), "form", F.lit("]")), F.lead("form").over(own)).alias("window"))
+    return rows.groupBy("form").agg(F.sum("pos").alias("places"), F.count("*").alias("n"))
+
+
+# Trees
+
+
+@query(TOKENS_SQL + "select t.sent_id, t.tok_idx, h.lemma as head_lemma, g.tok_idx as second_idx from d_tokens t left join d_tokens h on h.sent_id = t.sent_id and h.tok_idx = t.head_id left join d_tokens g on g.sent_id = t.sent_id and g.tok_idx = h.head_id")
+def resolve_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = tokens(spark, sf_dir)
+    up = treebank.with_head(own)
+    second = treebank.named(own, "g").withColumnRenamed("sent_id", "gs")
+    return up.join(second, F.expr("sent_id = gs and h_head_id = g_tok_idx"), "left").select("sent_id", F.col("tok_tok_idx").alias("tok_idx"), F.col("h_lemma").alias("head_lemma"), F.col("g_tok_idx").alias("second_idx"))
+
+
+@query(TOKENS_SQL + "select sent_id, head_id as tok_idx, count(*) as n, string_agg(cast(tok_idx as varchar), ',' order by tok_idx) as children from d_tokens where head_id > 0 group by sent_id, head_id")
+def children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treebank.children(tokens(spark, sf_dir)).select("sent_id", "tok_idx", F.size("children").cast("long").alias("n"), F.array_join("children", ",").alias("children"))
+
+
+_CONTEXTS_SQL = TOKENS_SQL + """, ok as (select *, upos <> 'PUNCT' as valid, relation = 'AuxP' as bridge from d_tokens),
+c as (
+select h.lemma as word, case when t.relation = 'CO' then 'Cd_' else 'C_' end || t.lemma as context from ok t join ok h on h.sent_id = t.sent_id and h.tok_idx = t.head_id where t.valid
+union all select g.lemma, case when t.relation = 'CO' then 'Cd_' else 'C_' end || t.lemma from ok t join ok h on h.sent_id = t.sent_id and h.tok_idx = t.head_id join ok g on g.sent_id = t.sent_id and g.tok_idx = h.head_id where t.valid and h.valid and h.bridge
+union all select t.lemma, case when h.relation <> 'AuxP' and t.relation = 'CO' then 'Cd_' else 'H_' end || h.lemma from ok t join ok h on h.sent_id = t.sent_id and h.tok_idx = t.head_id where h.valid
+union all select t.lemma, case when t.relation = 'CO' then 'Cd_' else 'H_' end || g.lemma from ok t join ok h on h.sent_id = t.sent_id and h.tok_idx = t.head_id join ok g on g.sent_id = t.sent_id and g.tok_idx = h.head_id where g.valid and h.valid and h.bridge),
+n as (select word, context, count(*) as n from c group by word, context), w as (select lemma as word, count(*) as w from d_tokens group by lemma), k as (select context, sum(n) as c from n group by context)
+"""
+
+
+@query(_CONTEXTS_SQL + "select word, context, n from n")
+def word_context_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = tokens(spark, sf_dir)
+    return treebank.counts(treebank.contexts(own), own.select(F.col("lemma").alias("word")))[0]
+
+
+@query(_CONTEXTS_SQL + """, t as (select sum(w) as total from w) select word, context, n, round(greatest(log2((n / total) / ((w / total) * (c / total))), 0), 6) as ppmi
+from n join w using (word) join k using (context), t where w >= 20 and c >= 20""")
+def reduced_ppmi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = tokens(spark, sf_dir)
+    pairs, words, contexts = treebank.counts(treebank.contexts(own), own.select(F.col("lemma").alias("word")))
+    kept = treebank.reduce(pairs, words, contexts, 20, 20)
+    return treebank.ppmi(kept, words, contexts).withColumn("ppmi", places(F.col("ppmi")))
+
+
+# Lexicons
+
+
+@query(TOKENS_SQL + "select feat, value, count(*) as n from (select 'UPOS' as feat, upos as value from d_tokens union all select 'case', case_ from d_tokens where case_ <> '_' union all select 'number', number_ from d_tokens where number_ <> '_') group by feat, value")
+def feature_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.inventory(tokens(spark, sf_dir))
+
+
+@query("select lang as label, row_number() over (order by lang) - 1 as id from (select distinct lang from documents where lang is not null)")
+def label_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.label_ids(table(spark, sf_dir, "documents"), "lang")
+
+
+def _lexicon(own: DataFrame) -> DataFrame:
+    return own.filter("doc_id % 2 = 0").select("form", "upos", text.feature(text.feats_string(F.col("feats")), "case").alias("case")).distinct()
+
+
+@query(TOKENS_SQL + ", lex as (select distinct form from d_tokens where doc_id % 2 = 0) select form, count(*) as n from d_tokens where doc_id % 2 = 1 and form not in (select form from lex) group by form")
+def unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms of the odd documents (the test part) that the lexicon of the even ones lacks."""
+    own = tokens(spark, sf_dir)
+    test = own.filter("doc_id % 2 = 1").groupBy("form").agg(F.count("*").alias("n"))
+    return lexicon.unknown(test, _lexicon(own).select("form").distinct(), ["form"])
+
+
+_TAGS_SQL = TOKENS_SQL + """, lex as (select distinct form, upos, case_ as c from d_tokens where doc_id % 2 = 0), poss as (select distinct upos, c from lex),
+test as (select sent_id, tok_idx, form from d_tokens where doc_id % 2 = 1),
+u as (select col0 as upos, col1 as k from (values ('PUNCT', 0), ('adjective', 1), ('noun', 2), ('preposition', 3), ('verb', 4))), q as (select col0 as c, col1 as k from (values ('_', 0), ('acc', 1), ('gen', 2), ('nom', 3))),
+cand as (select test.sent_id, tok_idx, l.upos, l.c from test join lex l using (form) union all select test.sent_id, tok_idx, p.upos, p.c from test anti join lex using (form), poss p),
+prob as (select sent_id, tok_idx, cand.upos, cand.c, (1 + (tok_idx * 3 + u.k * 5) % 7) * (1 + (tok_idx * 3 + q.k * 5) % 7) / (
+ (select sum(1 + (cand.tok_idx * 3 + x.k * 5) % 7) from u x) * (select sum(1 + (cand.tok_idx * 3 + y.k * 5) % 7) from q y)) as p from cand join u on u.upos = cand.upos join q on q.c = cand.c),
+r as (select *, row_number() over (partition by sent_id, tok_idx order by round(p, 9) desc, upos, c) as rn, count(*) over (partition by sent_id, tok_idx) as num_poss from prob)
+select sent_id, tok_idx, upos, c as "case", round(p, 6) as p, num_poss from r where rn = 1
+"""
+
+
+@query(_TAGS_SQL)
+def constrained_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best tag of each token of the odd documents under the lexicon of the even ones."""
+    own = tokens(spark, sf_dir)
+    lex = _lexicon(own)
+    test = own.filter("doc_id % 2 = 1").select("sent_id", "tok_idx", "form")
+    weight = lambda k: (F.lit(1) + (F.col("tok_idx") * 3 + k * 5) % 7).cast("double")
+    parts = []
+    for feat, values in (("upos", ["PUNCT", "adjective", "noun", "preposition", "verb"]), ("case", ["_", "acc", "gen", "nom"])):
+        total = sum((weight(k) for k in range(1, len(values))), weight(0))
+        for k, v in enumerate(values):
+            parts += [F.lit(f"{feat}={v}"), weight(k) / total]
+    candidates = lexicon.candidate_tags(test, lex, lex.select("upos", "case").distinct())
+    p = F.create_map(*parts)
+    score = F.element_at(p, F.concat(F.lit("upos="), "upos")) * F.element_at(p, F.concat(F.lit("case="), "case"))
+    best = candidates.groupBy("sent_id", "tok_idx").agg(F.min(F.struct((-F.round(score, 9)).alias("p"), "upos", "case")).alias("b"), F.count("*").alias("num_poss"))
+    return best.select("sent_id", "tok_idx", "b.upos", "b.case", F.round(-F.col("b.p"), 6).alias("p"), "num_poss")
+
+
+@query(TOKENS_SQL + "select upos, lemma, count(*) as n, true as by_key from d_tokens group by upos, lemma union all select null, lemma, count(*), false from d_tokens group by lemma")
+def lemma_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.lemma_counts(tokens(spark, sf_dir), ["upos"])
+
+
+@query(TOKENS_SQL + """, t as (select upos, substr(lemma, 1, 3) as stem, lemma from d_tokens), nk as (select upos, stem, lemma, count(*) as nk from t group by all), no as (select lemma, count(*) as no from t group by lemma),
+r as (select *, max(nk) over (partition by upos, stem) as top from nk join no using (lemma)), s as (select *, sum(case when nk = top then 1 else 0 end) over (partition by upos, stem) as tied from r),
+z as (select *, row_number() over (partition by upos, stem order by case when tied > 1 then no else nk end desc, lemma) as rn from s) select upos, stem, lemma from z where rn = 1""")
+def lemma_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lemma of each (upos, first three letters) key among those that occur with it."""
+    own = tokens(spark, sf_dir).select("upos", F.substring("lemma", 1, 3).alias("stem"), "lemma")
+    return lexicon.choose_lemmas(own, lexicon.lemma_counts(own, ["upos", "stem"]), ["upos", "stem"])
+
+
+@query(TOKENS_SQL + """, g as (select lemma as form, form as lemma, count(*) as n, min(sent_id * 100000 + tok_idx) as seq from d_tokens group by 1, 2), r as (select *, row_number() over (partition by form order by n desc, seq) as rn from g) select form, lemma, n from r where rn = 1""")
+def dictionary_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commonest spelling of each lower-cased form, ties to the first seen."""
+    own = tokens(spark, sf_dir).select(F.col("lemma").alias("form"), F.col("form").alias("lemma"), (F.col("sent_id") * 100000 + F.col("tok_idx")).alias("seq"))
+    return lexicon.dictionary_lemmas(own)
+
+
+# Evaluation, folds, vectors
+
+
+def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("gold"), F.when(F.col("doc_id") % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")).alias("pred"))
+
+
+_PRED_SQL = "with d_pred as (select doc_id, quality as gold, case when doc_id % 5 = 0 then 1 - quality else quality end as pred from labels)"
+
+
+@query(_PRED_SQL + """, e as (select gold as class, 1 as g, 0 as p, 0 as b from d_pred union all select pred, 0, 1, case when gold = pred then 1 else 0 end from d_pred), s as (select class, sum(g) as support, sum(p) as np, sum(b) as hits from e group by class)
+select class, round(case when np > 0 then hits / np else 0 end, 6) as precision, round(case when support > 0 then hits / support else 0 end, 6) as recall, round(case when np + support > 0 then 2 * hits / (np + support) else 0 end, 6) as f1, cast(support as bigint) as support from s""")
+def class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = evaluation.class_metrics(_predicted(spark, sf_dir))
+    return own.select("class", *(places(F.col(c)).alias(c) for c in ("precision", "recall", "f1")), "support")
+
+
+@query(PARALLEL_SQL + """, g as (select sent_no as sent, src, unnest(tgt) as tgt from (select sent_no, unnest(src) as src, tgt from d_parallel)),
+gold as (select sent, src, min(tgt) as tgt from g group by sent, src), pred as (select sent, src, max(tgt) as tgt from g group by sent, src),
+j as (select count(*) filter (where p.src is not null and q.src is not null) as tp, count(p.src) as np, count(q.src) as ng from pred p full join gold q on p.sent = q.sent and p.src = q.src and p.tgt = q.tgt)
+select round(tp / np, 6) as precision, round(tp / ng, 6) as recall, round(2 * tp / (np + ng), 6) as f1, round(1 - 2 * tp / (np + ng), 6) as aer from j""")
+def alignment_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last target word as prediction against the first as gold."""
+    own = parallel(spark, sf_dir).filter(F.size("tgt") > 0).select(F.col("sent_no").alias("sent"), F.explode("src").alias("src"), F.array_min("tgt").alias("lo"), F.array_max("tgt").alias("hi"))
+    out = evaluation.pair_metrics(own.select("sent", "src", F.col("hi").alias("tgt")), own.select("sent", "src", F.col("lo").alias("tgt")))
+    return out.select(*(places(F.col(c)).alias(c) for c in out.columns))
+
+
+@query("""with r as (select vec_id % 101 as score, label % 2 = 0 as un, case when label % 3 = 0 then 1 else 0 end as ok from embeddings),
+s as (select score, sum(cast(un as int)) as u, sum(ok) as c, count(*) as m from r group by score),
+a as (select score, u, (coalesce(sum(u) over (order by score rows between unbounded preceding and 1 preceding), 0) + sum(c) over (order by score rows between current row and unbounded following)) / sum(m) over () as acc from s)
+select score as threshold, round(acc, 6) as accuracy from a where u > 0 order by acc desc, score limit 1""")
+def threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 101).alias("score"), (F.col("label") % 2 == 0).alias("unaligned"), (F.col("label") % 3 == 0).cast("int").alias("correct"))
+    return evaluation.threshold(rows).withColumn("accuracy", places(F.col("accuracy")))
+
+
+@query("select doc_id, least((row_number() over (order by doc_id) - 1) // greatest((select count(*) from labels) // 7, 1), 6) as fold from labels")
+def contiguous_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.contiguous_folds(table(spark, sf_dir, "labels").select("doc_id"), 7, "doc_id").select("doc_id", F.col("fold").cast("long").alias("fold"))
+
+
+@query("select doc_id, ntile(7) over (order by doc_id) - 1 as fold from labels")
+def kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.plain_folds(table(spark, sf_dir, "labels").select("doc_id"), 7, "doc_id").select("doc_id", "fold")
+
+
+@query("""with e as (select label, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from embeddings) select label, i, round(avg(cast(x as double)), 6) as mean from e group by label, i""")
+def mean_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean vector of each label, by place."""
+    own = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("at", "x"))
+    return own.groupBy("label", (F.col("at") + 1).cast("long").alias("i")).agg(places(F.avg(F.col("x").cast("double"))).alias("mean"))
+
+
+@query("""with c as (select label, i, avg(cast(x as double)) as m from (select label, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from embeddings) group by label, i),
+d as (select vec_id, label as own, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from embeddings),
+s as (select vec_id, own, c.label, sum(cast(x as double) * m) / (sqrt(sum(cast(x as double) * x)) * sqrt(sum(m * m))) as cosine from d join c using (i) group by vec_id, own, c.label),
+r as (select *, row_number() over (partition by vec_id order by round(cosine, 6) desc, label) as rn from s) select vec_id, own, label as nearest, round(cosine, 6) as cosine from r where rn = 1""")
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label whose mean vector is nearest to each vector; means are a row a label, so they are broadcast."""
+    own = table(spark, sf_dir, "embeddings")
+    mean = own.select("label", F.posexplode("embedding").alias("at", "x")).groupBy("label", "at").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    centers = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "m"))), lambda e: e["m"]).alias("center"))
+    rows = own.select("vec_id", F.col("label").alias("own"), "embedding").crossJoin(F.broadcast(centers))
+    cosine = F.round(text.dot(F.col("embedding"), F.col("center")) / (F.sqrt(text.dot(F.col("embedding"), F.col("embedding"))) * F.sqrt(text.dot(F.col("center"), F.col("center")))), 6)
+    best = rows.select("vec_id", "own", F.struct((-cosine).alias("c"), "label").alias("s")).groupBy("vec_id", "own").agg(F.min("s").alias("s"))
+    return best.select("vec_id", "own", F.col("s.label").alias("nearest"), (-F.col("s.c")).alias("cosine"))
+
+
+# Sources by shape
+
+
+@query("""select o_orderkey, l_linenumber, c_custkey, n_name from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where n_name in ('NATION_1', 'NATION_2', 'NATION_3')""")
+def relational_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus kept in four tables: units filtered by a text list."""
+    t = lambda n: table(spark, sf_dir, n)
+    units = t("nation").filter(F.col("n_name").isin("NATION_1", "NATION_2", "NATION_3")).select("n_nationkey", "n_name")
+    rows = t("lineitem").select("l_orderkey", "l_linenumber").join(t("orders").select("o_orderkey", "o_custkey"), F.expr("l_orderkey = o_orderkey"))
+    rows = rows.join(t("customer").select("c_custkey", "c_nationkey"), F.expr("o_custkey = c_custkey")).join(units, F.expr("c_nationkey = n_nationkey"))
+    return rows.select("o_orderkey", "l_linenumber", "c_custkey", "n_name")
+
+
+@query("""with e as (select user_id, event_id, ts, event_type, case when lag(event_type) over (partition by user_id order by ts, event_id) = event_type then 0 else 1 end as new from events),
+r as (select *, sum(new) over (partition by user_id order by ts, event_id) as run from e) select user_id, cast(run as bigint) as run, event_type, count(*) as n from r group by user_id, run, event_type""")
+def contiguous_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of one type in a user's events, in order of time."""
+    own = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
+    rows = rows.withColumn("new", F.when(F.lag("event_type").over(own) == F.col("event_type"), 0).otherwise(1)).withColumn("run", F.sum("new").over(own))
+    return rows.groupBy("user_id", "run", "event_type").agg(F.count("*").alias("n"))
