@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import SPACE_WORDS, Words, _LOWER, fold_of, pieces, table, table_of, utf8
 
 DEPTH, LEAST = 5, 1e-5
-RUN_PAIRS, RUN_DOCS = 1_200_000, 60_000
+RUN_PAIRS, RUN_DOCS = 700_000, 60_000
+PIECE = 1 << 19  # bytes that are worked on at once
 END_TOKEN = 1
 
 
@@ -65,14 +66,14 @@ def gather(docs: DataFrame, depth: int) -> DataFrame:
             return codes[first], np.add.reduceat(counts, first) if len(first) else counts
 
         for batch in batches:
-            for _, _, data, off in pieces(*utf8(batch.column(0))):
+            for _, _, data, off in pieces(*utf8(batch.column(0)), 2 * PIECE):
                 s, at, _ = symbols_of(data, off, Words(data, off, SPACE_WORDS), depth)
                 own = np.zeros(len(at), np.int64)
                 for d in range(depth + 1):
                     own |= s[at - d].astype(np.int64) << (8 * d)
                 a, b = np.unique(own, return_counts=True)
                 code, n = merged(np.concatenate([code, a]), np.concatenate([n, b]))
-                if len(code) > 4_000_000:
+                if len(code) > 2_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
                     code, n = code[:0], n[:0]
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
@@ -179,7 +180,7 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, least: float =
         for batch in batches:
             arrow = batch.schema.field(0).type
             out_flag = np.asarray(batch.column(2).cast(pa.int8()))
-            for lo, hi, data, off in pieces(*utf8(batch.column(1))):
+            for lo, hi, data, off in pieces(*utf8(batch.column(1)), PIECE):
                 n = hi - lo
                 if docs_in + n > RUN_DOCS or pairs_in > RUN_PAIRS:
                     if held:
