@@ -123,10 +123,12 @@ class Block:
             return none
         k = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
         known = self.vocabulary[k] == h
+        if not known.any():
+            return none
         start = known.copy()
         start[1:] &= ~known[:-1] | (row[1:] != row[:-1])
         run = np.cumsum(start) - 1
-        size = np.bincount(run[known], minlength=int(run[-1]) + 1 if len(run) else 0)
+        size = np.bincount(run[known])
         use = np.flatnonzero(known & (size[np.maximum(run, 0)] >= self.lengths.min()))
         if not len(use):
             return none

@@ -50,6 +50,10 @@ class Rule:
     def missing(self, n):
         return n * (self.den - self.num) // self.den
 
+    def has_partners(self, n):
+        """Whether a set of n members can be linked with a set that isn't equal."""
+        return self.missing(n) > 0 or n * self.den // self.num > n
+
     def heavy_keys(self, n: int) -> int:
         i = int(np.searchsorted(self.uppers, n))
         return int(self.parts[i] + (self.parts[i - 1] if i > 1 else 0))
@@ -59,12 +63,15 @@ class Rule:
 
     def boundary(self, sizes: dict[int, int]) -> int:
         """Sets below this size are light. sizes: number of sets of each size below that of three misses."""
-        first = [next(n for n in range(1, 10_000) if self.missing(n) >= j) for j in (1, 2, 3)]
         cost = lambda x: sum(c * (self.light_keys(n) if n < x else 0) + c * (self.heavy_keys(n) * (1 + SCAN) if n >= x * self.num // self.den else 0) for n, c in sizes.items())
-        return min(first, key=lambda x: (cost(x), x))
+        return min(self.boundaries(), key=lambda x: (cost(x), x))
+
+    def boundaries(self) -> list[int]:
+        """Sizes at which sets may miss one, two and three members."""
+        return [next(n for n in range(1, 10_000) if self.missing(n) >= j) for j in (1, 2, 3)]
 
     def most_light(self) -> int:
-        return next(n for n in range(1, 10_000) if self.missing(n) >= 3)
+        return self.boundaries()[-1]
 
 
 def sets_of(data: np.ndarray, off: np.ndarray, rule: Rule):
@@ -97,11 +104,13 @@ def keys_of(own: np.ndarray, rule: Rule, boundary: int) -> np.ndarray:
     """Keys under which a set is looked for: subsets if it's light, segments if a heavy partner may exist."""
     n, out = len(own), []
     with np.errstate(over="ignore"):
-        if n < boundary and rule.missing(n):
+        if n < boundary and rule.has_partners(n):
             e = mix(own + U(1))
             total = e.sum(dtype=U)
-            subsets = [np.array([total], U), total - e]
-            for _ in range(1, rule.missing(n)):
+            subsets = [np.array([total], U)]
+            if rule.missing(n) >= 1:
+                subsets.append(total - e)
+            if rule.missing(n) >= 2:
                 i, j = np.triu_indices(n, 1)
                 subsets.append(total - e[i] - e[j])
             out += [mix(s * U(3) + U(n - m)) for m, s in enumerate(subsets)]
@@ -185,7 +194,7 @@ def clusters(docs: DataFrame, rule: Rule, boundary: int) -> DataFrame:
             for _, _, data, off in pieces(*utf8(batch.column(0))):
                 keys, nodes = [], []
                 for own in sets_of(data, off, rule):
-                    if len(own) and rule.missing(len(own)) and (node := class_of(own)) not in seen:
+                    if len(own) and rule.has_partners(len(own)) and (node := class_of(own)) not in seen:
                         seen.add(node)
                         keys.append(keys_of(own, rule, boundary))
                         nodes.append(node)
