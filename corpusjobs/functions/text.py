@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Characters that the folding and splitting rules name.
 APOSTROPHES = "᾽'ʼ´"
@@ -25,7 +26,7 @@ def normalize(text: Column, form: str) -> Column:
     return F.pandas_udf(lambda s: s.str.normalize(form), "string")(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfd_keeping(text: pd.Series) -> pd.Series:
     """NFD of every character but the numeral sign and the raised dot."""
     return text.map(lambda t: "".join(c if c in KEPT_COMPOSED else unicodedata.normalize("NFD", c) for c in t), na_action="ignore")
