@@ -22,17 +22,18 @@ all null is null; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from math import comb
+from math import comb, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE_WORDS, Words, mix, pieces, table, table_of, utf8
 from .components import components
 
 BLOCK, BLOCK_SHINGLES, SCAN = 800, 1 << 20, 6
+HOPS = 1
 U = np.uint64
 
 
@@ -42,10 +43,25 @@ class Rule:
     def __init__(self, k: int, num: int, den: int):
         self.k, self.num, self.den = k, num, den
         self.upper = [0]  # of each size class
-        while self.upper[-1] < 1 << 40:
+        while self.upper[-1] < 1 << 32:
             self.upper.append((self.upper[-1] + 1) * den // num)
         self.uppers = np.array(self.upper, np.int64)
-        self.parts = (self.uppers + self.uppers * den // num) * (den - num) // (den + num) + 1
+        most = (self.uppers + self.uppers * den // num) * (den - num) // (den + num)  # members that linked sets differ in
+        spare = [(1, 0)] + [self._spare(int(u) + 1, int(d)) for u, d in zip(self.uppers, most[1:])]
+        self.spare, self.thin = (np.array(x, np.int64) for x in zip(*spare))
+        self.parts = most + self.spare
+
+    @staticmethod
+    def _spare(n: int, most: int) -> tuple[int, int]:
+        """Parts beyond `most`, and the members below which a part is thin: a set of n members has usually fewer
+        thin parts than there are spare ones."""
+        for thin in (2, 1):
+            for spare in range(1, min(most // 4, 4096) + 2):
+                rate = n / (most + spare)
+                mean = (most + spare) * exp(-rate) * (1 + rate if thin == 2 else 1)
+                if spare > mean + 3 * sqrt(mean):
+                    return spare, thin
+        return 1, 0
 
     def missing(self, n):
         return n * (self.den - self.num) // self.den
@@ -123,7 +139,9 @@ def keys_of(own: np.ndarray, rule: Rule, boundary: int) -> np.ndarray:
                 part = (mix(own ^ U(0x5851F42D4C957F2D + scheme)) % U(p)).astype(np.int64)
                 sums = np.zeros(p, U)
                 np.add.at(sums, part, mix(own + U(7)))
-                out.append(mix(sums + (np.arange(p, dtype=U) + tag) * U(0xD6E8FEB86659FD93)))
+                keys = mix(sums + (np.arange(p, dtype=U) + tag) * U(0xD6E8FEB86659FD93))
+                thin = np.bincount(part, minlength=p) < rule.thin[scheme]
+                out.append(keys[~thin] if thin.sum() < rule.spare[scheme] else keys)
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
@@ -202,8 +220,13 @@ def clusters(docs: DataFrame, rule: Rule, boundary: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), [len(k) for k in keys]))], ["key", "node"])
 
     entries = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, node long")
-    own = entries.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).filter("pivot <> top").drop("top")
-    return entries.join(own, "key").select("pivot", "node").distinct()
+    own = Window.partitionBy("key")
+    met = entries.select("node", F.min("node").over(own).alias("pivot"), F.max("node").over(own).alias("top")).filter("pivot <> top").select("pivot", "node").distinct()
+    for _ in range(HOPS):  # a pivot that is in a smaller one's cluster hands its own to it, so sets stand in few clusters
+        met = table_of(met, "clusters")
+        best = met.groupBy(F.col("node").alias("pivot")).agg(F.min("pivot").alias("best"))
+        met = met.join(best, "pivot").select(F.col("best").alias("pivot"), "node").distinct()
+    return table_of(met, "clusters")
 
 
 def links(docs: DataFrame, sets: DataFrame, rule: Rule, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -211,10 +234,10 @@ def links(docs: DataFrame, sets: DataFrame, rule: Rule, block: int = BLOCK, bloc
     most = rule.most_light()
     by_class = table_of(sets.filter("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id")), "classes")
     sizes = {r.n: r["count"] for r in by_class.filter(F.col("n") < 2 * most).groupBy("n").count().collect()}  # 2 * most rows at most
-    met = table_of(clusters(docs, rule, rule.boundary(sizes)), "clusters").join(by_class.select("node", "n"), "node")
+    met = clusters(docs, rule, rule.boundary(sizes)).join(by_class, "node")
     total = met.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
     placed = met.join(total, "pivot").withColumn("b", F.pmod(F.xxhash64("node", "pivot"), F.col("blocks")).cast("int"))
-    needed = met.select("node").distinct().join(by_class, "node").select("node", "doc_id")
+    needed = placed.groupBy("node", "doc_id").agg(F.collect_list(F.struct("pivot", "b", "blocks")).alias("places"))
 
     def run(batches):
         for batch in batches:
@@ -222,24 +245,26 @@ def links(docs: DataFrame, sets: DataFrame, rule: Rule, block: int = BLOCK, bloc
             for _, _, data, off in pieces(*utf8(batch.column(1))):
                 sets += sets_of(data, off, rule)
             right = [class_of(s) == node for s, node in zip(sets, nodes.to_pylist())]
-            yield pa.RecordBatch.from_arrays([nodes, pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "members"]).filter(pa.array(right, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([nodes, batch.column(2), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "places", "members"]).filter(pa.array(right, pa.bool_()))
 
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(needed, "doc_id").select("node", "text")
-    members = texts.mapInArrow(run, "node long, members binary").dropDuplicates(["node"])
-    pairs = placed.join(members, "node").withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(needed, "doc_id").select("node", "text", "places")
+    members = texts.mapInArrow(run, "node long, places array<struct<pivot: bigint, b: int, blocks: int>>, members binary")
+    pairs = members.select("node", "members", F.explode("places").alias("p")).select("node", "members", "p.*").withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
     pairs = pairs.select("pivot", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "members")
 
     def verify(batches):
-        at, nodes, sets = None, [], []
+        at, nodes, sets, held = None, [], [], set()
         for batch in batches:
             out = []
             for p, i, j, node, raw in zip(*(batch.column(k) for k in range(5))):
                 key = (p.as_py(), i.as_py(), j.as_py())
                 if key != at:
                     out += forest(nodes, sets, rule) if len(nodes) > 1 else []
-                    at, nodes, sets = key, [], []
-                nodes.append(node.as_py())
-                sets.append(np.frombuffer(raw.as_py(), U))
+                    at, nodes, sets, held = key, [], [], set()
+                if node.as_py() not in held:  # a repeated row
+                    held.add(node.as_py())
+                    nodes.append(node.as_py())
+                    sets.append(np.frombuffer(raw.as_py(), U))
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], ["u", "v"])
         out = forest(nodes, sets, rule) if len(nodes) > 1 else []
         yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], ["u", "v"])
