@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import table, table_of
 
 LENGTH, WINDOWS, FAN_IN, END_ID = 2048, 32, 256, 1
-#: Words and pieces that a worker remembers with their ids; beyond, it forgets all and goes on.
-REMEMBERED = 700_000
+#: Words, and parts of words, that a worker remembers with their ids; beyond, it forgets them and goes on.
+REMEMBERED = 300_000
 COLUMNS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 _WORDS: dict[str, "WordIds"] = {}
 
@@ -52,40 +52,37 @@ class WordIds(dict):
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = bool(suffix) and token.endswith(suffix)
-        self.parts: dict[str, tuple[int, ...]] = {}
+        self.parts: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
-        if len(self) > REMEMBERED or len(self.parts) > REMEMBERED:
-            self.clear()
+        if len(self.parts) > REMEMBERED:
             self.parts.clear()
-            words = list(dict.fromkeys(words))
-        found = {}
-        for w in words:
-            if w not in self:
-                found[w] = self.pattern.findall(self.tokenizer.normalizer.normalize_str(w)) if self.pattern else [w]
+        found = {w: self.pattern.findall(w.lower() if w.isascii() else self.tokenizer.normalizer.normalize_str(w)) if self.pattern else [w] for w in words}
         new = list(dict.fromkeys(p for q in found.values() for p in q if p not in self.parts))
         groups = [new[i : i + 64] for i in range(0, len(new), 64)] if self.pattern else [[p] for p in new]
         for group, coded in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False) if groups else []):
-            ids = coded.ids
+            ids = np.array(coded.ids, "<u4")
             cuts = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()] if self.pattern else [0, len(ids)]
             if len(cuts) - 1 != len(group):
                 raise ValueError("the tokenizer joined or split a word")
-            self.parts.update((p, tuple(ids[a:b])) for p, a, b in zip(group, cuts, cuts[1:]))
+            raw = ids.tobytes()
+            self.parts.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(group, cuts, cuts[1:]))
         for w, q in found.items():
-            self[w] = tuple(chain.from_iterable(self.parts[p] for p in q))
+            self[w] = self.parts[q[0]] if len(q) == 1 else b"".join([self.parts[p] for p in q])
 
     def of(self, texts: list[str]) -> Iterator[np.ndarray]:
         split = [t.split() for t in texts]
         known = set(chain.from_iterable(split))
         missing = [w for w in known if w not in self]
-        if len(self) + len(missing) > REMEMBERED:
+        if len(self) + len(missing) > REMEMBERED and len(missing) < len(known):
+            self.clear()
             missing = list(known)
         self.learn(missing)
         for t, words in zip(texts, split):
             if any(c in t for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split alone
                 yield np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
             else:
-                yield np.fromiter(chain.from_iterable(map(self.__getitem__, words)), np.uint32)
+                yield np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4")
 
 
 def ids_of(path: str) -> WordIds:
