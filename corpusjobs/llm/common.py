@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,35 @@ def table_of(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What a Python worker remembers from one task to the next, by operator.
+REMEMBERED: dict[str, dict] = {}
+
+
+def _give_back(owner: str | None = None) -> None:
+    """Frees what operators besides the owner remembered, and memory that the allocators hold."""
+    for other in REMEMBERED.keys() - {owner} if owner is not None else ():
+        del REMEMBERED[other]
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(task: Callable, owner: str = "") -> Callable:
+    """A function for mapInArrow in a worker that other operators' tasks have used before.
+
+    It first forgets what they remembered, and gives freed memory back before and after, since workers are reused
+    and an executor's memory has to hold all of theirs at once.
+    """
+
+    def run(batches):
+        _give_back(owner)
+        yield from task(batches)
+        _give_back()
+
+    return run
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, folds: int = 3, held_out: int = 1) -> DataFrame:
     """doc_id, text and y of at most `most` labelled documents outside the held-out fold, lowest hash of the id first.
 

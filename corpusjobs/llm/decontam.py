@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LETTER_WORDS, Words, pieces, table, utf8
+from .common import LETTER_WORDS, Words, lean, pieces, table, utf8
 
 WINDOW, SHARE, SAMPLED, BLOCK_BYTES = 13, 20, 16, 16 << 20
 
@@ -213,7 +213,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int
 
     for k, block in enumerate(blocks):
         last = k == len(blocks) - 1
-        state = state.mapInArrow(run(block, last), f"{kept}, {result}" if last else f"{kept}, __text string, __hit binary, __items array<bigint>")
+        state = state.mapInArrow(lean(run(block, last)), f"{kept}, {result}" if last else f"{kept}, __text string, __hit binary, __items array<bigint>")
     return state
 
 

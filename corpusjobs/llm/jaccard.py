@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, Words, mix, pieces, table, table_of, utf8
+from .common import SPACE_WORDS, Words, lean, mix, pieces, table, table_of, utf8
 from .components import components
 
 BLOCK, BLOCK_SHINGLES, SCAN = 800, 1 << 20, 6
@@ -200,7 +200,7 @@ def classes(docs: DataFrame, rule: Rule) -> DataFrame:
                     node.append(class_of(own))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64())], ["doc_id", "n", "node"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, node long")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)['doc_id']}, n long, node long")
 
 
 def clusters(docs: DataFrame, rule: Rule, boundary: int) -> DataFrame:
@@ -219,7 +219,7 @@ def clusters(docs: DataFrame, rule: Rule, boundary: int) -> DataFrame:
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), [len(k) for k in keys]))], ["key", "node"])
 
-    entries = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, node long")
+    entries = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "key long, node long")
     own = Window.partitionBy("key")
     met = entries.select("node", F.min("node").over(own).alias("pivot"), F.max("node").over(own).alias("top")).filter("pivot <> top").select("pivot", "node").distinct()
     for _ in range(HOPS):  # a pivot that is in a smaller one's cluster hands its own to it, so sets stand in few clusters
@@ -248,7 +248,7 @@ def links(docs: DataFrame, sets: DataFrame, rule: Rule, block: int = BLOCK, bloc
             yield pa.RecordBatch.from_arrays([nodes, batch.column(2), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "places", "members"]).filter(pa.array(right, pa.bool_()))
 
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(needed, "doc_id").select("node", "text", "places")
-    members = texts.mapInArrow(run, "node long, places array<struct<pivot: bigint, b: int, blocks: int>>, members binary")
+    members = texts.mapInArrow(lean(run), "node long, places array<struct<pivot: bigint, b: int, blocks: int>>, members binary")
     pairs = members.select("node", "members", F.explode("places").alias("p")).select("node", "members", "p.*").withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
     pairs = pairs.select("pivot", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "members")
 
@@ -270,7 +270,7 @@ def links(docs: DataFrame, sets: DataFrame, rule: Rule, block: int = BLOCK, bloc
         yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], ["u", "v"])
 
     dealt = pairs.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
-    return dealt.mapInArrow(verify, "u long, v long")
+    return dealt.mapInArrow(lean(verify), "u long, v long")
 
 
 def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:

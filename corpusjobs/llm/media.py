@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fs_of, shared_dir, table, table_of
+from .common import fs_of, lean, shared_dir, table, table_of
 
 WIDTH, SHARD_BYTES, HEADER = 64, 256 << 20, 33
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -125,7 +125,7 @@ def store(docs: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(shard, pa.string()), pa.array(offset, pa.int64()), pa.array(length, pa.int64())], ["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
         writer.close()
 
-    return table_of(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(write, f"doc_id {kind}, n_bytes long, digest string, shard string, offset long, length long"), "catalog")
+    return table_of(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(write), f"doc_id {kind}, n_bytes long, digest string, shard string, offset long, length long"), "catalog")
 
 
 def canonical(catalog: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def media_columns(catalog: DataFrame, folder: str, features: bool = True) -> Dat
 
     parts = int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = catalog.repartitionByRange(parts, "shard", "offset", "doc_id").sortWithinPartitions("shard", "offset")
-    return dealt.mapInArrow(read, schema)
+    return dealt.mapInArrow(lean(read), schema)
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:

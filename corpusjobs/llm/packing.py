@@ -26,13 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, table_of
+from .common import REMEMBERED, lean, table, table_of
 
 LENGTH, WINDOWS, FAN_IN, END_ID = 2048, 32, 256, 1
 #: Words, and parts of words, that a worker remembers with their ids; beyond, it forgets them and goes on.
-REMEMBERED = 300_000
+MOST_WORDS = 300_000
 COLUMNS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
-_WORDS: dict[str, "WordIds"] = {}
 
 
 class WordIds(dict):
@@ -55,7 +54,7 @@ class WordIds(dict):
         self.parts: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
-        if len(self.parts) > REMEMBERED:
+        if len(self.parts) > MOST_WORDS:
             self.parts.clear()
         found = {w: self.pattern.findall(w.lower() if w.isascii() else self.tokenizer.normalizer.normalize_str(w)) if self.pattern else [w] for w in words}
         new = list(dict.fromkeys(p for q in found.values() for p in q if p not in self.parts))
@@ -74,7 +73,7 @@ class WordIds(dict):
         split = [t.split() for t in texts]
         known = set(chain.from_iterable(split))
         missing = [w for w in known if w not in self]
-        if len(self) + len(missing) > REMEMBERED and len(missing) < len(known):
+        if len(self) + len(missing) > MOST_WORDS and len(missing) < len(known):
             self.clear()
             missing = list(known)
         self.learn(missing)
@@ -86,9 +85,10 @@ class WordIds(dict):
 
 
 def ids_of(path: str) -> WordIds:
-    if path not in _WORDS:
-        _WORDS[path] = WordIds(path)
-    return _WORDS[path]
+    own = REMEMBERED.setdefault("packing", {})
+    if path not in own:
+        own[path] = WordIds(path)
+    return own[path]
 
 
 class Packer:
@@ -203,7 +203,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, windows: int = W
         return joined
 
     schema = f"doc_id {kind}, {COLUMNS}, source long"
-    done = table_of(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(first, schema), "packing")
+    done = table_of(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(first, "packing"), schema), "packing")
     result = done.filter("sequence_id is not null")
     left, level = done.filter("sequence_id is null"), 1
     groups = max(1, (left.agg(F.max("source")).first()[0] or 0) + 1)

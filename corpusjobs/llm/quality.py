@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, Words, fold_of, labelled_sample, mix, pieces, table, utf8
+from .common import SPACE_WORDS, Words, fold_of, labelled_sample, lean, mix, pieces, table, utf8
 
 WORD_BUCKETS, SHAPE_BUCKETS, SIZE, REACH, SAMPLE = 1 << 14, 1 << 10, 32, 2, 12_000
 ITEMS = WORD_BUCKETS + SHAPE_BUCKETS
@@ -75,7 +75,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         used = np.flatnonzero(np.abs(sums).sum(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(sums[used, k]) for k in range(SIZE))], ["item", *(f"v{k}" for k in range(SIZE))])
 
-    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(gather, "item int, " + ", ".join(f"v{k} double" for k in range(SIZE)))
+    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(gather), "item int, " + ", ".join(f"v{k} double" for k in range(SIZE)))
     total = parts.groupBy("item").agg(*(F.sum(f"v{k}").alias(f"v{k}") for k in range(SIZE))).toPandas()  # ITEMS rows at most
     out = np.zeros((ITEMS, SIZE))
     out[total["item"].to_numpy(int)] = total.drop(columns="item").to_numpy(float)
@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int = S
                 x = np.concatenate(x)
                 yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["y", "h", "x"])
 
-    got = labelled_sample(docs, labels, "quality", sample).select("text", "y", F.xxhash64("doc_id", "text").alias("h")).mapInArrow(features, "y int, h long, x binary").toPandas().sort_values(["h", "x"])
+    got = labelled_sample(docs, labels, "quality", sample).select("text", "y", F.xxhash64("doc_id", "text").alias("h")).mapInArrow(lean(features), "y int, h long, x binary").toPandas().sort_values(["h", "x"])
     y = got["y"].to_numpy()
     if len(set(y.tolist())) < 2:
         return None
@@ -176,9 +176,9 @@ def classify(docs: DataFrame, labels: DataFrame, keep: bool = False) -> DataFram
 
     kept = docs.withColumn("__text", F.col("text").cast("string"))
     if keep:
-        return kept.mapInArrow(run, docs.schema)
+        return kept.mapInArrow(lean(run), docs.schema)
     kept = kept.select("doc_id", fold_of("doc_id", 3).alias("__fold"), "__text").withColumn("held_out", F.col("__fold") == 1).drop("__fold")
-    return kept.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
+    return kept.mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, Words, _LOWER, fold_of, pieces, table, table_of, utf8
+from .common import SPACE_WORDS, Words, _LOWER, fold_of, lean, pieces, table, table_of, utf8
 
 DEPTH, LEAST = 5, 1e-5
 RUN_PAIRS, RUN_DOCS = 700_000, 60_000
@@ -78,7 +78,7 @@ def gather(docs: DataFrame, depth: int) -> DataFrame:
                     code, n = code[:0], n[:0]
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
 
-    return docs.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(lean(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 class SuffixTree:
@@ -203,7 +203,7 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, least: float =
         if held:
             yield inverted()
 
-    done = table_of(rows.mapInArrow(run, f"run long, ord int, doc_id {kind}, held_out boolean, n_tokens long, n_bytes long, score double, h long, n_train long, postings binary"), "scored")
+    done = table_of(rows.mapInArrow(lean(run), f"run long, ord int, doc_id {kind}, held_out boolean, n_tokens long, n_bytes long, score double, h long, n_train long, postings binary"), "scored")
     posts = done.filter("h is not null").select("run", "h", "n_train", "postings")
     counted = posts.select("run", "h", "postings", F.sum("n_train").over(Window.partitionBy("h")).alias("c"))
 
@@ -223,7 +223,7 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, least: float =
             own, back = np.unique(key, return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(own >> 16), pa.array((own & 65535).astype(np.int32)), pa.array(np.bincount(back, tf * np.log10(of + 1.0), len(own))), pa.array(np.bincount(back, tf * (of > 0), len(own)).astype(np.int64))], ["run", "ord", "base", "known"])
 
-    base = counted.select("run", "postings", "c").mapInArrow(part, "run long, ord int, base double, known long").groupBy("run", "ord").agg(F.sum("base").alias("base"), F.sum("known").alias("n_known"))
+    base = counted.select("run", "postings", "c").mapInArrow(lean(part), "run long, ord int, base double, known long").groupBy("run", "ord").agg(F.sum("base").alias("base"), F.sum("known").alias("n_known"))
     tokens, distinct = posts.filter("n_train > 0").agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.countDistinct("h")).first()
     texts = done.filter("h is null").select("run", "ord", "doc_id", "held_out", "n_tokens", "n_bytes", "score")
     off = float(np.log10(tokens + distinct + 1))

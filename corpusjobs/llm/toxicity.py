@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LETTER_WORDS, Words, labelled_sample, mix, pieces, table, utf8
+from .common import LETTER_WORDS, Words, labelled_sample, lean, mix, pieces, table, utf8
 
 SAMPLE, FEATURES, GRADES, LEAST_Z = 12_000, 512, 3, 5.0
 BEGINNINGS = range(3, 9)
@@ -54,7 +54,7 @@ def telling(sample: DataFrame, features: int, least_z: float) -> np.ndarray:
     if not 0 < toxic < docs:
         return np.zeros(0, np.uint64)
     p = toxic / docs
-    counts = sample.select("text", "y").mapInArrow(count, "h long, n long, toxic long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    counts = sample.select("text", "y").mapInArrow(lean(count), "h long, n long, toxic long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     z = (F.col("toxic") - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p))
     best = counts.withColumn("z", z).filter((F.col("z") >= least_z) & (F.col("toxic") >= 3)).orderBy(F.desc("z"), "h").limit(features)
     return np.sort(np.array([r.h for r in best.select("h").collect()], np.int64).view(np.uint64))
@@ -112,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
                 out += [np.packbits(a).tobytes() for a in x]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], ["y", "x"])
 
-    got = chosen.select("text", "y").mapInArrow(rows, "y int, x binary").toPandas().sort_values(["x", "y"])
+    got = chosen.select("text", "y").mapInArrow(lean(rows), "y int, x binary").toPandas().sort_values(["x", "y"])
     y = got["y"].to_numpy()
     x = np.unpackbits(np.frombuffer(b"".join(got["x"]), np.uint8).reshape(len(y), -1), axis=1, count=len(vocabulary)).astype(np.float32)
     strength = x.sum(axis=1)
@@ -145,8 +145,8 @@ def grade(docs: DataFrame, labels: DataFrame, keep: bool = False) -> DataFrame:
 
     kept = docs.withColumn("__text", F.col("text").cast("string"))
     if keep:
-        return kept.mapInArrow(run, docs.schema)
-    return kept.select("doc_id", "__text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, p_toxic double, severity double, grade int, toxic boolean")
+        return kept.mapInArrow(lean(run), docs.schema)
+    return kept.select("doc_id", "__text").mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)['doc_id']}, p_toxic double, severity double, grade int, toxic boolean")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

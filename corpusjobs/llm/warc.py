@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fs_of, shared_dir, table, table_of
+from .common import fs_of, lean, shared_dir, table, table_of
 
 MIN_BYTES, CHUNK = 100, 1 << 16
 URN = "<urn:page:{}>"
@@ -152,7 +152,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) ->
             fs.move(passing, f"{base}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], ["file", "n_records", "n_bytes"])
 
-    return table_of(rows.mapInArrow(write, "file string, n_records long, n_bytes long"), "manifest")
+    return table_of(rows.mapInArrow(lean(write), "file string, n_records long, n_bytes long"), "manifest")
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
@@ -178,7 +178,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
 
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("file", "n_records").repartition(parts).mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return manifest.select("file", "n_records").repartition(parts).mapInArrow(lean(read), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
