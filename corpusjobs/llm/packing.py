@@ -18,7 +18,7 @@ import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,8 @@ from .common import REMEMBERED, lean, table, table_of
 LENGTH, WINDOWS, FAN_IN, END_ID = 2048, 32, 256, 1
 #: Words, and parts of words, that a worker remembers with their ids; beyond, it forgets them and goes on.
 MOST_WORDS = 300_000
+#: Of these, the number that stay for the worker's next task: those met first, which are the common ones.
+KEPT_WORDS = 50_000
 COLUMNS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -69,6 +71,12 @@ class WordIds(dict):
         for w, q in found.items():
             self[w] = self.parts[q[0]] if len(q) == 1 else b"".join([self.parts[p] for p in q])
 
+    def shrink(self) -> None:
+        for own in (self, self.parts):
+            kept = dict(islice(own.items(), KEPT_WORDS))
+            own.clear()
+            own.update(kept)
+
     def of(self, texts: list[str]) -> Iterator[np.ndarray]:
         split = [t.split() for t in texts]
         known = set(chain.from_iterable(split))
@@ -176,6 +184,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, windows: int = W
                     packer.place(doc_id, 0, own, len(own))
             yield _batches(packer.rows, arrow, task)
             packer.rows = []
+        words.shrink()
         packer.emit(packer.close(), True)
         if arrow is not None:
             yield _batches(packer.rows, arrow, task)
