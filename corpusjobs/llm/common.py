@@ -75,6 +75,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, f
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
 
 
+def with_text(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs and the name of a string column that holds text: its own, or one more where that has another type."""
+    if dict(docs.dtypes)["text"] == "string":
+        return docs, "text"
+    return docs.withColumn("__text", F.col("text").cast("string")), "__text"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -108,7 +115,11 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), off
 
 
-def pieces(data: np.ndarray, off: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+#: Bytes of text that a task works on at once: its arrays take some hundred bytes for each.
+PIECE = 1 << 19
+
+
+def pieces(data: np.ndarray, off: np.ndarray, most: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of whole rows of about most bytes (one row at least): first row, last row, bytes, offsets in them."""
     lo, n = 0, len(off) - 1
     while lo < n:
@@ -141,7 +152,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> list[np.ndarray]:
     if not _POWERS or len(_POWERS[0]) <= n:
-        size = max(n + 1, (1 << 21) + 1)
+        size = max(n + 1, PIECE + 1)
         _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
     return _POWERS
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, Words, fold_of, labelled_sample, lean, mix, pieces, table, utf8
+from .common import SPACE_WORDS, Words, fold_of, labelled_sample, lean, mix, pieces, table, utf8, with_text
 
 WORD_BUCKETS, SHAPE_BUCKETS, SIZE, REACH, SAMPLE = 1 << 14, 1 << 10, 32, 2, 12_000
 ITEMS = WORD_BUCKETS + SHAPE_BUCKETS
@@ -162,10 +162,11 @@ def classify(docs: DataFrame, labels: DataFrame, keep: bool = False) -> DataFram
     vectors = word_vectors(docs)
     model = fit(docs, labels, vectors)
     names = docs.columns
+    kept, text = with_text(docs) if keep else (docs.withColumn("__text", F.col("text").cast("string")), "__text")
 
     def run(batches):
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
+            at = batch.schema.get_field_index(text)
             parts = [model.score(pooled(data, off, vectors)) if model else np.full(hi - lo, 0.5) for lo, hi, data, off in pieces(*utf8(batch.column(at)))]
             score = np.concatenate(parts).astype(np.float64) if parts else np.zeros(0)
             if keep:
@@ -174,7 +175,6 @@ def classify(docs: DataFrame, labels: DataFrame, keep: bool = False) -> DataFram
                 own = [n for n in batch.schema.names if n != "__text"]
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in own), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*own, "score", "predicted"])
 
-    kept = docs.withColumn("__text", F.col("text").cast("string"))
     if keep:
         return kept.mapInArrow(lean(run), docs.schema)
     kept = kept.select("doc_id", fold_of("doc_id", 3).alias("__fold"), "__text").withColumn("held_out", F.col("__fold") == 1).drop("__fold")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LETTER_WORDS, Words, labelled_sample, lean, mix, pieces, table, utf8
+from .common import LETTER_WORDS, Words, labelled_sample, lean, mix, pieces, table, utf8, with_text
 
 SAMPLE, FEATURES, GRADES, LEAST_Z = 12_000, 512, 3, 5.0
 BEGINNINGS = range(3, 9)
@@ -124,11 +124,12 @@ def grade(docs: DataFrame, labels: DataFrame, keep: bool = False) -> DataFrame:
     """doc_id, p_toxic, severity, grade, toxic; with keep the rows of docs that aren't toxic, in its columns."""
     model = fit(docs, labels)
     names = docs.columns
+    kept, text = with_text(docs) if keep else (docs.withColumn("__text", F.col("text").cast("string")), "__text")
 
     def run(batches):
         for batch in batches:
             parts = []
-            for lo, hi, data, off in pieces(*utf8(batch.column(batch.schema.get_field_index("__text")))):
+            for lo, hi, data, off in pieces(*utf8(batch.column(batch.schema.get_field_index(text)))):
                 if model is None:
                     parts.append(np.zeros((hi - lo, GRADES)))
                     continue
@@ -143,7 +144,6 @@ def grade(docs: DataFrame, labels: DataFrame, keep: bool = False) -> DataFrame:
                 exactly = -np.diff(np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], axis=1), axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(above[:, 0]), pa.array(above.sum(axis=1)), pa.array(exactly.argmax(axis=1).astype(np.int32)), pa.array(toxic)], ["doc_id", "p_toxic", "severity", "grade", "toxic"])
 
-    kept = docs.withColumn("__text", F.col("text").cast("string"))
     if keep:
         return kept.mapInArrow(lean(run), docs.schema)
     return kept.select("doc_id", "__text").mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)['doc_id']}, p_toxic double, severity double, grade int, toxic boolean")
