@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusjobs.functions import tagset, text
-from corpusjobs.operators import association, evaluation, lexicon, treebank
-from corpusjobs.plans.derive import PARALLEL_SQL, TOKENS_SQL, parallel, table, tokens
+from corpusjobs.operators import association, edit_trees, evaluation, lexicon, treebank
+from corpusjobs.operators import pieces as word_pieces
+from corpusjobs.plans.derive import PARALLEL_SQL, TOKENS_SQL, parallel, pieces, table, tokens
 from corpusjobs.sources.readers import conllu_lines
 
 _QUERIES: dict[str, Callable] = {}
@@ -61,15 +62,26 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return association.best(own.select("src", "tgt", "n", places(F.col("pmi")).alias("pmi")), "pmi", 3)
 
 
-@query(TOKENS_SQL + """, f as (select lemma, count(*) as f from d_tokens group by lemma), b as (select lemma as a, lead(lemma) over (partition by sent_id order by tok_idx) as b from d_tokens),
+_PHRASES_SQL = TOKENS_SQL + """, f as (select lemma, count(*) as f from d_tokens group by lemma), b as (select lemma as a, lead(lemma) over (partition by sent_id order by tok_idx) as b from d_tokens),
 p as (select a, b, count(*) as n from b where b is not null group by a, b having count(*) >= 5), t as (select count(*) as total from d_tokens),
 q as (select a, b, n, ln((n / total) / ((x.f / total) * (y.f / total))) / -ln(n / total) as npmi from p join f x on x.lemma = a join f y on y.lemma = b, t)
-select a, b, n, round(npmi, 6) as npmi from q where round(npmi, 6) >= 0.2""")
+"""
+
+
+@query(_PHRASES_SQL + "select a, b, n, round(npmi, 6) as npmi from q where round(npmi, 6) >= 0.2")
 def mine_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = association.phrases(tokens(spark, sf_dir), least=0.19)
     return own.withColumn("npmi", places(F.col("npmi"))).filter("npmi >= 0.2")
 
 
+@query(_PHRASES_SQL + """, ph as (select a, b from q where round(npmi, 6) >= 0.2), pair as (select sent_id, tok_idx, lemma as a, lead(lemma) over (partition by sent_id order by tok_idx) as b from d_tokens),
+hit as (select sent_id, tok_idx, a, b, tok_idx - row_number() over (partition by sent_id order by tok_idx) as run from pair join ph using (a, b)), r as (select *, row_number() over (partition by sent_id, run order by tok_idx) as rn from hit)
+select sent_id, tok_idx, a || '_' || b as phrase from r where rn % 2 = 1""")
+def apply_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mined phrases, joined in the sentences they come from."""
+    return word_pieces.join_phrases(tokens(spark, sf_dir), mine_phrases(spark, sf_dir))
+
+
 # Text and tags
 
 
@@ -169,6 +181,53 @@ def reduced_ppmi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treebank.ppmi(kept, words, contexts).withColumn("ppmi", places(F.col("ppmi")))
 
 
+@query(TOKENS_SQL.replace("with ", "with recursive ", 1) + """, c as (select sent_id, tok_idx, head_id as t from d_tokens union all select c.sent_id, c.tok_idx, h.head_id from c join d_tokens h on h.sent_id = c.sent_id and h.tok_idx = c.t where h.relation = 'CO'),
+e as (select c.sent_id, c.tok_idx, h.tok_idx as first_conjunct, h.head_id as up from c join d_tokens h on h.sent_id = c.sent_id and h.tok_idx = c.t where h.relation <> 'CO')
+select d.sent_id, d.tok_idx, first_conjunct, nullif(up, 0) as coordination_head from d_tokens d left join e using (sent_id, tok_idx)""")
+def conjunct_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_pieces.conjunct_heads(tokens(spark, sf_dir))
+
+
+# Word pieces
+
+
+@query(TOKENS_SQL + """, z as (select sent_id, tok_idx, upos, (n + 3) // 4 as most, unnest(range((n + 3) // 4)) as j from d_tokens),
+w as (select sent_id, row_number() over (partition by sent_id order by tok_idx, j) as piece_idx, tok_idx - 1 as word_no, j = 0 as first_piece, j = most - 1 as last_piece,
+case when j < most - 1 or upos = 'PUNCT' then -100 when upos = 'noun' then 1 when upos = 'verb' then 2 else 0 end as label_id from z)
+select * from w union all select sent_id, unnest([0, max(piece_idx) + 1]), null, false, false, -100 from w group by sent_id""")
+def piece_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of words on their last pieces; two labels are known, one is ignored."""
+    labels = tokens(spark, sf_dir).select("sent_id", (F.col("tok_idx") - 1).alias("word_no"), F.col("upos").alias("label"))
+    own = word_pieces.label(word_pieces.mark(pieces(spark, sf_dir)), labels, {"noun": 1, "verb": 2}, ignored="PUNCT")
+    return own.select("sent_id", "piece_idx", "word_no", "first_piece", "last_piece", "label_id")
+
+
+# Edit trees
+
+
+@query()
+def edit_tree_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees from forms to lemmas with the number of different pairs that have them, five at least."""
+    return edit_trees.frequent(edit_trees.trees(tokens(spark, sf_dir))).select("tree", "pairs")
+
+
+@query()
+def edit_tree_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate lemmas of all forms under the frequent trees, with the frequency of the forms."""
+    own = edit_trees.trees(tokens(spark, sf_dir))
+    return edit_trees.candidates(own.groupBy("form").agg(F.sum("n").alias("n")), edit_trees.frequent(own))
+
+
+@query()
+def edit_tree_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lemmas of the forms that only odd documents have, by the trees and lemmas of the even ones."""
+    own = tokens(spark, sf_dir)
+    even = own.filter("doc_id % 2 = 0")
+    built = edit_trees.trees(even)
+    forms = lexicon.unknown(own.filter("doc_id % 2 = 1").select("form").distinct(), built.select("form"), ["form"])
+    return edit_trees.unknown_lemmas(forms, edit_trees.frequent(built), built.groupBy("lemma").agg(F.sum("n").alias("n")))
+
+
 # Lexicons
 
 

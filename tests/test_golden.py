@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from corpusjobs.functions import tagset, text
-from corpusjobs.operators import association, evaluation, treebank
+from corpusjobs.operators import association, edit_trees, evaluation, pieces, treebank
 from corpusjobs.sources import readers
 
 
@@ -74,3 +74,38 @@ def test_conllu_round_trip(spark, tmp_path):
     readers.write_conllu(own, str(tmp_path / "c"))
     back = readers.read_conll(spark, str(tmp_path / "c")).orderBy("sent_id", "tok_idx").collect()
     assert [(r.form, r.lemma, r.upos, r.feats) for r in back] == [(f, le, u, m) for _, _, f, le, u, m in rows]
+
+
+def test_edit_trees(spark):
+    pairs = [("ἔδοξεν", "δοκέω"), ("λύεις", "λύω"), ("ἄγεις", "ἄγω"), ("$a1b", "1b$"), ("x", "y"), ("dog", "dog"), ("abcxdef", "abcydef")]
+    own = spark.createDataFrame(pairs, "form string, lemma string")
+    built = edit_trees.trees(own)
+    tree = {r.form: r.tree for r in built.collect()}
+    assert tree["ἔδοξεν"] == "(1r(ἔ, )  3r(ξεν, κέω))" and tree["dog"] == "()" and tree["x"] == "r(x, y)" and tree["λύεις"] == tree["ἄγεις"]
+    rules = edit_trees.frequent(built, 1)
+    found = {(r.form, r.tree): r.lemma for r in edit_trees.apply(own.select("form"), rules).collect()}
+    assert all(found[f, tree[f]] == le for f, le in pairs)
+    assert ("λύεις", tree["ἔδοξεν"]) not in found
+    new = spark.createDataFrame([("γράφεις",), ("εις",)], "form string")
+    known = spark.createDataFrame([("γράφω", 2), ("γράφεις", 1), ("ω", 9)], "lemma string, n long")
+    assert [tuple(r) for r in edit_trees.unknown_lemmas(new, rules, known).collect()] == [("γράφεις", "γράφω")]
+
+
+def test_pieces_and_labels(spark):
+    rows = [(1, i, w) for i, w in enumerate([None, 0, 1, 2, 2, None])]
+    marked = pieces.mark(spark.createDataFrame(rows, "sent_id long, piece_idx long, word_idx long"))
+    labels = spark.createDataFrame([(1, 0, "a"), (1, 1, "p"), (1, 2, "new")], "sent_id long, word_no long, label string")
+    got = pieces.label(marked, labels, {"a": 1}, ignored="p").orderBy("piece_idx").collect()
+    assert [r.word_no for r in got] == [None, 0, 1, 2, 2, None]
+    assert [r.last_piece for r in got] == [False, True, True, False, True, False]
+    assert [r.first_piece for r in got] == [False, True, True, True, False, False]
+    assert [r.label_id for r in got] == [-100, 1, -100, -100, 0, -100]
+
+
+def test_phrases_and_conjuncts(spark):
+    own = spark.createDataFrame([(1, i, x) for i, x in enumerate("abab", 1)] + [(2, 1, "b"), (2, 2, "a")], "sent_id long, tok_idx long, lemma string")
+    phrases = spark.createDataFrame([("a", "b"), ("b", "a")], "a string, b string")
+    assert sorted(tuple(r) for r in pieces.join_phrases(own, phrases).collect()) == [(1, 1, "a_b"), (1, 3, "a_b"), (2, 1, "b_a")]
+    tree = spark.createDataFrame([(1, 0, "PRED"), (2, 1, "OBJ"), (3, 2, "CO"), (4, 3, "CO"), (5, 4, "ATR")], "tok_idx long, head_id long, relation string").selectExpr("1L as sent_id", "*")
+    got = {r.tok_idx: (r.first_conjunct, r.coordination_head) for r in pieces.conjunct_heads(tree).collect()}
+    assert got == {1: (None, None), 2: (1, None), 3: (2, 1), 4: (2, 1), 5: (2, 1)}
