@@ -2,11 +2,11 @@
 
 1. quality (operator 10): documents predicted bad go.
 2. toxicity (operator 1): documents with P(grade > 0) of at least a half go.
-3. near_duplicates (operator 8): five-word shingles, similarity 0.8; the smallest doc_id of each component stays.
+3. near_duplicates (operator 8): five-word shingles, similarity 0.8; the row with the smallest doc_id of each component stays.
 4. decontamination (operator 2): contaminated documents go, others stay as they are.
 5. packing (operator 4): what is left, packed into sequences.
 
-A null doc_id passes stages 1, 2 and 4 by its text, and 3 unchecked; an empty table gives no rows.
+Rows with a null doc_id or one that others share are decided by their texts; an empty table gives no rows.
 """
 
 from __future__ import annotations

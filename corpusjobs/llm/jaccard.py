@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import SPACE_WORDS, Words, lean, mix, pieces, table, table_of, utf8
+from .common import SPACE_WORDS, Words, lean, mix, pieces, table, table_of, utf8, with_text
 from .components import components
 
 BLOCK, BLOCK_SHINGLES, SCAN = 800, 1 << 20, 6
@@ -239,15 +240,27 @@ def links(docs: DataFrame, sets: DataFrame, rule: Rule, block: int = BLOCK, bloc
     placed = met.join(total, "pivot").withColumn("b", F.pmod(F.xxhash64("node", "pivot"), F.col("blocks")).cast("int"))
     needed = placed.groupBy("node", "doc_id").agg(F.collect_list(F.struct("pivot", "b", "blocks")).alias("places"))
 
+    def named(batches):
+        seen: set[tuple] = set()  # rows that repeat an id and a class are sent once by a task
+        for batch in batches:
+            node, new = [], []
+            for _, _, data, off in pieces(*utf8(batch.column(1))):
+                node += [class_of(own) for own in sets_of(data, off, rule)]
+            for row in zip(batch.column(0).to_pylist(), node):
+                new.append(row not in seen)
+                seen.add(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), batch.column(1)], ["doc_id", "node", "text"]).filter(pa.array(new, pa.bool_()))
+
     def run(batches):
         for batch in batches:
-            sets, nodes = [], batch.column(0)
+            sets = []
             for _, _, data, off in pieces(*utf8(batch.column(1))):
                 sets += sets_of(data, off, rule)
-            right = [class_of(s) == node for s, node in zip(sets, nodes.to_pylist())]
-            yield pa.RecordBatch.from_arrays([nodes, batch.column(2), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "places", "members"]).filter(pa.array(right, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "places", "members"])
 
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(needed, "doc_id").select("node", "text", "places")
+    own = F.struct("doc_id", "node").alias("own")  # equal where both ids are null, too
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(named), f"doc_id {dict(docs.dtypes)['doc_id']}, node long, text string")
+    texts = texts.select(own, "text").join(needed.select(own, "places"), "own").select("own.node", "text", "places")
     members = texts.mapInArrow(lean(run), "node long, places array<struct<pivot: bigint, b: int, blocks: int>>, members binary")
     pairs = members.select("node", "members", F.explode("places").alias("p")).select("node", "members", "p.*").withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
     pairs = pairs.select("pivot", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "members")
@@ -273,13 +286,17 @@ def links(docs: DataFrame, sets: DataFrame, rule: Rule, block: int = BLOCK, bloc
     return dealt.mapInArrow(lean(verify), "u long, v long")
 
 
-def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    rule = Rule(k, num, den)
+def rooted_classes(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """The classes of the documents; and node, least (its smallest doc_id), root of each class with words."""
     sets = table_of(classes(docs, rule), "sets")
     roots = components(links(docs, sets, rule))
     by_class = sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    rooted = by_class.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    return sets, by_class.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+
+
+def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    sets, rooted = rooted_classes(docs, Rule(k, num, den))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     told = rooted.join(least, "root").select("node", "component_id")
     with_words = sets.filter("n > 0").join(told, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -287,13 +304,28 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each component, that with the smallest doc_id, in the columns of docs.
+    """One row of each component, that with the smallest doc_id and class, in the columns of docs.
 
-    Of rows that repeat a doc_id one stays; all rows with a null doc_id stay.
+    Null ids come after all others. Of rows that share the id and the class, the one with the least hash of its text
+    stays; rows without words are copies only of those with the same id.
     """
-    kept = join(docs, k, num, den).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
-    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    rule = Rule(k, num, den)
+    sets, rooted = rooted_classes(docs, rule)
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("doc_id"), "node")).alias("first"))
+    kept = first.select("first.doc_id", "first.node").unionByName(sets.filter("n = 0").select("doc_id", "node").distinct())
+    rows, text = with_text(docs)
+    at = rows.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            node = []
+            for _, _, data, off in pieces(*utf8(batch.column(at))):
+                node += [class_of(own) for own in sets_of(data, off, rule)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.int64())], [*batch.schema.names, "__node"])
+
+    named = rows.mapInArrow(lean(run), StructType([*rows.schema.fields, StructField("__node", LongType())]))
+    one = named.groupBy(F.struct("doc_id", F.col("__node").alias("node")).alias("own")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(text)).alias("row"))
+    return one.join(kept.select(F.struct("doc_id", "node").alias("own")), "own", "left_semi").select("row.*")
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,6 +78,16 @@ def test_jaccard(spark, odd, k, num, den):
     assert sorted((r.doc_id for r in jaccard.keep_one(odd).collect() if r.doc_id), key=int) == [1, 3, 4, 5, 6, 8]
 
 
+def test_keep_one_decides_by_row(spark):
+    said = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    rows = [(3, said(0, 50)), (5, said(0, 50)), (5, "other"), *((7, f"hot {i}") for i in range(40)), (None, "null"), (None, "null"), (None, "more"), (None, ""), (None, "")]
+    rows += [(11, said(100, 200)), (None, said(110, 210)), (12, said(120, 220))]  # 11 and 12 are joined by the row between
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in jaccard.keep_one(docs).collect())
+    assert got == Counter({(3, rows[0][1]): 1, (5, "other"): 1, **{(7, f"hot {i}"): 1 for i in range(40)}, (None, "null"): 1, (None, "more"): 1, (None, ""): 1, (11, said(100, 200)): 1})
+    assert {r.component_id for r in jaccard.join(docs, 5, 80, 100).collect() if r.doc_id in (11, 12)} == {11}
+
+
 def test_light_sets(spark):
     words = [f"w{i}" for i in range(40)]
     texts = [" ".join(words[:n]) for n in range(1, 40)] + [" ".join(words[1:n]) for n in range(5, 40)]
