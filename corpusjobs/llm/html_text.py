@@ -7,6 +7,10 @@ surge is the first line of a window whose sum reaches `surge` after a quiet stre
 falls to nothing. The lines between are kept, short ones too. If no window reaches the surge, the stretch with
 the largest sum is kept.
 
+A script, style, noscript, textarea, title or iframe ends at its own end tag, whatever stands in it; other elements
+without readable text (buttons, drawings) end with their parent at the latest, at an article, and, where none of
+their end tags follows, at the next block.
+
 Defined cases: a null or empty html gives an empty text; tags that stay open or are cut off at the end of the
 page close there; repeated rows are repeated; a null page_id or url is kept; an empty table gives no rows.
 """
@@ -26,7 +30,8 @@ from .common import lean, table
 WINDOW, SURGE = 3, 60
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select button canvas audio video".split())
+RAW = {n: re.compile(rf"</{n}(?=[\s/>]|$)[^>]*>?", re.I) for n in "script style noscript textarea title iframe".split()}
+SKIPPED = frozenset("noscript template svg math object select button canvas audio video".split())
 NOISE_TAGS = frozenset("nav footer aside form menu dialog head".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form".split())
 NOISE_NAMES = re.compile(
@@ -61,34 +66,64 @@ def lines_of(page: str) -> Iterator[tuple[str, int, bool, bool]]:
     stack: list[tuple[str, bool, bool]] = []  # name, noise, article
     text: list[str] = []
     noise = inside = links = linked = 0
-    skip_to = ""
+    muted, at = -1, 0  # place in the stack of the outermost skipped element; place in the page
+    last: dict[str, int] = {}  # where the last end tag of a skipped element stands
 
     def line():
         said = " ".join(entities.unescape("".join(text)).split())
         text.clear()
         return (said, linked, noise > 0, inside > 0) if said else None
 
-    for token in (m[0] for m in _TOKEN.finditer(page)):
-        if skip_to:
-            if token[:2] == "</" and (m := _NAME.match(token)) and m[1].lower() == skip_to:
-                skip_to = ""
-            continue
+    while at < len(page):
+        token = _TOKEN.match(page, at)[0]
+        at += len(token)
         if token[0] != "<" or token == "<":
-            text.append(token)
-            linked += len(token) if links else 0
+            if muted < 0:
+                text.append(token)
+                linked += len(token) if links else 0
             continue
         m = _NAME.match(token)
         if not m:
-            if token.startswith("<![CDATA["):
-                continue
             continue
         name, closing = m[1].lower(), token[1] == "/"
         if name in RAW and not closing:
-            skip_to = "" if token.endswith("/>") else name
-            if name == "title":
+            if name == "title" and muted < 0:
                 if found := line():
                     yield found
                 linked = 0
+            if token.endswith("/>"):
+                continue
+            end = RAW[name].search(page, at) if last.get(name, at) >= at else None
+            if end or name != "noscript":  # what is never closed ends with the page
+                at = end.end() if end else len(page)
+                continue
+            last[name] = -1
+        if muted >= 0:
+            if closing:
+                k = max((i for i, e in enumerate(stack) if e[0] == name), default=-1)
+                if k >= muted:
+                    gone, stack[k:] = stack[k:], []
+                    noise, inside, links = noise - sum(e[1] for e in gone), inside - sum(e[2] for e in gone), links - sum(e[0] == "a" for e in gone)
+                    muted = -1 if k == muted else muted
+                    continue
+                if k < 0:
+                    continue
+                muted = -1  # its parent ends
+            elif name in ("article", "main") or name in BLOCKS and last[stack[muted][0]] < at:  # it was left open
+                gone, stack[muted:] = stack[muted:], []
+                noise, inside, links = noise - sum(e[1] for e in gone), inside - sum(e[2] for e in gone), links - sum(e[0] == "a" for e in gone)
+                muted = -1
+            else:
+                if name not in VOID and not token.endswith("/>"):
+                    stack.append((name, False, False))
+                    links += name == "a"
+                continue
+        if name in SKIPPED and not closing:
+            if not token.endswith("/>"):
+                if name not in last:
+                    last[name] = max((m.start() for m in re.finditer("</" + name, page, re.I)), default=-1)
+                muted = len(stack)
+                stack.append((name, False, False))
             continue
         if name == "br":
             text.append(" ")

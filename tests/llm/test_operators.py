@@ -210,6 +210,15 @@ def test_html(spark):
     assert html_text.extract(empty(rows)).count() == 0
 
 
+def test_html_raw_text():
+    said = "word " * 40
+    for odd in ("<script>for(i=0;i<n;i++){f('a')}</script>", "<script>a<!--b</script>", "<SCRIPT>x='</p>'</Script >", "<style>a<b{}</style>", "<div><button>x</div>", "<div><svg><g></div>", "<p><select><option>x</p>", "<button>x", "<noscript>x", "<template>x", "<button>x</div><div>", "<div><object><b>x</object></div>"):
+        assert html_text.main_text(f"<body>{odd}<article><p>{said}</p></article><p>x</button>") == said.strip(), odd
+        assert said.strip() in html_text.main_text(f"<body>{odd}<div>{said}</div>"), odd
+    assert html_text.main_text("<p>One <select><option>x<option>y</select> two <svg><title>z</title><path/></svg>three") == "One two three"
+    assert html_text.main_text("<p>One</p><script>two<p>three</p>") == "One"
+
+
 def test_chat(spark):
     log = [(1, 1, 1, "delta", "user", "hi"), (1, 2, 2, "delta", "assistant", "a"), (1, 3, 2, "delta", "assistant", "b"), (1, 4, 2, "regenerate", "assistant", "c"), (1, 5, 2, "delta", "assistant", "<d>"), (1, 6, 1, "edit", "user", "#\\h"), (1, 7, 3, "delta", "user", "x"), (1, 8, 3, "delete", "user", None), (2, 1, 1, "delta", None, None)]
     events = spark.createDataFrame(log, "conv_id long, seq long, msg long, kind string, role string, text string")
