@@ -1,7 +1,8 @@
 """Operator 6: main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one per block element. Lines of menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and comments have no text length; where a page marks its article, neither have
+Markup is stripped to lines, one per block element. Lines of menus, headers, footers, sidebars, scripts
+and styles have no text length, nor have those of forms, comments, hidden elements and elements named like notices or
+adverts unless these hold the article or most of the page's text; where a page marks its article, neither have
 the lines outside it. Text lengths (without link text) are summed over sliding windows of `window` lines. A
 surge is the first line of a window whose sum reaches `surge` after a quiet stretch; the dive is where the sum
 falls to nothing. The lines between are kept, short ones too. If no window reaches the surge, the stretch with
@@ -19,7 +20,9 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +35,7 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {n: re.compile(rf"</{n}(?=[\s/>]|$)[^>]*>?", re.I) for n in "script style noscript textarea title iframe".split()}
 SKIPPED = frozenset("noscript template svg math object select button canvas audio video".split())
-NOISE_TAGS = frozenset("nav footer aside form menu dialog head".split())
+NOISE_TAGS = frozenset("nav footer aside menu dialog head".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form".split())
 NOISE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar|side-bar|rail|widget\w*|"
@@ -45,34 +48,108 @@ _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 
 
-def _is_noise(name: str, tag: str, inside: bool) -> bool:
+ASIDE_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|respond)(?:$|[\s_-])", re.I)
+_HEADER = re.compile(r"(?<![^\s_-])header(?![^\s_-])", re.I)
+NOISE, SUSPECT, ASIDE = 1, 2, 3
+
+
+def _kind(name: str, tag: str, inside: bool) -> int:
+    """NOISE, or what has to be judged by its lines: SUSPECT by its name, ASIDE by one of comments or as hidden."""
     if name in NOISE_TAGS or name == "header" and not inside:
-        return True
+        return NOISE
+    kind = SUSPECT if name == "form" else 0
     at = tag.find(" ")
-    if at < 0 or name in ("html", "body", "article", "main") and "comment" not in tag:
-        return False
+    if at < 0 or name in ("html", "body") or name in ("article", "main") and "comment" not in tag:
+        return kind
     for key, a, b, c in _ATTR.findall(tag[at:]):
         value = a or b or c
         key = key.lower()
+        if inside and key in ("class", "id"):
+            value = _HEADER.sub(" ", value)  # an article's own header is none of the page
         if key in ("class", "id") and NOISE_NAMES.search(value) or key == "role" and value.lower() in NOISE_ROLES:
-            return True
+            kind = max(kind, ASIDE if ASIDE_NAMES.search(value) else SUSPECT)
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+            return ASIDE
+    return kind
+
+
+class Line(NamedTuple):
+    text: str
+    linked: int  # characters of it in links
+    noise: bool  # whether it lies in an element that is always noise
+    inside: bool  # whether it lies in an article
+    head: bool  # whether it is a first headline
+    suspects: tuple[tuple[int, int, bool], ...]  # elements to be judged around it: number, kind, whether it lies in an article in them
+
+    @property
+    def size(self) -> int:
+        return max(0, len(self.text) - self.linked)
+
 
+def judged(lines: list[Line]) -> list[bool]:
+    """Whether each line is noise.
 
-def lines_of(page: str) -> Iterator[tuple[str, int, bool, bool]]:
-    """Lines of a page: text, characters of it in links, whether it is noise, whether it lies in the article."""
-    stack: list[tuple[str, bool, bool]] = []  # name, noise, article
+    Suspect elements are judged by their text (without links), those with most first. One is no noise where it holds
+    the article (in it at least half as much text as stands clear, which is outside of all suspects but those found to
+    be none) or its first headline; or, while no article stands clear, most of the page's text, one of comments or a
+    hidden one four times the clear text. If that leaves no text, only elements that always are noise count.
+    """
+    total, text, article, headed, kinds, at = 0, Counter(), Counter(), set(), {}, {}
+    for i, x in enumerate(lines):
+        if x.noise:
+            continue
+        total += x.size
+        for number, kind, holds in x.suspects:
+            kinds[number] = kind
+            at.setdefault(number, []).append(i)
+            text[number] += x.size
+            article[number] += x.size if holds else 0
+            if x.head and x.inside:
+                headed.add(number)
+    open_in = [len(x.suspects) for x in lines]
+    clear = sum(x.size for x in lines if not x.noise and not x.suspects)
+    marked = any(x.size and x.inside for x in lines if not x.noise and not x.suspects)
+    bad = set()
+    for number in sorted(kinds, key=lambda k: (-text[k], k)):
+        holds = article[number] and 2 * article[number] >= clear or number in headed
+        most = not marked and (text[number] > 4 * clear if kinds[number] == ASIDE else 2 * text[number] > total)
+        if not (holds or most and text[number]):
+            bad.add(number)
+            continue
+        for i in at[number]:
+            open_in[i] -= 1
+            if not open_in[i]:
+                clear += lines[i].size
+                marked = marked or lines[i].size > 0 and lines[i].inside
+    noise = [x.noise or any(s[0] in bad for s in x.suspects) for x in lines]
+    if not any(x.size and not n for x, n in zip(lines, noise)):
+        noise = [x.noise for x in lines]
+    return noise
+
+
+def lines_of(page: str) -> Iterator[Line]:
+    stack: list[tuple[str, int, bool, int]] = []  # name, kind, article, number
     text: list[str] = []
-    noise = inside = links = linked = 0
+    links = linked = number = 0
     muted, at = -1, 0  # place in the stack of the outermost skipped element; place in the page
     last: dict[str, int] = {}  # where the last end tag of a skipped element stands
 
     def line():
         said = " ".join(entities.unescape("".join(text)).split())
         text.clear()
-        return (said, linked, noise > 0, inside > 0) if said else None
+        if not said:
+            return None
+        own, holds = [], False
+        for name, kind, main, k in reversed(stack):
+            holds = holds or main and kind != ASIDE
+            if kind > NOISE:
+                own.append((k, kind, holds))
+        return Line(said, min(len(said), linked), any(e[1] == NOISE for e in stack), any(e[2] for e in stack), any(e[0] == "h1" for e in stack), tuple(own))
+
+    def drop(k):
+        nonlocal links
+        links -= sum(e[0] == "a" for e in stack[k:])
+        del stack[k:]
 
     while at < len(page):
         token = _TOKEN.match(page, at)[0]
@@ -102,20 +179,18 @@ def lines_of(page: str) -> Iterator[tuple[str, int, bool, bool]]:
             if closing:
                 k = max((i for i, e in enumerate(stack) if e[0] == name), default=-1)
                 if k >= muted:
-                    gone, stack[k:] = stack[k:], []
-                    noise, inside, links = noise - sum(e[1] for e in gone), inside - sum(e[2] for e in gone), links - sum(e[0] == "a" for e in gone)
+                    drop(k)
                     muted = -1 if k == muted else muted
                     continue
                 if k < 0:
                     continue
                 muted = -1  # its parent ends
             elif name in ("article", "main") or name in BLOCKS and last[stack[muted][0]] < at:  # it was left open
-                gone, stack[muted:] = stack[muted:], []
-                noise, inside, links = noise - sum(e[1] for e in gone), inside - sum(e[2] for e in gone), links - sum(e[0] == "a" for e in gone)
+                drop(muted)
                 muted = -1
             else:
                 if name not in VOID and not token.endswith("/>"):
-                    stack.append((name, False, False))
+                    stack.append((name, 0, False, 0))
                     links += name == "a"
                 continue
         if name in SKIPPED and not closing:
@@ -123,7 +198,7 @@ def lines_of(page: str) -> Iterator[tuple[str, int, bool, bool]]:
                 if name not in last:
                     last[name] = max((m.start() for m in re.finditer("</" + name, page, re.I)), default=-1)
                 muted = len(stack)
-                stack.append((name, False, False))
+                stack.append((name, 0, False, 0))
             continue
         if name == "br":
             text.append(" ")
@@ -133,35 +208,31 @@ def lines_of(page: str) -> Iterator[tuple[str, int, bool, bool]]:
                 yield found
             linked = 0
         if closing:
-            if any(s[0] == name for s in stack):
-                while True:
-                    gone = stack.pop()
-                    noise, inside, links = noise - gone[1], inside - gone[2], links - (gone[0] == "a")
-                    if gone[0] == name:
-                        break
+            k = max((i for i, e in enumerate(stack) if e[0] == name), default=-1)
+            if k >= 0:
+                drop(k)
             continue
         if name in VOID or token.endswith("/>"):
             continue
-        if name in ("article", "main") and noise and not any(s[1] and s[0] in ("aside", "section", "div", "ol", "ul", "li", "article", "form", "dialog") for s in stack):
-            while noise:  # an article doesn't stand in a menu: that was left open
-                gone = stack.pop()
-                noise, inside, links = noise - gone[1], inside - gone[2], links - (gone[0] == "a")
+        if name in ("article", "main"):
+            k = next((i for i, e in enumerate(stack) if e[1] == NOISE), -1)
+            if k >= 0 and not any(e[1] == NOISE and e[0] in ("aside", "section", "div", "ol", "ul", "li", "article", "dialog") for e in stack):
+                drop(k)  # an article doesn't stand in a menu: that was left open
         if name in BLOCKS and stack and stack[-1][0] == "p":
-            gone = stack.pop()
-            noise, inside = noise - gone[1], inside - gone[2]
-        main = name in ("article", "main") or 'role="main"' in token
-        bad = _is_noise(name, token, inside > 0)
-        stack.append((name, bad, main))
-        noise, inside, links = noise + bad, inside + main, links + (name == "a")
+            drop(len(stack) - 1)
+        main, number = name in ("article", "main") or 'role="main"' in token, number + 1
+        stack.append((name, _kind(name, token, any(e[2] for e in stack)), main, number))
+        links += name == "a"
     if found := line():
         yield found
 
 
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     lines = list(lines_of(page))
-    marked = any(inside and not noise for _, _, noise, inside in lines)
-    use = [not noise and (inside or not marked) for _, _, noise, inside in lines]
-    sizes = [(len(t) - (0 if marked else min(len(t), linked))) if u else 0 for (t, linked, _, _), u in zip(lines, use)]
+    noise = judged(lines)
+    marked = any(x.inside and not n for x, n in zip(lines, noise))
+    use = [not n and (x.inside or not marked) for x, n in zip(lines, noise)]
+    sizes = [(len(x.text) - (0 if marked else x.linked)) if u else 0 for x, u in zip(lines, use)]
     reach = 1 if marked else surge
     block = [sum(sizes[i : i + window]) for i in range(len(sizes))]
     stretches, at = [], 0
@@ -175,7 +246,7 @@ def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
         stretches.append((max(block[at:end]), at, end))
         at = end
     kept = [s for s in stretches if s[0] >= reach] or ([max(stretches, key=lambda s: (s[0], -s[1]))] if stretches else [])
-    return "\n".join(lines[i][0] for _, a, b in kept for i in range(a, b) if use[i])
+    return "\n".join(lines[i].text for _, a, b in kept for i in range(a, b) if use[i])
 
 
 def extract(pages: DataFrame, window: int = WINDOW, surge: int = SURGE) -> DataFrame:

@@ -219,6 +219,18 @@ def test_html_raw_text():
     assert html_text.main_text("<p>One</p><script>two<p>three</p>") == "One"
 
 
+def test_html_noisy_names():
+    said, more = "word " * 40, "more " * 30
+    for tag in ("div class='has-sidebar'", "div class=no-sidebar", "div class='with-banner'", "div class='page-header-fixed header'", "form id=aspnetForm", "section id=widget-area", "div role=form"):
+        name, junk = tag.split()[0], f"<div class=sidebar>{more}</div><div class=related><article><p>teaser</article></div>"
+        for body in (f"<article><p>{said}</article>", f"<div><p>{said}</div>"):
+            assert html_text.main_text(f"<body><{tag}>{body}{junk}</{name}>") == said.strip(), (tag, body)
+    assert html_text.main_text(f"<article><div class='entry-header'><h1>Head</h1></div><div class=share>Share</div><p>{said}<form>Mail</form></article>") == f"Head\n{said.strip()}"
+    assert html_text.main_text(f"<body class=comments-open><article><p>{said}</article><div id=comments><article class=comment>{more * 9}</article></div>") == said.strip()
+    assert html_text.main_text(f"<article><p>Short</article><div class=cookie-notice>{more}</div>") == "Short"
+    assert html_text.main_text(f"<div class=popup>{said}</div>") == said.strip()
+
+
 def test_chat(spark):
     log = [(1, 1, 1, "delta", "user", "hi"), (1, 2, 2, "delta", "assistant", "a"), (1, 3, 2, "delta", "assistant", "b"), (1, 4, 2, "regenerate", "assistant", "c"), (1, 5, 2, "delta", "assistant", "<d>"), (1, 6, 1, "edit", "user", "#\\h"), (1, 7, 3, "delta", "user", "x"), (1, 8, 3, "delete", "user", None), (2, 1, 1, "delta", None, None)]
     events = spark.createDataFrame(log, "conv_id long, seq long, msg long, kind string, role string, text string")
