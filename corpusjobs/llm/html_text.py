@@ -2,11 +2,12 @@
 
 Markup is stripped to lines, one per block element. Lines of menus, headers, footers, sidebars, scripts
 and styles have no text length, nor have those of forms, comments, hidden elements and elements named like notices or
-adverts unless these hold the article or most of the page's text; where a page marks its article, neither have
-the lines outside it. Text lengths (without link text) are summed over sliding windows of `window` lines. A
-surge is the first line of a window whose sum reaches `surge` after a quiet stretch; the dive is where the sum
-falls to nothing. The lines between are kept, short ones too. If no window reaches the surge, the stretch with
-the largest sum is kept.
+adverts unless these hold the article or most of the page's text. Text lengths of the other lines (without link
+text; in an article a quarter of it counts) are summed over sliding windows of `window` lines. A surge is the first
+line of a window whose sum reaches `surge` after a quiet stretch; the dive is where the sum falls to nothing or an
+article begins or ends. The lines between are kept, short ones too. If no window reaches the surge, the stretch with
+the largest sum is kept. Stretches are kept inside articles or outside, wherever the longest one is; text in an
+article weighs three times, in one with a first headline twelve times.
 
 A script, style, noscript, textarea, title or iframe ends at its own end tag, whatever stands in it; other elements
 without readable text (buttons, drawings) end with their parent at the latest, at an article, and, where none of
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import lean, table
 
 WINDOW, SURGE = 3, 60
+ARTICLE_WEIGHT, HEADED_WEIGHT, LINK_SHARE = 3, 12, 4  # of an article's text, of one with a first headline; what counts of its links
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {n: re.compile(rf"</{n}(?=[\s/>]|$)[^>]*>?", re.I) for n in "script style noscript textarea title iframe".split()}
@@ -45,6 +47,7 @@ NOISE_NAMES = re.compile(
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*(?:>|$)|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_BARE = re.compile(r"=\s*[^\s\"'>]*/>$")
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 
 
@@ -53,6 +56,11 @@ _HEADER = re.compile(r"(?<![^\s_-])header(?![^\s_-])", re.I)
 NOISE, SUSPECT, ASIDE = 1, 2, 3
 
 
+def _closed(tag: str) -> bool:
+    """Whether a tag closes itself; the slash of <a href=/> belongs to its value."""
+    return tag.endswith("/>") and not _BARE.search(tag)
+
+
 def _kind(name: str, tag: str, inside: bool) -> int:
     """NOISE, or what has to be judged by its lines: SUSPECT by its name, ASIDE by one of comments or as hidden."""
     if name in NOISE_TAGS or name == "header" and not inside:
@@ -189,12 +197,12 @@ def lines_of(page: str) -> Iterator[Line]:
                 drop(muted)
                 muted = -1
             else:
-                if name not in VOID and not token.endswith("/>"):
+                if name not in VOID and not _closed(token):
                     stack.append((name, 0, False, 0))
                     links += name == "a"
                 continue
         if name in SKIPPED and not closing:
-            if not token.endswith("/>"):
+            if not _closed(token):
                 if name not in last:
                     last[name] = max((m.start() for m in re.finditer("</" + name, page, re.I)), default=-1)
                 muted = len(stack)
@@ -212,7 +220,7 @@ def lines_of(page: str) -> Iterator[Line]:
             if k >= 0:
                 drop(k)
             continue
-        if name in VOID or token.endswith("/>"):
+        if name in VOID or _closed(token):
             continue
         if name in ("article", "main"):
             k = next((i for i, e in enumerate(stack) if e[1] == NOISE), -1)
@@ -229,24 +237,33 @@ def lines_of(page: str) -> Iterator[Line]:
 
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     lines = list(lines_of(page))
-    noise = judged(lines)
-    marked = any(x.inside and not n for x, n in zip(lines, noise))
-    use = [not n and (x.inside or not marked) for x, n in zip(lines, noise)]
-    sizes = [(len(x.text) - (0 if marked else x.linked)) if u else 0 for x, u in zip(lines, use)]
-    reach = 1 if marked else surge
-    block = [sum(sizes[i : i + window]) for i in range(len(sizes))]
-    stretches, at = [], 0
-    while at < len(block):
-        if not sizes[at]:
-            at += 1
-            continue
-        end = at
-        while end < len(block) and block[end]:  # up to the dive
-            end += 1
-        stretches.append((max(block[at:end]), at, end))
-        at = end
-    kept = [s for s in stretches if s[0] >= reach] or ([max(stretches, key=lambda s: (s[0], -s[1]))] if stretches else [])
-    return "\n".join(lines[i].text for _, a, b in kept for i in range(a, b) if use[i])
+    lines = [x for x, n in zip(lines, judged(lines)) if not n]
+    sizes = [x.size + (x.linked // LINK_SHARE if x.inside else 0) for x in lines]
+    stretches, lo = [], 0
+    while lo < len(lines):
+        hi = lo  # an article's edge ends a stretch
+        while hi < len(lines) and lines[hi].inside == lines[lo].inside:
+            hi += 1
+        block, at = [sum(sizes[i : min(i + window, hi)]) for i in range(lo, hi)], lo
+        while at < hi:
+            if not sizes[at]:
+                at += 1
+                continue
+            end = at
+            while end < hi and block[end - lo]:  # up to the dive
+                end += 1
+            stretches.append((max(block[at - lo : end - lo]), at, end))
+            at = end
+        lo = hi
+    weight = HEADED_WEIGHT if any(x.inside and x.head for x in lines) else ARTICLE_WEIGHT
+    most = {True: 0, False: 0}
+    for _, a, b in stretches:
+        inside = lines[a].inside
+        most[inside] = max(most[inside], (weight if inside else 1) * sum(x.size for x in lines[a:b]))
+    side = most[True] > 0 and most[True] >= most[False]
+    stretches = [s for s in stretches if lines[s[1]].inside == side]
+    kept = [s for s in stretches if s[0] >= surge] or ([max(stretches, key=lambda s: (s[0], -s[1]))] if stretches else [])
+    return "\n".join(lines[i].text for _, a, b in kept for i in range(a, b))
 
 
 def extract(pages: DataFrame, window: int = WINDOW, surge: int = SURGE) -> DataFrame:

@@ -231,6 +231,16 @@ def test_html_noisy_names():
     assert html_text.main_text(f"<div class=popup>{said}</div>") == said.strip()
 
 
+def test_html_windows():
+    said = "word " * 40
+    body = "".join(f"<p>{said}</p>" for _ in range(8))
+    cards = "".join(f"<article><h3><a href=/>Card {i}</a></h3><p>A teaser of some words</p></article>" for i in range(4))
+    assert html_text.main_text(f"<div>{body}</div><div>{cards}</div>") == "\n".join([said.strip()] * 8)
+    links = "".join(f"<p><a href=/>Link {i}</a></p>" for i in range(5))
+    assert html_text.main_text(f"<div>{links}</div><div>{said}</div><div>{links}</div>") == said.strip()
+    assert html_text.main_text(f"<p>{said}<article><h1><a href=/>Head</a></h1><p>{said}</p><p>End</article>") == f"Head\n{said.strip()}\nEnd"
+
+
 def test_chat(spark):
     log = [(1, 1, 1, "delta", "user", "hi"), (1, 2, 2, "delta", "assistant", "a"), (1, 3, 2, "delta", "assistant", "b"), (1, 4, 2, "regenerate", "assistant", "c"), (1, 5, 2, "delta", "assistant", "<d>"), (1, 6, 1, "edit", "user", "#\\h"), (1, 7, 3, "delta", "user", "x"), (1, 8, 3, "delete", "user", None), (2, 1, 1, "delta", None, None)]
     events = spark.createDataFrame(log, "conv_id long, seq long, msg long, kind string, role string, text string")
