@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusjobs.functions import tagset, text
-from corpusjobs.operators import association, edit_trees, evaluation, lexicon, treebank
+from corpusjobs.operators import association, edit_trees, evaluation, lexicon, neighbours, treebank
 from corpusjobs.operators import pieces as word_pieces
 from corpusjobs.plans.derive import PARALLEL_SQL, TOKENS_SQL, parallel, pieces, table, tokens
 from corpusjobs.sources.readers import conllu_lines
@@ -140,6 +140,16 @@ def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("form").agg(F.sum("pos").alias("places"), F.count("*").alias("n"))
 
 
+@query(TOKENS_SQL + """, d_near as (select sent_id, tok_idx, count(*) over (partition by sent_id) as n, array_to_string(list(form) over (partition by sent_id order by tok_idx rows between 5 preceding and 5 following), ' ') as near from d_tokens)
+select sent_id, tok_idx, case when tok_idx > 6 then '... ' else '' end || near || case when tok_idx + 5 < n then ' ...' else '' end as context from d_near""")
+def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each token with the five on either side, and '...' where the sentence goes on."""
+    whole = Window.partitionBy("sent_id")
+    near = F.collect_list("form").over(whole.orderBy("tok_idx").rowsBetween(-5, 5))
+    rows = tokens(spark, sf_dir).select("sent_id", "tok_idx", F.array_join(near, " ").alias("near"), F.count("*").over(whole).alias("n"))
+    return rows.select("sent_id", "tok_idx", F.concat(F.when(F.col("tok_idx") > 6, "... ").otherwise(""), "near", F.when(F.col("tok_idx") + 5 < F.col("n"), " ...").otherwise("")).alias("context"))
+
+
 # Trees
 
 
@@ -220,12 +230,14 @@ def edit_tree_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def edit_tree_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lemmas of the forms that only odd documents have, by the trees and lemmas of the even ones."""
+    """Lemmas of the forms that only one half of the documents has (odd or even), by the other's trees and lemmas."""
     own = tokens(spark, sf_dir)
-    even = own.filter("doc_id % 2 = 0")
-    built = edit_trees.trees(even)
-    forms = lexicon.unknown(own.filter("doc_id % 2 = 1").select("form").distinct(), built.select("form"), ["form"])
-    return edit_trees.unknown_lemmas(forms, edit_trees.frequent(built), built.groupBy("lemma").agg(F.sum("n").alias("n")))
+    halves = []
+    for half in (1, 0):
+        built = edit_trees.trees(own.filter(F.col("doc_id") % 2 == 1 - half))
+        forms = lexicon.unknown(own.filter(F.col("doc_id") % 2 == half).select("form").distinct(), built.select("form"), ["form"])
+        halves.append(edit_trees.unknown_lemmas(forms, edit_trees.frequent(built), built.groupBy("lemma").agg(F.sum("n").alias("n"))))
+    return halves[0].unionByName(halves[1])
 
 
 # Lexicons
@@ -241,8 +253,8 @@ def label_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.label_ids(table(spark, sf_dir, "documents"), "lang")
 
 
-def _lexicon(own: DataFrame) -> DataFrame:
-    return own.filter("doc_id % 2 = 0").select("form", "upos", text.feature(text.feats_string(F.col("feats")), "case").alias("case")).distinct()
+def _lexicon(own: DataFrame, half: int = 0) -> DataFrame:
+    return own.filter(F.col("doc_id") % 2 == half).select("form", "upos", text.feature(text.feats_string(F.col("feats")), "case").alias("case")).distinct()
 
 
 @query(TOKENS_SQL + ", lex as (select distinct form from d_tokens where doc_id % 2 = 0) select form, count(*) as n from d_tokens where doc_id % 2 = 1 and form not in (select form from lex) group by form")
@@ -253,6 +265,14 @@ def unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.unknown(test, _lexicon(own).select("form").distinct(), ["form"])
 
 
+@query(TOKENS_SQL + "select form, max(doc_id % 2) as half, count(*) as n from d_tokens group by form having min(doc_id % 2) = max(doc_id % 2)")
+def unknown_words_crossfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms of each half of the documents that the lexicon of the other half lacks."""
+    own = tokens(spark, sf_dir)
+    halves = [lexicon.unknown(own.filter(F.col("doc_id") % 2 == half).groupBy("form").agg(F.lit(half).cast("long").alias("half"), F.count("*").alias("n")), _lexicon(own, 1 - half).select("form").distinct(), ["form"]) for half in (0, 1)]
+    return halves[0].unionByName(halves[1])
+
+
 _TAGS_SQL = TOKENS_SQL + """, lex as (select distinct form, upos, case_ as c from d_tokens where doc_id % 2 = 0), poss as (select distinct upos, c from lex),
 test as (select sent_id, tok_idx, form from d_tokens where doc_id % 2 = 1),
 u as (select col0 as upos, col1 as k from (values ('PUNCT', 0), ('adjective', 1), ('noun', 2), ('preposition', 3), ('verb', 4))), q as (select col0 as c, col1 as k from (values ('_', 0), ('acc', 1), ('gen', 2), ('nom', 3))),
@@ -267,9 +287,22 @@ select sent_id, tok_idx, upos, c as "case", round(p, 6) as p, num_poss from r wh
 @query(_TAGS_SQL)
 def constrained_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best tag of each token of the odd documents under the lexicon of the even ones."""
+    return _constrained(tokens(spark, sf_dir), 1)
+
+
+_SWAPPED_SQL = _TAGS_SQL.replace("doc_id % 2 = 0", "doc_id % 2 = x").replace("doc_id % 2 = 1", "doc_id % 2 = 0").replace("doc_id % 2 = x", "doc_id % 2 = 1")
+
+
+@query(f"select * from ({_TAGS_SQL}) union all select * from ({_SWAPPED_SQL})")
+def constrained_tags_crossfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best tag of each token under the lexicon of the half of the documents that it isn't in."""
     own = tokens(spark, sf_dir)
-    lex = _lexicon(own)
-    test = own.filter("doc_id % 2 = 1").select("sent_id", "tok_idx", "form")
+    return _constrained(own, 1).unionByName(_constrained(own, 0))
+
+
+def _constrained(own: DataFrame, half: int) -> DataFrame:
+    lex = _lexicon(own, 1 - half)
+    test = own.filter(F.col("doc_id") % 2 == half).select("sent_id", "tok_idx", "form")
     weight = lambda k: (F.lit(1) + (F.col("tok_idx") * 3 + k * 5) % 7).cast("double")
     parts = []
     for feat, values in (("upos", ["PUNCT", "adjective", "noun", "preposition", "verb"]), ("case", ["_", "acc", "gen", "nom"])):
@@ -373,6 +406,14 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("vec_id", "own", F.col("s.label").alias("nearest"), (-F.col("s.c")).alias("cosine"))
 
 
+@query("""with v as (select distinct vec_id, embedding::double[] as e from embeddings where list_dot_product(embedding::double[], embedding::double[]) > 0), q as (select *, min(vec_id) over (partition by e) as first from v),
+r as (select q.vec_id, d.vec_id as neighbour, round(list_cosine_similarity(q.e, d.e), 6) as cosine from q join q d on d.vec_id = d.first and d.vec_id <> q.first),
+z as (select *, row_number() over (partition by vec_id order by cosine desc, neighbour) as rank from r) select vec_id, rank, neighbour, cosine from z where rank <= 3""")
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest other vectors of each vector."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 # Sources by shape
 
 

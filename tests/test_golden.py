@@ -109,3 +109,23 @@ def test_phrases_and_conjuncts(spark):
     tree = spark.createDataFrame([(1, 0, "PRED"), (2, 1, "OBJ"), (3, 2, "CO"), (4, 3, "CO"), (5, 4, "ATR")], "tok_idx long, head_id long, relation string").selectExpr("1L as sent_id", "*")
     got = {r.tok_idx: (r.first_conjunct, r.coordination_head) for r in pieces.conjunct_heads(tree).collect()}
     assert got == {1: (None, None), 2: (1, None), 3: (2, 1), 4: (2, 1), 5: (2, 1)}
+
+
+def test_neighbours_in_blocks(spark):
+    from corpusjobs.operators import neighbours
+
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, [1.0, 0.0]), (6, None), (7, [-1.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for block in (2, 1000):
+        got = {(r.vec_id, r.rank): r.neighbour for r in neighbours.nearest(vectors, 3, block).collect()}
+        assert got == {(1, 1): 2, (1, 2): 3, (1, 3): 7, (5, 1): 2, (5, 2): 3, (5, 3): 7, (2, 1): 1, (2, 2): 3, (2, 3): 7, (3, 1): 2, (3, 2): 1, (3, 3): 7, (7, 1): 3, (7, 2): 2, (7, 3): 1}
+
+
+def test_halves_and_windows(spark):
+    from corpusjobs.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    q = registry.queries()
+    assert {r.half for r in q["unknown_words_crossfit"](spark, sf).select("half").distinct().collect()} == {0, 1}
+    got = {(r.sent_id, r.tok_idx): r.context.split(" ") for r in q["token_windows"](spark, sf).collect()}
+    assert max(map(len, got.values())) == 13 and all(len(c) - 2 <= 11 for c in got.values())
