@@ -15,10 +15,12 @@ its number there, with the level of joining in the top bits.
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left, insort
-from collections.abc import Iterator
-from itertools import chain, islice
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,67 +31,69 @@ from pyspark.sql import functions as F
 from .common import REMEMBERED, lean, table, table_of
 
 LENGTH, WINDOWS, FAN_IN, END_ID = 2048, 32, 256, 1
-#: Words, and parts of words, that a worker remembers with their ids; beyond, it forgets them and goes on.
-MOST_WORDS = 300_000
-#: Of these, the number that stay for the worker's next task: those met first, which are the common ones.
-KEPT_WORDS = 50_000
+#: Words, and parts of words, that a worker remembers with their ids, and the longest of them.
+MOST_WORDS, LONGEST = 500_000, 64
+#: Control characters that str.split() takes for white space and the tokenizer doesn't.
+CONTROLS = "\x1c\x1d\x1e\x1f"
+#: The steps of a tokenizer that can be asked word by word.
+CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": CUTS}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+#: Characters below this are in normal form C whatever stands beside them, and their classes are the same in all versions of Unicode.
+PLAIN_END = "\u0180"
+_OF_CLASS = {k: "".join(re.escape(c) for c in map(chr, range(ord(PLAIN_END))) if unicodedata.category(c)[0] == k) for k in "LN"}
+#: CUTS for words of these characters, lower-cased; the dot above follows where a dotted capital I is lower-cased.
+PARTS = re.compile(CUTS.replace("[\\p{L}]+", f"[{_OF_CLASS['L']}]+").replace("[\\p{N}]", f"[{_OF_CLASS['N']}]").replace("\\p{L}\\p{N}", _OF_CLASS["L"] + _OF_CLASS["N"]))
 COLUMNS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 class WordIds(dict):
-    """Ids of a text, remembered by word: the tokenizer drops white space and never joins across it."""
+    """Ids of texts, as the tokenizer's own encode() gives them without special tokens added.
 
-    def __init__(self, path: str):
-        import regex
-        from tokenizers import Tokenizer
+    A tokenizer that drops white space and never joins across it is asked word by word: words and their parts are
+    remembered with their ids, those used last, `most` at least and twice as many at most. Any other tokenizer is
+    asked for whole texts. So are texts that hold one of its added tokens, or controls that split() alone takes for
+    white space.
+    """
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+    def __init__(self, path: str, most: int = MOST_WORDS):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        super().__init__()
+        self.most, self.older, self.tokenizer = most, {}, Tokenizer.from_file(path)
         told = json.loads(self.tokenizer.to_str())
-        suffix = told["model"].get("end_of_word_suffix")
-        pre = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        self.pattern = regex.compile(pre[0]["pattern"]["Regex"]) if suffix and pre and pre[0].get("type") == "Split" else None
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        for token, i in vocabulary.items():
-            self.ends[i] = bool(suffix) and token.endswith(suffix)
-        self.parts: dict[str, bytes] = {}
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.parts) > MOST_WORDS:
-            self.parts.clear()
-        found = {w: self.pattern.findall(w.lower() if w.isascii() else self.tokenizer.normalizer.normalize_str(w)) if self.pattern else [w] for w in words}
-        new = list(dict.fromkeys(p for q in found.values() for p in q if p not in self.parts))
-        groups = [new[i : i + 64] for i in range(0, len(new), 64)] if self.pattern else [[p] for p in new]
-        for group, coded in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False) if groups else []):
-            ids = np.array(coded.ids, "<u4")
-            cuts = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()] if self.pattern else [0, len(ids)]
-            if len(cuts) - 1 != len(group):
-                raise ValueError("the tokenizer joined or split a word")
-            raw = ids.tobytes()
-            self.parts.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(group, cuts, cuts[1:]))
-        for w, q in found.items():
-            self[w] = self.parts[q[0]] if len(q) == 1 else b"".join([self.parts[p] for p in q])
-
-    def shrink(self) -> None:
-        for own in (self, self.parts):
-            kept = dict(islice(own.items(), KEPT_WORDS))
-            own.clear()
-            own.update(kept)
+        self.by_word = (told["normalizer"], told["pre_tokenizer"], told["post_processor"]) == (NORMALIZER, PRE_TOKENIZER, None) and told["model"]["type"] == "BPE"
+        self.whole = re.compile("|".join(map(re.escape, [*CONTROLS, *(t["content"] for t in told["added_tokens"])])))
+        self.model, self.bytes = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.learn(word)
+        if len(word) <= LONGEST:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def learn(self, word: str) -> bytes:
+        if not (word.isascii() or max(word) < PLAIN_END):
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        parts = PARTS.findall(word.lower())
+        if parts != [word]:
+            return b"".join(map(self.__getitem__, parts))
+        shown = word if word.isascii() and word.isprintable() else self.bytes.pre_tokenize_str(word)[0][0]
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def of(self, texts: list[str]) -> Iterator[np.ndarray]:
-        split = [t.split() for t in texts]
-        known = set(chain.from_iterable(split))
-        missing = [w for w in known if w not in self]
-        if len(self) + len(missing) > MOST_WORDS and len(missing) < len(known):
-            self.clear()
-            missing = list(known)
-        self.learn(missing)
-        for t, words in zip(texts, split):
-            if any(c in t for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split alone
+        for t in texts:
+            if not self.by_word or self.whole.search(t):
                 yield np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
-            else:
-                yield np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4")
+                continue
+            if t.isascii() or max(t) < PLAIN_END:
+                t = t.lower()  # fewer different words; the result is the same
+            yield np.frombuffer(b"".join(map(self.__getitem__, t.split())), np.uint32)
 
 
 def ids_of(path: str) -> WordIds:
@@ -184,7 +188,6 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, windows: int = W
                     packer.place(doc_id, 0, own, len(own))
             yield _batches(packer.rows, arrow, task)
             packer.rows = []
-        words.shrink()
         packer.emit(packer.close(), True)
         if arrow is not None:
             yield _batches(packer.rows, arrow, task)

@@ -161,7 +161,6 @@ def test_packing(spark, odd):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text").filter("doc_id <> 6 and doc_id is not null").selectExpr("doc_id + 100000 as doc_id", "text"))
     rows = packing.pack(docs.repartition(5), path, fan_in=2).collect()
     pieces = defaultdict(list)
@@ -186,6 +185,22 @@ def test_packing(spark, odd):
     assert packing.pack(empty(odd), path).count() == 0 and packing.pack(odd, path).select("doc_id").distinct().count() == 9
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_are_the_tokenizers_own(name):
+    import random
+
+    import public_tokenizers
+
+    own = packing.WordIds(public_tokenizers.path(name), most=40)
+    chars = [chr(c) for c in range(0x3000) if not 28 <= c < 32]
+    texts = [f"a{c}1 {c} x{c}{c}" for c in chars] + ["", "Don't <|endoftext|> x", "a\x1cb c", "\u0130stanbul \ufb01 \u03a3\u03b1\u03c2 \u039f\u0394\u039f\u03a3 e\u0301 \u304b\u3099", "a" * 300 + " b"]
+    pick = random.Random(1)
+    pool = "aAbB1\u00b2'\"\u00e9\u00c9\u00df\u01c5\u0130.,\u2014\u03a3\u03c2\u0301\u0345\u3042\u4e00\U0001f600\ua7da\u1c89\u0558\xad\u200b\x85\xa0\x7f  \n\t<|>stvem"
+    texts += ["".join(pick.choices(pool, k=pick.randint(0, 30))) for _ in range(1000)]
+    for text, ids in zip(texts, own.of(texts)):
+        assert ids.tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_warc(spark, tmp_path):
     page = "<p>" + "x" * 200
     rows = [(3, "http://a/\r\nb", page, 1), (1, "u", page, 1), (1, "u", page, 1), (2, None, page, 1), (4, "u", None, 1), (5, "u", "", 1), (6, "u", "short", 1), (7, "u", "short", 1), (None, "u", page, 1), (9, "u", "é" * 90_000, 1)]
