@@ -1,27 +1,33 @@
 """Operator 6: main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one per block element. Lines of menus, headers, footers, sidebars, scripts
-and styles have no text length, nor have those of forms, comments, hidden elements and elements named like notices or
-adverts unless these hold the article or most of the page's text. Text lengths of the other lines (without link
-text; in an article a quarter of it counts) are summed over sliding windows of `window` lines. A surge is the first
-line of a window whose sum reaches `surge` after a quiet stretch; the dive is where the sum falls to nothing or an
-article begins or ends. The lines between are kept, short ones too. If no window reaches the surge, the stretch with
-the largest sum is kept. Stretches are kept inside articles or outside, wherever the longest one is; text in an
-article weighs three times, in one with a first headline twelve times.
-
-A script, style, noscript, textarea, title or iframe ends at its own end tag, whatever stands in it; other elements
-without readable text (buttons, drawings) end with their parent at the latest, at an article, and, where none of
-their end tags follows, at the next block.
-
-Defined cases: a null or empty html gives an empty text; tags that stay open or are cut off at the end of the
-page close there; repeated rows are repeated; a null page_id or url is kept; an empty table gives no rows.
+Markup is stripped to lines, one per block element. Lines of menus, headers, footers, sidebars, scripts and styles
+have no text length, nor have those of forms, comments, hidden elements and elements named like notices or adverts
+unless these hold the article or most of the page's text. Text lengths of all lines (without link text; in an
+article a quarter of it counts) are summed over sliding windows of `window` lines. A stretch of text begins with the
+first line after a quiet one and ends at the dive, where the sum over a window falls to nothing, or where an article
+begins or ends; it is kept where it has a surge, a window whose sum reaches `surge`, short lines too. So lines
+without length part two stretches only if they fill a window. If no window reaches the surge, the stretch with the
+largest sum is kept. Stretches are kept inside articles or outside, wherever the longest one is; text in an article
+weighs three times, in one with a first headline twelve times.
+
+Tags are read as browsers do: `<` and a letter begin one, quotes count after `=` only, and it ends at the next `>`.
+A script, style, noscript, textarea, title or iframe ends at its own end tag, whatever stands in it. Elements that
+show no text (buttons, canvases) end with their parent at the latest, at an article, and, where none of their end
+tags follows, at the next block. A paragraph, list item or cell ends where the next block, item or cell begins.
+Names of paragraphs, headlines and cells say less than those of other elements, since words like share or comment
+tell what such a one is about.
+
+Work grows with a page's length, not with its depth. Defined cases: a null or empty html gives an empty text; a very
+long page is read whole; tags that stay open or are cut off at the end of the page close there; of stretches with
+equal sums the first counts; repeated rows are repeated; a null page_id or url is kept; an empty table gives no rows;
+columns besides page_id, url and html are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -34,25 +40,28 @@ from .common import lean, table
 WINDOW, SURGE = 3, 60
 ARTICLE_WEIGHT, HEADED_WEIGHT, LINK_SHARE = 3, 12, 4  # of an article's text, of one with a first headline; what counts of its links
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 pre td th dt dd caption figcaption legend summary".split())
+#: Open blocks that end where the block named begins; a paragraph ends at any.
+ENDED = {k: frozenset(("p " + v).split()) for k, v in {"li": "li", "dt": "dt dd", "dd": "dt dd", "td": "td th", "th": "td th", "tr": "tr td th", "option": "option"}.items()}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {n: re.compile(rf"</{n}(?=[\s/>]|$)[^>]*>?", re.I) for n in "script style noscript textarea title iframe".split()}
-SKIPPED = frozenset("noscript template svg math object select button canvas audio video".split())
+SKIPPED = frozenset("noscript template select button canvas audio video".split())
+SKIPPED_IN_DRAWINGS = frozenset("desc metadata defs".split())
 NOISE_TAGS = frozenset("nav footer aside menu dialog head".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form".split())
-NOISE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar|side-bar|rail|widget\w*|"
-    r"footer|header|masthead|topbar|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"comments?|commentlist|disqus|replies|respond|related|recommended|share|sharing|social|pagination|pager|toolbar)(?:$|[\s_-])",
-    re.I,
+_ADVERTS = r"ads?|advert\w*|adbox|sponsor\w*|promo\w*|breadcrumbs?|cookies?|consent|gdpr|newsletter|subscribe|pagination|pager|disqus"
+_FURNITURE = (
+    r"banner|nav|navbar|navigation|menu\w*|sidebar|side-bar|rail|widget\w*|footer|header|masthead|topbar|notice|notices|alert|popup|modal|overlay|"
+    r"signup|login|comments?|commentlist|replies|respond|related|recommended|share|sharing|social|toolbar"
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*(?:>|$)|[^<]+|<", re.S)
+_named = lambda words: re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.I)
+NOISE_NAMES, ADVERT_NAMES, ASIDE_NAMES = _named(f"{_ADVERTS}|{_FURNITURE}"), _named(_ADVERTS), _named("comments?|commentlist|disqus|replies|respond")
+_HEADER = re.compile(r"(?<![^\s_-])header(?![^\s_-])", re.I)
+_TAG = r"</?[a-zA-Z](?>[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*')?)*+(?:>|$)"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|{_TAG}|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _BARE = re.compile(r"=\s*[^\s\"'>]*/>$")
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
-
-
-ASIDE_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|respond)(?:$|[\s_-])", re.I)
-_HEADER = re.compile(r"(?<![^\s_-])header(?![^\s_-])", re.I)
 NOISE, SUSPECT, ASIDE = 1, 2, 3
 
 
@@ -69,12 +78,13 @@ def _kind(name: str, tag: str, inside: bool) -> int:
     at = tag.find(" ")
     if at < 0 or name in ("html", "body") or name in ("article", "main") and "comment" not in tag:
         return kind
+    names = ADVERT_NAMES if name in PARAGRAPHS else NOISE_NAMES
     for key, a, b, c in _ATTR.findall(tag[at:]):
         value = a or b or c
         key = key.lower()
         if inside and key in ("class", "id"):
             value = _HEADER.sub(" ", value)  # an article's own header is none of the page
-        if key in ("class", "id") and NOISE_NAMES.search(value) or key == "role" and value.lower() in NOISE_ROLES:
+        if key in ("class", "id") and names.search(value) or key == "role" and value.lower() in NOISE_ROLES:
             kind = max(kind, ASIDE if ASIDE_NAMES.search(value) else SUSPECT)
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return ASIDE
@@ -87,14 +97,75 @@ class Line(NamedTuple):
     noise: bool  # whether it lies in an element that is always noise
     inside: bool  # whether it lies in an article
     head: bool  # whether it is a first headline
-    suspects: tuple[tuple[int, int, bool], ...]  # elements to be judged around it: number, kind, whether it lies in an article in them
+    suspect: int  # the innermost element to be judged around it, or -1
+    holder: int  # the innermost such element around the innermost article that it lies in, or -1
 
     @property
     def size(self) -> int:
         return max(0, len(self.text) - self.linked)
 
 
-def judged(lines: list[Line]) -> list[bool]:
+class Elements:
+    """The elements that are open, with what a line has to know of them at hand; and all that are to be judged."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, bool]] = []  # name, kind, whether an article
+        self.places: dict[str, list[int]] = defaultdict(list)  # of a name's open elements in the stack
+        self.blocks: list[int] = []  # places of open blocks
+        self.noise: list[int] = []  # places of open elements that always are noise
+        self.articles = 0
+        self.suspects: list[tuple[int, int]] = []  # parent (or -1) and kind of each that was met
+        self.open: list[int] = []  # numbers of open suspects
+        self.holders: list[int] = []  # for each open article that isn't an aside: the innermost suspect around it
+
+    def push(self, name: str, kind: int = 0, article: bool = False) -> None:
+        at = len(self.stack)
+        self.stack.append((name, kind, article))
+        self.places[name].append(at)
+        if name in BLOCKS:
+            self.blocks.append(at)
+        if kind == NOISE:
+            self.noise.append(at)
+        elif kind > NOISE:
+            self.suspects.append((self.open[-1] if self.open else -1, kind))
+            self.open.append(len(self.suspects) - 1)
+        if article:
+            self.articles += 1
+            if kind != ASIDE:
+                self.holders.append(self.open[-1] if self.open else -1)
+
+    def drop(self, at: int) -> None:
+        while len(self.stack) > at:
+            name, kind, article = self.stack.pop()
+            self.places[name].pop()
+            if name in BLOCKS:
+                self.blocks.pop()
+            if kind == NOISE:
+                self.noise.pop()
+            elif kind > NOISE:
+                self.open.pop()
+            if article:
+                self.articles -= 1
+                if kind != ASIDE:
+                    self.holders.pop()
+
+    def last(self, name: str) -> int:
+        """The place of the innermost open element of a name, or -1."""
+        return self.places[name][-1] if self.places[name] else -1
+
+    def end(self, name: str) -> None:
+        """An end tag: closes its element and all in it; one within lines doesn't close a block."""
+        at = self.last(name)
+        if at >= 0 and (name in BLOCKS or not self.blocks or at > self.blocks[-1]):
+            self.drop(at)
+
+    def begin_block(self, name: str) -> None:
+        ended = ENDED.get(name, ("p",))
+        while self.blocks and self.stack[self.blocks[-1]][0] in ended:
+            self.drop(self.blocks[-1])
+
+
+def judged(lines: list[Line], suspects: list[tuple[int, int]]) -> list[bool]:
     """Whether each line is noise.
 
     Suspect elements are judged by their text (without links), those with most first. One is no noise where it holds
@@ -102,62 +173,51 @@ def judged(lines: list[Line]) -> list[bool]:
     be none) or its first headline; or, while no article stands clear, most of the page's text, one of comments or a
     hidden one four times the clear text. If that leaves no text, only elements that always are noise count.
     """
-    total, text, article, headed, kinds, at = 0, Counter(), Counter(), set(), {}, {}
-    for i, x in enumerate(lines):
+    n = len(suspects)
+    own, article, lit, headed = [0] * n, [0] * n, [False] * n, [False] * n
+    total, clear, marked = 0, 0, False
+    for x in lines:
         if x.noise:
             continue
         total += x.size
-        for number, kind, holds in x.suspects:
-            kinds[number] = kind
-            at.setdefault(number, []).append(i)
-            text[number] += x.size
-            article[number] += x.size if holds else 0
-            if x.head and x.inside:
-                headed.add(number)
-    open_in = [len(x.suspects) for x in lines]
-    clear = sum(x.size for x in lines if not x.noise and not x.suspects)
-    marked = any(x.size and x.inside for x in lines if not x.noise and not x.suspects)
-    bad = set()
-    for number in sorted(kinds, key=lambda k: (-text[k], k)):
-        holds = article[number] and 2 * article[number] >= clear or number in headed
-        most = not marked and (text[number] > 4 * clear if kinds[number] == ASIDE else 2 * text[number] > total)
-        if not (holds or most and text[number]):
-            bad.add(number)
+        if x.suspect < 0:
+            clear, marked = clear + x.size, marked or x.size > 0 and x.inside
             continue
-        for i in at[number]:
-            open_in[i] -= 1
-            if not open_in[i]:
-                clear += lines[i].size
-                marked = marked or lines[i].size > 0 and lines[i].inside
-    noise = [x.noise or any(s[0] in bad for s in x.suspects) for x in lines]
-    if not any(x.size and not n for x, n in zip(lines, noise)):
-        noise = [x.noise for x in lines]
-    return noise
-
-
-def lines_of(page: str) -> Iterator[Line]:
-    stack: list[tuple[str, int, bool, int]] = []  # name, kind, article, number
+        own[x.suspect] += x.size
+        lit[x.suspect] |= x.size > 0 and x.inside
+        headed[x.suspect] |= x.head and x.inside
+        if x.holder >= 0:
+            article[x.holder] += x.size
+    text = own[:]
+    for k in reversed(range(n)):
+        parent = suspects[k][0]
+        if parent >= 0:
+            text[parent] += text[k]
+            article[parent] += article[k]
+            headed[parent] |= headed[k]
+    bad = [True] * n
+    for k in sorted(range(n), key=lambda k: (-text[k], k)):  # a parent comes before its children
+        parent, kind = suspects[k]
+        holds = article[k] and 2 * article[k] >= clear or headed[k]
+        most = not marked and (text[k] > 4 * clear if kind == ASIDE else 2 * text[k] > total)
+        bad[k] = parent >= 0 and bad[parent] or not (holds or most and text[k])
+        if not bad[k]:
+            clear, marked = clear + own[k], marked or lit[k]
+    noise = [x.noise or x.suspect >= 0 and bad[x.suspect] for x in lines]
+    return noise if any(x.size and not out for x, out in zip(lines, noise)) else [x.noise for x in lines]
+
+
+def lines_of(page: str, elements: Elements) -> Iterator[Line]:
     text: list[str] = []
-    links = linked = number = 0
-    muted, at = -1, 0  # place in the stack of the outermost skipped element; place in the page
+    linked = at = 0
+    muted = -1  # place of the outermost skipped element; place in the page
     last: dict[str, int] = {}  # where the last end tag of a skipped element stands
 
     def line():
         said = " ".join(entities.unescape("".join(text)).split())
         text.clear()
-        if not said:
-            return None
-        own, holds = [], False
-        for name, kind, main, k in reversed(stack):
-            holds = holds or main and kind != ASIDE
-            if kind > NOISE:
-                own.append((k, kind, holds))
-        return Line(said, min(len(said), linked), any(e[1] == NOISE for e in stack), any(e[2] for e in stack), any(e[0] == "h1" for e in stack), tuple(own))
-
-    def drop(k):
-        nonlocal links
-        links -= sum(e[0] == "a" for e in stack[k:])
-        del stack[k:]
+        if said:
+            return Line(said, min(len(said), linked), bool(elements.noise), elements.articles > 0, elements.last("h1") >= 0, elements.open[-1] if elements.open else -1, elements.holders[-1] if elements.holders else -1)
 
     while at < len(page):
         token = _TOKEN.match(page, at)[0]
@@ -165,14 +225,15 @@ def lines_of(page: str) -> Iterator[Line]:
         if token[0] != "<" or token == "<":
             if muted < 0:
                 text.append(token)
-                linked += len(token) if links else 0
+                linked += len(token) if elements.places["a"] else 0
             continue
         m = _NAME.match(token)
         if not m:
             continue
         name, closing = m[1].lower(), token[1] == "/"
+        drawing = elements.last("svg") >= 0
         if name in RAW and not closing:
-            if name == "title" and muted < 0:
+            if name == "title" and muted < 0 and not drawing:
                 if found := line():
                     yield found
                 linked = 0
@@ -185,28 +246,27 @@ def lines_of(page: str) -> Iterator[Line]:
             last[name] = -1
         if muted >= 0:
             if closing:
-                k = max((i for i, e in enumerate(stack) if e[0] == name), default=-1)
+                k = elements.last(name)
                 if k >= muted:
-                    drop(k)
+                    elements.drop(k)
                     muted = -1 if k == muted else muted
                     continue
                 if k < 0:
                     continue
                 muted = -1  # its parent ends
-            elif name in ("article", "main") or name in BLOCKS and last[stack[muted][0]] < at:  # it was left open
-                drop(muted)
+            elif name in ("article", "main") or name in BLOCKS and last[elements.stack[muted][0]] < at:  # it was left open
+                elements.drop(muted)
                 muted = -1
             else:
                 if name not in VOID and not _closed(token):
-                    stack.append((name, 0, False, 0))
-                    links += name == "a"
+                    elements.push(name)
                 continue
-        if name in SKIPPED and not closing:
+        if (name in SKIPPED or drawing and name in SKIPPED_IN_DRAWINGS) and not closing:
             if not _closed(token):
                 if name not in last:
                     last[name] = max((m.start() for m in re.finditer("</" + name, page, re.I)), default=-1)
-                muted = len(stack)
-                stack.append((name, 0, False, 0))
+                muted = len(elements.stack)
+                elements.push(name)
             continue
         if name == "br":
             text.append(" ")
@@ -216,35 +276,31 @@ def lines_of(page: str) -> Iterator[Line]:
                 yield found
             linked = 0
         if closing:
-            k = max((i for i, e in enumerate(stack) if e[0] == name), default=-1)
-            if k >= 0:
-                drop(k)
+            elements.end(name)
             continue
         if name in VOID or _closed(token):
             continue
-        if name in ("article", "main"):
-            k = next((i for i, e in enumerate(stack) if e[1] == NOISE), -1)
-            if k >= 0 and not any(e[1] == NOISE and e[0] in ("aside", "section", "div", "ol", "ul", "li", "article", "dialog") for e in stack):
-                drop(k)  # an article doesn't stand in a menu: that was left open
-        if name in BLOCKS and stack and stack[-1][0] == "p":
-            drop(len(stack) - 1)
-        main, number = name in ("article", "main") or 'role="main"' in token, number + 1
-        stack.append((name, _kind(name, token, any(e[2] for e in stack)), main, number))
-        links += name == "a"
+        if name in ("article", "main") and elements.noise:
+            if not any(elements.stack[k][0] in ("aside", "dialog") for k in elements.noise):
+                elements.drop(elements.noise[0])  # an article doesn't stand in a menu: that was left open
+        if name in BLOCKS:
+            elements.begin_block(name)
+        elements.push(name, _kind(name, token, elements.articles > 0) if name in BLOCKS else 0, name in ("article", "main") or 'role="main"' in token)
     if found := line():
         yield found
 
 
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
-    lines = list(lines_of(page))
-    lines = [x for x, n in zip(lines, judged(lines)) if not n]
-    sizes = [x.size + (x.linked // LINK_SHARE if x.inside else 0) for x in lines]
+    elements = Elements()
+    lines = list(lines_of(page, elements))
+    noise = judged(lines, elements.suspects)
+    sizes = [0 if out else x.size + (x.linked // LINK_SHARE if x.inside else 0) for x, out in zip(lines, noise)]
     stretches, lo = [], 0
     while lo < len(lines):
         hi = lo  # an article's edge ends a stretch
         while hi < len(lines) and lines[hi].inside == lines[lo].inside:
             hi += 1
-        block, at = [sum(sizes[i : min(i + window, hi)]) for i in range(lo, hi)], lo
+        block, at = [sum(sizes[i : min(i + max(1, window), hi)]) for i in range(lo, hi)], lo
         while at < hi:
             if not sizes[at]:
                 at += 1
@@ -255,15 +311,16 @@ def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
             stretches.append((max(block[at - lo : end - lo]), at, end))
             at = end
         lo = hi
-    weight = HEADED_WEIGHT if any(x.inside and x.head for x in lines) else ARTICLE_WEIGHT
+    told = [(i, x) for i, (x, out) in enumerate(zip(lines, noise)) if not out]
+    weight = HEADED_WEIGHT if any(x.inside and x.head for _, x in told) else ARTICLE_WEIGHT
     most = {True: 0, False: 0}
     for _, a, b in stretches:
         inside = lines[a].inside
-        most[inside] = max(most[inside], (weight if inside else 1) * sum(x.size for x in lines[a:b]))
+        most[inside] = max(most[inside], (weight if inside else 1) * sum(lines[i].size for i in range(a, b) if not noise[i]))
     side = most[True] > 0 and most[True] >= most[False]
     stretches = [s for s in stretches if lines[s[1]].inside == side]
     kept = [s for s in stretches if s[0] >= surge] or ([max(stretches, key=lambda s: (s[0], -s[1]))] if stretches else [])
-    return "\n".join(lines[i].text for _, a, b in kept for i in range(a, b))
+    return "\n".join(lines[i].text for _, a, b in kept for i in range(a, b) if not noise[i])
 
 
 def extract(pages: DataFrame, window: int = WINDOW, surge: int = SURGE) -> DataFrame:

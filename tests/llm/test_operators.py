@@ -256,6 +256,63 @@ def test_html_windows():
     assert html_text.main_text(f"<p>{said}<article><h1><a href=/>Head</a></h1><p>{said}</p><p>End</article>") == f"Head\n{said.strip()}\nEnd"
 
 
+def test_html_reads_tags_as_browsers_do():
+    said = "word " * 40
+    art = f"<article><p>{said}</p></article>"
+    for odd in ("<script>if(i<n){s=\"don't\"}</script>", "<style>a{content:'<b'}</style>", "<p>x<y and \"z</p>", "<a title=it's>x</a>", "<img alt=\"a>b\">", "<b title='>x</b>"):
+        assert html_text.main_text(odd + art) == said.strip(), odd
+    assert html_text.main_text("<article><p class='share price'>The share price<p class='comment-on-law'>The law<p>x <math><mi>a</mi></math> <object>b</object> <svg><title>t</title><text>c</text></svg> d<p class=ad>Buy</article>") == "The share price\nThe law\nx a b c d"
+    assert html_text.main_text("<article>" + "<p><b>a<br>" * 5000 + "</article>") == "\n".join(["a"] * 5000)
+    assert html_text.main_text("<div>" * 20_000 + "x") == "x"
+
+
+def test_html_surge_and_dive():
+    said, menu = "word " * 15, "<nav><ul><li><a href=/>Home</a><li><a href=/>News</a><li><a href=/>More</a></ul></nav>"
+    page = f"<div>{said}</div><div>end</div>{menu}<div>tiny</div>{menu}<div>{said}</div><div class=ad>Buy</div><div>bye</div>"
+    whole = said.strip()
+    assert html_text.main_text(page) == f"{whole}\nend\n{whole}\nbye"  # one line without length doesn't part a stretch
+    assert html_text.main_text(page, window=1) == f"{whole}\nend\n{whole}"  # here it does
+    assert html_text.main_text(page, window=4) == f"{whole}\nend\ntiny\n{whole}\nbye"
+    assert html_text.main_text(page, surge=1) == f"{whole}\nend\ntiny\n{whole}\nbye"
+    assert html_text.main_text(page, surge=10**9) == f"{whole}\nend"
+
+
+def test_html_equals_a_plain_parser(spark):
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        """The lines of the article, on the given pages' simple markup."""
+
+        def __init__(self, page):
+            super().__init__(convert_charrefs=True)
+            self.lines, self.text, self.depth = [], "", 0
+            self.feed(page)
+            self.close()
+            self.line()
+
+        def line(self):
+            if said := " ".join(self.text.split()):
+                self.lines.append(said)
+            self.text = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("p", "h1", "h2", "li", "div", "article"):
+                self.line()
+            self.depth += tag == "article"
+            self.text += " " * (tag == "br")
+
+        def handle_endtag(self, tag):
+            if tag in ("p", "h1", "h2", "li", "div", "article"):
+                self.line()
+            self.depth -= tag == "article"
+
+        def handle_data(self, data):
+            self.text += data if self.depth else ""
+
+    for r in html_text.extract(spark.read.parquet(f"{SF}/pages.parquet")).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
+        assert r.text == "\n".join(Plain(r.html or "").lines), r.page_id
+
+
 def test_chat(spark):
     log = [(1, 1, 1, "delta", "user", "hi"), (1, 2, 2, "delta", "assistant", "a"), (1, 3, 2, "delta", "assistant", "b"), (1, 4, 2, "regenerate", "assistant", "c"), (1, 5, 2, "delta", "assistant", "<d>"), (1, 6, 1, "edit", "user", "#\\h"), (1, 7, 3, "delta", "user", "x"), (1, 8, 3, "delete", "user", None), (2, 1, 1, "delta", None, None)]
     events = spark.createDataFrame(log, "conv_id long, seq long, msg long, kind string, role string, text string")
