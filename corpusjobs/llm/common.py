@@ -119,12 +119,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 PIECE = 1 << 19
 
 
-def pieces(data: np.ndarray, off: np.ndarray, most: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of whole rows of about most bytes (one row at least): first row, last row, bytes, offsets in them."""
+def pieces(data: np.ndarray, off: np.ndarray, most: int = PIECE, rows: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of whole rows of about most bytes (one row at least, `rows` at most): first row, last row, bytes, offsets in them."""
     lo, n = 0, len(off) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + most, "right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + rows if rows else n)
         yield lo, hi, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
 

@@ -2,35 +2,46 @@
 
 Symbols are the bytes of the lower-cased words, a space after each word, and a zero byte at a text's end, so a
 text's probability is that of its sequence of words. Counts of all contexts of up to `DEPTH` symbols with their
-next symbols are gathered from every training document. A context is a candidate where it makes up at least
-`LEAST` of all symbols (so there are 1 / LEAST of each length at most, whatever the input), and is retained where
-its next symbols diverge from those of its suffix: n(s) KL(P(.|s) || P(.|suffix of s)) must exceed the number of its
-different next symbols. Suffixes of retained contexts are states too. A state's
-distribution is smoothed towards its suffix's by its number of different next symbols; the root's by a half.
-Each symbol of a text is scored in the state of the longest suffix of what stands before it.
-
-The unigram base needs the exact count of every word: documents are inverted in runs to (word, postings), words
-are summed in one exchange, and each document's part is summed again by document.
-
-Defined cases: a null or empty text is an end alone; a null doc_id is in the fold of the empty text; repeated
-rows are scored each; without training documents every count is 0 and states are the root alone; an empty table
-gives no rows; other columns are not read.
+next symbols are gathered from every training document. A context is a candidate where it occurs `LEAST` times or
+more, so states grow with the input, and is retained where its next symbols diverge from those of its suffix:
+n(s) KL(P(.|s) || P(.|suffix of s)) must exceed the number of its different next symbols. Suffixes of retained
+contexts are states too. A state's distribution is smoothed towards its suffix's by its number of different next
+symbols; the root's by a half. Each symbol of a text is scored in the state of the longest suffix of what stands
+before it.
+
+The tree is never held whole: it falls into parts of about `PART_CONTEXTS` candidates, those that end in the same
+two symbols together (the states of fewer symbols stand in each part). A group of rows builds a part and writes it
+to the shared folder; a task holds one part at a time and scores the symbols that fall in it, for `HELD` bytes of
+text before it takes the next. Larger trees cost more reading, not more memory. (A part is larger only where the
+contexts that end in one pair of symbols are more than that.)
+
+The unigram base needs the exact count of every word: documents are inverted in runs to (word, postings). Words that
+hold more than one in `HOT_WORDS` of all pairs of document and word, fewer than `HOT_WORDS` so, are broadcast with
+their counts; the postings of the others meet theirs in one exchange. Each document's part is summed again by document.
+The end, which all texts have, needs none.
+
+Defined cases: a null or empty text is an end alone; a very long one is scored whole; a null doc_id is in the fold of
+the empty text; repeated rows are scored each; without training documents every count is 0 and states are the root
+alone; an empty table gives no rows; columns besides doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import io
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, Words, _LOWER, fold_of, lean, pieces, table, table_of, utf8
+from .common import REMEMBERED, SPACE_WORDS, Words, _LOWER, fold_of, fs_of, lean, pieces, shared_dir, table, table_of, utf8
 
-DEPTH, LEAST = 5, 1e-5
-RUN_PAIRS, RUN_DOCS = 700_000, 60_000
+DEPTH, LEAST = 6, 256
+PART_CONTEXTS, HELD, HOT_WORDS = 100_000, 16 << 20, 20_000
+RUN_PAIRS, RUN_DOCS, MOST_CODES = 1_200_000, 60_000, 2_000_000
 PIECE = 1 << 19  # bytes that are worked on at once
-END_TOKEN = 1
 
 
 def symbols_of(data: np.ndarray, off: np.ndarray, words: Words, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,33 +61,37 @@ def symbols_of(data: np.ndarray, off: np.ndarray, words: Words, depth: int) -> t
     out[start + size] = 32
     row = np.repeat(np.arange(rows), length)
     at = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length) + first[row]
-    return out, at, row
+    return out, at.astype(np.int32), row.astype(np.int32)
 
 
 def gather(docs: DataFrame, depth: int) -> DataFrame:
     """code, n: how often each symbol (lowest byte) follows each context (next bytes, nearest first)."""
 
-    def run(batches):
-        code, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def merged(codes, counts):
-            order = np.argsort(codes, kind="stable")
-            codes, counts = codes[order], counts[order]
-            first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
-            return codes[first], np.add.reduceat(counts, first) if len(first) else counts
+    def merged(held: list) -> tuple[np.ndarray, np.ndarray]:
+        codes, counts = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(codes, kind="stable")
+        codes, counts = codes[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+        return codes[first], np.add.reduceat(counts, first) if len(first) else counts
 
+    def run(batches):
+        held, size = [], 0
         for batch in batches:
             for _, _, data, off in pieces(*utf8(batch.column(0)), 2 * PIECE):
                 s, at, _ = symbols_of(data, off, Words(data, off, SPACE_WORDS), depth)
                 own = np.zeros(len(at), np.int64)
                 for d in range(depth + 1):
                     own |= s[at - d].astype(np.int64) << (8 * d)
-                a, b = np.unique(own, return_counts=True)
-                code, n = merged(np.concatenate([code, a]), np.concatenate([n, b]))
-                if len(code) > 2_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
-                    code, n = code[:0], n[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
+                held.append(np.unique(own, return_counts=True))
+                size += len(held[-1][0])
+                if size > MOST_CODES:
+                    held = [merged(held)]
+                    size = len(held[0][0])
+                    if size > MOST_CODES // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], ["code", "n"])
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, merged(held))), ["code", "n"])
 
     return docs.mapInArrow(lean(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
@@ -84,128 +99,206 @@ def gather(docs: DataFrame, depth: int) -> DataFrame:
 class SuffixTree:
     """States numbered by depth from 1, the root; child[state, symbol] is 0 where there is none."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        """levels: for each context length the codes and counts of candidates with their next symbols."""
+    def __init__(self, symbol: np.ndarray, unseen: int, child: np.ndarray, logs: np.ndarray, depth: int):
+        self.symbol, self.unseen, self.child, self.logs, self.depth = symbol, unseen, child, logs, depth
+
+    @classmethod
+    def build(cls, levels: list[tuple[np.ndarray, np.ndarray]]) -> SuffixTree:
+        """levels: for each context length the codes and counts of candidates with their next symbols, by code."""
         used = np.unique(np.concatenate([c & 255 for c, _ in levels] + [np.array([0, 32])]))
-        self.symbol = np.full(256, len(used), np.int64)  # the last one stands for bytes never seen
-        self.symbol[used] = np.arange(len(used))
-        a = len(used) + 1
-        root = np.full(a, 0.5)
-        root[self.symbol[levels[0][0] & 255]] += levels[0][1]
-        root[-1] = 0.5 * (256 - len(used))
-        p, self.unseen = [root / root.sum()], max(1, 256 - len(used))
-        smooth: list[dict[int, np.ndarray]] = [{0: p[0]}]
-        wanted: list[set[int]] = [{0}]
+        symbol = np.full(256, len(used), np.int64)  # the last one stands for bytes never seen
+        symbol[used] = np.arange(len(used))
+        a, unseen = len(used) + 1, max(1, 256 - len(used))
+        root = np.full((1, a), 0.5)
+        root[0, symbol[levels[0][0] & 255]] += levels[0][1]
+        root[0, -1] = 0.5 * (256 - len(used))
+        known, smooth, wanted, parents = [np.zeros(1, np.int64)], [root / root.sum()], [np.ones(1, bool)], [None]
         for d, (code, n) in enumerate(levels[1:], 1):
             context = code >> 8
             first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(code) else np.zeros(0, np.int64)
-            here, hold = {}, set()
-            for lo, hi in zip(first, np.append(first[1:], len(code))):
-                c = int(context[lo])
-                parent = smooth[d - 1].get(c & ((1 << (8 * (d - 1))) - 1))
-                if parent is None:
-                    continue
-                at, m = self.symbol[code[lo:hi] & 255], n[lo:hi].astype(float)
-                own = parent * (hi - lo)
-                own[at] += m
-                here[c] = own / own.sum()
-                q = m / m.sum()
-                if (m * np.log(q / parent[at])).sum() > hi - lo:
-                    hold.add(c)
-            smooth.append(here)
-            wanted.append(hold)
+            different = np.diff(np.append(first, len(code)))
+            contexts = context[first]
+            parent = np.searchsorted(known[d - 1], contexts & ((1 << (8 * (d - 1))) - 1))
+            row, at, m = np.repeat(np.arange(len(first)), different), symbol[code & 255], n.astype(float)
+            own = smooth[d - 1][parent] * different[:, None]
+            own[row, at] += m
+            total = np.add.reduceat(m, first) if len(first) else m
+            own /= own.sum(axis=1, keepdims=True)
+            diverged = m * np.log(m / total[row] / smooth[d - 1][parent[row], at])
+            known.append(contexts)
+            smooth.append(own)
+            parents.append(parent)
+            wanted.append((np.add.reduceat(diverged, first) if len(first) else diverged) > different)
         for d in range(len(levels) - 1, 1, -1):
-            wanted[d - 1] |= {c & ((1 << (8 * (d - 1))) - 1) for c in wanted[d]}
-        rows, ids = [np.zeros(a), p[0]], [{0: 1}]
-        for d in range(1, len(levels)):
-            ids.append({c: len(rows) + i for i, c in enumerate(sorted(wanted[d]))})
-            rows += [smooth[d][c] for c in sorted(wanted[d])]
-        child = np.zeros((len(rows), a), np.int32)
+            wanted[d - 1][parents[d][wanted[d]]] = True
+        ids, count = [np.ones(1, np.int64)], 2
+        for w in wanted[1:]:
+            ids.append(np.where(w, count + np.cumsum(w) - 1, 0))
+            count += int(w.sum())
+        child = np.zeros((count, a), np.int32)
         for d in range(1, len(levels)):
-            for c, i in ids[d].items():
-                child[ids[d - 1][c & ((1 << (8 * (d - 1))) - 1)], self.symbol[c >> (8 * (d - 1))]] = i
+            w = wanted[d]
+            child[ids[d - 1][parents[d][w]], symbol[known[d][w] >> (8 * (d - 1))]] = ids[d][w]
+        logs = np.zeros((count, a), np.float32)
         with np.errstate(divide="ignore"):
-            logs = np.log10(np.array(rows))
-        logs[:, -1] -= np.log10(self.unseen)  # shared among the bytes never seen
-        self.child, self.logs, self.depth = child, logs.astype(np.float32), len(levels) - 1
+            logs[1:] = np.log10(np.concatenate([p[w] for p, w in zip(smooth, wanted)]))
+        logs[1:, -1] -= np.log10(unseen)  # shared among the bytes never seen
+        return cls(symbol, unseen, child, logs, len(levels) - 1)
 
     def score(self, s: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log10 P of the symbols at the places at."""
-        own = self.symbol[s]
-        now = np.ones(len(at), np.int32)
+        own, a = self.symbol[s], self.child.shape[1]
+        child, now = self.child.ravel(), np.ones(len(at), np.int32)
         best = now
         for d in range(1, self.depth + 1):
-            now = self.child[now, own[at - d]]
+            now = child[now * np.int64(a) + own[at - d]]
             best = np.maximum(best, now)
-        return self.logs[best, own[at]]
+        return self.logs.ravel()[best * np.int64(a) + own[at]]
 
+    def save(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, symbol=self.symbol, child=self.child, logs=self.logs, told=np.array([self.unseen, self.depth]))
+        return out.getvalue()
 
-def fit(train: DataFrame, depth: int = DEPTH, least: float = LEAST) -> SuffixTree:
-    """The tree of the documents of train (text). What is collected is bounded by depth and least."""
-    counts = table_of(gather(train, depth), "contexts")
-    total = int(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    levels = []
-    for d in range(depth + 1):
-        mask = (1 << (8 * (d + 1))) - 1
-        own = counts.groupBy(F.col("code").bitwiseAND(mask).alias("code")).agg(F.sum("n").alias("n"))
-        context = own.groupBy(F.shiftright("code", 8).alias("context")).agg(F.sum("n").alias("m")).filter(F.col("m") >= max(1.0, least * total))
-        got = own.withColumn("context", F.shiftright("code", 8)).join(context, "context").select("code", "n").toPandas().sort_values("code")
-        levels.append((got["code"].to_numpy(np.int64), got["n"].to_numpy(np.int64)))
-    return SuffixTree(levels)
+    @classmethod
+    def load(cls, raw: bytes) -> SuffixTree:
+        with np.load(io.BytesIO(raw)) as x:
+            return cls(x["symbol"], int(x["told"][0]), x["child"], x["logs"], int(x["told"][1]))
 
 
-def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, least: float = LEAST) -> DataFrame:
+class Forest:
+    """The parts of a tree in the shared folder; part_of gives the part of the last two symbols, nearest first."""
+
+    def __init__(self, folder: str, parts: int, part_of: np.ndarray, states: int, depth: int):
+        self.folder, self.parts, self.part_of, self.states, self.depth = folder, parts, part_of, states, depth
+
+    def part(self, k: int) -> SuffixTree:
+        if not self.states:  # nothing to learn from
+            return SuffixTree.build([(np.zeros(0, np.int64), np.zeros(0, np.int64))] * (self.depth + 1))
+        own = REMEMBERED.setdefault("suffix tree", {})
+        if (self.folder, k) not in own:
+            own.clear()  # one part at a time
+            fs, base = fs_of(self.folder)
+            with fs.open_input_file(f"{base}/part-{k}.npz") as file:
+                own[self.folder, k] = SuffixTree.load(file.read())
+        return own[self.folder, k]
+
+    def score(self, pieces_of: list) -> list[np.ndarray]:
+        """The sum of log10 P of each text, for pieces (symbols, places to score and their rows, number of rows)."""
+        out = [np.zeros(rows) for *_, rows in pieces_of]
+        for k in range(self.parts):
+            tree = self.part(k)
+            for total, (s, at, row, rows) in zip(out, pieces_of):
+                if self.parts > 1:
+                    mine = self.part_of[s[at - 1].astype(np.int64) | s[at - 2].astype(np.int64) << 8] == k
+                    at, row = at[mine], row[mine]
+                total += np.bincount(row, tree.score(s, at), rows)
+        return out
+
+
+def fit(train: DataFrame, depth: int = DEPTH, least: int = LEAST, part_contexts: int = PART_CONTEXTS) -> Forest:
+    """The tree of the documents of train (text), two symbols deep at least, in parts."""
+    spark = train.sparkSession
+    own, levels = table_of(gather(train, depth), "contexts"), None
+    for d in range(depth, -1, -1):
+        if d < depth:
+            own = table_of(own.groupBy(F.col("code").bitwiseAND((1 << (8 * (d + 1))) - 1).alias("code")).agg(F.sum("n").alias("n")), "contexts")
+        by_context = own.withColumn("context", F.shiftright("code", 8))
+        frequent = by_context.groupBy("context").agg(F.sum("n").alias("m")).filter(F.col("m") >= (least if d else 0)).select("context")
+        kept = by_context.join(frequent, "context").select(F.lit(d).alias("d"), "code", "n")
+        levels = kept if levels is None else levels.unionByName(kept)
+    levels = table_of(levels.withColumn("pair", F.when(F.col("d") >= 2, F.shiftright("code", 8).bitwiseAND(65535).cast("int"))), "levels")
+    sizes = levels.filter("pair is not null").groupBy("pair").agg(F.countDistinct("d", F.shiftright("code", 8)).alias("n")).orderBy("pair").collect()  # 65,536 rows at most
+    part_of, parts, held = np.zeros(65536, np.int32), 0, 0
+    for r in sizes:
+        if held and held + r.n > part_contexts:
+            parts, held = parts + 1, 0
+        part_of[r.pair], held = parts, held + r.n
+    parts += 1
+    folder = shared_dir(spark, "suffix-tree")
+    placed = spark.createDataFrame([(r.pair, int(part_of[r.pair])) for r in sizes], "pair int, part int")
+    dealt = levels.join(F.broadcast(placed), "pair").select("part", "d", "code", "n")
+    common = levels.filter("pair is null").select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "d", "code", "n")
+
+    def build(frame: pa.Table) -> pa.Table:
+        part, d = frame["part"][0].as_py(), np.asarray(frame["d"])
+        code, n = np.asarray(frame["code"]), np.asarray(frame["n"])
+        order = np.argsort(code, kind="stable")
+        tree = SuffixTree.build([(code[order][d[order] == k], n[order][d[order] == k]) for k in range(depth + 1)])
+        fs, base = fs_of(folder)
+        fs.create_dir(base, recursive=True)
+        passing = f"{base}/.part-{part}.{uuid.uuid4().hex}"
+        with fs.open_output_stream(passing) as out:
+            out.write(tree.save())
+        fs.move(passing, f"{base}/part-{part}.npz")
+        return pa.table({"part": pa.array([part], pa.int32()), "states": pa.array([len(tree.logs) - 1], pa.int64())})
+
+    built = table_of(dealt.unionByName(common).groupBy("part").applyInArrow(build, "part int, states long"), "parts")
+    told = built.agg(F.count("*"), F.coalesce(F.sum("states"), F.lit(0))).first()
+    return Forest(folder, max(1, told[0]), part_of, told[1], depth)
+
+
+def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, least: int = LEAST, part_contexts: int = PART_CONTEXTS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes."""
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), held_out.alias("held_out"))
-    tree = fit(rows.filter(~F.col("held_out")).select("text"), depth, least)
+    forest = fit(rows.filter(~F.col("held_out")).select("text"), depth, least, part_contexts)
     kind = dict(docs.dtypes)["doc_id"]
-    names = ["run", "ord", "doc_id", "held_out", "n_tokens", "n_bytes", "score", "h", "n_train", "postings"]
+    names = ["run", "ord", "doc_id", "held_out", "n_tokens", "n_bytes", "score", "h", "n_train", "pairs", "postings"]
 
     def run(batches):
         task, number, docs_in, pairs_in = TaskContext.get().partitionId() << 20, 0, 0, 0
         held: list[tuple] = []
+        none = lambda n, k: pa.nulls(n, k)
 
         def inverted():
             h, o, tf, train = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((o, h))
-            h, o, tf, train = h[order], o[order], tf[order], train[order]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            order = np.argsort(h, kind="stable")  # ordinals ascend already
+            h, o, tf, train = h[order], o[order], tf[order], train[order].astype(np.int64)
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
             ends = np.append(first[1:], len(h))
-            o, t = o.astype("<u2"), tf.astype("<u4")
-            posts = [o[a:b].tobytes() + t[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist())]
+            posts = [o[a:b].tobytes() + tf[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist())]
             n = len(first)
-            none = lambda k: pa.nulls(n, k)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, task + number)), none(pa.int32()), none(arrow), none(pa.bool_()), none(pa.int64()), none(pa.int64()), none(pa.float64()), pa.array(h[first].view(np.int64)), pa.array(np.add.reduceat(train, first)), pa.array(posts, pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, task + number)), none(n, pa.int32()), none(n, arrow), none(n, pa.bool_()), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.float64()), pa.array(h[first].view(np.int64)), pa.array(np.add.reduceat(train, first) if n else train), pa.array((ends - first)[:n]), pa.array(posts, pa.binary())], names)
+
+        def scored(waiting):
+            for (own, total) in zip(waiting, forest.score([w[0] for w in waiting])):
+                at, ids, flags, tokens, size = own[1:]
+                n = len(total)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, at[0])), pa.array(np.arange(at[1], at[1] + n, dtype=np.int32)), ids, flags, pa.array(tokens), pa.array(size), pa.array(total), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.binary())], names)
 
+        waiting, waits = [], 0
         for batch in batches:
             arrow = batch.schema.field(0).type
-            out_flag = np.asarray(batch.column(2).cast(pa.int8()))
-            for lo, hi, data, off in pieces(*utf8(batch.column(1)), PIECE):
+            trains = 1 - np.asarray(batch.column(2).cast(pa.int64()))
+            for lo, hi, data, off in pieces(*utf8(batch.column(1)), PIECE, RUN_DOCS):
                 n = hi - lo
                 if docs_in + n > RUN_DOCS or pairs_in > RUN_PAIRS:
                     if held:
                         yield inverted()
                     number, docs_in, pairs_in, held = number + 1, 0, 0, []
-                if n > RUN_DOCS:
-                    raise ValueError("a piece holds more documents than a run")
                 words = Words(data, off, SPACE_WORDS)
-                s, at, row = symbols_of(data, off, words, tree.depth)
-                total = np.bincount(row, tree.score(s, at), n)
-                h, r = np.concatenate([words.h, np.full(n, END_TOKEN, np.uint64)]), np.concatenate([words.row, np.arange(n)])
-                own, back = np.unique(h, return_inverse=True)
-                pair, tf = np.unique(back * n + r, return_counts=True)
-                train = tf * (1 - out_flag[lo:hi])[pair % n]
-                held.append((own[pair // n], pair % n + docs_in, tf, train))
-                none = lambda k: pa.nulls(n, k)
-                tokens, size = np.bincount(r, minlength=n), np.bincount(words.row, words.end - words.start, n).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, task + number)), pa.array(np.arange(docs_in, docs_in + n, dtype=np.int32)), batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array(tokens), pa.array(size), pa.array(total), none(pa.int64()), none(pa.int64()), none(pa.binary())], names)
-                docs_in, pairs_in = docs_in + n, pairs_in + len(pair)
+                own, back = np.unique(words.h, return_inverse=True)
+                pair, tf = np.unique(words.row * max(1, len(own)) + back, return_counts=True)
+                doc = pair // max(1, len(own))
+                held.append((own[pair % max(1, len(own))], (doc + docs_in).astype("<u2"), tf.astype("<u4"), (tf * trains[lo:hi][doc]).astype("<u4")))
+                tokens, size = np.bincount(words.row, minlength=n) + 1, np.bincount(words.row, words.end - words.start, n).astype(np.int64)
+                waiting.append(((*symbols_of(data, off, words, forest.depth), n), (task + number, docs_in), batch.column(0)[lo:hi], batch.column(2)[lo:hi], tokens, size))
+                docs_in, pairs_in, waits = docs_in + n, pairs_in + len(pair), waits + len(data)
+                if forest.parts == 1 or waits > HELD:
+                    yield from scored(waiting)
+                    waiting, waits = [], 0
+        if waiting:
+            yield from scored(waiting)
         if held:
             yield inverted()
 
-    done = table_of(rows.mapInArrow(lean(run), f"run long, ord int, doc_id {kind}, held_out boolean, n_tokens long, n_bytes long, score double, h long, n_train long, postings binary"), "scored")
-    posts = done.filter("h is not null").select("run", "h", "n_train", "postings")
-    counted = posts.select("run", "h", "postings", F.sum("n_train").over(Window.partitionBy("h")).alias("c"))
+    done = table_of(rows.mapInArrow(lean(run, "suffix tree"), f"run long, ord int, doc_id {kind}, held_out boolean, n_tokens long, n_bytes long, score double, h long, n_train long, pairs long, postings binary"), "scored")
+    posts = done.filter("h is not null").select("run", "h", "postings")
+    counts = table_of(done.filter("h is not null").groupBy("h").agg(F.sum("n_train").alias("c"), F.sum("pairs").alias("pairs")), "words")
+    words, distinct, pairs = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
+    hot = counts.filter(F.col("pairs") * HOT_WORDS > pairs).select("h", "c")  # fewer than HOT_WORDS
+    warm = posts.join(F.broadcast(hot), "h").select("run", "postings", "c")
+    cold = posts.join(F.broadcast(hot.select("h")), "h", "left_anti").join(counts.filter(F.col("pairs") * HOT_WORDS <= pairs).select("h", "c").hint("shuffle_hash"), "h").select("run", "postings", "c")
 
     def part(batches):
         for batch in batches:
@@ -223,11 +316,14 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, least: float =
             own, back = np.unique(key, return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(own >> 16), pa.array((own & 65535).astype(np.int32)), pa.array(np.bincount(back, tf * np.log10(of + 1.0), len(own))), pa.array(np.bincount(back, tf * (of > 0), len(own)).astype(np.int64))], ["run", "ord", "base", "known"])
 
-    base = counted.select("run", "postings", "c").mapInArrow(lean(part), "run long, ord int, base double, known long").groupBy("run", "ord").agg(F.sum("base").alias("base"), F.sum("known").alias("n_known"))
-    tokens, distinct = posts.filter("n_train > 0").agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.countDistinct("h")).first()
+    base = warm.unionByName(cold).mapInArrow(lean(part), "run long, ord int, base double, known long").groupBy("run", "ord").agg(F.sum("base").alias("base"), F.sum("known").alias("known"))
     texts = done.filter("h is null").select("run", "ord", "doc_id", "held_out", "n_tokens", "n_bytes", "score")
-    off = float(np.log10(tokens + distinct + 1))
-    return texts.join(base, ["run", "ord"]).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * off).alias("base_score"), "score", "n_bytes")
+    ends = texts.filter(~F.col("held_out")).count()  # each training text has one end
+    tokens = words + ends
+    off = float(np.log10(tokens + distinct + (ends > 0) + 1))
+    own = (F.coalesce("base", F.lit(0.0)) + float(np.log10(ends + 1)) - F.col("n_tokens") * off).alias("base_score")
+    known = (F.coalesce("known", F.lit(0)) + int(ends > 0)).cast("long").alias("n_known")
+    return texts.join(base, ["run", "ord"], "left").select("doc_id", "held_out", "n_tokens", known, F.lit(tokens).cast("long").alias("train_tokens"), own, "score", "n_bytes")
 
 
 def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

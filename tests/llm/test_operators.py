@@ -356,11 +356,71 @@ def test_suffix_tree(spark, odd):
     assert suffix_tree.score(odd, F.lit(True)).count() == 10 and suffix_tree.score(empty(odd), F.lit(False)).count() == 0
 
 
+def test_suffix_tree_equals_a_plain_one(spark):
+    """Scores of a tree in one part and in many against dicts; states rise with the input; held-out texts gain by contexts."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    depth, least = 4, 12
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(60).cache()
+    said = {r.doc_id: b"".join(w.encode() + b" " for w in spaced(r.text)) + b"\0" for r in docs.collect()}
+    count = [defaultdict(Counter) for _ in range(depth + 1)]
+    for i, t in said.items():
+        if i % 5:
+            t = bytes(depth) + t
+            for at in range(depth, len(t)):
+                for d in range(depth + 1):
+                    count[d][t[at - d : at]][t[at]] += 1
+    used = {c for c in count[0][b""]} | {0, 32}
+
+    def p(context, symbol):
+        """The smoothed distribution, whether the context is retained or not."""
+        own = count[len(context)][context]
+        if not context:
+            n = sum(own.values()) + 0.5 * 256
+            return (own[symbol] + 0.5) / n
+        return (own[symbol] + len(own) * p(context[1:], symbol)) / (sum(own.values()) + len(own))
+
+    kept = {b""}
+    for d in range(1, depth + 1):
+        for context, own in count[d].items():
+            n = sum(own.values())
+            if n >= least and sum(m * math.log(m / n / p(context[1:], c)) for c, m in own.items()) > len(own):
+                kept |= {context[k:] for k in range(d)}
+    want = {}
+    for i, t in said.items():
+        t, total = bytes(depth) + t, 0.0
+        for at in range(depth, len(t)):
+            total += math.log10(p(next(t[at - d : at] for d in range(depth, -1, -1) if t[at - d : at] in kept), t[at]))
+        want[i] = total
+    for part_contexts in (10**6, 200):
+        rows = suffix_tree.score(docs, F.col("doc_id") % 5 == 0, depth, least, part_contexts).collect()
+        assert len(rows) == len(said) and all(math.isclose(r.score, want[r.doc_id], rel_tol=1e-5) for r in rows)
+    forest = [suffix_tree.fit(docs.filter(f"doc_id < {n} and doc_id % 5 <> 0").select("text"), depth, least, k) for n, k in ((30, 10**6), (10**9, 10**6), (10**9, 200))]
+    assert forest[0].states < forest[1].states == len(kept) and forest[2].parts > 5
+    held = [r for r in rows if r.held_out and r.n_tokens > 50]
+    root = {i: sum(math.log10(p(b"", c)) for c in t) for i, t in said.items()}
+    assert len(used) > 20 and len(held) > 3 and all(r.score > root[r.doc_id] for r in held)
+
+
+def test_suffix_tree_of_many_short_texts(spark):
+    from pyspark.sql import functions as F
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    try:
+        docs = spark.range(0, 70_000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"), F.lit(1).alias("score"))
+        r = suffix_tree.score(docs, F.lit(False)).agg(F.count("*"), F.min("n_known"), F.max("train_tokens"), F.countDistinct("base_score")).first()
+        assert tuple(r) == (70_000, 2, 140_000, 1)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_suffix_tree_sums_to_one():
     code = np.array([c | (p << 8) for p in (0, 97, 98, 32) for c in (97, 98, 32, 0)], np.int64)
     n = np.arange(1, 17, dtype=np.int64) * 50
     root = np.array([0, 32, 97, 98], np.int64)
-    tree = suffix_tree.SuffixTree([(root, np.array([50, 60, 70, 80], np.int64)), (np.sort(code), n)])
+    tree = suffix_tree.SuffixTree.build([(root, np.array([50, 60, 70, 80], np.int64)), (np.sort(code), n)])
     for row in tree.logs[1:]:
         p = 10.0 ** row.astype(float)
         assert abs(p[:-1].sum() + p[-1] * tree.unseen - 1) < 1e-5
