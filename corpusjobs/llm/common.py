@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,16 +16,40 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Lists of the folders that were named while they were open, see passing().
+_MADE: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (tests on one machine) a temporary folder takes its place.
+    Only where that setting is absent on a local master (tests on one machine) a temporary folder takes its place.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="corpusjobs-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for own in _MADE:
+        own.append(path)
+    return path
+
+
+@contextmanager
+def passing() -> Iterator[None]:
+    """Deletes at its end what was written to shared folders in it: only for work whose results are written elsewhere."""
+    own: list[str] = []
+    _MADE.append(own)
+    try:
+        yield
+    finally:
+        _MADE.remove(own)
+        for path in own:
+            fs, base = fs_of(path)
+            if fs.get_file_info(base).type.name == "Directory":
+                fs.delete_dir(base)
 
 
 def table_of(df: DataFrame, name: str) -> DataFrame:
@@ -67,19 +92,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, f
     """doc_id, text and y of at most `most` labelled documents outside the held-out fold, lowest hash of the id first.
 
     Labels of one doc_id are averaged and rounded up from a half. The chosen ids are bounded by `most`, so they
-    are broadcast; documents are only scanned.
+    are broadcast; documents are only scanned. Of rows that share an id, the one with the least hash of its text counts.
     """
     own = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold_of("doc_id", folds) != held_out))
     own = own.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "y")
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with underscores before it until no column has it."""
+    while name.lower() in map(str.lower, columns):
+        name = "_" + name
+    return name
 
 
 def with_text(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs and the name of a string column that holds text: its own, or one more where that has another type."""
     if dict(docs.dtypes)["text"] == "string":
         return docs, "text"
-    return docs.withColumn("__text", F.col("text").cast("string")), "__text"
+    name = unused("__text", docs.columns)
+    return docs.withColumn(name, F.col("text").cast("string")), name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,10 +9,13 @@ from .common import table_of
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root for every node of edges (u, v long): root is the smallest node of its component.
+    """node, root for every node of edges (u, v, of one ordered type): root is the smallest node of its component.
 
     Each step sends a node's neighbours to its smallest one; steps are two aggregations and a join, and their
     number grows with the logarithm of the longest path. Each result is written to the shared folder.
+
+    Defined cases: repeated edges count once; an edge from a node to itself or with a null end is left out; an empty
+    table gives no rows; other columns are not read.
     """
     now = table_of(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None

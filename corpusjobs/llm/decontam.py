@@ -1,29 +1,38 @@
 """Operator 2: benchmark decontamination with an FM-index per shard of the documents.
 
-A shard is a run of whole documents of about 2 MB in a task. Words outside the benchmark's vocabulary can't be
-part of an occurrence, nor can runs of its words shorter than the shortest window; the index holds the other
+A shard is a run of whole documents of about half a megabyte in a task. Words outside the benchmark's vocabulary
+can't be part of an occurrence, nor can runs of its words shorter than the shortest window; the index holds the other
 runs, parted by a symbol of their own. All windows are searched backward at once through the ranks of a wavelet
 matrix over the Burrows-Wheeler transform; occurrences are located by walking to sampled suffix positions, and
-their spans are merged. Documents are never shuffled. The benchmark goes to the tasks in blocks of at most
-`BLOCK_BYTES` of text, one pass for each block, so what is broadcast is bounded.
+their spans are merged. Documents are never shuffled.
 
-Defined cases: a null or empty text has no words; items without words have no windows; an item without an id
-marks words but is not counted; items that share an id count once; repeated rows get equal results; an empty
-benchmark leaves every document clean; an empty table gives no rows.
+The benchmark falls into blocks of about `BLOCK_BYTES` of text. A group of rows builds each block's windows and
+writes them to the shared folder; a task holds one block at a time and searches a shard for one after the other. So a
+larger benchmark costs time, not memory, and nothing of it passes through the driver.
+
+Defined cases: a null or empty text has no words; a very long text is a shard of its own; items without words have no
+windows; an item without an id marks words but is not counted; items that share an id count once; repeated rows get
+equal results; an empty benchmark leaves every document clean; an empty table gives no rows; find() reads doc_id and
+text alone, drop_contaminated() and cut_spans() return all columns whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
+import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import LETTER_WORDS, Words, lean, pieces, table, utf8
+from .common import LETTER_WORDS, REMEMBERED, Words, fs_of, lean, pieces, shared_dir, table, table_of, utf8
 
-WINDOW, SHARE, SAMPLED, BLOCK_BYTES = 13, 20, 16, 16 << 20
+WINDOW, SHARE, SAMPLED, BLOCK_BYTES = 13, 20, 16, 2 << 20
+RESULT = "n_words long, n_hit long, n_items long, items array<bigint>, items_sha256 string, contaminated boolean, spans array<struct<start: bigint, end: bigint>>"
 
 
 class FMIndex:
@@ -98,23 +107,45 @@ class FMIndex:
 class Block:
     """Windows of some items: right-aligned symbol rows (2 and up), lengths, and the item ids of each window."""
 
-    def __init__(self, rows: list, window: int):
-        windows: dict[tuple, set] = {}
-        words, owners = [], []
-        for _, _, data, off in pieces(*utf8(pa.array([r.text for r in rows], pa.string()))):
+    def __init__(self, vocabulary: np.ndarray, patterns: np.ndarray, first: np.ndarray, items: np.ndarray):
+        self.vocabulary, self.patterns, self.first, self.items = vocabulary, patterns, first, items
+        self.lengths = (patterns >= 0).sum(axis=1)
+
+    @classmethod
+    def build(cls, texts: pa.Array, ids: pa.Array, window: int) -> Block:
+        words: list[np.ndarray] = []
+        for _, _, data, off in pieces(*utf8(texts)):
             w = Words(data, off, LETTER_WORDS)
             words += np.split(w.h, w.bounds(len(off) - 1)[1:-1])
-        owners = [r.item_id for r in rows]
-        self.vocabulary = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
-        for own, item in zip(words, owners):
-            ids = (np.searchsorted(self.vocabulary, own) + 2).tolist()
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                windows.setdefault(tuple(ids[i : i + window]), set()).update(() if item is None else (item,))
-        self.items = [sorted(s, key=str) for s in windows.values()]
-        self.lengths = np.array([len(w) for w in windows], np.int64)
-        self.patterns = np.full((len(windows), window), -1, np.int64)
-        for k, w in enumerate(windows):
-            self.patterns[k, window - len(w) :] = w
+        vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]))
+        rows, owner = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)]
+        for k, own in enumerate(words):
+            own = (np.searchsorted(vocabulary, own) + 2).astype(np.int32)
+            if 0 < len(own) < window:
+                own = np.concatenate([np.full(window - len(own), -1, np.int32), own])
+            if len(own):
+                rows.append(np.lib.stride_tricks.sliding_window_view(own, window))
+                owner.append(np.full(len(rows[-1]), k))
+        patterns, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        known = np.asarray(ids.is_valid())[np.concatenate(owner)]
+        pairs = np.unique(np.stack([which.ravel()[known], np.asarray(ids.cast(pa.int64()).fill_null(0))[np.concatenate(owner)[known]]]), axis=1)
+        return cls(vocabulary, patterns, np.searchsorted(pairs[0], np.arange(len(patterns) + 1)), pairs[1])
+
+    def items_of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For windows: the place in which, and the id, of each of their items."""
+        n = self.first[which + 1] - self.first[which]
+        place = np.repeat(np.arange(len(which)), n)
+        return place, self.items[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + self.first[which][place]]
+
+    def save(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, vocabulary=self.vocabulary, patterns=self.patterns, first=self.first, items=self.items)
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, raw: bytes) -> Block:
+        with np.load(io.BytesIO(raw)) as x:
+            return cls(x["vocabulary"], x["patterns"], x["first"], x["items"])
 
     def occurrences(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First word and window of each occurrence in a shard of words h of documents row."""
@@ -144,14 +175,35 @@ class Block:
         return origin[index.locate(rows)], which
 
 
-def blocks_of(benchmark: DataFrame, window: int, block_bytes: int = BLOCK_BYTES):
-    """Blocks of items; each holds about block_bytes of text, or one longer item."""
-    rows = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
+def blocks_of(benchmark: DataFrame, window: int, block_bytes: int) -> tuple[str, list[int]]:
+    """The folder of the blocks' files, and their numbers."""
+    folder = shared_dir(benchmark.sparkSession, "benchmark")
+    rows = benchmark.select("item_id", F.col("text").cast("string").alias("text")).filter("text is not null")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    count = max(1, -(-size // block_bytes))
-    for k in range(count):
-        own = rows if count == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)
-        yield Block(own.collect(), window)
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, -(-size // block_bytes)))))
+
+    def build(frame: pa.Table) -> pa.Table:
+        k, frame = frame["block"][0].as_py(), frame.combine_chunks()
+        fs, base = fs_of(folder)
+        fs.create_dir(base, recursive=True)
+        passing = f"{base}/.block-{k}.{uuid.uuid4().hex}"
+        with fs.open_output_stream(passing) as out:
+            out.write(Block.build(frame["text"].combine_chunks(), frame["item_id"].combine_chunks(), window).save())
+        fs.move(passing, f"{base}/block-{k}.npz")
+        return pa.table({"block": pa.array([k], pa.int64())})
+
+    built = table_of(dealt.groupBy("block").applyInArrow(build, "block long"), "blocks")
+    return folder, sorted(r.block for r in built.collect())
+
+
+def block(folder: str, k: int) -> Block:
+    own = REMEMBERED.setdefault("decontamination", {})
+    if (folder, k) not in own:
+        own.clear()  # one block at a time
+        fs, base = fs_of(folder)
+        with fs.open_input_file(f"{base}/block-{k}.npz") as file:
+            own[folder, k] = Block.load(file.read())
+    return own[folder, k]
 
 
 def _merged(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
@@ -162,70 +214,61 @@ def _merged(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(d[:n]) > 0
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, keep: tuple = ("doc_id",)) -> DataFrame:
-    """The columns keep of docs, then n_words, n_hit, n_items, items, items_sha256, contaminated and spans.
+def marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The columns of docs, the last its text, then those of `RESULT`, by place: names may repeat those of docs.
 
     spans are the merged removal spans, as [start, end) bytes of the UTF-8 text.
     """
-    state = docs.select(*keep, F.col("text").cast("string").alias("__text"), F.lit(None).cast("binary").alias("__hit"), F.lit(None).cast("array<bigint>").alias("__items"))
-    blocks = list(blocks_of(benchmark, window))
-    result = "n_words long, n_hit long, n_items long, items array<bigint>, items_sha256 string, contaminated boolean, spans array<struct<start: bigint, end: bigint>>"
-    kept = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in keep)
-
-    def run(block: Block, last: bool):
-        def task(batches):
-            for batch in batches:
-                n = len(keep)
-                old_hit, old_items = batch.column(n + 1), batch.column(n + 2)
-                out: list[list] = [[] for _ in range(7)]
-                for first, end, data, off in pieces(*utf8(batch.column(n))):
-                    words = Words(data, off, LETTER_WORDS)
-                    bound = words.bounds(end - first)
-                    start, which = block.occurrences(words.h, words.row)
-                    hit = _merged(start, start + block.lengths[which], len(words.h)) if len(start) else np.zeros(len(words.h), bool)
-                    found: dict[int, set] = {}
-                    for r, w in set(zip(words.row[start].tolist(), which.tolist())):
-                        found.setdefault(r, set()).update(block.items[w])
-                    for r in range(end - first):
-                        a, b = bound[r], bound[r + 1]
-                        own, items = hit[a:b], found.get(r, set())
-                        if old_hit[first + r].is_valid:
-                            own = own | np.unpackbits(np.frombuffer(old_hit[first + r].as_py(), np.uint8), count=b - a).astype(bool)
-                            items = items | set(old_items[first + r].as_py())
-                        if not last:
-                            out[0].append(np.packbits(own).tobytes())
-                            out[1].append(sorted(items))
-                            continue
-                        edge = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))).reshape(-1, 2) + [a, a]
+    folder, blocks = blocks_of(benchmark, window, block_bytes)
+    at = len(docs.columns) - 1
+    result = StructType.fromDDL(RESULT)
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+
+    def task(batches):
+        for batch in batches:
+            out: list[list] = [[] for _ in kinds]
+            for first, end, data, off in pieces(*utf8(batch.column(at))):
+                words, found = Words(data, off, LETTER_WORDS), {}
+                bound, hit = words.bounds(end - first).tolist(), np.zeros(len(words.h), bool)
+                for k in blocks:
+                    own = block(folder, k)
+                    start, which = own.occurrences(words.h, words.row)
+                    if len(start):
+                        hit |= _merged(start, start + own.lengths[which], len(hit))
+                        place, items = own.items_of(which)
+                        for r, item in set(zip(words.row[start[place]].tolist(), items.tolist())):
+                            found.setdefault(r, set()).add(item)
+                for r in range(end - first):
+                    a, b = bound[r], bound[r + 1]
+                    spans, n_hit, items = [], int(hit[a:b].sum()), sorted(found.get(r, ()))
+                    if n_hit:
+                        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]]))).reshape(-1, 2) + [a, a]
                         spans = [{"start": int(words.start[x] - off[r]), "end": int(words.end[y - 1] - off[r])} for x, y in edge.tolist()]
-                        n_hit, told = int(own.sum()), sorted(map(str, items))
-                        row = (int(b - a), n_hit, len(items), sorted(items), hashlib.sha256(",".join(told).encode()).hexdigest(), n_hit > 0 and share * n_hit >= b - a, spans)
-                        for k, v in enumerate(row):
-                            out[k].append(v)
-                own = [batch.column(k) for k in range(n)]
-                if last:
-                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-                    yield pa.RecordBatch.from_arrays([*own, *(pa.array(v, k) for v, k in zip(out, kinds))], [*keep, "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", "spans"])
-                else:
-                    yield pa.RecordBatch.from_arrays([*own, batch.column(n), pa.array(out[0], pa.binary()), pa.array(out[1], pa.list_(pa.int64()))], [*keep, "__text", "__hit", "__items"])
+                    row = (b - a, n_hit, len(items), items, hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest(), n_hit > 0 and share * n_hit >= b - a, spans)
+                    for k, v in enumerate(row):
+                        out[k].append(v)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, k) for v, k in zip(out, kinds))], [*(f"c{i}" for i in range(at + 1)), *result.names])
 
-        return task
+    named = docs.toDF(*(f"c{i}" for i in range(at + 1)))
+    return named.mapInArrow(lean(task, "decontamination"), StructType([*named.schema.fields, *result.fields]))
 
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
-        state = state.mapInArrow(lean(run(block, last)), f"{kept}, {result}" if last else f"{kept}, __text string, __hit binary, __items array<bigint>")
-    return state
+
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id and the columns of `RESULT`."""
+    return marked(docs.select("doc_id", F.col("text").cast("string")), benchmark, window, share, block_bytes).withColumnRenamed("c0", "doc_id").drop("c1")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
     """The documents, in the columns of docs, that are not contaminated; they stay as they are."""
-    return find(docs, benchmark, window, share, tuple(docs.columns)).filter(~F.col("contaminated")).select(*docs.columns)
+    own = marked(docs.select(*docs.columns, F.col("text").cast("string")), benchmark, window, share)
+    return own.filter(~F.col("contaminated")).select(*(f"c{i}" for i in range(len(docs.columns)))).toDF(*docs.columns)
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """docs with the removal spans taken out of their texts."""
+    """docs with the removal spans taken out of their texts, which become strings."""
 
-    def cut(texts, spans):
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
         for t, own in zip(texts, spans):
             raw, at, left = (t or "").encode(), 0, []
@@ -233,11 +276,11 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share
                 left.append(raw[at : s["start"]])
                 at = s["end"]
             out.append(None if t is None else b"".join([*left, raw[at:]]).decode())
-        import pandas as pd
-
         return pd.Series(out)
 
-    return find(docs, benchmark, window, share, tuple(docs.columns)).withColumn("text", F.pandas_udf(cut, "string")("text", "spans")).select(*docs.columns)
+    n, at = len(docs.columns), docs.columns.index("text")
+    own = marked(docs.select(*docs.columns, F.col("text").cast("string")), benchmark, window, share)
+    return own.withColumn(f"c{at}", cut(f"c{n}", "spans")).select(*(f"c{i}" for i in range(n))).toDF(*docs.columns)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,23 +14,25 @@ the list's smallest class. Clusters are cut into blocks of at most `BLOCK` sets
 for each pair of blocks one group of rows counts all overlaps exactly and returns a spanning forest of the links,
 never the pairs. Nothing is capped or sampled.
 
-Words and shingles are 64-bit hashes, and a class is the 64-bit hash of its set: sets are told apart but for a
-chance of about n**2 / 2**65. Defined cases: a document without words has no shingles, is linked with nothing
-and is its own component; repeated rows and equal texts are one class; the component of rows whose doc_ids are
-all null is null; an empty table gives no rows; other columns are not read.
+Words and shingles are 64-bit hashes, and a class is the 120-bit hash of its set: n sets are told apart but for a
+chance of about n**2 / 2**121. Defined cases: a document without words has no shingles, is linked with nothing
+and is its own component; a very long text is one set; repeated rows and equal texts are one class; rows with a null
+doc_id link others as any do; the component of rows whose doc_ids are all null is null; an empty table gives no rows;
+join() reads doc_id and text alone, keep_one() returns all columns whatever their names.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
 from math import comb, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import DecimalType, StructField, StructType
 
-from .common import SPACE_WORDS, Words, lean, mix, pieces, table, table_of, utf8, with_text
+from .common import SPACE_WORDS, Words, lean, mix, pieces, table, table_of, unused, utf8, with_text
 from .components import components
 
 BLOCK, BLOCK_SHINGLES, SCAN = 800, 1 << 20, 6
@@ -112,9 +114,16 @@ def sets_of(data: np.ndarray, off: np.ndarray, rule: Rule):
 
 
 def class_of(own: np.ndarray) -> int:
-    """The set's class, a signed 64-bit number."""
+    """The set's class, a number of 120 bits."""
     with np.errstate(over="ignore"):
-        return int(mix(np.array([mix(own + U(1)).sum(dtype=U) * U(31) + U(len(own))], U)).view(np.int64)[0])
+        sums = np.array([mix(own + U(1)).sum(dtype=U), mix(own ^ U(0xA24BAED4963EE407)).sum(dtype=U)], U)
+        high, low = mix(sums * U(31) + U(len(own))).tolist()
+    return (high >> 8) << 64 | low
+
+
+def numbers(classes: list[int]) -> pa.Array:
+    """Classes as a column."""
+    return pa.array([Decimal(c) for c in classes], pa.decimal128(38, 0))
 
 
 def keys_of(own: np.ndarray, rule: Rule, boundary: int) -> np.ndarray:
@@ -199,9 +208,9 @@ def classes(docs: DataFrame, rule: Rule) -> DataFrame:
                 for own in sets_of(data, off, rule):
                     n.append(len(own))
                     node.append(class_of(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64())], ["doc_id", "n", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), numbers(node)], ["doc_id", "n", "node"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)['doc_id']}, n long, node long")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)['doc_id']}, n long, node decimal(38, 0)")
 
 
 def clusters(docs: DataFrame, rule: Rule, boundary: int) -> DataFrame:
@@ -218,9 +227,9 @@ def clusters(docs: DataFrame, rule: Rule, boundary: int) -> DataFrame:
                         keys.append(keys_of(own, rule, boundary))
                         nodes.append(node)
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), [len(k) for k in keys]))], ["key", "node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), numbers(nodes).take(pa.array(np.repeat(np.arange(len(nodes)), [len(k) for k in keys])))], ["key", "node"])
 
-    entries = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "key long, node long")
+    entries = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "key long, node decimal(38, 0)")
     own = Window.partitionBy("key")
     met = entries.select("node", F.min("node").over(own).alias("pivot"), F.max("node").over(own).alias("top")).filter("pivot <> top").select("pivot", "node").distinct()
     for _ in range(HOPS):  # a pivot that is in a smaller one's cluster hands its own to it, so sets stand in few clusters
@@ -249,7 +258,7 @@ def links(docs: DataFrame, sets: DataFrame, rule: Rule, block: int = BLOCK, bloc
             for row in zip(batch.column(0).to_pylist(), node):
                 new.append(row not in seen)
                 seen.add(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), batch.column(1)], ["doc_id", "node", "text"]).filter(pa.array(new, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), numbers(node), batch.column(1)], ["doc_id", "node", "text"]).filter(pa.array(new, pa.bool_()))
 
     def run(batches):
         for batch in batches:
@@ -259,9 +268,9 @@ def links(docs: DataFrame, sets: DataFrame, rule: Rule, block: int = BLOCK, bloc
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "places", "members"])
 
     own = F.struct("doc_id", "node").alias("own")  # equal where both ids are null, too
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(named), f"doc_id {dict(docs.dtypes)['doc_id']}, node long, text string")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(named), f"doc_id {dict(docs.dtypes)['doc_id']}, node decimal(38, 0), text string")
     texts = texts.select(own, "text").join(needed.select(own, "places"), "own").select("own.node", "text", "places")
-    members = texts.mapInArrow(lean(run), "node long, places array<struct<pivot: bigint, b: int, blocks: int>>, members binary")
+    members = texts.mapInArrow(lean(run), "node decimal(38, 0), places array<struct<pivot: decimal(38, 0), b: int, blocks: int>>, members binary")
     pairs = members.select("node", "members", F.explode("places").alias("p")).select("node", "members", "p.*").withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
     pairs = pairs.select("pivot", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "members")
 
@@ -278,12 +287,12 @@ def links(docs: DataFrame, sets: DataFrame, rule: Rule, block: int = BLOCK, bloc
                     held.add(node.as_py())
                     nodes.append(node.as_py())
                     sets.append(np.frombuffer(raw.as_py(), U))
-            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([numbers([u for u, _ in out]), numbers([v for _, v in out])], ["u", "v"])
         out = forest(nodes, sets, rule) if len(nodes) > 1 else []
-        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], ["u", "v"])
+        yield pa.RecordBatch.from_arrays([numbers([u for u, _ in out]), numbers([v for _, v in out])], ["u", "v"])
 
     dealt = pairs.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
-    return dealt.mapInArrow(lean(verify), "u long, v long")
+    return dealt.mapInArrow(lean(verify), "u decimal(38, 0), v decimal(38, 0)")
 
 
 def rooted_classes(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
@@ -314,17 +323,17 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("doc_id"), "node")).alias("first"))
     kept = first.select("first.doc_id", "first.node").unionByName(sets.filter("n = 0").select("doc_id", "node").distinct())
     rows, text = with_text(docs)
-    at = rows.columns.index(text)
+    at, hidden = rows.columns.index(text), unused("__node", rows.columns)
 
     def run(batches):
         for batch in batches:
             node = []
             for _, _, data, off in pieces(*utf8(batch.column(at))):
                 node += [class_of(own) for own in sets_of(data, off, rule)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.int64())], [*batch.schema.names, "__node"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, numbers(node)], [*batch.schema.names, hidden])
 
-    named = rows.mapInArrow(lean(run), StructType([*rows.schema.fields, StructField("__node", LongType())]))
-    one = named.groupBy(F.struct("doc_id", F.col("__node").alias("node")).alias("own")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(text)).alias("row"))
+    named = rows.mapInArrow(lean(run), StructType([*rows.schema.fields, StructField(hidden, DecimalType(38, 0))]))
+    one = named.groupBy(F.struct("doc_id", F.col(hidden).alias("node")).alias("own")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(text)).alias("row"))
     return one.join(kept.select(F.struct("doc_id", "node").alias("own")), "own", "left_semi").select("row.*")
 
 

@@ -7,9 +7,10 @@ the table of sums has a fixed size whatever the input. A document is pooled to m
 and shape vectors. A two-layer network is fitted in numpy on at most `SAMPLE` labelled documents, and a
 temperature is fitted on a fifth of them that the weights have not seen.
 
-Defined cases: null, empty and white-space texts are pooled to zeros and scored as such; repeated rows get equal
-scores; a null doc_id is never labelled and is in fold crc32('') mod 3; without labels of both kinds every score
-is 0.5; an empty table gives no rows; of clashing names only doc_id and text are read.
+Defined cases: null, empty and white-space texts are pooled to zeros and scored as such; a very long text is pooled
+whole; a score of exactly a half is predicted 1; repeated rows get equal scores, and the fit takes one row of an id; a
+null doc_id is never labelled and is in fold crc32('') mod 3; without labels of both kinds every score is 0.5; an empty
+table gives no rows; only doc_id and text are read, and with keep all columns come back whatever their names.
 """
 
 from __future__ import annotations
@@ -162,7 +163,7 @@ def classify(docs: DataFrame, labels: DataFrame, keep: bool = False) -> DataFram
     vectors = word_vectors(docs)
     model = fit(docs, labels, vectors)
     names = docs.columns
-    kept, text = with_text(docs) if keep else (docs.withColumn("__text", F.col("text").cast("string")), "__text")
+    kept, text = with_text(docs) if keep else (docs.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), F.col("text").cast("string")), "text")
 
     def run(batches):
         for batch in batches:
@@ -170,14 +171,12 @@ def classify(docs: DataFrame, labels: DataFrame, keep: bool = False) -> DataFram
             parts = [model.score(pooled(data, off, vectors)) if model else np.full(hi - lo, 0.5) for lo, hi, data, off in pieces(*utf8(batch.column(at)))]
             score = np.concatenate(parts).astype(np.float64) if parts else np.zeros(0)
             if keep:
-                yield pa.RecordBatch.from_arrays([batch.column(n) for n in names], names).filter(pa.array(score >= 0.5))
+                yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).filter(pa.array(score >= 0.5))
             else:
-                own = [n for n in batch.schema.names if n != "__text"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in own), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*own, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     if keep:
         return kept.mapInArrow(lean(run), docs.schema)
-    kept = kept.select("doc_id", fold_of("doc_id", 3).alias("__fold"), "__text").withColumn("held_out", F.col("__fold") == 1).drop("__fold")
     return kept.mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
 
 

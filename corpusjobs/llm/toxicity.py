@@ -7,9 +7,10 @@ their toxic document frequency, `LEAST_Z` at least) carry weights. The labels sa
 vector is shared by all thresholds: P(grade > k) = sigmoid(w.x - theta_k), theta ascending. Severity is the
 expected grade; a document is toxic where P(grade > 0) is at least a half.
 
-Defined cases: null and empty texts have no features and get the grade that this implies; repeated rows get
-equal grades; a null doc_id is never labelled; without labels of both kinds severity and probability are 0; an
-empty table gives no rows; of clashing names only doc_id and text are read.
+Defined cases: null and empty texts have no features and get the grade that this implies; a very long text is read
+whole; of equally telling features those with the lowest hashes count; repeated rows get equal grades, and the fit
+takes one row of an id; a null doc_id is never labelled; without labels of both kinds severity and probability are 0;
+an empty table gives no rows; only doc_id and text are read, and with keep all columns come back whatever their names.
 """
 
 from __future__ import annotations
@@ -124,7 +125,7 @@ def grade(docs: DataFrame, labels: DataFrame, keep: bool = False) -> DataFrame:
     """doc_id, p_toxic, severity, grade, toxic; with keep the rows of docs that aren't toxic, in its columns."""
     model = fit(docs, labels)
     names = docs.columns
-    kept, text = with_text(docs) if keep else (docs.withColumn("__text", F.col("text").cast("string")), "__text")
+    kept, text = with_text(docs) if keep else (docs.select("doc_id", F.col("text").cast("string")), "text")
 
     def run(batches):
         for batch in batches:
@@ -139,14 +140,14 @@ def grade(docs: DataFrame, labels: DataFrame, keep: bool = False) -> DataFrame:
             above = np.concatenate(parts) if parts else np.zeros((0, GRADES))
             toxic = above[:, 0] >= 0.5
             if keep:
-                yield pa.RecordBatch.from_arrays([batch.column(n) for n in names], names).filter(pa.array(~toxic))
+                yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).filter(pa.array(~toxic))
             else:
                 exactly = -np.diff(np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], axis=1), axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(above[:, 0]), pa.array(above.sum(axis=1)), pa.array(exactly.argmax(axis=1).astype(np.int32)), pa.array(toxic)], ["doc_id", "p_toxic", "severity", "grade", "toxic"])
 
     if keep:
         return kept.mapInArrow(lean(run), docs.schema)
-    return kept.select("doc_id", "__text").mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)['doc_id']}, p_toxic double, severity double, grade int, toxic boolean")
+    return kept.mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)['doc_id']}, p_toxic double, severity double, grade int, toxic boolean")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("corpusjobs.llm")
 
@@ -128,18 +129,15 @@ def test_decontamination(spark, odd):
     assert got[1].items_sha256 == hashlib.sha256(b"1").hexdigest() and got[3].items_sha256 == hashlib.sha256(b"").hexdigest()
     assert (got[3].n_words, got[3].n_hit, got[3].contaminated) == (0, 0, False)
     assert [tuple(s) for s in got[1].spans] == [(0, 13), (19, 27)]
-    blocks = list(decontam.blocks_of(bench, 13, 40))
-    assert len(blocks) > 1
-    old = decontam.BLOCK_BYTES
-    one = sorted(map(str, decontam.find(odd, bench).collect()))
-    decontam.blocks_of.__defaults__ = (40,)
-    try:
-        assert sorted(map(str, decontam.find(odd, bench).collect())) == one
-    finally:
-        decontam.blocks_of.__defaults__ = (old,)
+    assert len(decontam.blocks_of(bench, 13, 40)[1]) > 1
+    assert sorted(map(str, decontam.find(odd, bench).collect())) == sorted(map(str, decontam.find(odd, bench, block_bytes=40).collect()))
     assert {r.text for r in decontam.cut_spans(odd, bench).collect() if r.doc_id == 1} == {" four "}
     kept = decontam.drop_contaminated(odd, bench)
     assert kept.columns == odd.columns and 1 not in {r.doc_id for r in kept.collect()}
+    clash = odd.select("doc_id", "text", F.lit(5).alias("contaminated"), F.lit("x").alias("spans"), F.lit(1).alias("n_words"), F.lit(2).alias("c0"), F.lit(3).alias("__text"))
+    for own in (decontam.drop_contaminated(clash, bench), decontam.cut_spans(clash, bench)):
+        assert own.columns == clash.columns and {tuple(r)[2:] for r in own.collect()} == {(5, "x", 1, 2, 3)}
+    assert decontam.find(clash, bench).filter("contaminated").count() == decontam.find(odd, bench).filter("contaminated").count()
     assert decontam.find(empty(odd), bench).count() == 0 and decontam.find(odd, empty(bench)).filter("contaminated").count() == 0
 
 
@@ -322,6 +320,128 @@ def test_chat(spark):
     assert chat.render(chat.fold_events(empty(events))).count() == 0
 
 
+def test_toxicity_equals_a_plain_version(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    texts, toxic = {r.doc_id: r.text for r in docs.collect()}, {r.doc_id: r.toxic for r in labels.collect()}
+
+    def features(t):
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", low(t).encode())
+        return {(0, w) for w in words} | {(k, w[:k]) for w in words for k in range(3, 9) if len(w) > k}
+
+    own = {i: features(t) for i, t in texts.items()}
+    sample = [i for i in toxic if i in own and zlib.crc32(str(i).encode()) % 3 != 1]
+    n, t = Counter(f for i in sample for f in own[i]), Counter(f for i in sample if toxic[i] for f in own[i])
+    p = sum(toxic[i] for i in sample) / len(sample)
+    z = {f: (t[f] - n[f] * p) / (n[f] * p * (1 - p)) ** 0.5 for f in n if t[f] >= 3}
+    vocabulary = sorted(f for f in z if z[f] >= toxicity.LEAST_Z)
+    got_vocabulary, model = toxicity.fit(docs, labels)
+    assert 3 < len(vocabulary) == len(got_vocabulary) < toxicity.FEATURES
+    x = np.array([[f in own[i] for f in vocabulary] for i in sample], np.float32)
+    strength, y = x.sum(axis=1), np.array([toxic[i] for i in sample])
+    cuts = np.quantile(strength[y == 1], [1 / 3, 2 / 3])
+    plain = toxicity.CumulativeLink(x, np.where(y == 1, 1 + np.searchsorted(cuts, strength, "right"), 0), 3)
+    assert (np.diff(plain.theta) > 0).all() and np.allclose(sorted(plain.w), sorted(model.w), atol=0.05)
+    for r in toxicity.grade(docs, labels).collect():
+        above = 1 / (1 + np.exp(plain.theta - sum(plain.w[k] for k, f in enumerate(vocabulary) if f in own[r.doc_id])))
+        assert abs(r.p_toxic - above[0]) < 0.02 and abs(r.severity - above.sum()) < 0.05 and r.toxic == (r.p_toxic >= 0.5)
+        assert r.grade == np.argmax(-np.diff([1, *above, 0])) or np.ptp(np.sort(-np.diff([1, *above, 0]))[-2:]) < 0.05
+
+
+def test_cumulative_link_descends_the_likelihood():
+    rng = np.random.default_rng(3)
+    x = (rng.random((300, 6)) < 0.4).astype(np.float32)
+    grade = np.clip((x @ np.array([2, 1, 1, 0, 0, -1]) + rng.normal(0, 0.5, 300)).round(), 0, 3).astype(int)
+    model = toxicity.CumulativeLink(x, grade, 3, decay=0)
+
+    def loss(w, theta):
+        above = 1 / (1 + np.exp(theta - (x @ w)[:, None]))
+        return -np.log(np.where(grade[:, None] > np.arange(3), above, 1 - above)).sum(axis=1).mean()
+
+    best = loss(model.w, model.theta)
+    for k in range(6):
+        for step in (-0.2, 0.2):
+            assert loss(model.w + step * np.eye(6)[k], model.theta) > best
+    assert all(loss(model.w, model.theta + s) > best for s in (-0.2, 0.2))
+
+
+def test_quality_features_equal_plain_ones(spark):
+    """Context sums and pooled features, from the buckets of words and shapes, by loops."""
+    from corpusjobs.llm.common import pieces, utf8
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(12)
+    texts, index = [r.text for r in docs.select("text").collect()] + [None, " \n", "Ab ab AB12 12 %% %% \u00e9\u00e9"], quality.index_vectors()
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    vectors = quality.word_vectors(rows)
+    import pyarrow as pa
+
+    items, sums, own = {}, np.zeros((quality.ITEMS, quality.SIZE)), []
+    for t in texts:
+        ((_, _, data, off),) = pieces(*utf8(pa.array([t], pa.string())))
+        word, shape, _ = quality.items_of(data, off)
+        said = spaced(t)
+        assert len(word) == len(said) == len(shape)
+        for w, k in zip(said, word):
+            assert items.setdefault(w, k) == k  # equal words, equal buckets
+        own.append((word, shape))
+        for i in range(len(word)):
+            for j in range(max(0, i - 2), min(len(word), i + 3)):
+                if i != j:
+                    sums[word[i]] += index[word[j]] + index[shape[j]]
+                    sums[shape[i]] += index[word[j]] + index[shape[j]]
+    assert (np.abs(index).sum(axis=1) <= 4).all()
+    length = np.linalg.norm(sums, axis=1, keepdims=True)
+    want = np.where(length > 0, sums / np.where(length == 0, 1, length), 0)
+    want[length[:, 0] > 0] -= want[length[:, 0] > 0].mean(axis=0)
+    assert np.allclose(vectors, want, atol=1e-5)
+    for t, (word, shape) in zip(texts, own):
+        ((_, _, data, off),) = pieces(*utf8(pa.array([t], pa.string())))
+        got = quality.pooled(data, off, vectors)[0]
+        if not len(word):
+            assert not got.any()
+            continue
+        a, b = vectors[word], vectors[shape]
+        assert np.allclose(got, np.concatenate([a.mean(0), a.std(0), b.mean(0), b.std(0), [np.log1p(len(word)), np.linalg.norm(a.mean(0))]]), atol=1e-3)
+
+
+def test_output_names_may_be_input_names(spark, odd, labels):
+    clash = odd.select("doc_id", "text", *(F.lit(i).alias(c) for i, c in enumerate(("score", "predicted", "held_out", "grade", "toxic", "y", "x", "h", "__text", "node", "component_id", "n_shingles", "sequence_id", "start", "length", "digest", "shard", "offset", "n_tokens", "run", "__node"))))
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    rest = tuple(range(len(clash.columns) - 2))
+    assert same(quality.classify(clash, labels), quality.classify(odd, labels)) and same(toxicity.grade(clash, labels), toxicity.grade(odd, labels))
+    for kept in (quality.classify(clash, labels, keep=True), toxicity.grade(clash, labels, keep=True), jaccard.keep_one(clash)):
+        assert kept.columns == clash.columns and {tuple(r)[2:] for r in kept.collect()} <= {rest}
+    assert same(jaccard.join(clash), jaccard.join(odd))
+    assert same(suffix_tree.score(clash, F.lit(False)), suffix_tree.score(odd, F.lit(False)))
+    number = clash.withColumn("text", F.lit(12345))
+    assert quality.classify(number, labels, keep=True).columns == clash.columns == jaccard.keep_one(number).columns
+
+
+def test_shared_folders(spark, tmp_path):
+    from corpusjobs.llm import common
+
+    class Cluster:
+        conf = {}
+        sparkContext = type("C", (), {"master": "spark://x", "getCheckpointDir": lambda self: None})()
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Cluster, "x")
+    with common.passing():
+        df = common.table_of(spark.range(3), "x")
+        folder = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+        import os
+
+        assert df.count() == 3 and os.path.isdir(folder)
+    assert not os.path.isdir(folder)
+
+
+def test_one_row_of_a_labelled_id_is_fitted(spark):
+    from corpusjobs.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(2, f"t{i % 3}") for i in range(50)] + [(3, "u")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(9)], "doc_id long, toxic int")
+    assert labelled_sample(docs, labels, "toxic", 100, 1, 1).groupBy("doc_id").count().filter("count > 1").count() == 0
+
+
 def test_classifiers(spark, odd, labels):
     got = quality.classify(odd, labels).collect()
     assert len(got) == 10 and all(0 <= r.score <= 1 for r in got)
@@ -341,8 +461,6 @@ def test_classifiers(spark, odd, labels):
 def test_suffix_tree(spark, odd):
     import math
 
-    from pyspark.sql import functions as F
-
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     words = {r.doc_id: [*spaced(r.text), None] for r in docs.collect()}
     count = Counter(w for i, own in words.items() if i % 5 for w in own)
@@ -360,8 +478,6 @@ def test_suffix_tree_equals_a_plain_one(spark):
     """Scores of a tree in one part and in many against dicts; states rise with the input; held-out texts gain by contexts."""
     import math
 
-    from pyspark.sql import functions as F
-
     depth, least = 4, 12
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(60).cache()
     said = {r.doc_id: b"".join(w.encode() + b" " for w in spaced(r.text)) + b"\0" for r in docs.collect()}
@@ -405,8 +521,6 @@ def test_suffix_tree_equals_a_plain_one(spark):
 
 
 def test_suffix_tree_of_many_short_texts(spark):
-    from pyspark.sql import functions as F
-
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
     try:
         docs = spark.range(0, 70_000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"), F.lit(1).alias("score"))
