@@ -6,14 +6,16 @@
 4. decontamination (operator 2): contaminated documents go, others stay as they are.
 5. packing (operator 4): what is left, packed into sequences.
 
-Rows with a null doc_id or one that others share are decided by their texts; an empty table gives no rows.
+Defined cases: a null text counts as empty; empty and very long texts are judged as they are, the latter whole; rows with
+a null doc_id or one that others share are decided by their texts; of repeated rows one stays; ties fall as in the
+operators; an empty table gives no rows; other columns pass through to the packing, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusjobs.llm.common import shared_dir, table
+from corpusjobs.llm.common import passing, shared_dir, table
 from corpusjobs.llm.decontam import drop_contaminated
 from corpusjobs.llm.jaccard import keep_one
 from corpusjobs.llm.packing import pack
@@ -50,9 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = shared_dir(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    docs, result = table(spark, sf_dir, "documents"), shared_dir(spark, "pipeline")
+    with passing():  # what a stage wrote besides its result goes with it, and its result when all are done
+        for k, (name, stage) in enumerate(STAGES, 1):
+            path = shared_dir(spark, f"stage-{name}") if k < len(STAGES) else result
+            with passing():
+                stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs
