@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from .common import REMEMBERED, SPACE_WORDS, Words, _LOWER, fold_of, fs_of, lean, pieces, shared_dir, table, table_of, utf8
 
 DEPTH, LEAST = 6, 256
-PART_CONTEXTS, HELD, HOT_WORDS = 100_000, 16 << 20, 20_000
-RUN_PAIRS, RUN_DOCS, MOST_CODES = 1_200_000, 60_000, 2_000_000
+PART_CONTEXTS, HELD, HOT_WORDS = 200_000, 16 << 20, 20_000
+RUN_WORDS, RUN_DOCS, MOST_CODES, MOST_PAIRS = 2_000_000, 60_000, 2_000_000, 2_000_000
 PIECE = 1 << 19  # bytes that are worked on at once
 
 
@@ -93,7 +93,8 @@ def gather(docs: DataFrame, depth: int) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays(list(map(pa.array, merged(held))), ["code", "n"])
 
-    return docs.mapInArrow(lean(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    # a task's codes differ already, so they are summed after their exchange alone
+    return docs.mapInArrow(lean(run), "code long, n long").repartition("code").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 class SuffixTree:
@@ -246,19 +247,23 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, least: int = LE
     names = ["run", "ord", "doc_id", "held_out", "n_tokens", "n_bytes", "score", "h", "n_train", "pairs", "postings"]
 
     def run(batches):
-        task, number, docs_in, pairs_in = TaskContext.get().partitionId() << 20, 0, 0, 0
-        held: list[tuple] = []
+        task, number, docs_in, words_in = TaskContext.get().partitionId() << 20, 0, 0, 0
+        held, trains = [], []  # of the run: hash and ordinal of each word; whether each text is learned from
         none = lambda n, k: pa.nulls(n, k)
 
         def inverted():
-            h, o, tf, train = (np.concatenate(x) for x in zip(*held))
+            h, o = (np.concatenate(x) for x in zip(*held))
             order = np.argsort(h, kind="stable")  # ordinals ascend already
-            h, o, tf, train = h[order], o[order], tf[order], train[order].astype(np.int64)
+            h, o = h[order], o[order]
+            pair = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])])) if len(h) else np.zeros(0, np.int64)
+            tf = np.diff(np.append(pair, len(h))).astype("<u4")
+            h, o = h[pair], o[pair]
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-            ends = np.append(first[1:], len(h))
+            ends = np.append(first[1:], len(h))[: len(first)]
+            train = tf * np.concatenate(trains).astype(np.int64)[o]
             posts = [o[a:b].tobytes() + tf[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist())]
             n = len(first)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, task + number)), none(n, pa.int32()), none(n, arrow), none(n, pa.bool_()), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.float64()), pa.array(h[first].view(np.int64)), pa.array(np.add.reduceat(train, first) if n else train), pa.array((ends - first)[:n]), pa.array(posts, pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, task + number)), none(n, pa.int32()), none(n, arrow), none(n, pa.bool_()), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.float64()), pa.array(h[first].view(np.int64)), pa.array(np.add.reduceat(train, first) if n else train), pa.array(ends - first), pa.array(posts, pa.binary())], names)
 
         def scored(waiting):
             for (own, total) in zip(waiting, forest.score([w[0] for w in waiting])):
@@ -269,21 +274,18 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, least: int = LE
         waiting, waits = [], 0
         for batch in batches:
             arrow = batch.schema.field(0).type
-            trains = 1 - np.asarray(batch.column(2).cast(pa.int64()))
+            train = ~np.asarray(batch.column(2).cast(pa.int8())).astype(bool)
             for lo, hi, data, off in pieces(*utf8(batch.column(1)), PIECE, RUN_DOCS):
                 n = hi - lo
-                if docs_in + n > RUN_DOCS or pairs_in > RUN_PAIRS:
-                    if held:
-                        yield inverted()
-                    number, docs_in, pairs_in, held = number + 1, 0, 0, []
+                if docs_in + n > RUN_DOCS or words_in > RUN_WORDS:
+                    yield inverted()
+                    number, docs_in, words_in, held, trains = number + 1, 0, 0, [], []
                 words = Words(data, off, SPACE_WORDS)
-                own, back = np.unique(words.h, return_inverse=True)
-                pair, tf = np.unique(words.row * max(1, len(own)) + back, return_counts=True)
-                doc = pair // max(1, len(own))
-                held.append((own[pair % max(1, len(own))], (doc + docs_in).astype("<u2"), tf.astype("<u4"), (tf * trains[lo:hi][doc]).astype("<u4")))
+                held.append((words.h, (words.row + docs_in).astype("<u2")))
+                trains.append(train[lo:hi])
                 tokens, size = np.bincount(words.row, minlength=n) + 1, np.bincount(words.row, words.end - words.start, n).astype(np.int64)
                 waiting.append(((*symbols_of(data, off, words, forest.depth), n), (task + number, docs_in), batch.column(0)[lo:hi], batch.column(2)[lo:hi], tokens, size))
-                docs_in, pairs_in, waits = docs_in + n, pairs_in + len(pair), waits + len(data)
+                docs_in, words_in, waits = docs_in + n, words_in + len(words.h), waits + len(data)
                 if forest.parts == 1 or waits > HELD:
                     yield from scored(waiting)
                     waiting, waits = [], 0
@@ -301,20 +303,33 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, least: int = LE
     cold = posts.join(F.broadcast(hot.select("h")), "h", "left_anti").join(counts.filter(F.col("pairs") * HOT_WORDS <= pairs).select("h", "c").hint("shuffle_hash"), "h").select("run", "postings", "c")
 
     def part(batches):
+        def summed():
+            runs, c = (np.concatenate([np.asarray(batch.column(k)) for batch in held]) for k in (0, 2))
+            raw = [x.as_buffer() for batch in held for x in batch.column(1)]
+            size = np.array([x.size // 6 for x in raw])
+            ords = np.concatenate([np.frombuffer(x, "<u2", n) for x, n in zip(raw, size)])
+            tf = np.concatenate([np.frombuffer(x, "<u4", n, 2 * n) for x, n in zip(raw, size)]).astype(float)
+            own, back = np.unique(runs, return_inverse=True)
+            width = int(ords.max()) + 1
+            key = np.repeat(back.astype(np.int64) * width, size) + ords
+            if len(own) * width > 8 * len(key):
+                cells, key = np.unique(key, return_inverse=True)
+            else:
+                cells = np.arange(len(own) * width)
+            n = np.bincount(key, minlength=len(cells))
+            base, known = np.bincount(key, tf * np.repeat(np.log10(c + 1.0), size), len(cells)), np.bincount(key, tf * np.repeat(c > 0, size), len(cells))
+            met = n > 0
+            return pa.RecordBatch.from_arrays([pa.array(own[cells[met] // width]), pa.array((cells[met] % width).astype(np.int32)), pa.array(base[met]), pa.array(known[met].astype(np.int64))], ["run", "ord", "base", "known"])
+
+        held, pairs = [], 0
         for batch in batches:
-            runs, c, ords, tfs, size = np.asarray(batch.column(0)), np.asarray(batch.column(2)), [], [], []
-            for raw in batch.column(1):
-                raw = raw.as_buffer()
-                n = raw.size // 6
-                ords.append(np.frombuffer(raw, "<u2", n))
-                tfs.append(np.frombuffer(raw, "<u4", n, 2 * n))
-                size.append(n)
-            if not size:
-                continue
-            key = np.repeat(runs, size) * (1 << 16) + np.concatenate(ords)
-            tf, of = np.concatenate(tfs).astype(float), np.repeat(c, size)
-            own, back = np.unique(key, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(own >> 16), pa.array((own & 65535).astype(np.int32)), pa.array(np.bincount(back, tf * np.log10(of + 1.0), len(own))), pa.array(np.bincount(back, tf * (of > 0), len(own)).astype(np.int64))], ["run", "ord", "base", "known"])
+            held.append(batch)
+            pairs += batch.column(1).nbytes // 6
+            if pairs > MOST_PAIRS:
+                yield summed()
+                held, pairs = [], 0
+        if any(batch.num_rows for batch in held):
+            yield summed()
 
     base = warm.unionByName(cold).mapInArrow(lean(part), "run long, ord int, base double, known long").groupBy("run", "ord").agg(F.sum("base").alias("base"), F.sum("known").alias("known"))
     texts = done.filter("h is null").select("run", "ord", "doc_id", "held_out", "n_tokens", "n_bytes", "score")
