@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusjobs.operators.sentences import over_sentences
+from corpusjobs.operators.treebank import first_conjuncts, heads_of
+
 
 def mark(pieces: DataFrame) -> DataFrame:
     """pieces (sent_id, piece_idx, word_idx; null at special pieces) with word_no, first_piece and last_piece.
@@ -49,24 +53,13 @@ def join_phrases(tokens: DataFrame, phrases: DataFrame) -> DataFrame:
 def conjunct_heads(tokens: DataFrame, conjunct: str = "CO") -> DataFrame:
     """sent_id, tok_idx, first_conjunct, coordination_head: the nearest head that is no conjunct, and its head.
 
-    Both are null where there is none. One row of a sentence holds its heads; chains are halved in each round.
+    Both are null where there is none.
     """
 
-    @F.pandas_udf("array<struct<tok_idx: long, first_conjunct: long, coordination_head: long>>")
-    def follow(sentences: pd.Series) -> pd.Series:
-        def one(rows):
-            place = {r["tok_idx"]: k for k, r in enumerate(rows)}
-            none = len(rows)
-            head = np.array([*(place.get(r["head_id"], none) for r in rows), none])
-            passing = np.array([*(r["relation"] == conjunct for r in rows), False])
-            first = head.copy()
-            for _ in range(len(rows).bit_length() + 1):
-                first = np.where(passing[first], first[first], first)
-            first = np.where(passing[first], none, first)  # a circle of conjuncts has no head
-            ids = [*(r["tok_idx"] for r in rows), None]
-            return [{"tok_idx": ids[k], "first_conjunct": ids[first[k]], "coordination_head": ids[head[first[k]]]} for k in range(none)]
-
-        return sentences.map(one)
-
-    rows = tokens.groupBy("sent_id").agg(F.collect_list(F.struct("tok_idx", "head_id", "relation")).alias("s"))
-    return rows.select("sent_id", F.explode(follow("s")).alias("t")).select("sent_id", "t.*")
+    def work(ids, sent, c):
+        head = heads_of(sent, np.asarray(c["tok_idx"]), np.asarray(c["head_id"].fill_null(0)))
+        first = first_conjuncts(head, np.asarray(pc.equal(c["relation"].fill_null(""), conjunct)))
+        at = lambda x: c["tok_idx"].take(pa.array(x, mask=x < 0))
+        return {"sent_id": ids.take(pa.array(sent)), "tok_idx": c["tok_idx"], "first_conjunct": at(first), "coordination_head": at(np.where(first < 0, -1, head[first]))}
+
+    return over_sentences(tokens, ["head_id", "relation"], work, "sent_id long, tok_idx long, first_conjunct long, coordination_head long")

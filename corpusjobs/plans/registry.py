@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusjobs.functions import tagset, text
-from corpusjobs.operators import association, edit_trees, evaluation, lexicon, neighbours, treebank
+from corpusjobs.operators import association, edit_trees, evaluation, lexicon, neighbours, sentences, treebank
 from corpusjobs.operators import pieces as word_pieces
 from corpusjobs.plans.derive import PARALLEL_SQL, TOKENS_SQL, parallel, pieces, table, tokens
 from corpusjobs.sources.readers import conllu_lines
@@ -62,9 +62,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return association.best(own.select("src", "tgt", "n", places(F.col("pmi")).alias("pmi")), "pmi", 3)
 
 
-_PHRASES_SQL = TOKENS_SQL + """, f as (select lemma, count(*) as f from d_tokens group by lemma), b as (select lemma as a, lead(lemma) over (partition by sent_id order by tok_idx) as b from d_tokens),
-p as (select a, b, count(*) as n from b where b is not null group by a, b having count(*) >= 5), t as (select count(*) as total from d_tokens),
-q as (select a, b, n, ln((n / total) / ((x.f / total) * (y.f / total))) / -ln(n / total) as npmi from p join f x on x.lemma = a join f y on y.lemma = b, t)
+_PHRASES_SQL = TOKENS_SQL.replace("d_tokens as (", "d_tokens as materialized (") + """, f as (select lemma, count(*) as f from d_tokens group by lemma), b as (select lemma as a, lead(lemma) over (partition by sent_id order by tok_idx) as b from d_tokens),
+p as (select a, b, count(*) as n from b where b is not null group by a, b having count(*) >= 5), q as (select a, b, n, ln((n / total) / ((x.f / total) * (y.f / total))) / -ln(n / total) as npmi from (select *, (select count(*) from d_tokens) as total from p) join f x on x.lemma = a join f y on y.lemma = b)
 """
 
 
@@ -85,11 +84,11 @@ def apply_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Text and tags
 
 
-@query(r"""select doc_id, n, string_split(t, ' ')[1] as first, string_split(t, ' ')[-1] as last from (select doc_id, t, len(string_split(t, ' ')) as n from (
+@query(r"""select doc_id, n, string_split(t, ' ')[1] as first, string_split(t, ' ')[-1] as last, md5(replace(t, ' ', chr(10))) as digest from (select doc_id, t, len(string_split(t, ' ')) as n from (
 select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '([.,—"·;()‑“”„‘«»ʽ:•˙（）†\x{387}\x{37e}\x{b7}])|--', ' \1 ', 'g'), '[\s\x0B\x85\p{Z}]+', ' ', 'g'), '^ | $', '', 'g') as t from documents))""")
 def tokenize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"))
-    return own.select("doc_id", F.size("t").cast("long").alias("n"), F.element_at("t", 1).alias("first"), F.element_at("t", -1).alias("last"))
+    return own.select("doc_id", F.size("t").cast("long").alias("n"), F.element_at("t", 1).alias("first"), F.element_at("t", -1).alias("last"), F.md5(F.array_join("t", "\n")).alias("digest"))
 
 
 @query(r"""select doc_id, md5(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(replace(regexp_replace(regexp_replace(text, '[\x{1fbd}''\x{2bc}\x{b4}]', '’', 'g'), '[\x{2011}\x{2014}]', '—', 'g'), '--', '—'), '[\x{201c}\x{201d}\x{201e}\x{2018}\x{ab}\x{bb}\x{2bd}]', '"', 'g'), chr(894), ';'), chr(65288), '('), chr(65289), ')'), '[:\x{b7}\x{2022}\x{2d9}]', chr(903), 'g'), '\x{387}', chr(903), 'g')) as folded from documents""")
@@ -133,21 +132,20 @@ def conllu_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conllu_lines(tokens(spark, sf_dir)).select("sent_id", F.md5("block").alias("block"))
 
 
-@query(TOKENS_SQL + """select form, cast(sum(pos) as bigint) as places, count(*) as n from (select form, tok_idx as pos, concat_ws(' ', lag(form) over w, '[' || form || ']', lead(form) over w) as window from d_tokens window w as (partition by sent_id order by tok_idx)) group by form""")
+_WINDOWS_SQL = TOKENS_SQL + """, d_near as (select sent_id, tok_idx, count(*) over (partition by sent_id) as n, array_to_string(list(form) over (partition by sent_id order by tok_idx rows between 5 preceding and 5 following), ' ') as near from d_tokens)
+select sent_id, tok_idx, CONTEXT as context from (select *, case when tok_idx > 6 then '... ' else '' end || near || case when tok_idx + 5 < n then ' ...' else '' end as context from d_near)"""
+
+
+@query(_WINDOWS_SQL.replace("CONTEXT", "md5(context)"))
 def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = Window.partitionBy("sent_id").orderBy("tok_idx")
-    rows = tokens(spark, sf_dir).select("form", F.col("tok_idx").alias("pos"), F.concat_ws(" ", F.lag("form").over(own), F.concat(F.lit("["), "form", F.lit("]")), F.lead("form").over(own)).alias("window"))
-    return rows.groupBy("form").agg(F.sum("pos").alias("places"), F.count("*").alias("n"))
+    """A digest of each token's window, five tokens on either side."""
+    return sentences.window_of(tokens(spark, sf_dir)).withColumn("context", F.md5("context"))
 
 
-@query(TOKENS_SQL + """, d_near as (select sent_id, tok_idx, count(*) over (partition by sent_id) as n, array_to_string(list(form) over (partition by sent_id order by tok_idx rows between 5 preceding and 5 following), ' ') as near from d_tokens)
-select sent_id, tok_idx, case when tok_idx > 6 then '... ' else '' end || near || case when tok_idx + 5 < n then ' ...' else '' end as context from d_near""")
+@query(_WINDOWS_SQL.replace("CONTEXT", "context"))
 def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each token with the five on either side, and '...' where the sentence goes on."""
-    whole = Window.partitionBy("sent_id")
-    near = F.collect_list("form").over(whole.orderBy("tok_idx").rowsBetween(-5, 5))
-    rows = tokens(spark, sf_dir).select("sent_id", "tok_idx", F.array_join(near, " ").alias("near"), F.count("*").over(whole).alias("n"))
-    return rows.select("sent_id", "tok_idx", F.concat(F.when(F.col("tok_idx") > 6, "... ").otherwise(""), "near", F.when(F.col("tok_idx") + 5 < F.col("n"), " ...").otherwise("")).alias("context"))
+    return sentences.window_of(tokens(spark, sf_dir))
 
 
 # Trees
@@ -155,10 +153,7 @@ def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(TOKENS_SQL + "select t.sent_id, t.tok_idx, h.lemma as head_lemma, g.tok_idx as second_idx from d_tokens t left join d_tokens h on h.sent_id = t.sent_id and h.tok_idx = t.head_id left join d_tokens g on g.sent_id = t.sent_id and g.tok_idx = h.head_id")
 def resolve_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = tokens(spark, sf_dir)
-    up = treebank.with_head(own)
-    second = treebank.named(own, "g").withColumnRenamed("sent_id", "gs")
-    return up.join(second, F.expr("sent_id = gs and h_head_id = g_tok_idx"), "left").select("sent_id", F.col("tok_tok_idx").alias("tok_idx"), F.col("h_lemma").alias("head_lemma"), F.col("g_tok_idx").alias("second_idx"))
+    return treebank.resolved(tokens(spark, sf_dir)).select("sent_id", "tok_idx", "head_lemma", "second_idx")
 
 
 @query(TOKENS_SQL + "select sent_id, head_id as tok_idx, count(*) as n, string_agg(cast(tok_idx as varchar), ',' order by tok_idx) as children from d_tokens where head_id > 0 group by sent_id, head_id")
@@ -166,27 +161,30 @@ def children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treebank.children(tokens(spark, sf_dir)).select("sent_id", "tok_idx", F.size("children").cast("long").alias("n"), F.array_join("children", ",").alias("children"))
 
 
-_CONTEXTS_SQL = TOKENS_SQL + """, ok as (select *, upos <> 'PUNCT' as valid, relation = 'AuxP' as bridge from d_tokens),
+_CONTEXTS_SQL = TOKENS_SQL.replace("with ", "with recursive ", 1) + """, ok as (select *, upos <> 'PUNCT' as valid, relation = 'AuxP' as bridge from d_tokens),
+up as (select t.sent_id, t.tok_idx, t.lemma, t.head_id as first from ok t join ok h on h.sent_id = t.sent_id and h.tok_idx = t.head_id where t.relation = 'CO' and h.valid
+ union all select up.sent_id, up.tok_idx, up.lemma, h.head_id from up join ok h on h.sent_id = up.sent_id and h.tok_idx = up.first where h.relation = 'CO'),
+co as (select up.* from up join ok f on f.sent_id = up.sent_id and f.tok_idx = up.first where f.relation <> 'CO'),
 c as (
 select h.lemma as word, case when t.relation = 'CO' then 'Cd_' else 'C_' end || t.lemma as context from ok t join ok h on h.sent_id = t.sent_id and h.tok_idx = t.head_id where t.valid
 union all select g.lemma, case when t.relation = 'CO' then 'Cd_' else 'C_' end || t.lemma from ok t join ok h on h.sent_id = t.sent_id and h.tok_idx = t.head_id join ok g on g.sent_id = t.sent_id and g.tok_idx = h.head_id where t.valid and h.valid and h.bridge
 union all select t.lemma, case when h.relation <> 'AuxP' and t.relation = 'CO' then 'Cd_' else 'H_' end || h.lemma from ok t join ok h on h.sent_id = t.sent_id and h.tok_idx = t.head_id where h.valid
-union all select t.lemma, case when t.relation = 'CO' then 'Cd_' else 'H_' end || g.lemma from ok t join ok h on h.sent_id = t.sent_id and h.tok_idx = t.head_id join ok g on g.sent_id = t.sent_id and g.tok_idx = h.head_id where g.valid and h.valid and h.bridge),
+union all select t.lemma, case when t.relation = 'CO' then 'Cd_' else 'H_' end || g.lemma from ok t join ok h on h.sent_id = t.sent_id and h.tok_idx = t.head_id join ok g on g.sent_id = t.sent_id and g.tok_idx = h.head_id where g.valid and h.valid and h.bridge
+union all select t.lemma, case when (case when g.relation = 'AuxP' then g.relation else f.relation end) = 'CO' then 'Cd_' else 'H_' end || g.lemma from co t join ok f on f.sent_id = t.sent_id and f.tok_idx = t.first join ok g on g.sent_id = t.sent_id and g.tok_idx = f.head_id where g.valid
+union all select t.lemma, 'H_' || r.lemma from co t join ok f on f.sent_id = t.sent_id and f.tok_idx = t.first join ok g on g.sent_id = t.sent_id and g.tok_idx = f.head_id join ok r on r.sent_id = t.sent_id and r.tok_idx = g.head_id where g.valid and g.bridge and r.valid),
 n as (select word, context, count(*) as n from c group by word, context), w as (select lemma as word, count(*) as w from d_tokens group by lemma), k as (select context, sum(n) as c from n group by context)
 """
 
 
 @query(_CONTEXTS_SQL + "select word, context, n from n")
 def word_context_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = tokens(spark, sf_dir)
-    return treebank.counts(treebank.contexts(own), own.select(F.col("lemma").alias("word")))[0]
+    return treebank.contexts(tokens(spark, sf_dir)).groupBy("word", "context").agg(F.count("*").alias("n"))
 
 
 @query(_CONTEXTS_SQL + """, t as (select sum(w) as total from w) select word, context, n, round(greatest(log2((n / total) / ((w / total) * (c / total))), 0), 6) as ppmi
 from n join w using (word) join k using (context), t where w >= 20 and c >= 20""")
 def reduced_ppmi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = tokens(spark, sf_dir)
-    pairs, words, contexts = treebank.counts(treebank.contexts(own), own.select(F.col("lemma").alias("word")))
+    pairs, words, contexts = treebank.counted(treebank.contexts(tokens(spark, sf_dir), targets=True))
     kept = treebank.reduce(pairs, words, contexts, 20, 20)
     return treebank.ppmi(kept, words, contexts).withColumn("ppmi", places(F.col("ppmi")))
 
