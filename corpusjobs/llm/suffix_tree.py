@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import REMEMBERED, SPACE_WORDS, Words, _LOWER, fold_of, fs_of, lean, pieces, shared_dir, table, table_of, utf8
 
 DEPTH, LEAST = 6, 256
-PART_CONTEXTS, HELD, HOT_WORDS = 200_000, 16 << 20, 20_000
+PART_CONTEXTS, HELD, HOT_WORDS = 100_000, 16 << 20, 20_000
 RUN_WORDS, RUN_DOCS, MOST_CODES, MOST_PAIRS = 2_000_000, 60_000, 2_000_000, 2_000_000
 PIECE = 1 << 19  # bytes that are worked on at once
 
@@ -93,8 +93,7 @@ def gather(docs: DataFrame, depth: int) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays(list(map(pa.array, merged(held))), ["code", "n"])
 
-    # a task's codes differ already, so they are summed after their exchange alone
-    return docs.mapInArrow(lean(run), "code long, n long").repartition("code").groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(lean(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 class SuffixTree:
@@ -239,12 +238,25 @@ def fit(train: DataFrame, depth: int = DEPTH, least: int = LEAST, part_contexts:
     return Forest(folder, max(1, told[0]), part_of, told[1], depth)
 
 
+def _cut(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column: the values between each two ends."""
+    offsets = (ends * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _joined(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a binary column without nulls, all in one, and their number in each row."""
+    _, offsets, data = column.buffers()
+    off = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[off[0] : off[-1]].view(kind), np.diff(off) // np.dtype(kind).itemsize
+
+
 def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, least: int = LEAST, part_contexts: int = PART_CONTEXTS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes."""
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), held_out.alias("held_out"))
     forest = fit(rows.filter(~F.col("held_out")).select("text"), depth, least, part_contexts)
     kind = dict(docs.dtypes)["doc_id"]
-    names = ["run", "ord", "doc_id", "held_out", "n_tokens", "n_bytes", "score", "h", "n_train", "pairs", "postings"]
+    names = ["run", "ord", "doc_id", "held_out", "n_tokens", "n_bytes", "score", "h", "n_train", "pairs", "ords", "tfs"]
 
     def run(batches):
         task, number, docs_in, words_in = TaskContext.get().partitionId() << 20, 0, 0, 0
@@ -261,15 +273,14 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, least: int = LE
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
             ends = np.append(first[1:], len(h))[: len(first)]
             train = tf * np.concatenate(trains).astype(np.int64)[o]
-            posts = [o[a:b].tobytes() + tf[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist())]
             n = len(first)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, task + number)), none(n, pa.int32()), none(n, arrow), none(n, pa.bool_()), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.float64()), pa.array(h[first].view(np.int64)), pa.array(np.add.reduceat(train, first) if n else train), pa.array(ends - first), pa.array(posts, pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, task + number)), none(n, pa.int32()), none(n, arrow), none(n, pa.bool_()), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.float64()), pa.array(h[first].view(np.int64)), pa.array(np.add.reduceat(train, first) if n else train), pa.array(ends - first), _cut(o, np.append(first, len(o))), _cut(tf, np.append(first, len(tf)))], names)
 
         def scored(waiting):
             for (own, total) in zip(waiting, forest.score([w[0] for w in waiting])):
                 at, ids, flags, tokens, size = own[1:]
                 n = len(total)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, at[0])), pa.array(np.arange(at[1], at[1] + n, dtype=np.int32)), ids, flags, pa.array(tokens), pa.array(size), pa.array(total), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, at[0])), pa.array(np.arange(at[1], at[1] + n, dtype=np.int32)), ids, flags, pa.array(tokens), pa.array(size), pa.array(total), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.binary()), none(n, pa.binary())], names)
 
         waiting, waits = [], 0
         for batch in batches:
@@ -294,21 +305,19 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, least: int = LE
         if held:
             yield inverted()
 
-    done = table_of(rows.mapInArrow(lean(run, "suffix tree"), f"run long, ord int, doc_id {kind}, held_out boolean, n_tokens long, n_bytes long, score double, h long, n_train long, pairs long, postings binary"), "scored")
-    posts = done.filter("h is not null").select("run", "h", "postings")
+    done = table_of(rows.mapInArrow(lean(run, "suffix tree"), f"run long, ord int, doc_id {kind}, held_out boolean, n_tokens long, n_bytes long, score double, h long, n_train long, pairs long, ords binary, tfs binary"), "scored")
+    posts = done.filter("h is not null").select("run", "h", "ords", "tfs")
     counts = table_of(done.filter("h is not null").groupBy("h").agg(F.sum("n_train").alias("c"), F.sum("pairs").alias("pairs")), "words")
     words, distinct, pairs = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
     hot = counts.filter(F.col("pairs") * HOT_WORDS > pairs).select("h", "c")  # fewer than HOT_WORDS
-    warm = posts.join(F.broadcast(hot), "h").select("run", "postings", "c")
-    cold = posts.join(F.broadcast(hot.select("h")), "h", "left_anti").join(counts.filter(F.col("pairs") * HOT_WORDS <= pairs).select("h", "c").hint("shuffle_hash"), "h").select("run", "postings", "c")
+    warm = posts.join(F.broadcast(hot), "h").select("run", "ords", "tfs", "c")
+    cold = posts.join(F.broadcast(hot.select("h")), "h", "left_anti").join(counts.filter(F.col("pairs") * HOT_WORDS <= pairs).select("h", "c").hint("shuffle_hash"), "h").select("run", "ords", "tfs", "c")
 
     def part(batches):
         def summed():
-            runs, c = (np.concatenate([np.asarray(batch.column(k)) for batch in held]) for k in (0, 2))
-            raw = [x.as_buffer() for batch in held for x in batch.column(1)]
-            size = np.array([x.size // 6 for x in raw])
-            ords = np.concatenate([np.frombuffer(x, "<u2", n) for x, n in zip(raw, size)])
-            tf = np.concatenate([np.frombuffer(x, "<u4", n, 2 * n) for x, n in zip(raw, size)]).astype(float)
+            runs, c = (np.concatenate([np.asarray(batch.column(k)) for batch in held]) for k in (0, 3))
+            ords, size = (np.concatenate(x) for x in zip(*(_joined(batch.column(1), "<u2") for batch in held)))
+            tf = np.concatenate([_joined(batch.column(2), "<u4")[0] for batch in held]).astype(float)
             own, back = np.unique(runs, return_inverse=True)
             width = int(ords.max()) + 1
             key = np.repeat(back.astype(np.int64) * width, size) + ords
@@ -323,12 +332,14 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, least: int = LE
 
         held, pairs = [], 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
             held.append(batch)
-            pairs += batch.column(1).nbytes // 6
+            pairs += batch.column(1).nbytes // 2
             if pairs > MOST_PAIRS:
                 yield summed()
                 held, pairs = [], 0
-        if any(batch.num_rows for batch in held):
+        if held:
             yield summed()
 
     base = warm.unionByName(cold).mapInArrow(lean(part), "run long, ord int, base double, known long").groupBy("run", "ord").agg(F.sum("base").alias("base"), F.sum("known").alias("known"))
