@@ -119,3 +119,41 @@ def sentence_text(forms: Column, at: Column | None = None) -> Column:
     if at is None:
         return F.concat_ws(" ", forms)
     return F.concat_ws(" ", F.transform(forms, lambda x, i: F.when(i + 1 == at, F.concat(F.lit("["), x, F.lit("]"))).otherwise(x)))
+
+
+# Which part of speech stands for several words, lower ones first.
+POS_ORDER = {"VERB": 1, "PROPN": 2, "NOUN": 3, "INTJ": 3, "PRON": 4, "PTCP": 5, "ADJ": 5, "NUM": 5, "ADV": 6, "ADP": 7, "SCONJ": 7, "DET": 8, "CCONJ": 8, "X": 8, "PART": 8, "PUNCT": 8, "SYM": 8, "AUX": 8}
+
+
+def multiword_pos(tags: Column) -> Column:
+    """Of an array of parts of speech the one that stands for all, the first of equals; '' where none is known."""
+    order = F.create_map(*(F.lit(x) for pair in POS_ORDER.items() for x in pair))
+    ranked = F.transform(tags, lambda t, i: F.struct(F.coalesce(F.element_at(order, t), F.lit(1000)).alias("r"), i.alias("i"), t.alias("t")))
+    best = F.array_min(ranked)
+    return F.when(best["r"] < 1000, best["t"]).otherwise("")
+
+
+def feature_key(pos: Column, feats: Column) -> Column:
+    """pos_feats, or what there is of both."""
+    return F.when(pos.isNotNull() & feats.isNotNull(), F.concat_ws("_", pos, feats)).otherwise(pos)
+
+
+def mean_of(vectors: Column) -> Column:
+    """The mean of an array of vectors."""
+    total = sum_of(vectors)
+    return F.transform(total, lambda x: x / F.size(vectors))
+
+
+def sum_of(vectors: Column) -> Column:
+    """The sum of an array of vectors (layers), number by number."""
+    first = F.transform(F.get(vectors, F.lit(0)), lambda x: F.lit(0.0))
+    return F.aggregate(vectors, first, lambda a, v: F.zip_with(a, v, lambda x, y: x + y.cast("double")))
+
+
+def concat_of(vectors: Column) -> Column:
+    """Layers one after the other."""
+    return F.flatten(vectors)
+
+
+def rounded(vector: Column, places: int) -> Column:
+    return F.transform(vector, lambda x: F.round(x, places))

@@ -65,3 +65,65 @@ def dictionary_lemmas(tokens: DataFrame) -> DataFrame:
     """form, lemma, n: the most frequent lemma of each form, ties to the one seen first (least seq)."""
     own = tokens.groupBy("form", "lemma").agg(F.count("*").alias("n"), F.min("seq").alias("seq"))
     return own.groupBy("form").agg(F.max(F.struct("n", (-F.col("seq")).alias("s"), "lemma")).alias("m")).select("form", "m.lemma", "m.n")
+
+
+def possible_tags(tokens: DataFrame, features: list[str], given: DataFrame | None = None) -> DataFrame:
+    """The different tags of tokens (absent features '_') and of a given list, in the features' order."""
+    own = tokens.select(*(F.coalesce(F.col(f), F.lit("_")).alias(f) for f in features))
+    return (own if given is None else given.select(*features).unionByName(own)).distinct()
+
+
+def with_corpus(lexicon: DataFrame, tokens: DataFrame, features: list[str]) -> DataFrame:
+    """form, tags: the different tags of each form in a lexicon and in a corpus (form and features)."""
+    columns = ["form", *features]
+    rows = lexicon.select(*columns).unionByName(tokens.select("form", *(F.coalesce(F.col(f), F.lit("_")).alias(f) for f in features))).distinct()
+    return rows.groupBy("form").agg(F.sort_array(F.collect_list(F.struct(*features))).alias("tags"))
+
+
+def trimmed(tags: DataFrame, features: list[str]) -> DataFrame:
+    """form, tag (array of feat, val): tags cut to some features, in their order, different ones only."""
+    kept = F.filter(F.transform(F.array(*map(F.lit, features)), lambda f: F.get(F.filter("tag", lambda x: x["feat"] == f), F.lit(0))), lambda x: x.isNotNull())
+    return tags.select("form", kept.alias("tag")).distinct()
+
+
+def ranked_tags(candidates: DataFrame, k: int | None = None) -> DataFrame:
+    """candidates (sent_id, tok_idx, p, seq) with rank, by p and then seq; the first k of each token if given."""
+    rank = F.row_number().over(Window.partitionBy("sent_id", "tok_idx").orderBy(F.desc("p"), "seq"))
+    rows = candidates.withColumn("rank", rank)
+    return rows if k is None else rows.filter(F.col("rank") <= k)
+
+
+def independent_tags(probabilities: DataFrame) -> DataFrame:
+    """sent_id, tok_idx, tag (map), p: the likeliest value of each feature (feat, value, prob) and their product."""
+    best = probabilities.groupBy("sent_id", "tok_idx", "feat").agg(F.min(F.struct((-F.col("prob")).alias("p"), "value")).alias("b"))
+    own = best.groupBy("sent_id", "tok_idx").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("feat", F.col("b.value"))))).alias("tag"), F.product(-F.col("b.p")).alias("p"))
+    return own
+
+
+def lemma_options(entries: DataFrame, keys: list[str], pos: str, function_words: tuple[str, ...] = ()) -> DataFrame:
+    """keys, lemmas: the set of lemmas of each key; parts of speech of function words are one."""
+    own = entries.withColumn(pos, F.when(F.col(pos).isin(*function_words), "function_word").otherwise(F.col(pos))) if function_words else entries
+    return own.groupBy(*keys).agg(F.sort_array(F.collect_set("lemma")).alias("lemmas"))
+
+
+def form_tag_lemmas(tokens: DataFrame, form: str = "form", tag: str = "tag") -> DataFrame:
+    """form, tag, lemma, n, seq: how often a form has a lemma under a tag, and where first."""
+    return tokens.groupBy(F.col(form).alias("form"), F.col(tag).alias("tag"), "lemma").agg(F.count("*").alias("n"), F.min("seq").alias("seq"))
+
+
+def lemmatize(tokens: DataFrame, counts: DataFrame) -> DataFrame:
+    """tokens (form, tag) with lemma: the commonest under form and tag, ties to the first seen; the form where unknown."""
+    best = counts.groupBy("form", "tag").agg(F.max(F.struct("n", (-F.col("seq")).alias("s"), "lemma")).alias("m"))
+    return tokens.join(best, ["form", "tag"], "left").withColumn("lemma", F.coalesce("m.lemma", "form")).drop("m")
+
+
+def lemmas_by_lexicon(tokens: DataFrame, lexicon: DataFrame, counts: DataFrame, keys: list[str], fallback: str = "fallback") -> DataFrame:
+    """tokens with lemma and possibilities: of a key's options the commonest for it, on a tie overall; else the fallback.
+
+    lexicon: keys and lemma; counts: as lemma_counts() gives them for the keys.
+    """
+    options = lexicon.select(*keys, "lemma").distinct()
+    best = choose_lemmas(options, counts, keys).withColumnRenamed("lemma", "_l")
+    listed = options.groupBy(*keys).agg(F.sort_array(F.collect_set("lemma")).alias("possibilities"))
+    out = tokens.join(best, keys, "left").join(listed, keys, "left")
+    return out.withColumn("lemma", F.coalesce("_l", F.col(fallback))).drop("_l")
