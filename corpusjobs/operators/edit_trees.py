@@ -33,11 +33,14 @@ def _common(form: str, lemma: str) -> list[tuple[int, int, int]]:
 
 
 @cache
-def _best(form: str, lemma: str) -> tuple[int, tuple]:
-    """Replaced characters and the cheapest tree: ('r', input, output) or ('m', left length, left, right length, right)."""
+def _best(form: str, lemma: str, depth: int = -1) -> tuple[int, tuple]:
+    """Replaced characters and the cheapest tree: ('r', input, output) or ('m', left length, left, right length, right).
+
+    At depth 0 what is left is replaced whole; a negative depth has no limit.
+    """
     options = []
-    for i, j, n in _common(form, lemma):
-        sides = [_best(a, b) if a or b else (0, None) for a, b in ((form[:i], lemma[:j]), (form[i + n :], lemma[j + n :]))]
+    for i, j, n in _common(form, lemma) if depth else []:
+        sides = [_best(a, b, depth - 1) if a or b else (0, None) for a, b in ((form[:i], lemma[:j]), (form[i + n :], lemma[j + n :]))]
         options.append((sides[0][0] + sides[1][0], ("m", i, sides[0][1], len(form) - i - n, sides[1][1])))
     return min(options, key=lambda o: o[0]) if options else (len(form) + len(lemma), ("r", form, lemma))
 
@@ -61,8 +64,8 @@ def _segments(tree: tuple | None, length: int | None) -> list:
     return [*_segments(left, left_length), middle, *_segments(right, right_length)]
 
 
-def _rule(form: str, lemma: str) -> tuple[str, str, str, str]:
-    _, tree = _best(form, lemma)
+def _rule(form: str, lemma: str, depth: int) -> tuple[str, str, str, str]:
+    _, tree = _best(form, lemma, depth)
     segments = _segments(tree, None)
     pattern, replacement, group = "(?s)^", "", 0
     for s in segments:
@@ -78,22 +81,22 @@ def _rule(form: str, lemma: str) -> tuple[str, str, str, str]:
     return _printed(tree), pattern + r"\z", replacement, f">{tail}" if tail else f"<{head}"
 
 
-def rule(form: Column, lemma: Column) -> Column:
+def rule(form: Column, lemma: Column, depth: int = -1) -> Column:
     """Struct of the printed tree, its pattern and replacement, and the key: '>' and the literal end, or '<' and the start."""
 
     @F.pandas_udf(TREE)
     def build(forms: pd.Series, lemmas: pd.Series) -> pd.DataFrame:
-        rows = [_rule(f, le) for f, le in zip(forms, lemmas)]
+        rows = [_rule(f, le, depth) for f, le in zip(forms, lemmas)]
         _best.cache_clear()
         return pd.DataFrame(rows, columns=["tree", "pattern", "replacement", "key"])
 
     return build(form, lemma)
 
 
-def trees(pairs: DataFrame) -> DataFrame:
+def trees(pairs: DataFrame, depth: int = -1) -> DataFrame:
     """form, lemma, n, tree, pattern, replacement, key of pairs (form, lemma); each different pair is built once."""
     own = pairs.filter("form is not null and lemma is not null").groupBy("form", "lemma").agg(F.count("*").alias("n"))
-    return own.withColumn("t", rule(F.col("form"), F.col("lemma"))).select("form", "lemma", "n", "t.*")
+    return own.withColumn("t", rule(F.col("form"), F.col("lemma"), depth)).select("form", "lemma", "n", "t.*")
 
 
 def frequent(own: DataFrame, least: int = 5) -> DataFrame:
@@ -123,3 +126,8 @@ def unknown_lemmas(forms: DataFrame, rules: DataFrame, known: DataFrame) -> Data
     """form, lemma: of the results that are known lemmas (lemma, n), the most frequent; ties by the lemma."""
     own = apply(forms.select("form").distinct(), rules).join(known, "lemma")
     return own.groupBy("form").agg(F.min(F.struct((-F.col("n")).alias("n"), "lemma")).alias("b")).select("form", "b.lemma")
+
+
+def tree_lines(own: DataFrame) -> DataFrame:
+    """line: form, lemma and tree of trees()."""
+    return own.select(F.concat_ws("\t", "form", "lemma", "tree").alias("line"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+MOST_TAGS = 10_000
+
 
 def inventory(tokens: DataFrame) -> DataFrame:
     """feat, value, n: values of each feature; tokens: upos, feats (map)."""
@@ -23,22 +25,31 @@ def unknown(tokens: DataFrame, lexicon: DataFrame, keys: list[str]) -> DataFrame
 
 
 def candidate_tags(tokens: DataFrame, lexicon: DataFrame, possible: DataFrame) -> DataFrame:
-    """Each token with the tags of its form, or with all possible tags where the lexicon has none."""
+    """Each token with the tags of its form, or with all possible tags where the lexicon has none.
+
+    A tag list is small and rides along as one array; one that isn't (`MOST_TAGS`) is refused, since each unknown token
+    is repeated for each of its tags.
+    """
     known = tokens.join(lexicon, "form")
-    rest = tokens.join(lexicon.select("form").distinct(), "form", "left_anti").crossJoin(possible)  # a tag list is small
-    return known.unionByName(rest)
+    listed = possible.limit(MOST_TAGS + 1).collect()
+    if len(listed) > MOST_TAGS:
+        raise ValueError(f"more than {MOST_TAGS} possible tags")
+    tags = F.explode(F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(possible.columns, r))) for r in listed))).alias("_t") if listed else None
+    rest = tokens.join(lexicon.select("form").distinct(), "form", "left_anti")
+    return known if tags is None else known.unionByName(rest.select("*", tags).select(*tokens.columns, "_t.*"))
 
 
-def choose_tags(candidates: DataFrame, probabilities: DataFrame, features: list[str]) -> DataFrame:
-    """sent_id, tok_idx, the features of the best tag, p and num_poss; ties by the features in order.
+def choose_tags(candidates: DataFrame, features: list[str], probabilities: DataFrame | None = None, places: int = 9) -> DataFrame:
+    """sent_id, tok_idx, the features of the best tag, p (to some places) and num_poss; ties by the features in order.
 
-    probabilities: sent_id, tok_idx, probs (map of 'feat=value' to p), which ride along, so tags aren't exploded.
+    candidates: sent_id, tok_idx and features. Probabilities of 'feat=value' are a map probs, of the candidates or, by
+    token, of another table; it rides along, so tags aren't exploded. A value that the map lacks has probability 0.
     """
+    rows = candidates if probabilities is None else candidates.join(probabilities, ["sent_id", "tok_idx"])
     p = F.lit(1.0)
     for f in features:
         p = p * F.coalesce(F.element_at("probs", F.concat(F.lit(f + "="), F.col(f))), F.lit(0.0))
-    rows = candidates.join(probabilities, ["sent_id", "tok_idx"]).withColumn("p", p)
-    order = F.struct((-F.col("p")).alias("p"), *features)
+    order = F.struct((-F.round(p, places)).alias("p"), *features)
     best = rows.groupBy("sent_id", "tok_idx").agg(F.min(order).alias("best"), F.count("*").alias("num_poss"))
     return best.select("sent_id", "tok_idx", *(F.col(f"best.{f}") for f in features), (-F.col("best.p")).alias("p"), "num_poss")
 

@@ -300,18 +300,15 @@ def constrained_tags_crossfit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _constrained(own: DataFrame, half: int) -> DataFrame:
     lex = _lexicon(own, 1 - half)
-    test = own.filter(F.col("doc_id") % 2 == half).select("sent_id", "tok_idx", "form")
     weight = lambda k: (F.lit(1) + (F.col("tok_idx") * 3 + k * 5) % 7).cast("double")
     parts = []
     for feat, values in (("upos", ["PUNCT", "adjective", "noun", "preposition", "verb"]), ("case", ["_", "acc", "gen", "nom"])):
         total = sum((weight(k) for k in range(1, len(values))), weight(0))
         for k, v in enumerate(values):
             parts += [F.lit(f"{feat}={v}"), weight(k) / total]
-    candidates = lexicon.candidate_tags(test, lex, lex.select("upos", "case").distinct())
-    p = F.create_map(*parts)
-    score = F.element_at(p, F.concat(F.lit("upos="), "upos")) * F.element_at(p, F.concat(F.lit("case="), "case"))
-    best = candidates.groupBy("sent_id", "tok_idx").agg(F.min(F.struct((-F.round(score, 9)).alias("p"), "upos", "case")).alias("b"), F.count("*").alias("num_poss"))
-    return best.select("sent_id", "tok_idx", "b.upos", "b.case", F.round(-F.col("b.p"), 6).alias("p"), "num_poss")
+    test = own.filter(F.col("doc_id") % 2 == half).select("sent_id", "tok_idx", "form", F.create_map(*parts).alias("probs"))
+    best = lexicon.choose_tags(lexicon.candidate_tags(test, lex, lex.select("upos", "case").distinct()), ["upos", "case"])
+    return best.withColumn("p", F.round("p", 6))
 
 
 @query(TOKENS_SQL + "select upos, lemma, count(*) as n, true as by_key from d_tokens group by upos, lemma union all select null, lemma, count(*), false from d_tokens group by lemma")

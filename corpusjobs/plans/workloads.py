@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusjobs.functions import text
-from corpusjobs.operators import alignment, association, evaluation, features, lexicon, models, sentences, treebank, trees
+from corpusjobs.functions import betacode, rules, tagset, text
+from corpusjobs.operators import alignment, association, evaluation, features, lexicon, models, report, sentences, treebank, trees
 from corpusjobs.operators import pieces as word_pieces
 from corpusjobs.plans.derive import PARALLEL_SQL, TOKENS_SQL, parallel, pieces, table, tokens
-from corpusjobs.plans.registry import _CONTEXTS_SQL, places, query
+from corpusjobs.plans.registry import _CONTEXTS_SQL, _SWAPPED_SQL, _TAGS_SQL, places, query
+from corpusjobs.plans.registry import _constrained as constrained
 from corpusjobs.sources import writers
 
 
@@ -212,6 +213,68 @@ def tag_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.tag_table(own, ["upos", "voice", "case"])
 
 
+# Rules and reports
+
+GREEK = "".join(betacode.LETTERS)
+LATIN = "".join(betacode.LETTERS.values())
+
+
+@query(TOKENS_SQL + f"select distinct lemma as beta from d_tokens where regexp_full_match(lemma, '[{LATIN}]+')")
+def beta_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words whose letters are those of beta code, written in Greek and brought to beta code, to Greek and back."""
+    own = tokens(spark, sf_dir).filter(F.col("lemma").rlike(f"^[{LATIN}]+$")).select(F.translate("lemma", LATIN, GREEK).alias("form"))
+    there = betacode.word_list(own).select(betacode.from_beta(F.col("beta")).alias("form"))
+    return betacode.word_list(there)
+
+
+_LEMMA_RULES = [{"lemma": "the", "to": "ho"}, {"lemma_like": "ing$", "form_like": "^[a-z]", "to": "-ing"}, {"form_like": "^[A-Z]", "lemma_like": ("^a", "^e"), "to": "Name"}]
+
+
+@query(TOKENS_SQL + """select form, case when lemma = 'the' then 'ho' when regexp_matches(lemma, 'ing$') and regexp_matches(form, '^[a-z]') then '-ing' when regexp_matches(form, '^[A-Z]') and regexp_matches(lemma, '^[ae]') then 'Name' else lemma end as rewritten, count(*) as n from d_tokens group by 1, 2""")
+def rewritten_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lemmas by a table of rules on lemma and form, on different forms only."""
+    own = tokens(spark, sf_dir).groupBy("form", "lemma").agg(F.count("*").alias("n"))
+    return own.select("form", rules.rewrite(F.col("lemma"), F.col("form"), _LEMMA_RULES).alias("rewritten"), "n")
+
+
+_REPORT_SQL = f"""with tagged as (select * from ({_TAGS_SQL}) union all select * from ({_SWAPPED_SQL})), """ + TOKENS_SQL.strip().removeprefix("with ") + """, letter as (select * from (values ('noun', 'n'), ('verb', 'v'), ('adjective', 'a'), ('preposition', 'r'), ('PUNCT', 'u')) v(upos, l)),
+g as (select lemma as form, l || '------' || case case_ when '_' then '-' else substr(case_, 1, 1) end || case when upos = 'adjective' then '-' else '-' end as tag, form as lemma, count(*) as n, min(sent_id * 100000 + tok_idx) as seq from d_tokens join letter using (upos) group by 1, 2, 3),
+r as (select *, row_number() over (partition by form, tag order by n desc, seq) as rn from g)
+select d.sent_id, d.tok_idx, t.upos, l || '------' || case t."case" when '_' then '-' else substr(t."case", 1, 1) end || '-' as tag, coalesce(r.lemma, d.lemma) as lemma,
+case when t.upos <> 'noun' then '_' when length(coalesce(r.lemma, d.lemma)) % 8 = 0 then 'animate' else 'inanimate' end as class
+from d_tokens d join tagged t on t.sent_id = d.sent_id and t.tok_idx = d.tok_idx join letter on letter.upos = t.upos
+left join r on r.form = d.lemma and rn = 1 and r.tag = l || '------' || case t."case" when '_' then '-' else substr(t."case", 1, 1) end || '-'"""
+
+
+@query(_REPORT_SQL)
+def token_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags under a lexicon, positional tags, lemmas by form and tag, and a class for nouns, of all tokens."""
+    own = tokens(spark, sf_dir)
+    tagged = constrained(own, 1).unionByName(constrained(own, 0)).select("sent_id", "tok_idx", "upos", "case")
+    nine = lambda upos, case: tagset.record_tag(F.struct(upos.alias("pos"), *((case if f == "case" else F.lit("_")).alias(f) for f in tagset.ORDER[1:])))
+    counts = lexicon.form_tag_lemmas(own.select(F.col("lemma").alias("form"), nine(F.col("upos"), _feat("case")).alias("tag"), F.col("form").alias("lemma"), (F.col("sent_id") * 100000 + F.col("tok_idx")).alias("seq")))
+    return report.analyze(own.select("sent_id", "tok_idx", F.col("lemma").alias("form")), tagged, nine, counts, lambda nouns: nouns.withColumn("class", F.when(F.length("lemma") % 8 == 0, "animate").otherwise("inanimate")))
+
+
+@query(TOKENS_SQL + """, k as (select upos, case when case_ = '_' then null else 'case=' || case_ end as feats, ['ADP', 'NOUN', 'VERB'][tok_idx % 3 + 1] as other from d_tokens) select case when feats is null then upos else upos || '_' || feats end as key, case other when 'ADP' then 'NOUN' else other end as pos, count(*) as n from k group by 1, 2""")
+def combined_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of part of speech and features, and the part of speech of pairs of words."""
+    feats = F.when(_feat("case") != "_", F.concat(F.lit("case="), _feat("case")))
+    other = F.get(F.array(*map(F.lit, ("ADP", "NOUN", "VERB"))), (F.col("tok_idx") % 3).cast("int"))
+    rows = tokens(spark, sf_dir).select(text.feature_key(F.col("upos"), feats).alias("key"), text.multiword_pos(F.array(F.lit("NOUN"), other)).alias("pos"))
+    return rows.groupBy("key", "pos").agg(F.count("*").alias("n"))
+
+
+@query(TOKENS_SQL + """, w as (select sent_id, tok_idx, n, lead(n) over w as n2, lead(n, 2) over w as n3 from d_tokens window w as (partition by sent_id order by tok_idx)),
+s as (select sent_id, tok_idx - 1 as start, 3 as n from w where n = 2 and n2 = 2 and n3 = 2 union all select sent_id, tok_idx - 1, 2 from w where n = 2 and n2 = 2)
+select sent_id as sent, count(*) as spans, cast(sum(n) as bigint) as words from s group by sent_id""")
+def multi_word_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where two and three words of two letters stand together, by a list of multi-word items; all places before the choice."""
+    own = tokens(spark, sf_dir).select(F.col("sent_id").alias("sent"), (F.col("tok_idx") - 1).alias("idx"), F.lit("ab").alias("two"), F.when(F.length("form") == 2, "ab").otherwise("-").alias("lemma"))
+    items = alignment.multi_words(spark.createDataFrame([("ab_ab",), ("ab",)], "word string"), spark.createDataFrame([("ab ab ab",), ("ab",)], "tgt string"))
+    return alignment.spans_of(own, items).groupBy("sent").agg(F.count("*").alias("spans"), F.sum("n").alias("words"))
+
+
 # Features and vectors
 
 

@@ -2,20 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusjobs.functions.text import feats_map, feats_string
+from corpusjobs.functions.text import feats_map, feats_string, full_rule, normalize, tokens
+from corpusjobs.operators.sentences import ENDS, break_sentences
 
 CONLLU = {"ID": 0, "FORM": 1, "LEMMA": 2, "UPOS": 3, "XPOS": 4, "FEATS": 5, "HEAD": 6, "DEPREL": 7, "DEPS": 8, "MISC": 9}
 PRESETS = {"CONLLU": CONLLU, "simple": {"ID": 0, "FORM": 1, "MISC": 2}, "simple_tagger": {"ID": 0, "FORM": 1, "UPOS": 2, "XPOS": 3, "FEATS": 4}}
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line_no (from 0, over all files in their order), value: each partition's lines are counted, then their offsets added."""
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("_id"), "value").withColumn("_part", F.shiftright("_id", 33))
+    sizes = lines.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a partition
+    return lines.join(F.broadcast(before), "_part").select((F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).alias("line_no"), "value")
+
+
 def sentences(spark: SparkSession, path: str) -> DataFrame:
-    """One row per block of lines: file, block (order in the file's splits) and its lines."""
-    blocks = spark.read.option("lineSep", "\n\n").text(path)
-    lines = F.filter(F.split(F.regexp_replace("value", "\r", ""), "\n"), lambda x: F.trim(x) != "")
-    return blocks.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("sent_id"), lines.alias("lines")).filter(F.size("lines") > 0)
+    """One row per block of lines: file, block (order in the file's splits) and its lines.
+
+    The first line tells whether lines end in CRLF; lines of white space part blocks too.
+    """
+    head = spark.read.option("lineSep", "\n").text(path).first()
+    end = "\r\n" if head is not None and head.value.endswith("\r") else "\n"
+    blocks = spark.read.option("lineSep", end * 2).text(path)
+    parts = F.explode(F.split(F.replace("value", F.lit("\r"), F.lit("")), "\n[ \\t]*\n")).alias("block")
+    rows = blocks.select(F.col("_metadata.file_path").alias("file"), parts)
+    lines = F.filter(F.split("block", "\n"), lambda x: F.trim(x) != "")
+    return rows.select("file", F.monotonically_increasing_id().alias("sent_id"), lines.alias("lines")).filter(F.size("lines") > 0)
+
+
+def _last_of_each(pairs: Column) -> Column:
+    """A map of (key, value) pairs in which the last of a key counts."""
+    pairs = pairs.cast("array<struct<key: string, value: string>>")
+    later = lambda i: F.slice(pairs, i + 2, F.size(pairs))
+    return F.map_from_entries(F.filter(pairs, lambda p, i: ~F.exists(later(i), lambda q: q["key"] == p["key"])))
 
 
 def read_conll(spark: SparkSession, path: str, columns: str | dict[str, int] = "CONLLU") -> DataFrame:
@@ -26,7 +49,10 @@ def read_conll(spark: SparkSession, path: str, columns: str | dict[str, int] = "
         rows = rows.withColumn("lines", F.filter("lines", lambda x: ~x.startswith("#")))
     rows = rows.select("sent_id", F.posexplode("lines").alias("at", "line")).withColumn("cells", F.split("line", "\t"))
     out = rows.select("sent_id", (F.col("at") + 1).alias("tok_idx"), *(F.get("cells", F.lit(k)).alias(n.lower()) for n, k in places.items()))
-    return out.withColumn("feats", feats_map(F.col("feats"))) if "FEATS" in places else out
+    if "FEATS" not in places:
+        return out
+    several = lambda _, v: F.array_join(F.sort_array(F.split(v, ",")), ",")
+    return out.withColumn("feats", F.transform_values(feats_map(F.col("feats")), several))
 
 
 def read_treebank(spark: SparkSession, path: str) -> DataFrame:
@@ -34,7 +60,7 @@ def read_treebank(spark: SparkSession, path: str) -> DataFrame:
     rows = sentences(spark, path)
     told = F.filter("lines", lambda x: x.startswith("#") & F.contains(x, F.lit("=")) & ~x.startswith("# text") & ~x.startswith("# file"))
     pairs = F.transform(told, lambda x: F.struct(F.trim(F.substring_index(F.substr(x, F.lit(2)), "=", 1)).alias("key"), F.trim(F.substr(x, F.instr(x, F.lit("=")) + 1)).alias("value")))
-    rows = rows.select("sent_id", F.map_from_entries(pairs).alias("attributes"), F.posexplode(F.filter("lines", lambda x: ~x.startswith("#"))).alias("at", "line")).withColumn("cells", F.split("line", "\t"))
+    rows = rows.select("sent_id", _last_of_each(pairs).alias("attributes"), F.posexplode(F.filter("lines", lambda x: ~x.startswith("#"))).alias("at", "line")).withColumn("cells", F.split("line", "\t"))
     cells = {n: F.get("cells", F.lit(k)) for k, n in enumerate(["id", "form", "lemma", "upos", "xpos", "feats", "head", "relation", "deps", "misc"])}
     pos = F.when(cells["upos"] != "_", cells["upos"]).otherwise(cells["xpos"])
     return rows.select("sent_id", "attributes", (F.col("at") + 1).alias("tok_idx"), *(c.alias(n) for n, c in cells.items() if n != "feats"), feats_map(cells["feats"]).alias("feats"), pos.alias("pos"), ((cells["form"] == "E") | (cells["lemma"] == "E")).alias("artificial"))
@@ -52,10 +78,33 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", header=True, quote="")
 
 
-def read_tag_lexicon(spark: SparkSession, path: str) -> DataFrame:
-    """Different rows of form and feature columns."""
+def _normal(column: Column, rule: str | None) -> Column:
+    """A normal form, or 'greek': all folding rules; none leaves the text as it is."""
+    return full_rule(column) if rule == "greek" else normalize(column, rule) if rule else column
+
+
+def read_tag_lexicon(spark: SparkSession, path: str, normalization: str | None = None) -> DataFrame:
+    """Different rows of form, normalised, and feature columns."""
     rows = read_tsv(spark, path)
-    return rows.select("form", *(F.coalesce(F.col(c), F.lit("_")).alias(c) for c in rows.columns if c != "form")).distinct()
+    return rows.select(_normal(F.col("form"), normalization).alias("form"), *(F.coalesce(F.col(c), F.lit("_")).alias(c) for c in rows.columns if c != "form")).distinct()
+
+
+def read_possible_tags(spark: SparkSession, path: str, features: list[str]) -> DataFrame:
+    """Tags in the order of the features, '_' where the file has none of them."""
+    rows = read_tsv(spark, path)
+    return rows.select(*(F.coalesce(F.col(f), F.lit("_")).alias(f) if f in rows.columns else F.lit("_").alias(f) for f in features))
+
+
+def read_class_table(spark: SparkSession, path: str, columns: list[str] = (), normalization: str | None = None) -> DataFrame:
+    """A table with header for classifiers, some of its columns normalised."""
+    rows = read_tsv(spark, path)
+    return rows.select(*(_normal(F.col(c), normalization).alias(c) if c in columns else c for c in rows.columns))
+
+
+def read_raw(spark: SparkSession, path: str, greek: bool = False) -> DataFrame:
+    """doc_id, sent_no, tok_idx, form of raw text, a document a line."""
+    texts = numbered_lines(spark, path).filter(F.trim("value") != "").select(F.col("line_no").alias("doc_id"), tokens(F.col("value")).alias("forms"))
+    return break_sentences(texts, ENDS["greek" if greek else "other"])
 
 
 def read_lemma_lexicon(spark: SparkSession, path: str) -> DataFrame:
@@ -77,29 +126,39 @@ def read_gazetteer(spark: SparkSession, path: str, class_name: str | None = None
     return rows.select(F.col("c")[0].alias("key"), *([F.get("c", F.lit(1)).alias(class_name)] if class_name else [])).distinct()
 
 
-def read_parallel(spark: SparkSession, path: str) -> DataFrame:
-    """source tokens, target text and the gold map of source to target indices; rows without gold are dropped."""
-    rows = spark.read.csv(path, sep="\t", quote="").toDF("src", "tgt", "gold").filter("gold is not null")
-    gold = F.from_json(F.regexp_replace("gold", "(\\d+)\\s*:", '"$1":'), "map<string,array<int>>")
-    return rows.select(F.split("src", " ").alias("src"), "tgt", F.transform_keys(gold, lambda k, _: k.cast("int")).alias("gold"))
+def read_parallel(spark: SparkSession, path: str, lemmas: str | None = None, tags: str | None = None) -> DataFrame:
+    """sent_no (the line, from 0), src and tgt tokens, the gold map of source to target indices, and side files' arrays.
+
+    Rows without gold are dropped, but count in sent_no; side files have a line a sentence, attached by number, and
+    what they have too much is left out.
+    """
+    cells = F.split("value", "\t")
+    rows = numbered_lines(spark, path).select(F.col("line_no").alias("sent_no"), cells.alias("c")).filter("size(c) > 2 and c[2] <> ''")
+    gold = F.from_json(F.regexp_replace(F.col("c")[2], "(\\d+)\\s*:", '"$1":'), "map<string,array<int>>")
+    out = rows.select("sent_no", F.split(F.col("c")[0], " ").alias("src"), F.split(F.col("c")[1], " ").alias("tgt"), F.transform_keys(gold, lambda k, _: k.cast("int")).alias("gold"))
+    for name, side in (("lemmas", lemmas), ("tags", tags)):
+        if side:
+            own = numbered_lines(spark, side).select(F.col("line_no").alias("sent_no"), F.split("value", " ").alias(name))
+            out = out.join(own, "sent_no", "left")
+    return out
 
 
 def read_translations(spark: SparkSession, path: str, weighted: bool = False) -> DataFrame:
-    """src_lemma, tgt pairs of 'a|b' cells, or of 'a=3|b=1' cells when weighted."""
-    rows = spark.read.csv(path, sep="\t", quote="").toDF("src_lemma", "cell")
+    """src_lemma, tgt pairs of 'a|b' cells (sources in NFD), or of 'a=3|b=1' cells when weighted (sources in NFC)."""
+    rows = spark.read.csv(path, sep="\t", quote="").toDF("src_lemma", "cell").withColumn("src_lemma", normalize(F.col("src_lemma"), "NFC" if weighted else "NFD"))
     one = rows.select("src_lemma", F.explode(F.split("cell", "\\|")).alias("tgt"))
     if weighted:
         return one.withColumn("tgt", F.substring_index("tgt", "=", 1))
     return one.withColumn("tgt", F.replace(F.lower("tgt"), F.lit(" "), F.lit("_"))).distinct()
 
 
-def conllu_lines(tokens: DataFrame) -> DataFrame:
+def conllu_lines(rows: DataFrame) -> DataFrame:
     """sent_id, block: the CoNLL-U lines of each sentence, from flat tokens with a feats map."""
-    cell = lambda n: F.coalesce(F.col(n).cast("string"), F.lit("_")) if n in tokens.columns else F.lit("_")
+    cell = lambda n: F.coalesce(F.col(n).cast("string"), F.lit("_")) if n in rows.columns else F.lit("_")
     line = F.concat_ws("\t", F.col("tok_idx").cast("string"), cell("form"), cell("lemma"), cell("upos"), cell("xpos"), feats_string(F.col("feats")), cell("head"), cell("deprel"), cell("deps"), cell("misc"))
-    parts = F.array_sort(F.collect_list(F.struct("tok_idx", line.alias("line"))))
-    return tokens.groupBy("sent_id").agg(F.concat_ws("\n", F.transform(parts, lambda x: x["line"])).alias("block"))
+    parts = F.sort_array(F.collect_list(F.struct("tok_idx", line.alias("line"))))
+    return rows.groupBy("sent_id").agg(F.concat_ws("\n", F.transform(parts, lambda x: x["line"])).alias("block"))
 
 
-def write_conllu(tokens: DataFrame, path: str) -> None:
-    conllu_lines(tokens).orderBy("sent_id").select("block").write.option("lineSep", "\n\n").text(path)
+def write_conllu(rows: DataFrame, path: str) -> None:
+    conllu_lines(rows).orderBy("sent_id").select("block").write.option("lineSep", "\n\n").text(path)
