@@ -120,6 +120,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, rows: str, most: int = 1000) -> DataFrame:
+    """left joined with right, which has one row for each key and, in rows, how many of left's rows have it.
+
+    Keys with more than one in `most` of all those rows, which are fewer than `most`, are broadcast with what right
+    tells of them, so none lands in one task whole; the others are shuffled.
+    """
+    total = right.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
+    hot = right.filter(F.col(rows) * most > total)
+    cold = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.filter(F.col(rows) * most <= total), key)
+    return left.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def with_schema(columns: str, df: DataFrame) -> str:
     """DDL of columns, each 'name type'; a name ending in * takes the type it has in df."""
     types = dict(df.dtypes)

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table_of
+from .common import join_hot, table_of
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of edges (u, v, of one ordered type): root is the smallest node of its component.
 
     Each step sends a node's neighbours to its smallest one; steps are two aggregations and a join, and their
-    number grows with the logarithm of the longest path. Each result is written to the shared folder.
+    number grows with the logarithm of the longest path. Nodes with many neighbours are joined by broadcast. Each result is written to the shared folder.
 
     Defined cases: repeated edges count once; an edge from a node to itself or with a null end is left out; an empty
     table gives no rows; other columns are not read.
@@ -21,10 +21,11 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = join_hot(both, least, "u", "n").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = table_of(large, "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_hot(large, least, "u", "n").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         now = table_of(small.filter("u <> v").distinct(), "edges")
         told = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if told == before:

@@ -10,9 +10,11 @@ Equal sets are one class. Between classes, two sets that reach the threshold mis
 
 The boundary between light and heavy sets is the one with the least cost over the sizes that occur: keys that
 are made, and entries that are scanned at `SCAN` times that cost. Sets that meet in a list form clusters around
-the list's smallest class. Clusters are cut into blocks of at most `BLOCK` sets and `BLOCK_SHINGLES` shingles;
-for each pair of blocks one group of rows counts all overlaps exactly and returns a spanning forest of the links,
-never the pairs. Nothing is capped or sampled.
+the list's smallest class. Clusters are cut into blocks of at most `BLOCK` sets and `BLOCK_SHINGLES` shingles, with
+one of the cluster's sets, the hub, in each of them; one group of rows counts all overlaps of a block exactly and
+returns a spanning forest of the links, never the pairs. Only sets that the hub doesn't reach in their block meet the
+other blocks, in groups. So a cluster costs its size and that of what is left, times the blocks. Nothing is capped or
+sampled. Keys that hold many rows are joined by broadcast, see join_hot().
 
 Words and shingles are 64-bit hashes, and a class is the 120-bit hash of its set: n sets are told apart but for a
 chance of about n**2 / 2**121. Defined cases: a document without words has no shingles, is linked with nothing
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, StructField, StructType
 
-from .common import SPACE_WORDS, Words, lean, mix, pieces, table, table_of, unused, utf8, with_text
+from .common import SPACE_WORDS, Words, join_hot, lean, mix, pieces, table, table_of, unused, utf8, with_text
 from .components import components
 
 BLOCK, BLOCK_SHINGLES, SCAN = 800, 1 << 20, 6
@@ -234,8 +236,8 @@ def clusters(docs: DataFrame, rule: Rule, boundary: int) -> DataFrame:
     met = entries.select("node", F.min("node").over(own).alias("pivot"), F.max("node").over(own).alias("top")).filter("pivot <> top").select("pivot", "node").distinct()
     for _ in range(HOPS):  # a pivot that is in a smaller one's cluster hands its own to it, so sets stand in few clusters
         met = table_of(met, "clusters")
-        best = met.groupBy(F.col("node").alias("pivot")).agg(F.min("pivot").alias("best"))
-        met = met.join(best, "pivot").select(F.col("best").alias("pivot"), "node").distinct()
+        best = met.groupBy(F.col("node").alias("pivot")).agg(F.min("pivot").alias("best")).join(met.groupBy("pivot").agg(F.count("*").alias("rows")), "pivot")
+        met = join_hot(met, best, "pivot", "rows").select(F.col("best").alias("pivot"), "node").distinct()
     return table_of(met, "clusters")
 
 
@@ -245,9 +247,33 @@ def links(docs: DataFrame, sets: DataFrame, rule: Rule, block: int = BLOCK, bloc
     by_class = table_of(sets.filter("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id")), "classes")
     sizes = {r.n: r["count"] for r in by_class.filter(F.col("n") < 2 * most).groupBy("n").count().collect()}  # 2 * most rows at most
     met = clusters(docs, rule, rule.boundary(sizes)).join(by_class, "node")
-    total = met.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
-    placed = met.join(total, "pivot").withColumn("b", F.pmod(F.xxhash64("node", "pivot"), F.col("blocks")).cast("int"))
-    needed = placed.groupBy("node", "doc_id").agg(F.collect_list(F.struct("pivot", "b", "blocks")).alias("places"))
+    total = met.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"), F.min("node").alias("hub"), F.count("*").alias("rows"))
+    placed = join_hot(met, total, "pivot", "rows").withColumn("b", F.pmod(F.xxhash64("node", "pivot"), F.col("blocks")).cast("int"))
+    placed = table_of(placed.select("pivot", "node", "doc_id", "b", "blocks", "hub"), "placed")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    here = F.when(F.col("node") == F.col("hub"), every(F.col("blocks"))).otherwise(F.array("b"))  # the hub stands in each block
+    first = verified(docs, placed.select("pivot", "node", "doc_id", "hub", (F.col("blocks") > 1).alias("several"), F.explode(here).alias("i"), F.lit(0).alias("g")), rule)
+    first = table_of(first, "verified")
+    found, left = first.filter("pivot is null").select("u", "v"), first.filter("pivot is not null").select("pivot", F.col("u").alias("node"))
+    groups = left.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("groups"), F.count("*").alias("rows"))
+    if groups.isEmpty():
+        return found
+    # what the hub doesn't reach in its own block meets every block, in groups
+    mine = join_hot(placed, groups.join(placed.groupBy("pivot").agg(F.count("*").alias("n")), "pivot").drop("rows"), "pivot", "n").drop("n")
+    others = mine.select("pivot", "node", "doc_id", F.col("b").alias("i"), F.explode(every(F.col("groups"))).alias("g"))
+    left = mine.join(left, ["pivot", "node"], "left_semi").withColumn("g", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int"))
+    left = left.select("pivot", "node", "doc_id", F.explode(every(F.col("blocks"))).alias("i"), "g")
+    again = others.unionByName(left).distinct().withColumn("hub", F.lit(None).cast("decimal(38, 0)")).withColumn("several", F.lit(False))
+    return found.unionByName(verified(docs, again, rule).select("u", "v"))
+
+
+def verified(docs: DataFrame, placed: DataFrame, rule: Rule) -> DataFrame:
+    """u, v: links that join what is linked in each group (pivot, i, g) of placed (and node, doc_id, hub, several).
+
+    Where several is set there are also rows with the group's pivot: nodes u that the hub doesn't reach in the group.
+    """
+    place = "pivot: decimal(38, 0), i: int, g: int, hub: decimal(38, 0), several: boolean"
+    needed = placed.groupBy("node", "doc_id").agg(F.collect_list(F.struct("pivot", "i", "g", "hub", "several")).alias("places"))
 
     def named(batches):
         seen: set[tuple] = set()  # rows that repeat an id and a class are sent once by a task
@@ -270,45 +296,57 @@ def links(docs: DataFrame, sets: DataFrame, rule: Rule, block: int = BLOCK, bloc
     own = F.struct("doc_id", "node").alias("own")  # equal where both ids are null, too
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(named), f"doc_id {dict(docs.dtypes)['doc_id']}, node decimal(38, 0), text string")
     texts = texts.select(own, "text").join(needed.select(own, "places"), "own").select("own.node", "text", "places")
-    members = texts.mapInArrow(lean(run), "node decimal(38, 0), places array<struct<pivot: decimal(38, 0), b: int, blocks: int>>, members binary")
-    pairs = members.select("node", "members", F.explode("places").alias("p")).select("node", "members", "p.*").withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
-    pairs = pairs.select("pivot", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "members")
+    members = texts.mapInArrow(lean(run), f"node decimal(38, 0), places array<struct<{place}>>, members binary")
+    pairs = members.select("node", "members", F.explode("places").alias("p")).select("p.*", "node", "members")
 
     def verify(batches):
-        at, nodes, sets, held = None, [], [], set()
+        at, hub, several, nodes, sets, held = None, None, False, [], [], set()
+
+        def told():
+            out = forest(nodes, sets, rule) if len(nodes) > 1 else []
+            rows = [(u, v, None) for u, v in out]
+            if several and hub in held:
+                root = {u: v for u, v in out}
+                mine = root.get(hub, hub)
+                rows += [(n, None, at[0]) for n in nodes if root.get(n, n) != mine]
+            return rows
+
+        def as_batch(rows):
+            u, v, pivot = (pa.array(list(c), pa.decimal128(38, 0)) for c in (zip(*rows) if rows else [[]] * 3))
+            return pa.RecordBatch.from_arrays([u, v, pivot], ["u", "v", "pivot"])
+
         for batch in batches:
             out = []
-            for p, i, j, node, raw in zip(*(batch.column(k) for k in range(5))):
-                key = (p.as_py(), i.as_py(), j.as_py())
+            for p, i, g, h, some, node, raw in zip(*(batch.column(k) for k in range(7))):
+                key = (p.as_py(), i.as_py(), g.as_py())
                 if key != at:
-                    out += forest(nodes, sets, rule) if len(nodes) > 1 else []
-                    at, nodes, sets, held = key, [], [], set()
+                    out += told()
+                    at, hub, several, nodes, sets, held = key, h.as_py(), some.as_py(), [], [], set()
                 if node.as_py() not in held:  # a repeated row
                     held.add(node.as_py())
                     nodes.append(node.as_py())
                     sets.append(np.frombuffer(raw.as_py(), U))
-            yield pa.RecordBatch.from_arrays([numbers([u for u, _ in out]), numbers([v for _, v in out])], ["u", "v"])
-        out = forest(nodes, sets, rule) if len(nodes) > 1 else []
-        yield pa.RecordBatch.from_arrays([numbers([u for u, _ in out]), numbers([v for _, v in out])], ["u", "v"])
+            yield as_batch(out)
+        yield as_batch(told())
 
-    dealt = pairs.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
-    return dealt.mapInArrow(lean(verify), "u decimal(38, 0), v decimal(38, 0)")
+    dealt = pairs.repartition("pivot", "i", "g").sortWithinPartitions("pivot", "i", "g")
+    return dealt.mapInArrow(lean(verify), "u decimal(38, 0), v decimal(38, 0), pivot decimal(38, 0)")
 
 
 def rooted_classes(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """The classes of the documents; and node, least (its smallest doc_id), root of each class with words."""
     sets = table_of(classes(docs, rule), "sets")
     roots = components(links(docs, sets, rule))
-    by_class = sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    return sets, by_class.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    by_class = sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    return sets, by_class.join(roots, "node", "left").select("node", "least", "rows", F.coalesce("root", "node").alias("root"))
 
 
 def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     sets, rooted = rooted_classes(docs, Rule(k, num, den))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    told = rooted.join(least, "root").select("node", "component_id")
-    with_words = sets.filter("n > 0").join(told, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("classes"))
+    told = table_of(join_hot(rooted, least, "root", "classes").select("node", "component_id", "rows"), "told")
+    with_words = join_hot(sets.filter("n > 0"), told, "node", "rows").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return with_words.unionByName(sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 

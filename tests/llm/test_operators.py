@@ -89,6 +89,42 @@ def test_keep_one_decides_by_row(spark):
     assert {r.component_id for r in jaccard.join(docs, 5, 80, 100).collect() if r.doc_id in (11, 12)} == {11}
 
 
+@pytest.mark.parametrize("block", [3, 7])
+def test_jaccard_in_blocks(spark, block):
+    """Clusters of many blocks: chains that the hub doesn't reach, near copies of one text, and what only meets."""
+    import random
+
+    pick = random.Random(2)
+    base = [f"w{i}" for i in range(60)]
+    chain = [" ".join(f"c{i}" for i in range(k * 3, k * 3 + 60)) for k in range(25)]  # each is linked with its neighbours
+    near = [" ".join(w if pick.random() > 0.02 else f"x{pick.random()}" for w in base) for _ in range(40)]
+    other = [" ".join(base[:30] + [f"y{k}{i}" for i in range(30)]) for k in range(12)]
+    texts = chain + near + other
+    pick.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(58)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    rule = jaccard.Rule(3, 80, 100)
+    own = jaccard.classes(docs, rule).cache()
+    node = {r.doc_id: r.node for r in own.collect()}
+    got = {r.node: r.root for r in components(jaccard.links(docs, own, rule, block=block)).collect()}
+    label = {i: got.get(node[i], node[i]) for i in node}
+    for i in range(len(texts)):
+        for j in range(i):
+            assert (label[i] == label[j]) == (find(i) == find(j))
+
+
 def test_light_sets(spark):
     words = [f"w{i}" for i in range(40)]
     texts = [" ".join(words[:n]) for n in range(1, 40)] + [" ".join(words[1:n]) for n in range(5, 40)]
