@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -204,7 +205,7 @@ def _powers(n: int) -> list[np.ndarray]:
 
 
 class Words:
-    """Words of the rows of a piece after lower-casing A-Z: 64-bit hash h of each, its row, its start and end byte."""
+    """Words of the rows of a piece after lower-casing A-Z: 64-bit hash h of each (made when asked for), its row, its start and end byte."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray, in_word: np.ndarray):
         low = _LOWER[data]
@@ -216,15 +217,23 @@ class Words:
             before[inner[inner < len(w)]] = False
             after[inner[inner > 0] - 1] = False
         self.start, self.end = np.flatnonzero(w & ~before), np.flatnonzero(w & ~after) + 1
-        power, self._inverse = _powers(len(low))
-        self._sums = np.zeros(len(low) + 1, np.uint64)
-        np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[: len(low)], out=self._sums[1:])
         self.row = np.searchsorted(off, self.start, "right") - 1
-        self.h = self.span(self.start, self.end)
+        self._low = low
+
+    @cached_property
+    def _sums(self) -> np.ndarray:
+        """Sums of the bytes before each place, each times its place's power."""
+        sums = np.zeros(len(self._low) + 1, np.uint64)
+        np.cumsum((self._low.astype(np.uint64) + np.uint64(1)) * _powers(len(self._low))[0][: len(self._low)], out=sums[1:])
+        return sums
+
+    @cached_property
+    def h(self) -> np.ndarray:
+        return self.span(self.start, self.end)
 
     def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of the bytes from start to end, equal for equal bytes wherever they stand."""
-        return mix((self._sums[end] - self._sums[start]) * self._inverse[start])
+        return mix((self._sums[end] - self._sums[start]) * _powers(len(self._low))[1][start])
 
     def bounds(self, rows: int) -> np.ndarray:
         """The first word of each row and, last, the number of words."""

@@ -10,7 +10,9 @@ The media format is an 8-bit grey PNG of width 64: a text's UTF-8 bytes with byt
 multiple of 64 are its samples, row by row, without filters.
 
 Defined cases: a null text is empty and gives one row of 64 zero samples; repeated rows and equal texts have
-equal values; a null doc_id is kept; an empty table gives no rows; other columns are not read.
+equal values; a very long text is one member; a null doc_id is kept; an empty table gives no rows; columns besides
+doc_id and text are not read, whatever their names. A payload that several tasks meet has a member in each one's
+shards; canonical() tells one place of each digest.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ has padding. At its end a partition joins its open windows into full ones and ha
 leftovers of `fan_in` partitions at a time are joined again until one is left. Only this last sequence is padded.
 
 Defined cases: a null text is empty; an empty document has the end id alone; a document longer than a
-sequence is cut; a repeated row is packed again under its doc_id; a null doc_id is kept; an empty table gives
-no pieces; columns besides doc_id and text are not read. A sequence's id is the task's number times 2**32 plus
+sequence is cut; of windows that fit equally the first opened is taken; a repeated row is packed again under its doc_id;
+a null doc_id is kept; an empty table gives no pieces; columns besides doc_id and text are not read, whatever their
+names. A sequence's id is the task's number times 2**32 plus
 its number there, with the level of joining in the top bits.
 """
 

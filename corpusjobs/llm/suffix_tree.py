@@ -15,10 +15,10 @@ to the shared folder; a task holds one part at a time and scores the symbols tha
 text before it takes the next. Larger trees cost more reading, not more memory. (A part is larger only where the
 contexts that end in one pair of symbols are more than that.)
 
-The unigram base needs the exact count of every word: documents are inverted in runs to (word, postings). Words that
-hold more than one in `HOT_WORDS` of all pairs of document and word, fewer than `HOT_WORDS` so, are broadcast with
-their counts; the postings of the others meet theirs in one exchange. Each document's part is summed again by document.
-The end, which all texts have, needs none.
+The unigram base needs the exact count of every word: documents are inverted in runs of about `RUN_WORDS` words, whose
+postings stay in a file in the shared folder. Only a row for each run and word goes through an exchange to the word's
+count (very common words meet theirs by broadcast, see join_hot()) and back to its run, where the counts meet the
+postings. The end, which all texts have, needs none.
 
 Defined cases: a null or empty text is an end alone; a very long one is scored whole; a null doc_id is in the fold of
 the empty text; repeated rows are scored each; without training documents every count is 0 and states are the root
@@ -36,11 +36,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import REMEMBERED, SPACE_WORDS, Words, _LOWER, fold_of, fs_of, lean, pieces, shared_dir, table, table_of, utf8
+from .common import REMEMBERED, SPACE_WORDS, Words, _LOWER, fold_of, fs_of, join_hot, lean, pieces, shared_dir, table, table_of, utf8
 
 DEPTH, LEAST = 6, 256
-PART_CONTEXTS, HELD, HOT_WORDS = 100_000, 16 << 20, 20_000
-RUN_WORDS, RUN_DOCS, MOST_CODES, MOST_PAIRS = 2_000_000, 60_000, 2_000_000, 2_000_000
+PART_CONTEXTS, HELD = 100_000, 16 << 20
+RUN_WORDS, RUN_DOCS, MOST_CODES = 2_000_000, 60_000, 2_000_000
 PIECE = 1 << 19  # bytes that are worked on at once
 
 
@@ -185,12 +185,14 @@ class Forest:
 
     def score(self, pieces_of: list) -> list[np.ndarray]:
         """The sum of log10 P of each text, for pieces (symbols, places to score and their rows, number of rows)."""
-        out = [np.zeros(rows) for *_, rows in pieces_of]
+        out, parts = [np.zeros(rows) for *_, rows in pieces_of], [None] * len(pieces_of)
+        if self.parts > 1:
+            parts = [self.part_of[s[at - 1].astype(np.int32) | s[at - 2].astype(np.int32) << 8] for s, at, *_ in pieces_of]
         for k in range(self.parts):
             tree = self.part(k)
-            for total, (s, at, row, rows) in zip(out, pieces_of):
-                if self.parts > 1:
-                    mine = self.part_of[s[at - 1].astype(np.int64) | s[at - 2].astype(np.int64) << 8] == k
+            for total, part, (s, at, row, rows) in zip(out, parts, pieces_of):
+                if part is not None:
+                    mine = np.flatnonzero(part == k)
                     at, row = at[mine], row[mine]
                 total += np.bincount(row, tree.score(s, at), rows)
         return out
@@ -209,7 +211,7 @@ def fit(train: DataFrame, depth: int = DEPTH, least: int = LEAST, part_contexts:
         levels = kept if levels is None else levels.unionByName(kept)
     levels = table_of(levels.withColumn("pair", F.when(F.col("d") >= 2, F.shiftright("code", 8).bitwiseAND(65535).cast("int"))), "levels")
     sizes = levels.filter("pair is not null").groupBy("pair").agg(F.countDistinct("d", F.shiftright("code", 8)).alias("n")).orderBy("pair").collect()  # 65,536 rows at most
-    part_of, parts, held = np.zeros(65536, np.int32), 0, 0
+    part_of, parts, held = np.zeros(65536, np.uint16), 0, 0
     for r in sizes:
         if held and held + r.n > part_contexts:
             parts, held = parts + 1, 0
@@ -225,12 +227,7 @@ def fit(train: DataFrame, depth: int = DEPTH, least: int = LEAST, part_contexts:
         code, n = np.asarray(frame["code"]), np.asarray(frame["n"])
         order = np.argsort(code, kind="stable")
         tree = SuffixTree.build([(code[order][d[order] == k], n[order][d[order] == k]) for k in range(depth + 1)])
-        fs, base = fs_of(folder)
-        fs.create_dir(base, recursive=True)
-        passing = f"{base}/.part-{part}.{uuid.uuid4().hex}"
-        with fs.open_output_stream(passing) as out:
-            out.write(tree.save())
-        fs.move(passing, f"{base}/part-{part}.npz")
+        _write(folder, f"part-{part}.npz", tree.save())
         return pa.table({"part": pa.array([part], pa.int32()), "states": pa.array([len(tree.logs) - 1], pa.int64())})
 
     built = table_of(dealt.unionByName(common).groupBy("part").applyInArrow(build, "part int, states long"), "parts")
@@ -238,25 +235,22 @@ def fit(train: DataFrame, depth: int = DEPTH, least: int = LEAST, part_contexts:
     return Forest(folder, max(1, told[0]), part_of, told[1], depth)
 
 
-def _cut(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """A binary column: the values between each two ends."""
-    offsets = (ends * values.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
-
-
-def _joined(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """The values of a binary column without nulls, all in one, and their number in each row."""
-    _, offsets, data = column.buffers()
-    off = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(data, np.uint8)[off[0] : off[-1]].view(kind), np.diff(off) // np.dtype(kind).itemsize
+def _write(folder: str, name: str, data: bytes) -> None:
+    """A file in the shared folder, whole or not at all; a task that runs again writes the same."""
+    fs, base = fs_of(folder)
+    fs.create_dir(base, recursive=True)
+    passing = f"{base}/.{name}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(passing) as out:
+        out.write(data)
+    fs.move(passing, f"{base}/{name}")
 
 
 def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, least: int = LEAST, part_contexts: int = PART_CONTEXTS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes."""
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), held_out.alias("held_out"))
     forest = fit(rows.filter(~F.col("held_out")).select("text"), depth, least, part_contexts)
-    kind = dict(docs.dtypes)["doc_id"]
-    names = ["run", "ord", "doc_id", "held_out", "n_tokens", "n_bytes", "score", "h", "n_train", "pairs", "ords", "tfs"]
+    kind, folder = dict(docs.dtypes)["doc_id"], shared_dir(docs.sparkSession, "postings")
+    names = ["run", "ord", "doc_id", "held_out", "n_tokens", "n_bytes", "score", "h", "n_train"]
 
     def run(batches):
         task, number, docs_in, words_in = TaskContext.get().partitionId() << 20, 0, 0, 0
@@ -264,23 +258,25 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, least: int = LE
         none = lambda n, k: pa.nulls(n, k)
 
         def inverted():
+            """The rows of a run's words; its postings go to a file."""
             h, o = (np.concatenate(x) for x in zip(*held))
             order = np.argsort(h, kind="stable")  # ordinals ascend already
             h, o = h[order], o[order]
             pair = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])])) if len(h) else np.zeros(0, np.int64)
-            tf = np.diff(np.append(pair, len(h))).astype("<u4")
+            tf = np.diff(np.append(pair, len(h)))
             h, o = h[pair], o[pair]
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-            ends = np.append(first[1:], len(h))[: len(first)]
             train = tf * np.concatenate(trains).astype(np.int64)[o]
-            n = len(first)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, task + number)), none(n, pa.int32()), none(n, arrow), none(n, pa.bool_()), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.float64()), pa.array(h[first].view(np.int64)), pa.array(np.add.reduceat(train, first) if n else train), pa.array(ends - first), _cut(o, np.append(first, len(o))), _cut(tf, np.append(first, len(tf)))], names)
+            n, out = len(first), io.BytesIO()
+            np.savez(out, h=h[first], first=np.append(first, len(h)).astype(np.uint32), ords=o, tf=tf.astype(np.min_scalar_type(int(tf.max(initial=0)))))
+            _write(folder, f"run-{task + number}.npz", out.getvalue())
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, task + number)), none(n, pa.int32()), none(n, arrow), none(n, pa.bool_()), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.float64()), pa.array(h[first].view(np.int64)), pa.array(np.add.reduceat(train, first) if n else train)], names)
 
         def scored(waiting):
             for (own, total) in zip(waiting, forest.score([w[0] for w in waiting])):
                 at, ids, flags, tokens, size = own[1:]
                 n = len(total)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, at[0])), pa.array(np.arange(at[1], at[1] + n, dtype=np.int32)), ids, flags, pa.array(tokens), pa.array(size), pa.array(total), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.binary()), none(n, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, at[0])), pa.array(np.arange(at[1], at[1] + n, dtype=np.int32)), ids, flags, pa.array(tokens), pa.array(size), pa.array(total), none(n, pa.int64()), none(n, pa.int64())], names)
 
         waiting, waits = [], 0
         for batch in batches:
@@ -305,44 +301,26 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, least: int = LE
         if held:
             yield inverted()
 
-    done = table_of(rows.mapInArrow(lean(run, "suffix tree"), f"run long, ord int, doc_id {kind}, held_out boolean, n_tokens long, n_bytes long, score double, h long, n_train long, pairs long, ords binary, tfs binary"), "scored")
-    posts = done.filter("h is not null").select("run", "h", "ords", "tfs")
-    counts = table_of(done.filter("h is not null").groupBy("h").agg(F.sum("n_train").alias("c"), F.sum("pairs").alias("pairs")), "words")
-    words, distinct, pairs = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
-    hot = counts.filter(F.col("pairs") * HOT_WORDS > pairs).select("h", "c")  # fewer than HOT_WORDS
-    warm = posts.join(F.broadcast(hot), "h").select("run", "ords", "tfs", "c")
-    cold = posts.join(F.broadcast(hot.select("h")), "h", "left_anti").join(counts.filter(F.col("pairs") * HOT_WORDS <= pairs).select("h", "c").hint("shuffle_hash"), "h").select("run", "ords", "tfs", "c")
-
-    def part(batches):
-        def summed():
-            runs, c = (np.concatenate([np.asarray(batch.column(k)) for batch in held]) for k in (0, 3))
-            ords, size = (np.concatenate(x) for x in zip(*(_joined(batch.column(1), "<u2") for batch in held)))
-            tf = np.concatenate([_joined(batch.column(2), "<u4")[0] for batch in held]).astype(float)
-            own, back = np.unique(runs, return_inverse=True)
-            width = int(ords.max()) + 1
-            key = np.repeat(back.astype(np.int64) * width, size) + ords
-            if len(own) * width > 8 * len(key):
-                cells, key = np.unique(key, return_inverse=True)
-            else:
-                cells = np.arange(len(own) * width)
-            n = np.bincount(key, minlength=len(cells))
-            base, known = np.bincount(key, tf * np.repeat(np.log10(c + 1.0), size), len(cells)), np.bincount(key, tf * np.repeat(c > 0, size), len(cells))
-            met = n > 0
-            return pa.RecordBatch.from_arrays([pa.array(own[cells[met] // width]), pa.array((cells[met] % width).astype(np.int32)), pa.array(base[met]), pa.array(known[met].astype(np.int64))], ["run", "ord", "base", "known"])
-
-        held, pairs = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            pairs += batch.column(1).nbytes // 2
-            if pairs > MOST_PAIRS:
-                yield summed()
-                held, pairs = [], 0
-        if held:
-            yield summed()
+    done = table_of(rows.mapInArrow(lean(run, "suffix tree"), f"run long, ord int, doc_id {kind}, held_out boolean, n_tokens long, n_bytes long, score double, h long, n_train long"), "scored")
+    words_of = done.filter("h is not null").select("run", "h", "n_train")
+    counts = table_of(words_of.groupBy("h").agg(F.sum("n_train").alias("c"), F.count("*").alias("runs")), "words")
+    words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
 
-    base = warm.unionByName(cold).mapInArrow(lean(part), "run long, ord int, base double, known long").groupBy("run", "ord").agg(F.sum("base").alias("base"), F.sum("known").alias("known"))
+    def part(frame: pa.Table) -> pa.Table:
+        run = frame["run"][0].as_py()
+        fs, base = fs_of(folder)
+        with fs.open_input_file(f"{base}/run-{run}.npz") as file, np.load(io.BytesIO(file.read())) as x:
+            h, first, ords, tf = x["h"], x["first"].astype(np.int64), x["ords"], x["tf"].astype(float)
+        told, c = np.asarray(frame["h"]).view(np.uint64), np.asarray(frame["c"])
+        order = np.argsort(told)
+        if not np.array_equal(told[order], h):
+            raise ValueError(f"run {run} hasn't the words that its rows tell")
+        c, size = c[order], np.diff(first)
+        base, known = np.bincount(ords, tf * np.repeat(np.log10(c + 1.0), size)), np.bincount(ords, tf * np.repeat(c > 0, size))
+        return pa.table({"run": pa.array(np.full(len(base), run)), "ord": pa.array(np.arange(len(base), dtype=np.int32)), "base": pa.array(base), "known": pa.array(known.astype(np.int64))})
+
+    told = join_hot(words_of.select("run", "h"), counts, "h", "runs").select("run", "h", "c")
+    base = told.groupBy("run").applyInArrow(part, "run long, ord int, base double, known long")
     texts = done.filter("h is null").select("run", "ord", "doc_id", "held_out", "n_tokens", "n_bytes", "score")
     ends = texts.filter(~F.col("held_out")).count()  # each training text has one end
     tokens = words + ends

@@ -5,11 +5,13 @@ Reader: sequential, in bounded memory: chunks are inflated as they come, a membe
 block is framed by Content-Length, and block and payload digests are verified while it streams by.
 
 Of records with equal payloads of at least `min_bytes`, the one with the smallest page_id is a response and the
-others are revisits of it, with the profile for identical payload digests.
+others are revisits of it, with the profile for identical payload digests. A digest that very many pages share is
+joined by broadcast.
 
 Defined cases: a null html is an empty payload; a null url is empty; a null page_id is never a smallest one
-unless all are null, which makes all of them responses; repeated rows with the smallest page_id are all
-responses; an empty table writes no archive; other columns are not read.
+unless all are null, which makes all of them responses; a very long payload is written and read in parts; repeated rows
+with the smallest page_id are all responses; an empty table writes no archive; columns besides page_id, url and html
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fs_of, lean, shared_dir, table, table_of
+from .common import fs_of, join_hot, lean, shared_dir, table, table_of
 
 MIN_BYTES, CHUNK = 100, 1 << 16
 URN = "<urn:page:{}>"
@@ -123,8 +125,8 @@ def revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """page_id, digest, refers_to of the rows that repeat the payload of a smaller page_id."""
     raw = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     ids = pages.select("page_id", F.sha2(raw, 256).alias("digest"), F.length(raw).alias("n")).filter(F.col("n") >= min_bytes)
-    first = ids.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("rows")).filter("rows > 1 and refers_to is not null").drop("rows")
-    return ids.drop("n").join(first, "digest").filter("page_id is null or page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
+    first = ids.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("rows")).filter("rows > 1 and refers_to is not null")
+    return join_hot(ids.drop("n"), first, "digest", "rows").filter("page_id is null or page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) -> DataFrame:

@@ -189,6 +189,38 @@ def test_media(spark, odd, tmp_path):
     assert media.media_columns(media.store(empty(odd), f"file://{tmp_path}/e"), f"file://{tmp_path}/e").count() == 0
 
 
+def test_media_members_and_features(spark, odd, tmp_path):
+    """The shards' members, read as plain tar files and decoded by hand, and the features of their samples."""
+    import statistics
+    import tarfile
+
+    folder = f"file://{tmp_path}"
+    catalog = media.store(odd.repartition(3), folder)
+    members = {}
+    for shard in tmp_path.glob("*.tar"):
+        with tarfile.open(shard) as tar:
+            for m in tar:
+                members[m.name.removesuffix(".png")] = tar.extractfile(m).read()
+    rows = media.media_columns(catalog, folder).collect()
+    assert {r.digest for r in rows} == set(members) and not list(tmp_path.glob(".shard*"))
+    for r in rows:
+        png = members[r.digest]
+        at, data = 8, b""
+        while at < len(png):
+            n = int.from_bytes(png[at : at + 4], "big")
+            data += png[at + 8 : at + 8 + n] if png[at + 4 : at + 8] == b"IDAT" else b""
+            at += 12 + n
+        lines = zlib.decompress(data)
+        payload = b"".join(lines[i + 1 : i + 65] for i in range(0, len(lines), 65))
+        assert hashlib.sha256(payload).hexdigest() == r.payload_sha256 == r.digest
+        assert (r.media_bytes, r.media_sha256) == (len(png), hashlib.sha256(png).hexdigest())
+        share = [sum(b >> 4 == k for b in payload) / len(payload) for k in range(16)] if len(payload) < 10_000 else None
+        if share:
+            assert r.feature == f"mean={statistics.fmean(payload):.4f};std={statistics.pstdev(payload):.4f};hist=" + ",".join(f"{x:.5f}" for x in share)
+    told = media.canonical(catalog).collect()
+    assert {r.digest for r in told} == set(members) and sum(r.n_rows for r in told) == 10
+
+
 def test_packing(spark, odd):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -356,6 +388,17 @@ def test_chat(spark):
     assert chat.render(chat.fold_events(empty(events))).count() == 0
 
 
+def test_chat_of_odd_rows(spark):
+    """Null ids, turns, roles and texts, repeated turns and empty tables, and extra columns named like outputs."""
+    rows = [(1, 2, "user", "b"), (1, None, "user", "first"), (1, 2, "assistant", "a: </turn> ### x"), (1, 2, "assistant", "a: </turn> ### x"), (1, 3, None, None), (None, 0, "assistant", "n\\h"), (None, 1, "a:b", ""), (2, 0, "user", "w " * 50_000)]
+    own = spark.createDataFrame([(*r, 9, "x") for r in rows], "conv_id long, turn long, role string, text string, seq int, formatted string")
+    back = {r.conv_id: r for r in chat.read_back(chat.render(chat.fold_events(chat.log_of(own)))).collect()}
+    assert [tuple(t) for t in back[1].turns] == [("user", "first"), ("assistant", "a: </turn> ### x"), ("assistant", "a: </turn> ### x"), ("user", "b"), ("", "")]
+    assert back[1].loss == ["a: </turn> ### x"] * 2 and back[2].turns[0].text == "w " * 50_000 and back[2].loss == []
+    assert [tuple(t) for t in back[None].turns] == [("assistant", "n\\h"), ("a:b", "")] and len(back) == 3
+    assert chat.render(chat.fold_events(chat.log_of(empty(own)))).count() == 0
+
+
 def test_toxicity_equals_a_plain_version(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     texts, toxic = {r.doc_id: r.text for r in docs.collect()}, {r.doc_id: r.toxic for r in labels.collect()}

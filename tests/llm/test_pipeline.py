@@ -19,3 +19,48 @@ def test_pipeline(spark):
     kept = {r.doc_id for r in decontam.find(docs, read("benchmark")).collect() if not r.contaminated}
     rows = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in rows} == kept and 0 < len(kept) < 200
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeats, shared ids and columns named like the stages' own; what is packed are whole documents."""
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = docs.filter("doc_id < 40").select("doc_id", "text")
+    odd = spark.createDataFrame([(None, None), (None, ""), (7, ""), (7, None)], "doc_id long, text string")
+    rows = good.unionByName(good.filter("doc_id < 5")).unionByName(good.filter("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long"))).unionByName(odd)
+    for k, c in enumerate(("score", "__text", "__node", "contaminated", "spans", "c0", "own")):
+        rows = rows.withColumn(c, F.lit(k))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = {r.doc_id: r.text for r in good.collect()}
+    pieces, sequences = {}, {}
+    for r in got:
+        pieces.setdefault(r.doc_id, []).append(r)
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for i, own in pieces.items():
+        if i in texts and i != 7:
+            ids, at = np.array(tok.encode(texts[i], add_special_tokens=False).ids + [1], "<u4"), 0
+            for r in sorted(own, key=lambda r: r.start):
+                assert r.start == at and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+                at += r.length
+            assert at == len(ids)  # once, though some rows stood twice
+    for own in sequences.values():
+        ends = [0, *(o + n for o, n in sorted(own))]
+        assert [o for o, _ in sorted(own)] == ends[:-1] and ends[-1] <= 2048
+    assert 5 < len(pieces) <= 41
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{tmp_path}/{t}.parquet").filter("false").write.parquet(f"{tmp_path}/none/{t}.parquet")
+    spark.read.parquet(f"{tmp_path}/benchmark.parquet").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
