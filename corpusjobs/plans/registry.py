@@ -13,6 +13,8 @@ from corpusjobs.operators import pieces as word_pieces
 from corpusjobs.plans.derive import PARALLEL_SQL, TOKENS_SQL, parallel, pieces, table, tokens
 from corpusjobs.sources.readers import conllu_lines
 
+#: Labels whose mean vectors may be broadcast to all rows.
+MOST_LABELS = 10_000
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 
@@ -395,6 +397,8 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "embeddings")
     mean = own.select("label", F.posexplode("embedding").alias("at", "x")).groupBy("label", "at").agg(F.avg(F.col("x").cast("double")).alias("m"))
     centers = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "m"))), lambda e: e["m"]).alias("center"))
+    if centers.count() > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
     rows = own.select("vec_id", F.col("label").alias("own"), "embedding").crossJoin(F.broadcast(centers))
     cosine = F.round(text.dot(F.col("embedding"), F.col("center")) / (F.sqrt(text.dot(F.col("embedding"), F.col("embedding"))) * F.sqrt(text.dot(F.col("center"), F.col("center")))), 6)
     best = rows.select("vec_id", "own", F.struct((-cosine).alias("c"), "label").alias("s")).groupBy("vec_id", "own").agg(F.min("s").alias("s"))

@@ -181,7 +181,7 @@ def tagged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.tagged_lines(own, ["XPOS", "case"], gold=True, sentence=True).withColumn("line", F.md5("line"))
 
 
-@query(TOKENS_SQL + """, o as (select upos, substr(lemma, 1, 3) as stem, list_sort(list_distinct(list(lemma))) as l from d_tokens group by 1, 2)
+@query(TOKENS_SQL + """, o as (select upos, substr(lemma, 1, 3) as stem, list(distinct lemma order by lemma) as l from d_tokens group by 1, 2)
 select sent_id, tok_idx, md5(concat_ws(chr(9), cast(tok_idx as varchar), form, l[1], cast(len(l) as varchar), array_to_string(l, '|'))) as line from d_tokens d join o on o.upos = d.upos and o.stem = substr(d.lemma, 1, 3)""")
 def lemma_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A digest of each line of a lemma table with all possibilities."""
