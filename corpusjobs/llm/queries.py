@@ -12,6 +12,7 @@ from .quality import op10_quality
 from .suffix_tree import op9_suffix_tree
 from .toxicity import op1_toxicity
 from .warc import op5_warc
+from .winnowing import op12_winnowing
 
 OP2_SQL = r"""
 with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
@@ -40,7 +41,7 @@ from p left join f on p.h = f.h and p.n >= 100
 
 
 def queries() -> dict:
-    own = (op1_toxicity, op2_decontamination, op3_media, op4_packing, op5_warc, op6_html, op7_chat, op8_jaccard, op9_suffix_tree, op10_quality)
+    own = (op1_toxicity, op2_decontamination, op3_media, op4_packing, op5_warc, op6_html, op7_chat, op8_jaccard, op9_suffix_tree, op10_quality, op12_winnowing)
     return {f.__name__: f for f in own}
 
 

@@ -1,0 +1,101 @@
+"""Winnowing against a plain version."""
+
+import hashlib
+import random
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+pytest.importorskip("corpusjobs.llm")
+
+from corpusjobs.llm import winnowing  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
+
+
+def plain(text, gram, window):
+    """Windows one by one: the hash and place of the smallest gram of each, the rightmost of equal ones."""
+    grams = [text[i : i + gram] for i in range(len(text) - gram + 1)] if len(text) >= gram else [text] if text else []
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) >> 13 for g in grams]
+    windows = [range(i, i + window) for i in range(len(hashes) - window + 1)] or ([range(len(hashes))] if hashes else [])
+    return sorted({(p, hashes[p]) for w in windows for p in [min(w, key=lambda p: (hashes[p], -p))]})
+
+
+def likeness(a, b):
+    a, b = {h for _, h in a}, {h for _, h in b}
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def told(entries):
+    return [(e.p, e.h) for e in entries]
+
+
+def edited_plain(docs):
+    """docs: (doc_id, text) in order; the edited text of each."""
+    texts = [t or "" for _, t in docs]
+    return [t[: len(t) - len(t) // 2] + texts[(i + 1) % len(texts)][: len(t) // 2] for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("gram, window", [(16, 16), (3, 5), (1, 1), (5, 2)])
+def test_winnow(spark, gram, window):
+    rng = random.Random(gram)
+    texts = ["", "a", "ab", "é" * 50, "ab" * 40, "🙂x" * 2000, " \n", "abc" * 3000 + "end"] + ["".join(rng.choice("ab cé🙂") for _ in range(n)) for n in (3, 15, 16, 17, 30, 31, 32, 100, 2047, 2048, 2049, 2078, 2079, 4096, 5000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: told(r.entries) for r in winnowing.fingerprints(df, gram, window).collect()}
+    assert got == {i: plain(t, gram, window) for i, t in enumerate(texts)}
+
+
+def test_edited(spark):
+    """Spliced fingerprints are those of the edited texts themselves, at all lengths around the window's reach."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abc d") for _ in range(n)) for n in [0, 1, 2, 5, 7, 8, 9, 10, 14, 15, 16, 17, 18, 30, 31, 60, 300, 5000, 0, 6, 4100, 3, 200]] + [None, "same", "same"]
+    docs = [(i * 7 % 26, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(*d, "k", 9) for d in docs], "doc_id long, text string, h string, range int")
+    docs.sort(key=lambda d: -d[0])
+    for range_bytes in (1 << 20, 50):
+        got = {r.doc_id: r for r in winnowing.edited(df, 4, 5, range_bytes).collect()}
+        assert len(got) == len(docs)
+        for k, ((i, t), e) in enumerate(zip(docs, edited_plain(docs))):
+            assert got[i].edited_text == e and got[i].n_chars == len(t or "")
+            assert told(got[i].entries) == plain(t or "", 4, 5)
+            assert told(got[i].edited_entries) == plain(e, 4, 5)
+            assert told(got[i].next_entries) == plain(docs[(k + 1) % len(docs)][1] or "", 4, 5)
+
+
+def test_query(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy(F.desc("doc_id")).collect()]
+    got = {r.doc_id: r for r in winnowing.op12_winnowing(spark, SF).collect()}
+    prints = [plain(t or "", 16, 16) for _, t in docs]
+    shown = lambda x: " ".join(f"{h:x}@{p}" for p, h in x)
+    for k, ((i, t), e) in enumerate(zip(docs, edited_plain(docs))):
+        r, changed = got[i], plain(e, 16, 16)
+        assert (r.n_chars, r.edited_sha256) == (len(t or ""), hashlib.sha256(e.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (shown(prints[k]), shown(changed))
+        assert r.near_edited == pytest.approx(likeness(prints[k], changed)) and r.near_next == pytest.approx(likeness(prints[k], prints[(k + 1) % len(docs)]))
+
+
+def test_match_guarantee(spark):
+    """Two texts that share gram + window - 1 code points share an entry for these."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    rows = []
+    for i in range(50):
+        common = word(31)
+        rows += [(2 * i, word(rng.randrange(3000)) + common + word(40)), (2 * i + 1, word(rng.randrange(90)) + common + word(700))]
+    got = {r.doc_id: {e.h for e in r.entries} for r in winnowing.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * i] & got[2 * i + 1] for i in range(50))
+
+
+def test_odd_rows(spark):
+    schema = "doc_id long, text string"
+    assert winnowing.edited(spark.createDataFrame([], schema)).collect() == []
+    one = winnowing.edited(spark.createDataFrame([(None, "abcdef")], schema)).collect()
+    assert [(r.doc_id, r.edited_text) for r in one] == [(None, "abcabc")]
+    same = winnowing.edited(spark.createDataFrame([(5, "abcd")] * 3 + [(None, None)] * 2 + [(None, "xy")], schema)).collect()
+    assert sorted(r.edited_text for r in same) == ["", "", "abab", "abab", "abxy", "x"]  # of the null ids, xy has the larger hash
+
+
+def test_native(spark):
+    plan = winnowing.op12_winnowing(spark, SF)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
