@@ -11,6 +11,7 @@ from .packing import op4_packing
 from .quality import op10_quality
 from .spelling import op13_spelling
 from .suffix_tree import op9_suffix_tree
+from .tokens import op11_tokens
 from .toxicity import op1_toxicity
 from .warc import op5_warc
 from .winnowing import op12_winnowing
@@ -42,7 +43,7 @@ from p left join f on p.h = f.h and p.n >= 100
 
 
 def queries() -> dict:
-    own = (op1_toxicity, op2_decontamination, op3_media, op4_packing, op5_warc, op6_html, op7_chat, op8_jaccard, op9_suffix_tree, op10_quality, op12_winnowing, op13_spelling)
+    own = (op1_toxicity, op2_decontamination, op3_media, op4_packing, op5_warc, op6_html, op7_chat, op8_jaccard, op9_suffix_tree, op10_quality, op11_tokens, op12_winnowing, op13_spelling)
     return {f.__name__: f for f in own}
 
 
