@@ -184,8 +184,7 @@ SPACE_WORDS[[9, 10, 11, 12, 13, 32]] = False
 LETTER_WORDS = np.zeros(256, bool)
 LETTER_WORDS[48:58] = LETTER_WORDS[97:123] = LETTER_WORDS[128:] = True
 
-_BASE = 0x9E3779B97F4A7C15
-_POWERS: list[np.ndarray] = []
+_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -197,13 +196,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) <= n:
-        size = max(n + 1, PIECE + 1)
-        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-    return _POWERS
-
-
 class Words:
     """Words of the rows of a piece after lower-casing A-Z: 64-bit hash h of each (made when asked for), its row, its start and end byte."""
 
@@ -221,19 +213,30 @@ class Words:
         self._low = low
 
     @cached_property
-    def _sums(self) -> np.ndarray:
-        """Sums of the bytes before each place, each times its place's power."""
-        sums = np.zeros(len(self._low) + 1, np.uint64)
-        np.cumsum((self._low.astype(np.uint64) + np.uint64(1)) * _powers(len(self._low))[0][: len(self._low)], out=sums[1:])
-        return sums
+    def _eights(self) -> np.ndarray:
+        """The eight bytes from each place on as a number, the first one lowest; zeros follow the last byte."""
+        padded = np.concatenate([self._low, np.zeros(8, np.uint8)])
+        return np.ndarray(len(self._low) + 1, "<u8", padded, strides=(1,))
 
     @cached_property
     def h(self) -> np.ndarray:
         return self.span(self.start, self.end)
 
     def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of the bytes from start to end, equal for equal bytes wherever they stand."""
-        return mix((self._sums[end] - self._sums[start]) * _powers(len(self._low))[1][start])
+        """Hashes of the bytes from start to end, equal for equal bytes wherever they stand.
+
+        Each eight bytes are scattered by themselves, with their place and the length, before they are summed. So words of
+        eight bytes or fewer that differ have different hashes, and others equal ones with a chance of about 1 in 2**64.
+        """
+        size = end - start
+        n = np.maximum(1, (size + 7) >> 3)
+        first = np.cumsum(n) - n
+        k = np.arange(int(n.sum())) - np.repeat(first, n)
+        eight = self._eights[np.repeat(start, n) + 8 * k]
+        over = np.maximum(0, 8 * (k + 1) - np.repeat(size, n))  # bytes beyond the end, 8 at most
+        eight = np.where(over < 8, eight & (_ALL >> (over.astype(np.uint64) * np.uint64(8) % np.uint64(64))), np.uint64(0))
+        terms = mix(eight ^ mix(k.astype(np.uint64) + np.uint64(1)))
+        return mix((np.add.reduceat(terms, first) if len(first) else terms) + size.astype(np.uint64))
 
     def bounds(self, rows: int) -> np.ndarray:
         """The first word of each row and, last, the number of words."""

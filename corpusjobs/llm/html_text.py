@@ -8,7 +8,8 @@ first line after a quiet one and ends at the dive, where the sum over a window f
 begins or ends; it is kept where it has a surge, a window whose sum reaches `surge`, short lines too. So lines
 without length part two stretches only if they fill a window. If no window reaches the surge, the stretch with the
 largest sum is kept. Stretches are kept inside articles or outside, wherever the longest one is; text in an article
-weighs three times, in one with a first headline twelve times.
+weighs three times, in one with a first headline twelve times. An article with a kept stretch is taken whole, but for
+its noise; outside, so is a stretch that noise alone parts from a kept one, in the block around one of them.
 
 Tags are read as browsers do: `<` and a letter begin one, quotes count after `=` only, and it ends at the next `>`.
 A script, style, noscript, textarea, title or iframe ends at its own end tag, whatever stands in it. Elements that
@@ -99,6 +100,8 @@ class Line(NamedTuple):
     head: bool  # whether it is a first headline
     suspect: int  # the innermost element to be judged around it, or -1
     holder: int  # the innermost such element around the innermost article that it lies in, or -1
+    article: int  # the outermost article that it lies in, or -1
+    container: int  # the innermost block around it that holds more than a paragraph, or -1
 
     @property
     def size(self) -> int:
@@ -117,6 +120,10 @@ class Elements:
         self.suspects: list[tuple[int, int]] = []  # parent (or -1) and kind of each that was met
         self.open: list[int] = []  # numbers of open suspects
         self.holders: list[int] = []  # for each open article that isn't an aside: the innermost suspect around it
+        self.outermost = -1  # number of the outermost article that is open or was last
+        self.lines = 0  # met so far
+        self.containers: list[tuple[int, int]] = []  # place and number of each open one
+        self.spans: list[list] = []  # of each container: its name, first line and the line after its last
 
     def push(self, name: str, kind: int = 0, article: bool = False) -> None:
         at = len(self.stack)
@@ -124,12 +131,16 @@ class Elements:
         self.places[name].append(at)
         if name in BLOCKS:
             self.blocks.append(at)
+            if name not in PARAGRAPHS and name not in ENDED:
+                self.containers.append((at, len(self.spans)))
+                self.spans.append([name, self.lines, 1 << 62])
         if kind == NOISE:
             self.noise.append(at)
         elif kind > NOISE:
             self.suspects.append((self.open[-1] if self.open else -1, kind))
             self.open.append(len(self.suspects) - 1)
         if article:
+            self.outermost += not self.articles
             self.articles += 1
             if kind != ASIDE:
                 self.holders.append(self.open[-1] if self.open else -1)
@@ -140,6 +151,8 @@ class Elements:
             self.places[name].pop()
             if name in BLOCKS:
                 self.blocks.pop()
+                if self.containers and self.containers[-1][0] == len(self.stack):
+                    self.spans[self.containers.pop()[1]][2] = self.lines
             if kind == NOISE:
                 self.noise.pop()
             elif kind > NOISE:
@@ -217,7 +230,8 @@ def lines_of(page: str, elements: Elements) -> Iterator[Line]:
         said = " ".join(entities.unescape("".join(text)).split())
         text.clear()
         if said:
-            return Line(said, min(len(said), linked), bool(elements.noise), elements.articles > 0, elements.last("h1") >= 0, elements.open[-1] if elements.open else -1, elements.holders[-1] if elements.holders else -1)
+            elements.lines += 1
+            return Line(said, min(len(said), linked), bool(elements.noise), elements.articles > 0, elements.last("h1") >= 0, elements.open[-1] if elements.open else -1, elements.holders[-1] if elements.holders else -1, elements.outermost if elements.articles else -1, elements.containers[-1][1] if elements.containers else -1)
 
     while at < len(page):
         token = _TOKEN.match(page, at)[0]
@@ -320,7 +334,29 @@ def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     side = most[True] > 0 and most[True] >= most[False]
     stretches = [s for s in stretches if lines[s[1]].inside == side]
     kept = [s for s in stretches if s[0] >= surge] or ([max(stretches, key=lambda s: (s[0], -s[1]))] if stretches else [])
-    return "\n".join(lines[i].text for _, a, b in kept for i in range(a, b) if not noise[i])
+    if side:  # an article is taken whole
+        articles = {lines[a].article for _, a, _ in kept}
+        return "\n".join(x.text for x, out in zip(lines, noise) if not out and x.article in articles)
+    taken = set(kept)
+    for order in (stretches, stretches[::-1]):  # what only noise within the text parts from it, goes on
+        for one, other in zip(order, order[1:]):
+            a, b = sorted((one, other), key=lambda s: s[1])
+            if one in taken and parted_by_noise(lines, noise, elements.spans, a[2], b[1]):
+                taken.add(other)
+    return "\n".join(lines[i].text for s in stretches if s in taken for i in range(s[1], s[2]) if not noise[i])
+
+
+def parted_by_noise(lines: list[Line], noise: list[bool], spans: list[list], end: int, start: int) -> bool:
+    """Whether all lines between two stretches are noise, back from `end` to the last text and on to `start`, and both lie
+    in the block around one of them; in the page's body elements that always are noise part them."""
+    while end > 0 and noise[end - 1]:
+        end -= 1
+    if end == 0 or not all(noise[end:start]):
+        return False
+    body = ("", 0, 1 << 62)
+    before, after = (spans[x.container] if x.container >= 0 else body for x in (lines[end - 1], lines[start]))
+    around = after if after[1] < end else before if before[2] > start else None
+    return around is not None and (around[0] not in ("", "html", "body") or not any(x.noise for x in lines[end:start]))
 
 
 def extract(pages: DataFrame, window: int = WINDOW, surge: int = SURGE) -> DataFrame:

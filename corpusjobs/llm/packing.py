@@ -194,24 +194,17 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, windows: int = W
             yield _batches(packer.rows, arrow, task)
 
     def join(level: int, top: bool):
-        def joined(key, frame):
-            import pandas as pd
-
-            group = int(key[0])
+        def joined(frame: pa.Table) -> pa.Table:
+            group, arrow = frame["g"][0].as_py(), frame.schema.field("doc_id").type
             packer = Packer((level << 56) | (group << 32), length, 1)
-            order = np.lexsort((frame["offset"], frame["source"]))
-            for i in order:
-                r = frame.iloc[int(i)]
-                part = (None if r["doc_id"] is None or r["doc_id"] != r["doc_id"] else r["doc_id"], int(r["start"]), np.frombuffer(r["ids"], "<u4"), int(r["doc_tokens"]))
-                packer.held[packer.number] = [part]
+            for r in frame.sort_by([("source", "ascending"), ("offset", "ascending")]).to_pylist():
+                packer.held[packer.number] = [(r["doc_id"], r["start"], np.frombuffer(r["ids"], "<u4"), r["doc_tokens"])]
                 packer.open.append((packer.number, packer.number))
                 packer.number += 1
             parts = packer.close()
             if parts:
                 packer.emit(parts, not top)
-            out = pd.DataFrame(packer.rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
-            out["sequence_id"] = out["sequence_id"].astype("Int64")
-            return out.assign(source=group)
+            return pa.Table.from_batches([_batches(packer.rows, arrow, group)])
 
         return joined
 
@@ -222,7 +215,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, windows: int = W
     groups = max(1, (left.agg(F.max("source")).first()[0] or 0) + 1)
     while True:
         top = groups <= fan_in
-        left = left.withColumn("g", F.expr(f"source div {fan_in}")).groupBy("g").applyInPandas(join(level, top), schema)
+        left = left.withColumn("g", F.expr(f"source div {fan_in}")).groupBy("g").applyInArrow(join(level, top), schema)
         if top:
             result = result.unionByName(left)
             break

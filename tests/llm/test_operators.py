@@ -617,3 +617,54 @@ def test_suffix_tree_sums_to_one():
     for row in tree.logs[1:]:
         p = 10.0 ** row.astype(float)
         assert abs(p[:-1].sum() + p[-1] * tree.unseen - 1) < 1e-5
+
+
+def thue_morse(n):
+    """Two different words of n letters a and b whose polynomial sums modulo 2**64 are equal for any base."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_polynomials_confuse(spark):
+    x, y = thue_morse(2048)
+    docs = spark.createDataFrame([(1, f"one two {x}"), (2, f"one two {y}"), (3, f"one two {x}")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.join(docs).collect()} == {1: 1, 2: 2, 3: 1}
+    items = spark.createDataFrame([(7, y)], "item_id long, text string")
+    assert [r.doc_id for r in decontam.find(docs, items).collect() if r.n_hit] == [2]
+    told = suffix_tree.score(docs.filter("doc_id <> 3"), F.col("doc_id") == 2).collect()
+    assert {r.doc_id: r.n_known for r in told} == {1: 4, 2: 3}
+
+
+def test_word_hashes():
+    """Hashes tell words by their bytes alone, whatever stands beside them, at all lengths about eight bytes."""
+    from corpusjobs.llm.common import SPACE_WORDS, Words, utf8
+
+    import pyarrow as pa
+
+    words = [w * k for w in ("a", "b", "ab", "é", "\x00") for k in range(1, 40)] + ["a" * 5000, "a" * 4999 + "b", "b" + "a" * 4999]
+    own = Words(*utf8(pa.array([" ".join(words), " ".join(words[::-1]), *words])), SPACE_WORDS)
+    n = len(words)
+    assert len(own.h) == 3 * n and len(set(own.h[:n].tolist())) == len(set(words))
+    assert (own.h[:n] == own.h[n : 2 * n][::-1]).all() and (own.h[:n] == own.h[2 * n :]).all()
+
+
+def test_packing_large_ids_beside_nulls(spark):
+    docs = spark.createDataFrame([(None, "one two"), (2**53 + 1, "three four"), (2**53 + 3, None)], "doc_id long, text string").repartition(3)
+    import public_tokenizers
+
+    got = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert {r.doc_id for r in got} == {None, 2**53 + 1, 2**53 + 3}
+
+
+def test_html_ends_of_articles():
+    long = "A paragraph that is long enough to be the text of the page, and goes on for some time. " * 3
+    aside = "<aside><p>one</p><p>two</p><p>three</p><p>four</p></aside>"
+    advert = '<div class="ad"><p>Buy</p><p>this</p><p>now</p></div>'
+    text = long.strip()
+    menu, foot = "<nav><ul><li>Home</li><li>News</li><li>Shop</li><li>More</li></ul></nav>", "<footer><p>Terms</p><p>Privacy</p><p>Imprint</p></footer>"
+    page = lambda body: f"<html><body>{menu}{body}{foot}</body></html>"
+    assert html_text.main_text(page(f"<article><p>{long}</p>{aside}<p>Thanks for reading.</p></article>")) == text + "\nThanks for reading."
+    assert html_text.main_text(page(f"<div><p>{long}</p>{advert}<p>The end.</p></div>")) == text + "\nThe end."
+    assert html_text.main_text(page(f"<div><p>By me.</p>{advert}<div><p>{long}</p></div></div>")) == "By me.\n" + text
+    assert html_text.main_text(f"<body>{menu}<p>{long}</p>{advert}<p>The end.</p>{foot}</body>") == text + "\nThe end."
+    assert html_text.main_text(page(f"<div><p>{long}</p></div>") + "<p>Stray</p>") == text
