@@ -29,52 +29,69 @@ from pyspark.sql import functions as F
 from .common import table
 
 GRAM, WINDOW = 16, 16
-CHUNK, PLACE_BITS = 2048, 12  # a chunk's places, its overlap included, fit in the bits
+CHUNK, CHUNK_BITS = 2048, 12  # a chunk's places, its overlap included, fit in the bits
+PLACE_BITS = 32  # of an entry: its hash of 31 bits stands above its place
 RANGE_BYTES, MOST_RANGES, RANGES_A_PARTITION = 4 << 20, 1 << 16, 4
 
-ENTRIES = "array<struct<h:bigint,p:bigint>>"
-
-
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value computed once."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _long(n: int) -> Column:
+    return F.lit(n).cast("long")
+
+
 def _keys(text: Column, gram: int) -> Column:
     """A number for each gram of a chunk, smaller for smaller hashes and, of equal ones, for later places."""
     grams = F.when(F.char_length(text) >= gram, F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))." % gram), 1)).when(F.char_length(text) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
-    last = (1 << PLACE_BITS) - 1
-    return F.transform(grams, lambda g, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(g), PLACE_BITS + 1), PLACE_BITS).bitwiseOR(F.lit(last).cast("long") - i))
+    return F.transform(grams, lambda g, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(g), 33), CHUNK_BITS).bitwiseOR(_long((1 << CHUNK_BITS) - 1) - i))
 
 
-def _chosen(keys: Column, window: int, partial: Column) -> Column:
-    """The keys that windows choose, in order of their places; too few for a window are one where partial holds.
+def _least(keys: Column, window: int) -> Column:
+    """At each place the least key of the window that begins there, by doubling; windows at the end are shorter."""
 
-    A key smaller than the current choice is chosen as it enters; a choice that leaves is replaced by the smallest of
-    its last window.
-    """
-    last = (1 << PLACE_BITS) - 1
-    first = F.array_min(F.slice(keys, 1, window))
-    start = F.struct(first.alias("m"), F.array(first).alias("out"))
+    def doubled(now: Column, size: int) -> Column:
+        step = min(size, window - size)
+        if not step:
+            return now
+        both = F.zip_with(now, F.slice(now, step + 1, 1 << CHUNK_BITS), lambda x, y: F.least(x, y))  # least() passes over nulls
+        return both if size + step == window else _let(both, lambda more: doubled(more, size + step))
+
+    return doubled(keys, 1)
 
-    def step(now: Column, key: Column) -> Column:
-        take = lambda k: F.struct(k.alias("m"), F.concat(now["out"], F.array(k)).alias("out"))
-        place = F.lit(last) - key.bitwiseAND(last)  # from 0
-        gone = now["m"].bitwiseAND(last) - key.bitwiseAND(last) >= window
-        return F.when(key < now["m"], take(key)).when(gone, _let(F.array_min(F.slice(keys, (place - window + 2).cast("int"), window)), take)).otherwise(now)
 
-    whole = F.aggregate(F.slice(keys, window + 1, 1 << PLACE_BITS), start, step, lambda now: now["out"])
-    return F.when((F.size(keys) >= window) | (partial & (F.size(keys) > 0)), whole).otherwise(F.array().cast("array<bigint>"))
+def _chosen(keys: Column, window: int, partial: Column) -> Column:
+    """The keys that windows choose, in order of their places; too few for a window are one where partial holds."""
+    n = F.size(keys)
+    windows = F.greatest(n - window + 1, F.when(partial & (n > 0), 1).otherwise(0))
+    return F.array_distinct(F.slice(_least(keys, window), F.lit(1), windows))
 
 
 def _entries(keys: Column, shift: Column) -> Column:
-    """Hashes and places of keys, counted from shift."""
-    last = (1 << PLACE_BITS) - 1
-    return F.transform(keys, lambda k: F.struct(F.shiftright(k, PLACE_BITS).alias("h"), (shift + last - k.bitwiseAND(last)).alias("p")))
+    """Entries of keys, with places counted from shift."""
+    last = _long((1 << CHUNK_BITS) - 1)
+    return F.transform(keys, lambda k: F.shiftleft(F.shiftright(k, CHUNK_BITS), PLACE_BITS) + (shift + last - k.bitwiseAND(last)))
+
+
+def hash_of(entry: Column) -> Column:
+    return F.shiftright(entry, PLACE_BITS)
+
+
+def place_of(entry: Column) -> Column:
+    return entry.bitwiseAND(_long((1 << PLACE_BITS) - 1))
+
+
+def _once(entries: Column) -> Column:
+    """Entries in order of their places, where neighbours may be equal, each once."""
+    return _let(entries, lambda own: F.filter(own, lambda e, i: (i == 0) | (e != F.get(own, i - 1))))
 
 
 def winnow(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
-    """Chosen hashes h and their places p (code points from 0) of a text that isn't null, by place."""
+    """The chosen hashes of a text that isn't null with their places (code points from 0), as numbers, by place.
+
+    Windows choose later and later places, so chunks repeat at most the last choice of the one before.
+    """
     reach = gram + window - 2
     chunks = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % CHUNK), 0)
 
@@ -83,40 +100,41 @@ def winnow(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
         one = F.size(chunks) == 1
         return F.flatten(F.transform(longer, lambda c, i: _let(_keys(c, gram), lambda k: _entries(_chosen(k, window, one), i.cast("long") * CHUNK))))
 
-    return F.array_distinct(_let(chunks, of))
+    return _once(_let(chunks, of))
 
 
 def spliced(own: Column, own_chars: Column, kept: Column, other: Column, other_chars: Column, taken: Column, seam: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
     """The fingerprint of the first `kept` code points of a text and then the first `taken` of another one.
 
     own and other are both texts' fingerprints; seam is the last gram + window - 2 code points of the first part, or all,
-    with as many of the second. An entry is first chosen as it enters, if its hash isn't above the entry's before it, or
-    as that one leaves; it stays if the window of that step lies in the part.
+    with as many of the second. An entry stays if the first window that chooses it lies in the part. That window ends with
+    the entry, if its hash isn't above that of the entry before, and else begins as that one leaves.
     """
     t = gram + window - 1
 
-    def inside(entries: Column, chars: Column, most: Column, shift: Column) -> Column:
+    def inside(entries: Column, chars: Column, most: Column) -> Column:
+        last = most - gram  # where the part's last gram stands
+
         def stays(e: Column, i: Column) -> Column:
             before = F.get(entries, i - 1)
-            entered = F.when(i == 0, F.lit(window - 1).cast("long")).when(e["h"] <= before["h"], e["p"]).otherwise(before["p"] + window)
-            return (chars >= t) & (F.greatest(entered, F.lit(window - 1)) + gram <= most)
+            soon = F.when(i == 0, last >= window - 1).otherwise((hash_of(e) <= hash_of(before)) | (place_of(before) + window <= last))
+            return (place_of(e) <= last - window) | (place_of(e) <= last) & soon
 
-        return F.transform(F.filter(entries, stays), lambda e: F.struct(e["h"].alias("h"), (e["p"] + shift).alias("p")))
+        return F.when(chars >= t, F.filter(entries, stays)).otherwise(F.array().cast("array<bigint>"))
 
     over = _let(_keys(seam, gram), lambda k: _entries(_chosen(k, window, kept + taken < t), F.greatest(kept - (t - 1), F.lit(0)).cast("long")))
-    return F.array_sort(F.array_distinct(F.concat(inside(own, own_chars, kept, F.lit(0)), over, inside(other, other_chars, taken, kept))), lambda a, b: (a["p"] - b["p"]).cast("int"))
+    return _once(F.concat(inside(own, own_chars, kept), over, F.transform(inside(other, other_chars, taken), lambda e: e + kept)))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Hashes that two fingerprints share by those of either."""
-    hashes = lambda x: F.transform(x, lambda e: e["h"])
-    both = F.size(F.array_union(hashes(a), hashes(b)))
-    return F.when(both == 0, 1.0).otherwise(F.size(F.array_intersect(hashes(a), hashes(b))) / F.greatest(both, F.lit(1)))
+    both = F.size(F.array_union(F.transform(a, hash_of), F.transform(b, hash_of)))
+    return F.when(both == 0, 1.0).otherwise(F.size(F.array_intersect(F.transform(a, hash_of), F.transform(b, hash_of))) / F.greatest(both, F.lit(1)))
 
 
 def shown(entries: Column) -> Column:
-    """A fingerprint as text: hash in hexadecimal and place of each entry."""
-    return F.array_join(F.transform(entries, lambda e: F.concat(F.lower(F.hex(e["h"])), F.lit("@"), e["p"].cast("string"))), " ")
+    """A fingerprint as text: each entry in hexadecimal, its place in the last eight digits and its hash before them."""
+    return F.array_join(F.transform(entries, lambda e: F.hex(e)), " ")
 
 
 def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:

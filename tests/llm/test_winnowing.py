@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 def plain(text, gram, window):
     """Windows one by one: the hash and place of the smallest gram of each, the rightmost of equal ones."""
     grams = [text[i : i + gram] for i in range(len(text) - gram + 1)] if len(text) >= gram else [text] if text else []
-    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) >> 13 for g in grams]
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) >> 33 for g in grams]
     windows = [range(i, i + window) for i in range(len(hashes) - window + 1)] or ([range(len(hashes))] if hashes else [])
     return sorted({(p, hashes[p]) for w in windows for p in [min(w, key=lambda p: (hashes[p], -p))]})
 
@@ -28,7 +28,7 @@ def likeness(a, b):
 
 
 def told(entries):
-    return [(e.p, e.h) for e in entries]
+    return [(e & 0xFFFFFFFF, e >> 32) for e in entries]
 
 
 def edited_plain(docs):
@@ -67,7 +67,7 @@ def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy(F.desc("doc_id")).collect()]
     got = {r.doc_id: r for r in winnowing.op12_winnowing(spark, SF).collect()}
     prints = [plain(t or "", 16, 16) for _, t in docs]
-    shown = lambda x: " ".join(f"{h:x}@{p}" for p, h in x)
+    shown = lambda x: " ".join(f"{h << 32 | p:X}" for p, h in x)
     for k, ((i, t), e) in enumerate(zip(docs, edited_plain(docs))):
         r, changed = got[i], plain(e, 16, 16)
         assert (r.n_chars, r.edited_sha256) == (len(t or ""), hashlib.sha256(e.encode()).hexdigest())
@@ -83,7 +83,7 @@ def test_match_guarantee(spark):
     for i in range(50):
         common = word(31)
         rows += [(2 * i, word(rng.randrange(3000)) + common + word(40)), (2 * i + 1, word(rng.randrange(90)) + common + word(700))]
-    got = {r.doc_id: {e.h for e in r.entries} for r in winnowing.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: {e >> 32 for e in r.entries} for r in winnowing.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[2 * i] & got[2 * i + 1] for i in range(50))
 
 
