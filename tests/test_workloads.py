@@ -56,8 +56,8 @@ def test_coordination(spark):
     without = {r.tok_idx: r.head_id for r in trees.apply(own.filter("tok_idx <> 6"), ["chain_coordination"]).collect()}
     assert without[4] == 2 and len(without) == 7  # shared modifiers move only where there is a particle
 
-    def lift(tree, to):
-        tree.head = [None if h is None else to for h in tree.head]
+    def lift(forest, to):
+        forest.head = np.where(forest.head < 0, -1, to)
 
     assert {r.head_id for r in trees.apply(own, [("lift", {"to": 0})], registry={"lift": lift}).collect()} == {0, 1}
     forms = trees.apply(own.withColumn("form", F.lit("\u00e9")), [], "NFD").first()
