@@ -6,9 +6,9 @@ byte in the batch; both directions together are all overlaps. Overlaps whose tok
 cut the tokens into groups.
 
 A pair of ids has one count over the whole corpus. Documents are gathered in runs of `RUN_BYTES` of text: a row of the
-written table holds a run's documents, its different pairs with their counts, and postings of pairs in documents. A row
-for each run and pair goes through an exchange to the pair's count and back to its run (very common pairs meet theirs by
-broadcast, see join_hot()); there the counts meet the postings. A B id has as many pairs as A has ids at most.
+written table holds a run's documents, its different pairs with their counts, and the pair of each link. A row for each
+run and pair goes through an exchange to the pair's count and back to its run (very common pairs meet theirs by
+broadcast, see join_hot()); there the counts meet the links. A B id has as many pairs as A has ids at most.
 
 Defined cases: a null or empty text, and one whose tokens' bytes aren't the text's, has no tokens, zeros and an empty
 digest; very long texts are taken whole, in a run of their own; a null doc_id is kept; repeated rows count each; ties of
@@ -57,36 +57,49 @@ def byte_of() -> dict[str, int]:
 
 
 class Ids(dict):
-    """Ids, as bytes, of parts of texts that a tokenizer never joins; those used last, `most` at least and twice at most."""
+    """Ids, as bytes, of parts of texts that a tokenizer never joins; those used last, `most` at least and twice at most.
 
-    def __init__(self, tokens: list[bytes], whole: Callable[[str], list[int]], part: Callable[[str], list[int]] | None, cut: re.Pattern, not_cut: str = "", most: int = MOST_PARTS):
+    encode() gives the ids of each of some texts, or of parts where these are asked for.
+    """
+
+    def __init__(self, tokens: list[bytes], whole: Callable[[list[str]], list], parts: Callable[[list[str]], list] | None, cut: re.Pattern, uncut: str = "", most: int = MOST_PARTS):
         super().__init__()
-        self.tokens, self.whole, self.part, self.cut, self.not_cut, self.most, self.older = tokens, whole, part, cut, not_cut, most, {}
+        self.tokens, self.whole, self.parts, self.cut, self.most, self.older = tokens, whole, parts, cut, most, {}
         self.sizes = np.array([len(t) for t in tokens], np.int64)
+        self.uncut = re.compile(f"[^\x00-{chr(ord(PLAIN_END) - 1)}]{uncut and '|' + uncut}")
 
     def checked(self, text: str, ids: list[int]) -> bytes:
         same = b"".join(map(self.tokens.__getitem__, ids)) == text.encode()
         return array("I", ids if same else [NO_ID]).tobytes()
 
-    def __missing__(self, part: str) -> bytes:
-        ids = self.older.get(part)
-        if ids is None:
-            ids = self.checked(part, self.part(part))
-        if len(part) <= LONGEST:
-            if len(self) >= self.most:
-                self.older = dict(self)
-                self.clear()
-            self[part] = ids
-        return ids
-
-    def of(self, text: str) -> np.ndarray:
-        """Ids of a text that begins with a space; none if their bytes aren't the text's."""
-        if self.part and (text.isascii() or max(text) < PLAIN_END) and not (self.not_cut and self.not_cut in text):
-            raw = b"".join(map(self.__getitem__, self.cut.findall(text)))
-        else:
-            raw = self.checked(text, self.whole(text))
-        own = np.frombuffer(raw, np.uint32)
-        return own[:0] if (own == NO_ID).any() else own
+    def learn(self, parts: set[str]) -> dict[str, bytes]:
+        """Ids of parts that aren't remembered; long ones are only returned."""
+        known = {p: self.older[p] for p in parts if p in self.older}
+        unknown = [p for p in parts if p not in known]
+        known |= {p: self.checked(p, ids) for p, ids in zip(unknown, self.parts(unknown))}
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self.update((p, ids) for p, ids in known.items() if len(p) <= LONGEST)
+        return known
+
+    def of(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, which begins with a space or is empty; none if their bytes aren't the text's."""
+        cut = [self.cut.findall(t) if self.parts and not self.uncut.search(t) else None for t in texts]
+        new = self.learn({p for own in cut if own for p in own if p not in self})
+        out = []
+        for text, own in zip(texts, cut):
+            if own is None:
+                raw = self.checked(text, self.whole([text])[0])
+            else:
+                try:
+                    raw = b"".join(map(self.__getitem__, own))
+                except KeyError:  # some are long, or went as others were learned
+                    again = self.learn({p for p in own if p not in self and p not in new})
+                    raw = b"".join([self.get(p) or new.get(p) or again.get(p) or self.older[p] for p in own])
+            ids = np.frombuffer(raw, np.uint32)
+            out.append(ids[:0] if NO_ID in ids else ids)
+        return out
 
 
 def byte_ids(path: str) -> Ids:
@@ -102,12 +115,13 @@ def byte_ids(path: str) -> Ids:
     for entry, k in entries:
         tokens[k] = entry.encode() if k in special else bytes(decode[c] for c in entry)
     shape = told["normalizer"], (told["pre_tokenizer"] or {}).get("type"), (told["pre_tokenizer"] or {}).get("use_regex"), (told["pre_tokenizer"] or {}).get("add_prefix_space"), told["model"]["type"]
-    model, shown = own.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    model, shown = own.model, str.maketrans({b: c for c, b in decode.items()})
 
-    def part(text: str) -> list[int]:
-        return [t.id for t in model.tokenize(shown.pre_tokenize_str(text)[0][0])]
+    def parts(texts: list[str]) -> list:
+        return [[t.id for t in model.tokenize(x.encode().decode("latin-1").translate(shown))] for x in texts]
 
-    return Ids(tokens, lambda text: own.encode(text, add_special_tokens=False).ids, part if shape == (None, "ByteLevel", True, False, "BPE") else None, _PARTS)
+    whole = lambda texts: [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
+    return Ids(tokens, whole, parts if shape == (None, "ByteLevel", True, False, "BPE") else None, _PARTS)
 
 
 def piece_ids(path: str) -> Ids:
@@ -118,13 +132,17 @@ def piece_ids(path: str) -> Ids:
     entries = [own.id_to_piece(k) for k in range(own.piece_size())]
     tokens = [bytes([int(p[3:5], 16)]) if own.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(entries)]
     apart = not any("▁" in p.lstrip("▁") for p in entries)  # no piece goes on over a space, so neither do merges
-    encode = lambda text: own.encode(text[1:], num_threads=1)
+    encode = lambda texts: own.encode([t[1:] for t in texts], num_threads=1)
     one = len(own.encode("x"))
 
-    def part(text: str) -> list[int]:
-        return encode(text) if text.strip(" ") else own.encode("x" + text, num_threads=1)[one:]
+    def parts(texts: list[str]) -> list:
+        out = encode(texts)
+        for k, t in enumerate(texts):
+            if not t.strip(" "):  # spaces alone are read behind a letter
+                out[k] = own.encode("x" + t, num_threads=1)[one:]
+        return out
 
-    return Ids(tokens, encode, part if apart else None, _SEGMENTS, "▁")
+    return Ids(tokens, encode, parts if apart else None, _SEGMENTS, "▁")
 
 
 def ids_of(a: str, b: str) -> tuple[Ids, Ids]:
@@ -190,7 +208,7 @@ class Run:
     def __init__(self):
         self.rows: list[tuple] = []
         self.docs = self.bytes = 0
-        self.codes, self.ords = [], []
+        self.codes: list[np.ndarray] = []
 
     def take(self, ids: pa.Array, own: Aligned, shown: np.ndarray, size: int) -> None:
         text, ends = own.group_texts(shown)
@@ -199,19 +217,20 @@ class Run:
         links = np.bincount(own.doc_a[own.link_a], minlength=len(own.n_a))
         self.rows.append((ids, own.n_a, own.n_b, links, links, digests))
         self.codes.append(own.a[own.link_a] << 32 | own.b[own.link_b])
-        self.ords.append(own.doc_a[own.link_a] + self.docs)
         self.docs, self.bytes = self.docs + len(own.n_a), self.bytes + size
 
     def row(self, number: int, kind: pa.DataType) -> pa.RecordBatch:
-        codes, local, n = np.unique(np.concatenate(self.codes), return_inverse=True, return_counts=True)
-        posting, tf = np.unique(np.concatenate(self.ords) << 32 | local, return_counts=True)
+        local, codes = pd.factorize(np.concatenate(self.codes))
+        order = np.argsort(codes)
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        n = np.bincount(local, minlength=len(codes))[order]
         of = lambda values, k: pa.array([values], pa.list_(k))
         ids = pa.chunked_array([r[0] for r in self.rows]).combine_chunks()
         parts = [np.concatenate([r[k] for r in self.rows]) for k in range(1, 5)]
         return pa.RecordBatch.from_arrays(
-            [pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(of(p, pa.int64()) for p in parts), of([d for r in self.rows for d in r[5]], pa.string()),
-             of(codes, pa.int64()), of(n, pa.int64()), of(posting >> 32, pa.int32()), of(posting & 0xFFFFFFFF, pa.int32()), of(tf, pa.int32())],
-            ["run", *DOCUMENT, "codes", "counts", "ords", "locals", "tf"],
+            [pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(of(p, pa.int64()) for p in parts), of([d for r in self.rows for d in r[5]], pa.string()), of(codes[order], pa.int64()), of(n, pa.int64()), of(place[local].astype(np.int32), pa.int32())],
+            ["run", *DOCUMENT, "codes", "counts", "links"],
         )
 
 
@@ -228,8 +247,7 @@ def align(docs: DataFrame, a: str, b: str, run_bytes: int = RUN_BYTES) -> DataFr
             arrow = batch.schema.field(0).type
             for lo, hi, data, off in pieces(*utf8(batch.column(1))):
                 texts = [" " + data[s:e].tobytes().decode("utf-8", "replace") if e > s else "" for s, e in zip(off[:-1].tolist(), off[1:].tolist())]
-                pairs = [(by_a.of(t), by_b.of(t)) if t else (none, none) for t in texts]
-                pairs = [p if len(p[0]) and len(p[1]) else (none, none) for p in pairs]
+                pairs = [p if len(p[0]) and len(p[1]) else (none, none) for p in zip(by_a.of(texts), by_b.of(texts))]
                 run.take(batch.column(0)[lo:hi], Aligned([p[0] for p in pairs], [p[1] for p in pairs], by_a.sizes, by_b.sizes), shown, len(data))
                 if run.bytes >= run_bytes:
                     yield run.row(task + number, arrow)
@@ -237,7 +255,7 @@ def align(docs: DataFrame, a: str, b: str, run_bytes: int = RUN_BYTES) -> DataFr
         if run.docs:
             yield run.row(task + number, arrow)
 
-    lists = f"ids array<{kind}>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, codes array<long>, counts array<long>, ords array<int>, locals array<int>, tf array<int>"
+    lists = f"ids array<{kind}>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, codes array<long>, counts array<long>, links array<int>"
     runs = table_of(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(gathered, "tokens"), f"run long, {lists}"), "token-runs")
     pairs = runs.select("run", F.inline(F.arrays_zip("codes", "counts"))).withColumnsRenamed({"codes": "code", "counts": "n"})
     counts = pairs.groupBy("code").agg(F.sum("n").alias("n"), F.count("*").alias("runs"))
@@ -253,11 +271,9 @@ def align(docs: DataFrame, a: str, b: str, run_bytes: int = RUN_BYTES) -> DataFr
         if not np.array_equal(code[order], np.asarray(flat("codes"))):
             raise ValueError(f"run {row['run'][0]} hasn't the pairs that its rows tell")
         n, best = n[order], best[order]
-        ords, local, tf = (np.asarray(flat(c)).astype(np.int64) for c in ("ords", "locals", "tf"))
-        docs_in = len(flat("ids"))
-        sums = np.zeros((2, docs_in), np.int64)
-        np.add.at(sums[0], ords, best[local] * tf)
-        np.add.at(sums[1], ords, n[local] * tf)
+        link, docs_in = np.asarray(flat("links")).astype(np.int64), np.repeat(np.arange(len(flat("ids"))), np.asarray(flat("n_links")))
+        sums = [np.bincount(docs_in, best[link], len(flat("ids"))).astype(np.int64), np.zeros(len(flat("ids")), np.int64)]
+        np.add.at(sums[1], docs_in, n[link])
         return pa.table({"doc_id": flat("ids"), "n_a": flat("n_a"), "n_b": flat("n_b"), "n_groups": flat("n_groups"), "n_links": flat("n_links"), "n_best": sums[0], "count_sum": sums[1], "groups_sha256": flat("sha")})
 
     schema = f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
