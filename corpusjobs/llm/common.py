@@ -64,7 +64,7 @@ def table_of(df: DataFrame, name: str) -> DataFrame:
 REMEMBERED: dict[str, dict] = {}
 
 
-def _give_back(owner: str | None = None) -> None:
+def give_back(owner: str | None = None) -> None:
     """Frees what operators besides the owner remembered, and memory that the allocators hold."""
     for other in REMEMBERED.keys() - {owner} if owner is not None else ():
         del REMEMBERED[other]
@@ -82,9 +82,9 @@ def lean(task: Callable, owner: str = "") -> Callable:
     """
 
     def run(batches):
-        _give_back(owner)
+        give_back(owner)
         yield from task(batches)
-        _give_back()
+        give_back()
 
     return run
 

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import REMEMBERED, SPACE_WORDS, Words, _LOWER, fold_of, fs_of, join_hot, lean, pieces, shared_dir, table, table_of, utf8
+from .common import REMEMBERED, SPACE_WORDS, Words, _LOWER, fold_of, fs_of, give_back, join_hot, lean, pieces, shared_dir, table, table_of, utf8
 
 DEPTH, LEAST = 6, 256
 PART_CONTEXTS, HELD = 100_000, 16 << 20
@@ -44,8 +44,8 @@ RUN_WORDS, RUN_DOCS, MOST_CODES = 2_000_000, 60_000, 2_000_000
 PIECE = 1 << 19  # bytes that are worked on at once
 
 
-def symbols_of(data: np.ndarray, off: np.ndarray, words: Words, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of a piece with depth zeros before each text; places of the symbols to score and their rows."""
+def symbols_of(data: np.ndarray, off: np.ndarray, words: Words, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of a piece with depth zeros before each text; the rows of the symbols to score, see places()."""
     rows, size = len(off) - 1, words.end - words.start
     n_words = np.bincount(words.row, minlength=rows)
     n_bytes = np.bincount(words.row, size, rows).astype(np.int64)
@@ -60,8 +60,12 @@ def symbols_of(data: np.ndarray, off: np.ndarray, words: Words, depth: int) -> t
     out[place] = _LOWER[data[np.repeat(words.start - before, size) + np.arange(int(size.sum()))]]
     out[start + size] = 32
     row = np.repeat(np.arange(rows), length)
-    at = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length) + first[row]
-    return out, at.astype(np.int32), row.astype(np.int32)
+    return out, row.astype(np.uint16 if rows < 1 << 16 else np.int32)
+
+
+def places(row: np.ndarray, depth: int) -> np.ndarray:
+    """Where the symbols to score stand, given their rows: each text but the first brings one zero less than depth."""
+    return np.arange(depth, depth + len(row), dtype=np.int32) + row * np.int32(depth - 1)
 
 
 def gather(docs: DataFrame, depth: int) -> DataFrame:
@@ -78,7 +82,8 @@ def gather(docs: DataFrame, depth: int) -> DataFrame:
         held, size = [], 0
         for batch in batches:
             for _, _, data, off in pieces(*utf8(batch.column(0)), 2 * PIECE):
-                s, at, _ = symbols_of(data, off, Words(data, off, SPACE_WORDS), depth)
+                s, row = symbols_of(data, off, Words(data, off, SPACE_WORDS), depth)
+                at = places(row, depth)
                 own = np.zeros(len(at), np.int64)
                 for d in range(depth + 1):
                     own |= s[at - d].astype(np.int64) << (8 * d)
@@ -120,13 +125,14 @@ class SuffixTree:
             contexts = context[first]
             parent = np.searchsorted(known[d - 1], contexts & ((1 << (8 * (d - 1))) - 1))
             row, at, m = np.repeat(np.arange(len(first)), different), symbol[code & 255], n.astype(float)
-            own = smooth[d - 1][parent] * different[:, None]
+            own = smooth[d - 1][parent].astype(float)
+            own *= different[:, None]
             own[row, at] += m
             total = np.add.reduceat(m, first) if len(first) else m
             own /= own.sum(axis=1, keepdims=True)
             diverged = m * np.log(m / total[row] / smooth[d - 1][parent[row], at])
             known.append(contexts)
-            smooth.append(own)
+            smooth.append(own.astype(np.float32))
             parents.append(parent)
             wanted.append((np.add.reduceat(diverged, first) if len(first) else diverged) > different)
         for d in range(len(levels) - 1, 1, -1):
@@ -184,13 +190,16 @@ class Forest:
         return own[self.folder, k]
 
     def score(self, pieces_of: list) -> list[np.ndarray]:
-        """The sum of log10 P of each text, for pieces (symbols, places to score and their rows, number of rows)."""
+        """The sum of log10 P of each text, for pieces (symbols, the rows of those to score, number of rows)."""
         out, parts = [np.zeros(rows) for *_, rows in pieces_of], [None] * len(pieces_of)
         if self.parts > 1:
-            parts = [self.part_of[s[at - 1].astype(np.int32) | s[at - 2].astype(np.int32) << 8] for s, at, *_ in pieces_of]
+            for i, (s, row, _) in enumerate(pieces_of):
+                at = places(row, self.depth)
+                parts[i] = self.part_of[s[at - 1].astype(np.int32) | s[at - 2].astype(np.int32) << 8]
         for k in range(self.parts):
             tree = self.part(k)
-            for total, part, (s, at, row, rows) in zip(out, parts, pieces_of):
+            for total, part, (s, row, rows) in zip(out, parts, pieces_of):
+                at = places(row, self.depth)
                 if part is not None:
                     mine = np.flatnonzero(part == k)
                     at, row = at[mine], row[mine]
@@ -223,12 +232,16 @@ def fit(train: DataFrame, depth: int = DEPTH, least: int = LEAST, part_contexts:
     common = levels.filter("pair is null").select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "d", "code", "n")
 
     def build(frame: pa.Table) -> pa.Table:
+        give_back("")  # what earlier tasks of the worker have freed
         part, d = frame["part"][0].as_py(), np.asarray(frame["d"])
         code, n = np.asarray(frame["code"]), np.asarray(frame["n"])
         order = np.argsort(code, kind="stable")
         tree = SuffixTree.build([(code[order][d[order] == k], n[order][d[order] == k]) for k in range(depth + 1)])
+        states = len(tree.logs) - 1
         _write(folder, f"part-{part}.npz", tree.save())
-        return pa.table({"part": pa.array([part], pa.int32()), "states": pa.array([len(tree.logs) - 1], pa.int64())})
+        del tree, order, code, n
+        give_back("")
+        return pa.table({"part": pa.array([part], pa.int32()), "states": pa.array([states], pa.int64())})
 
     built = table_of(dealt.unionByName(common).groupBy("part").applyInArrow(build, "part int, states long"), "parts")
     told = built.agg(F.count("*"), F.coalesce(F.sum("states"), F.lit(0))).first()
