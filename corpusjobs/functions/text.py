@@ -108,6 +108,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def cosine(a: Column, b: Column) -> Column:
+    """The cosine of two vectors, null where one is a zero vector."""
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
 def unit(v: Column) -> Column:
     """The vector at length 1; a zero vector stays."""
     n = F.sqrt(dot(v, v))

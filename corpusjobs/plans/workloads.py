@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusjobs.functions import betacode, rules, tagset, text
-from corpusjobs.operators import alignment, association, evaluation, features, lexicon, models, report, sentences, treebank, trees
+from corpusjobs.operators import alignment, association, evaluation, features, index, lexicon, models, ranking, report, scoring, sentences, treebank, trees
 from corpusjobs.operators import pieces as word_pieces
 from corpusjobs.plans.derive import PARALLEL_SQL, TOKENS_SQL, parallel, pieces, table, tokens
 from corpusjobs.plans.registry import _CONTEXTS_SQL, _SWAPPED_SQL, _TAGS_SQL, places, query
@@ -265,29 +266,57 @@ def combined_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("key", "pos").agg(F.count("*").alias("n"))
 
 
-@query(TOKENS_SQL + """, w as (select sent_id, tok_idx, n, lead(n) over w as n2, lead(n, 2) over w as n3 from d_tokens window w as (partition by sent_id order by tok_idx)),
-s as (select sent_id, tok_idx - 1 as start, 3 as n from w where n = 2 and n2 = 2 and n3 = 2 union all select sent_id, tok_idx - 1, 2 from w where n = 2 and n2 = 2)
-select sent_id as sent, count(*) as spans, cast(sum(n) as bigint) as words from s group by sent_id""")
+_ITEMS_SQL = TOKENS_SQL.replace("d_tokens as (", "d_tokens as materialized (") + """, w as (select sent_id, tok_idx - 1 as start, lemma as a, lead(lemma) over w as b, lead(lemma, 2) over w as c from d_tokens window w as (partition by sent_id order by tok_idx)),
+two as (select a, b from w where b is not null group by a, b having count(*) >= 10), three as (select a, b, c from w where c is not null group by a, b, c having count(*) >= 5),
+s as (select sent_id as sent, start, 2 as n from w join two using (a, b) union all select sent_id, start, 3 from w join three using (a, b, c))
+"""
+
+
+def _multi_word_items(own: DataFrame) -> DataFrame:
+    """Items of two words as a word list, of three as translations: those that stand together ten and five times."""
+    order = Window.partitionBy("sent_id").orderBy("tok_idx")
+    rows = own.select(F.col("lemma").alias("a"), F.lead("lemma").over(order).alias("b"), F.lead("lemma", 2).over(order).alias("c"))
+    often = lambda names, least: rows.filter(f"{names[-1]} is not null").groupBy(*names).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return alignment.multi_words(often(["a", "b"], 10).select(F.concat_ws("_", "a", "b").alias("word")), often(["a", "b", "c"], 5).select(F.concat_ws(" ", "a", "b", "c").alias("tgt")))
+
+
+@query(_ITEMS_SQL + "select sent, start, n from s")
 def multi_word_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where two and three words of two letters stand together, by a list of multi-word items; all places before the choice."""
-    own = tokens(spark, sf_dir).select(F.col("sent_id").alias("sent"), (F.col("tok_idx") - 1).alias("idx"), F.lit("ab").alias("two"), F.when(F.length("form") == 2, "ab").otherwise("-").alias("lemma"))
-    items = alignment.multi_words(spark.createDataFrame([("ab_ab",), ("ab",)], "word string"), spark.createDataFrame([("ab ab ab",), ("ab",)], "tgt string"))
-    return alignment.spans_of(own, items).groupBy("sent").agg(F.count("*").alias("spans"), F.sum("n").alias("words"))
+    """Where frequent runs of two and three lemmas occur; all places before the choice."""
+    own = tokens(spark, sf_dir)
+    return alignment.spans_of(own.select(F.col("sent_id").alias("sent"), (F.col("tok_idx") - 1).alias("idx"), "lemma"), _multi_word_items(own))
+
+
+@query(_ITEMS_SQL.replace("with d_lines", "with recursive d_lines") + """, m as (select sent, start, max(n) as n from s group by sent, start), z as (select sent, start, n, row_number() over (partition by sent order by start) as k from m),
+g as (select sent, k, start, n, start + n as free, true as taken from z where k = 1 union all select z.sent, z.k, z.start, z.n, case when z.start >= g.free then z.start + z.n else g.free end, z.start >= g.free from g join z on z.sent = g.sent and z.k = g.k + 1)
+select sent, start, n from g where taken""")
+def greedy_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of these, from the left, the longest at each place that is free."""
+    return alignment.greedy_longest(multi_word_spans(spark, sf_dir))
 
 
 # Features and vectors
 
 
-@query("""with v as (select vec_id, embedding from embeddings) select doc_id, round(coalesce(embedding[1], 0), 5) as first, embedding is not null as found from (select doc_id, doc_id % 700 as k from documents) left join v on k = vec_id""")
+def _shown(vector: str) -> Column:
+    """A vector's numbers, times 100,000, as text."""
+    return F.array_join(F.transform(vector, lambda x: F.round(x.cast("double") * 100_000).cast("long").cast("string")), ",")
+
+
+def _shown_sql(vector: str) -> str:
+    return f"array_to_string(list_transform({vector}, lambda x: cast(round(cast(x as double) * 100000) as bigint)), ',')"
+
+
+@query(f"""with v as (select vec_id, embedding from embeddings) select doc_id, {_shown_sql("coalesce(embedding, list_transform(range((select max(len(embedding)) from embeddings)), lambda x: 0))")} as vector, embedding is not null as found from (select doc_id, doc_id % 700 as k from documents) left join v on k = vec_id""")
 def static_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the vector of a key, zeros where there is none."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
     rows = features.static_vectors(table(spark, sf_dir, "documents").select("doc_id"), vectors, F.col("doc_id") % 700, fill=vectors.select(F.size("vector")).first()[0])
-    return rows.select("doc_id", F.round(F.col("vector")[0].cast("double"), 5).alias("first"), F.exists("vector", lambda x: x != 0).alias("found"))
+    return rows.select("doc_id", _shown("vector").alias("vector"), F.exists("vector", lambda x: x != 0).alias("found"))
 
 
 @query("""select doc_id, regexp_matches(text, '^\\p{Lu}') as capital, case when lang in ('en', 'de') then 1 else 0 end as group_germanic, case when lang = 'fr' then 1 else 0 end as group_romance,
-case when lang in ('en', 'de', 'fr') then 0 else 1 end as group_none, round(embedding[2], 5) as second from (select *, regexp_replace(text, '\\s.*$', '', 's') as w from documents) left join embeddings on doc_id = vec_id""")
+case when lang in ('en', 'de', 'fr') then 0 else 1 end as group_none, """ + _shown_sql("embedding") + """ as vector from (select *, regexp_replace(text, '\\s.*$', '', 's') as w from documents) left join embeddings on doc_id = vec_id""")
 def assembled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A capital flag, a one-hot gazetteer class and a contextual vector by id, by a list of features."""
     names = spark.createDataFrame([("en", "germanic"), ("de", "germanic"), ("fr", "romance")], "key string, class string")
@@ -295,7 +324,7 @@ def assembled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("form"), "lang")
     steps = [("capital", {}), ("gazetteer", {"names": names, "key": F.col("lang"), "column": "group"}), ("one_hot", {"column": "group"}), ("contextual", {"vectors": vectors, "index": "doc_id"}), ("ignore", {"columns": ["form", "lang"]})]
     out = features.assemble(rows, steps)
-    return out.select("doc_id", "capital", "group_germanic", "group_romance", "group_none", F.round(F.col("contextual")[1].cast("double"), 5).alias("second"))
+    return out.select("doc_id", "capital", "group_germanic", "group_romance", "group_none", _shown("contextual").alias("vector"))
 
 
 _PIECE_SQL = TOKENS_SQL + """, z as (select sent_id, tok_idx, (n + 3) // 4 as most, unnest(range((n + 3) // 4)) as j from d_tokens),
@@ -316,12 +345,13 @@ def word_piece_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mean.join(first, ["sent_id", "word_no"]).join(last, ["sent_id", "word_no"])
 
 
-@query("""with v as (select vec_id % 97 as word_id, vec_id as sent_id, embedding[1] as x from embeddings) select word_id, round(avg(cast(x as double)), 6) as mean, round(cast(max_by(x, sent_id) as double), 6) as last from v group by word_id""")
+@query("""with v as (select vec_id % 97 as word_id, vec_id as sent_id, embedding from embeddings), e as (select word_id, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from v), m as (select word_id, i, avg(cast(x as double)) as m from e group by word_id, i),
+a as (select word_id, list(m order by i) as mean from m group by word_id), l as (select word_id, max_by(embedding, sent_id) as last from v group by word_id) select word_id, """ + _shown_sql("mean") + " as mean, " + _shown_sql("last") + " as last from a join l using (word_id)")
 def id_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and last vector of each id."""
     own = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 97).alias("word_id"), F.col("vec_id").alias("sent_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
-    mean = features.vectors_of_ids(own).select("word_id", places(F.col("vector")[0]).alias("mean"))
-    return mean.join(features.vectors_of_ids(own, False).select("word_id", places(F.col("vector")[0]).alias("last")), "word_id")
+    mean = features.vectors_of_ids(own).select("word_id", _shown("vector").alias("mean"))
+    return mean.join(features.vectors_of_ids(own, False).select("word_id", _shown("vector").alias("last")), "word_id")
 
 
 @query(TOKENS_SQL + "select sent_id, tok_idx, case when upos = 'noun' then case when n % 8 = 0 then 'animate' else 'inanimate' end else '_' end as class from d_tokens")
@@ -332,12 +362,13 @@ def classes_of_nouns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.only_of(own, scored, ["sent_id", "tok_idx"], F.col("upos") == "noun", "class").select("sent_id", "tok_idx", "class")
 
 
-@query("""select vec_id, round(cast(embedding[1] as double), 5) as a, round(cast(embedding[2] as double) + cast(embedding[4] as double), 5) as b, round(cast(embedding[3] as double), 5) as c from embeddings""")
+@query("select vec_id, " + _shown_sql("list_concat([list_sum(list_transform(embedding[1:len(embedding) // 2], lambda x: cast(x as double)))], list_transform(embedding[len(embedding) // 2 + 1:], lambda x: cast(x as double)))") + " as vector from embeddings")
 def merged_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second and fourth of four numbers, of one prefix, summed into one."""
-    own = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("v"))
-    out, _ = features.merged_blocks(own, "v", ["a", "b1", "c", "b2"], "b")
-    return out.select("vec_id", *(F.round(F.col("v")[k], 5).alias(n) for k, n in enumerate("abc")))
+    """The first half of a vector's numbers, of one prefix, summed into one; the others stay."""
+    own = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    size = own.agg(F.max(F.size("v"))).first()[0] or 0
+    out, _ = features.merged_blocks(own, "v", [f"{'a' if k < size // 2 else 'b'}{k}" for k in range(size)], "a")
+    return out.select("vec_id", _shown("v").alias("vector"))
 
 
 @query(_CONTEXTS_SQL + """, r as (select word, row_number() over (order by w desc, word) - 1 as row_id from w), q as (select context, row_number() over (order by c desc, context) - 1 as col_id from k)
@@ -357,9 +388,33 @@ def type_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.type_vectors(cells, 8)
 
 
+@query()
+def nearest_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest other vectors of every vector whose id is divisible by 20, by inverted lists over all."""
+    own = table(spark, sf_dir, "embeddings")
+    return index.search(own, own.filter("vec_id % 20 = 0"))
+
+
 # Folds, accuracies, models
 
 
+_CLASSES = ["animate", "inanimate", "abstract"]
+_WEIGHTS, _BIAS = [[0.3, -0.2, 0.5, 0.1], [-0.1, 0.4, -0.3, 0.2], [0.05, 0.1, 0.2, -0.4]], [0.1, -0.2, 0.3]
+_LOGITS_SQL = ", ".join(f"{b} + {w[0]} * (n % 7) + {w[1]} * (n % 3) + {w[2]} * (n % 2) + {w[3]} * (n % 5) as z{k}" for k, (w, b) in enumerate(zip(_WEIGHTS, _BIAS)))
+
+
+@query(TOKENS_SQL + f""", z as (select sent_id, tok_idx, {_LOGITS_SQL} from d_tokens where upos = 'noun'), e as (select sent_id, tok_idx, exp(z0) as e0, exp(z1) as e1, exp(z2) as e2 from z)
+select sent_id, tok_idx, round(e0 / (e0 + e1 + e2), 6) as animate, round(e1 / (e0 + e1 + e2), 6) as inanimate, round(e2 / (e0 + e1 + e2), 6) as abstract, case when e0 >= e1 and e0 >= e2 then 'animate' when e1 >= e2 then 'inanimate' else 'abstract' end as pred from e""")
+def class_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of three classes for all nouns, by a linear model that each worker loads once."""
+    own = tokens(spark, sf_dir).filter("upos = 'noun'").select("sent_id", "tok_idx", F.length("form").alias("n"))
+    rows = scoring.probabilities(own, F.array(*((F.col("n") % k).cast("double") for k in (7, 3, 2, 5))), 4, scoring.linear(np.array(_WEIGHTS), np.array(_BIAS)))
+    told = rows.withColumn("probs", F.transform("probs", lambda p: F.round(p, 6)))
+    best = scoring.best_class(told.withColumn("kept", F.col("probs")), _CLASSES)
+    return best.select("sent_id", "tok_idx", *(F.col("kept")[k].alias(c) for k, c in enumerate(_CLASSES)), "pred")
+
+
+
 @query("""with r as (select doc_id, quality, row_number() over (order by doc_id) as seq from labels), c as (select quality, count(*) as m, min(seq) as f from r group by quality), b as (select *, sum(m) over (order by f) - m as before from c),
 z as (select quality, (before + unnest(range(m))) % 5 as fold from b), a as (select quality, fold, count(*) as n from z group by quality, fold), e as (select *, sum(n) over (partition by quality order by fold) as upto from a),
 p as (select doc_id, quality, row_number() over (partition by quality order by doc_id) as at from r) select doc_id, (select min(fold) from e where e.quality = p.quality and e.upto >= p.at) as fold from p""")
@@ -401,7 +456,7 @@ def out_of_fold_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALIGN_SQL = r"""
 with d_turns as (select conv_id, turn, role, regexp_extract_all(lower(text), '\p{L}+|[.,]') as words from conversations),
-d_pairs as (select a.conv_id * 1000 + a.turn as sent, a.words[1:8] as src, b.words[1:12] as tgt from d_turns a join d_turns b on a.conv_id = b.conv_id and b.turn = a.turn + 1 where a.role = 'user'),
+d_pairs as (select a.conv_id * 1000 + a.turn as sent, a.words as src, b.words as tgt from d_turns a join d_turns b on a.conv_id = b.conv_id and b.turn = a.turn + 1 where a.role = 'user'),
 d_src as (select sent, unnest(src) as form, generate_subscripts(src, 1) - 1 as idx from d_pairs),
 d_raw as (select sent, unnest(tgt) as form, generate_subscripts(tgt, 1) - 1 as idx from d_pairs),
 d_tgt as (select sent, idx, form, form as lemma, case when form in ('.', ',') then 'PUNCT' else ['VERB', 'AUX', 'NOUN', 'ADP', 'ADJ'][length(form) % 5 + 1] end as pos,
@@ -421,10 +476,10 @@ d_spos as (select *, sum(case when form not in ('.', ',') then 1 else 0 end) ove
 
 
 def _parallel_tokens(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Source and target tokens: the first words of a user turn and of the next turn, with a parse by arithmetic."""
+    """Source and target tokens: all of a user turn and of the next turn, with a parse by arithmetic."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.regexp_extract_all(F.lower("text"), F.lit("(\\p{L}+|[.,])"), F.lit(1)).alias("words"))
-    user = rows.filter("role = 'user'").select("conv_id", "turn", F.slice("words", 1, 8).alias("src"))
-    after = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.slice("words", 1, 12).alias("tgt"))
+    user = rows.filter("role = 'user'").select("conv_id", "turn", F.col("words").alias("src"))
+    after = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("words").alias("tgt"))
     own = user.join(after, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("sent"), "src", "tgt")
     source = own.select("sent", F.posexplode("src").alias("idx", "form")).select("sent", F.col("idx").cast("long"), "form", F.col("form").alias("lemma"))
     target = own.select("sent", F.posexplode("tgt").alias("idx", "form")).select("sent", F.col("idx").cast("long"), "form")
@@ -477,29 +532,65 @@ def alignment_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("sent", "idx", "src", "tgt", F.array_join(F.transform("indices", lambda x: x.cast("string")), ",").alias("indices"), "is_phrase", places(F.col("pos_diff")).alias("pos_diff"), places(F.col("dice")).alias("dice"), places(F.col("rel_freq")).alias("rel_freq"), "in_lexicon", "label")
 
 
-def _features(source: DataFrame, target: DataFrame, vectors=None) -> DataFrame:
+def _features(source: DataFrame, target: DataFrame, vectors=None, contextual=None) -> DataFrame:
     sets = source.groupBy("sent").agg(F.collect_set("lemma").alias("src")).join(alignment.lemma_sets(target).withColumnRenamed("lemmas", "tgt"), "sent").withColumnRenamed("sent", "sent_no")
     scores = association.scores(association.pair_counts(sets))
     entries = scores.filter(F.length("src") == F.length("tgt")).select("src", "tgt")
     gold = source.select("sent", "idx", F.array("idx").alias("indices"))
-    return alignment.feature_table(source, target, alignment.candidates(target, _expressions(target), _spans(target)), scores, entries, vectors, gold)
+    return alignment.feature_table(source, target, alignment.candidates(target, _expressions(target), _spans(target)), scores, entries, vectors, gold, contextual)
 
 
 @query(_ALIGN_SQL + "select sent, idx, count(*) as size from (select sent, idx from d_src where form not in ('.', ',')) join d_cand using (sent) group by sent, idx")
 def alignment_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number of candidates of each source token."""
-    return alignment.group_sizes(_features(*_parallel_tokens(spark, sf_dir)), "sent", "idx")
+    source, target = _parallel_tokens(spark, sf_dir)
+    return alignment.candidate_counts(source, alignment.candidates(target, _expressions(target), _spans(target)))
+
+
+def _vectors(spark: SparkSession, sf_dir: str, source: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Static vectors (key, vector) of all different lemmas of one letter case, and the embeddings: a key's is that of its length and first letter."""
+    own = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    keys = source.select("lemma").unionByName(target.select("lemma")).distinct()
+    at = (F.length("lemma") * 31 + F.ascii("lemma")) % 97
+    return keys.withColumn("vec_id", at.cast("long")).join(own, "vec_id").select(F.col("lemma").alias("key"), "vector"), own
+
+
+def _token_vectors(own: DataFrame, tokens: DataFrame) -> DataFrame:
+    at = (F.col("sent") * 7 + F.col("idx") * 3 + F.length("lemma")) % 101
+    return tokens.withColumn("vec_id", at.cast("long")).join(own, "vec_id").select("sent", "idx", "vector")
+
+
+def _all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, target = _parallel_tokens(spark, sf_dir)
+    static, own = _vectors(spark, sf_dir, source, target)
+    return _features(source, target, (static, static), (_token_vectors(own, source), _token_vectors(own, target)))
+
+
+@query(_ALIGN_SQL + """, e as materialized (select vec_id, embedding::double[] as v from embeddings), key_of as (select lemma, (length(lemma) * 31 + unicode(lemma)) % 97 as k from (select form as lemma from d_src union select form from d_tgt)),
+keyed as (select lemma as key, v from key_of join e on vec_id = k), by_vec as (select s.vec_id as a, t.vec_id as b, round(list_cosine_similarity(s.v, t.v), 6) as c from e s join e t on s.vec_id < 97 and t.vec_id < 97),
+tv as (select sent, idx, v from d_tgt join e on vec_id = (sent * 7 + idx * 3 + length(lemma)) % 101), sv as (select sent, idx, v from d_src join e on vec_id = (sent * 7 + idx * 3 + length(form)) % 101),
+cd as (select sent, indices, unnest(indices) as idx from d_cand), cn as (select c.sent, c.indices, unnest(t.v) as x, generate_subscripts(t.v, 1) as i from cd c join tv t on t.sent = c.sent and t.idx = c.idx),
+cm as (select sent, indices, list(m order by i) as v from (select sent, indices, i, avg(x) as m from cn group by sent, indices, i) group by sent, indices),
+lem as (select c.sent, c.indices, string_agg(t.lemma, '_' order by t.idx) as tgt from cd c join d_tgt t on t.sent = c.sent and t.idx = c.idx group by c.sent, c.indices),
+lex as (select distinct s.form as src, t.form as tgt from (select distinct sent, form from d_src) s join (select distinct sent, form from d_tgt) t using (sent) where length(s.form) = length(t.form)),
+types as (select distinct s.form as src, l.tgt from d_src s join lem l using (sent) where s.form not in ('.', ',')), keys as (select key as lemma, k from keyed join key_of on key = lemma),
+best as (select y.src, y.tgt, max(c) as c from types y join keys w on w.lemma = replace(y.tgt, '_-', '') join (select distinct lex.src, k2.k from lex join keys k2 on k2.lemma = lex.tgt) n on n.src = y.src join by_vec on a = n.k and b = w.k group by y.src, y.tgt),
+static as (select y.src, y.tgt, c from types y join keys u on u.lemma = replace(strip_accents(y.src), 'ς', 'σ') join keys w on w.lemma = replace(y.tgt, '_-', '') join by_vec on a = u.k and b = w.k)
+select s.sent, s.idx, array_to_string(l.indices, ',') as indices, static.c as cosine_static, greatest(coalesce(best.c, 0), 0) as cosine_lexicon, round(list_cosine_similarity(sv.v, cm.v), 6) as cosine
+from d_src s join lem l using (sent) left join static on static.src = s.form and static.tgt = l.tgt left join best on best.src = s.form and best.tgt = l.tgt left join sv on sv.sent = s.sent and sv.idx = s.idx left join cm on cm.sent = l.sent and cm.indices = l.indices where s.form not in ('.', ',')""")
+def alignment_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosines of the feature table: static vectors, those of a lexicon's translations, and contextual ones."""
+    out = _all_features(spark, sf_dir)
+    return out.select("sent", "idx", F.array_join(F.transform("indices", lambda x: x.cast("string")), ",").alias("indices"), *(places(F.col(c)).alias(c) for c in ("cosine_static", "cosine_lexicon", "cosine")))
 
 
 @query()
 def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best candidate of each source token by a ranker that learned from nine tenths of the sentences, with all features."""
-    source, target = _parallel_tokens(spark, sf_dir)
-    vectors = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("w"), F.col("vec_id") % 50).alias("key"), F.col("embedding").alias("vector"))
-    rows = evaluation.group_split(_features(source, target, (vectors, vectors)), "sent", 0.9, 3)
-    names = ["pmi", "dice", "odds_ratio", "rel_freq", "pos_diff", "in_lexicon", "is_phrase", "cosine_static", "cosine_lexicon"]
-    model = models.ranker(rows.filter("train"), names, trees=10)
-    best = alignment.best_candidates(models.rank(model, rows), ["sent", "idx"], "score", "indices")
+    """The best candidate of each source token by a list-wise ranker that learned from nine tenths of the sentences, with all features."""
+    rows = evaluation.held(evaluation.group_split(_all_features(spark, sf_dir), "sent", 0.9, 3))
+    names = ["pmi", "dice", "odds_ratio", "rel_freq", "pos_diff", "in_lexicon", "is_phrase", "cosine_static", "cosine_lexicon", "cosine"]
+    model = ranking.fit(rows.filter("train"), ["sent", "idx"], names, trees=5, depth=2)
+    best = alignment.best_candidates(ranking.score(model, rows), ["sent", "idx"], "score", "indices")
     return best.select("sent", "idx", "tgt", "train", "label", places(F.col("score")).alias("score"))
 
 
@@ -525,12 +616,14 @@ def accumulated_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _coordinated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived trees with coordinators: tokens with children and place 2 modulo 5, whose children are conjuncts."""
+    """The derived trees with coordinators (tokens at place 2 modulo 5), whose children are conjuncts, particles and
+    coordinators among the auxiliary ones, and padding at places divisible by 13."""
     own = tokens(spark, sf_dir)
-    coordinator = F.expr("tok_idx % 5 = 2")
-    conjunct = F.expr("head_id % 5 = 2 and relation in ('OBJ', 'SBJ')")
-    relation = F.when(coordinator, "COORD").when(conjunct, F.concat("relation", F.lit("_CO"))).when(F.col("relation") == "CO", "AuxY").otherwise(F.col("relation"))
-    return own.select("sent_id", "tok_idx", "head_id", "form", "lemma", relation.alias("relation"), F.expr("tok_idx % 13 = 0").alias("artificial"))
+    relation = F.when(F.expr("tok_idx % 5 = 2"), "COORD").when(F.expr("tok_idx % 13 = 0"), "UNLINKED").when(F.expr("head_id % 5 = 2 and relation in ('OBJ', 'SBJ')"), F.concat("relation", F.lit("_CO")))
+    own = own.withColumn("relation", relation.when(F.col("relation") == "CO", "AuxY").otherwise(F.col("relation")))
+    auxiliary = F.col("relation") == "AuxY"
+    lemma = F.when(auxiliary & F.expr("tok_idx % 3 = 0"), "τε").when(auxiliary & F.expr("tok_idx % 3 = 1"), "καί").otherwise(F.col("lemma"))
+    return own.select("sent_id", "tok_idx", "head_id", "form", lemma.alias("lemma"), "relation", F.expr("tok_idx % 13 = 0").alias("artificial"))
 
 
 @query()
