@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusjobs.functions.text import feats_map, feats_string, full_rule, normalize, tokens
 from corpusjobs.operators.sentences import ENDS, break_sentences
+from corpusjobs.sources import blocks
 
 CONLLU = {"ID": 0, "FORM": 1, "LEMMA": 2, "UPOS": 3, "XPOS": 4, "FEATS": 5, "HEAD": 6, "DEPREL": 7, "DEPS": 8, "MISC": 9}
 PRESETS = {"CONLLU": CONLLU, "simple": {"ID": 0, "FORM": 1, "MISC": 2}, "simple_tagger": {"ID": 0, "FORM": 1, "UPOS": 2, "XPOS": 3, "FEATS": 4}}
@@ -20,18 +21,10 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(F.broadcast(before), "_part").select((F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).alias("line_no"), "value")
 
 
-def sentences(spark: SparkSession, path: str) -> DataFrame:
-    """One row per block of lines: file, block (order in the file's splits) and its lines.
-
-    The first line tells whether lines end in CRLF; lines of white space part blocks too.
-    """
-    head = spark.read.option("lineSep", "\n").text(path).first()
-    end = "\r\n" if head is not None and head.value.endswith("\r") else "\n"
-    blocks = spark.read.option("lineSep", end * 2).text(path)
-    parts = F.explode(F.split(F.replace("value", F.lit("\r"), F.lit("")), "\n[ \\t]*\n")).alias("block")
-    rows = blocks.select(F.col("_metadata.file_path").alias("file"), parts)
-    lines = F.filter(F.split("block", "\n"), lambda x: F.trim(x) != "")
-    return rows.select("file", F.monotonically_increasing_id().alias("sent_id"), lines.alias("lines")).filter(F.size("lines") > 0)
+def sentences(spark: SparkSession, path: str, split_bytes: int = blocks.SPLIT_BYTES) -> DataFrame:
+    """One row per block of lines: file, sent_id (ascending in the files' order) and its lines, whatever each file's line ends."""
+    blocks.register(spark)
+    return spark.read.format("blocks").option("splitBytes", split_bytes).load(path)
 
 
 def _last_of_each(pairs: Column) -> Column:
@@ -162,3 +155,15 @@ def conllu_lines(rows: DataFrame) -> DataFrame:
 
 def write_conllu(rows: DataFrame, path: str) -> None:
     conllu_lines(rows).orderBy("sent_id").select("block").write.option("lineSep", "\n\n").text(path)
+
+
+def read_corpus_jdbc(spark: SparkSession, url: str, tables: dict[str, str], texts: list[int], column: str = "unit_id", parts: int = 8, properties: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """The tables of a relational corpus, each with the rows of the texts wanted alone: the list of texts is part of what
+    the database is asked, cut into `parts` questions that are read apart.
+
+    tables: for each name the table, or for one that has no such column a query in brackets that has.
+    """
+    wanted = sorted(set(map(int, texts)))
+    size = max(1, -(-len(wanted) // parts))
+    asked = [f"{column} in ({', '.join(map(str, wanted[lo : lo + size]))})" for lo in range(0, len(wanted), size)] or ["1 = 0"]
+    return {name: spark.read.jdbc(url, table, predicates=asked, properties=properties or {}) for name, table in tables.items()}
