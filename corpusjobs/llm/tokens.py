@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import REMEMBERED, join_hot, lean, pieces, table, table_of, utf8
 
-RUN_BYTES = 8 << 20
+RUN_BYTES = 4 << 20
 #: Parts of texts that a worker remembers with their ids, and the longest of them.
-MOST_PARTS, LONGEST = 250_000, 64
+MOST_PARTS, LONGEST = 180_000, 64
 NO_ID = 0xFFFFFFFF  # stands for tokens whose bytes aren't the text's
 #: How byte-level vocabularies cut texts before their merges, and their bytes that stand for themselves.
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
