@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusjobs.operators.evaluation import running_sums
+
 # Marks that end a sentence of raw text.
 ENDS = {"greek": (".", ";", "·", "·"), "other": (".", "?", "!")}
 
@@ -51,17 +53,9 @@ def break_sentences(texts: DataFrame, ends: tuple[str, ...] = ENDS["other"]) ->
     return rows.select("doc_id", "sent_no", (F.col("at") + 1).cast("long").alias("tok_idx"), "form")
 
 
-def running_ids(sizes: DataFrame, order: str, size: str, parts: int = 64) -> DataFrame:
-    """sizes with first_id: the sum of size over all rows before, by order, in two phases.
-
-    Rows fall into `parts` ranges of the order by value; a row a range is summed on one task, the rest in each range.
-    """
-    told = sizes.agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
-    ranged = sizes.crossJoin(F.broadcast(told)).withColumn("_part", F.least(F.floor((F.col(order) - F.col("lo")) * parts / F.greatest(F.col("hi") - F.col("lo") + 1, F.lit(1))), F.lit(parts - 1))).drop("lo", "hi")
-    sums = ranged.groupBy("_part").agg(F.sum(size).alias("_n"))
-    before = sums.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    own = F.sum(size).over(Window.partitionBy("_part").orderBy(order)) - F.col(size)
-    return ranged.join(F.broadcast(before), "_part").withColumn("first_id", F.col("_before") + own).drop("_part", "_before")
+def running_ids(sizes: DataFrame, order: str, size: str) -> DataFrame:
+    """sizes with first_id: the sum of size over all rows before, by order, over ranges that Spark samples."""
+    return running_sums(sizes, order, size).withColumnRenamed(f"{size}_before", "first_id")
 
 
 def breaks_of(rows: DataFrame, unit: str, key: str, *order: str) -> DataFrame:

@@ -70,7 +70,7 @@ def test_coordination(spark):
 
 def test_sentences(spark):
     rows = spark.createDataFrame([(i, i * i % 5 + 1) for i in range(40)], "sent_id long, n long")
-    got = {r.sent_id: r.first_id for r in sentences.running_ids(rows, "sent_id", "n", 7).collect()}
+    got = {r.sent_id: r.first_id for r in sentences.running_ids(rows, "sent_id", "n").collect()}
     assert got == {i: sum(j * j % 5 + 1 for j in range(i)) for i in range(40)}
     runs = spark.createDataFrame([("u", i, k) for i, k in enumerate("aabba")], "unit string, at long, key string")
     assert [r.run for r in sentences.breaks_of(runs, "unit", "key", "at").orderBy("at").collect()] == [1, 1, 2, 2, 3]
