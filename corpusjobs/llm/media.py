@@ -79,7 +79,8 @@ def feature_of(payload: bytes) -> str:
 
 
 class ShardWriter:
-    def __init__(self, folder: str, task: int):
+    def __init__(self, folder: str, task: int, attempt: int = 0):
+        self.attempt = attempt  # a task that runs again names its shards anew; the catalog tells which count
         self.fs, self.folder = fs_of(folder)
         self.fs.create_dir(self.folder, recursive=True)
         self.task, self.number, self.out, self.seen = task, -1, None, {}
@@ -90,7 +91,7 @@ class ShardWriter:
         if self.out is None or self.at > SHARD_BYTES:
             self.close()
             self.number, self.at = self.number + 1, 0
-            self.name = f"shard-{self.task:06d}-{self.number:04d}.tar"
+            self.name = f"shard-{self.task:06d}-{self.attempt}-{self.number:04d}.tar"
             self.passing = f"{self.folder}/.{self.name}.{uuid.uuid4().hex}"
             self.out = self.fs.open_output_stream(self.passing)
         media = encode(payload)
@@ -115,7 +116,7 @@ def store(docs: DataFrame, folder: str) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def write(batches):
-        writer = ShardWriter(folder, TaskContext.get().partitionId())
+        writer = ShardWriter(folder, TaskContext.get().partitionId(), TaskContext.get().taskAttemptId())
         for batch in batches:
             rows = []
             for text in batch.column(1):

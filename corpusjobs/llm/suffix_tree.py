@@ -249,13 +249,16 @@ def fit(train: DataFrame, depth: int = DEPTH, least: int = LEAST, part_contexts:
 
 
 def _write(folder: str, name: str, data: bytes) -> None:
-    """A file in the shared folder, whole or not at all; a task that runs again writes the same."""
+    """A file in the shared folder, whole or not at all; a task that runs again leaves what is there, which is the same."""
     fs, base = fs_of(folder)
     fs.create_dir(base, recursive=True)
     passing = f"{base}/.{name}.{uuid.uuid4().hex}"
     with fs.open_output_stream(passing) as out:
         out.write(data)
-    fs.move(passing, f"{base}/{name}")
+    if fs.get_file_info(f"{base}/{name}").type.name == "File":
+        fs.delete_file(passing)
+    else:
+        fs.move(passing, f"{base}/{name}")
 
 
 def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, least: int = LEAST, part_contexts: int = PART_CONTEXTS) -> DataFrame:
@@ -266,7 +269,7 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, least: int = LE
     names = ["run", "ord", "doc_id", "held_out", "n_tokens", "n_bytes", "score", "h", "n_train"]
 
     def run(batches):
-        task, number, docs_in, words_in = TaskContext.get().partitionId() << 20, 0, 0, 0
+        task, number, docs_in, words_in = TaskContext.get().taskAttemptId() << 20, 0, 0, 0  # an attempt's runs are its own
         held, trains = [], []  # of the run: hash and ordinal of each word; whether each text is learned from
         none = lambda n, k: pa.nulls(n, k)
 

@@ -139,7 +139,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) ->
     def write(batches):
         fs, base = fs_of(folder)
         out, n, size = None, 0, 0
-        name = f"pages-{TaskContext.get().partitionId():06d}.warc.gz"
+        name = f"pages-{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}.warc.gz"  # the manifest tells which attempt counts
         for batch in batches:
             for page_id, url, payload, refers_to in zip(*(batch.column(k) for k in range(4))):
                 if out is None:
