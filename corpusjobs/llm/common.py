@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -17,8 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Lists of the folders that were named while they were open, see passing().
-_MADE: list[list[str]] = []
+class _Made(threading.local):
+    """Lists of the folders that a thread named while they were open, see passing()."""
+
+    def __init__(self):
+        self.lists: list[list[str]] = []
+
+
+_MADE = _Made()
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -33,20 +40,20 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="corpusjobs-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    for own in _MADE:
+    for own in _MADE.lists:
         own.append(path)
     return path
 
 
 @contextmanager
 def passing() -> Iterator[None]:
-    """Deletes at its end what was written to shared folders in it: only for work whose results are written elsewhere."""
+    """Deletes at its end what this thread wrote to shared folders in it: only for work whose results are written elsewhere."""
     own: list[str] = []
-    _MADE.append(own)
+    _MADE.lists.append(own)
     try:
         yield
     finally:
-        _MADE.remove(own)
+        _MADE.lists = [x for x in _MADE.lists if x is not own]
         for path in own:
             fs, base = fs_of(path)
             if fs.get_file_info(base).type.name == "Directory":

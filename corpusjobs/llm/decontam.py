@@ -7,7 +7,7 @@ matrix over the Burrows-Wheeler transform; occurrences are located by walking to
 their spans are merged. Documents are never shuffled.
 
 The benchmark falls into blocks of about `BLOCK_BYTES` of text. A group of rows builds each block's windows and
-writes them to the shared folder; a task holds one block at a time and searches a shard for one after the other. So a
+writes them to the shared folder; a task holds one block at a time and searches one shard after the other. So a
 larger benchmark costs time, not memory, and nothing of it passes through the driver.
 
 Defined cases: a null or empty text has no words; a very long text is a shard of its own; items without words have no
@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import io
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ from pyspark.sql.types import StructType
 
 from .common import LETTER_WORDS, REMEMBERED, Words, fs_of, lean, pieces, shared_dir, table, table_of, utf8
 
-WINDOW, SHARE, SAMPLED, BLOCK_BYTES = 13, 20, 16, 2 << 20
+WINDOW, SHARE, SAMPLED, BLOCK_BYTES, HELD = 13, 20, 16, 2 << 20, 4 << 20
 RESULT = "n_words long, n_hit long, n_items long, items array<bigint>, items_sha256 string, contaminated boolean, spans array<struct<start: bigint, end: bigint>>"
 
 
@@ -189,7 +190,10 @@ def blocks_of(benchmark: DataFrame, window: int, block_bytes: int) -> tuple[str,
         passing = f"{base}/.block-{k}.{uuid.uuid4().hex}"
         with fs.open_output_stream(passing) as out:
             out.write(Block.build(frame["text"].combine_chunks(), frame["item_id"].combine_chunks(), window).save())
-        fs.move(passing, f"{base}/block-{k}.npz")
+        if fs.get_file_info(f"{base}/block-{k}.npz").type.name == "File":
+            fs.delete_file(passing)  # an attempt before this one wrote the same
+        else:
+            fs.move(passing, f"{base}/block-{k}.npz")
         return pa.table({"block": pa.array([k], pa.int64())})
 
     built = table_of(dealt.groupBy("block").applyInArrow(build, "block long"), "blocks")
@@ -224,29 +228,44 @@ def marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: i
     result = StructType.fromDDL(RESULT)
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
 
+    def searched(shards: list) -> Iterator[tuple]:
+        """Words, bounds, hit words and found items of each shard, by one block after the other."""
+        told = [(words, off, np.zeros(len(words.row), bool), {}) for words, off in shards]
+        for k in blocks:
+            own = block(folder, k)
+            for words, _, hit, found in told:
+                start, which = own.occurrences(words.h, words.row)
+                if len(start):
+                    hit |= _merged(start, start + own.lengths[which], len(hit))
+                    place, items = own.items_of(which)
+                    for r, item in set(zip(words.row[start[place]].tolist(), items.tolist())):
+                        found.setdefault(r, set()).add(item)
+        yield from told
+
+    def rows_of(words: Words, off: np.ndarray, hit: np.ndarray, found: dict) -> Iterator[tuple]:
+        bound = words.bounds(len(off) - 1).tolist()
+        for r in range(len(off) - 1):
+            a, b = bound[r], bound[r + 1]
+            spans, n_hit, items = [], int(hit[a:b].sum()), sorted(found.get(r, ()))
+            if n_hit:
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]]))).reshape(-1, 2) + [a, a]
+                spans = [{"start": int(words.start[x] - off[r]), "end": int(words.end[y - 1] - off[r])} for x, y in edge.tolist()]
+            yield b - a, n_hit, len(items), items, hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest(), n_hit > 0 and share * n_hit >= b - a, spans
+
     def task(batches):
         for batch in batches:
             out: list[list] = [[] for _ in kinds]
-            for first, end, data, off in pieces(*utf8(batch.column(at))):
-                words, found = Words(data, off, LETTER_WORDS), {}
-                bound, hit = words.bounds(end - first).tolist(), np.zeros(len(words.h), bool)
-                for k in blocks:
-                    own = block(folder, k)
-                    start, which = own.occurrences(words.h, words.row)
-                    if len(start):
-                        hit |= _merged(start, start + own.lengths[which], len(hit))
-                        place, items = own.items_of(which)
-                        for r, item in set(zip(words.row[start[place]].tolist(), items.tolist())):
-                            found.setdefault(r, set()).add(item)
-                for r in range(end - first):
-                    a, b = bound[r], bound[r + 1]
-                    spans, n_hit, items = [], int(hit[a:b].sum()), sorted(found.get(r, ()))
-                    if n_hit:
-                        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]]))).reshape(-1, 2) + [a, a]
-                        spans = [{"start": int(words.start[x] - off[r]), "end": int(words.end[y - 1] - off[r])} for x, y in edge.tolist()]
-                    row = (b - a, n_hit, len(items), items, hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest(), n_hit > 0 and share * n_hit >= b - a, spans)
-                    for k, v in enumerate(row):
-                        out[k].append(v)
+            shards, size = [], 0
+            for first, end, data, off in [*pieces(*utf8(batch.column(at))), (0, 0, b"", None)]:
+                if off is not None:
+                    shards.append((Words(data, off, LETTER_WORDS), off))
+                    size += len(data)
+                if shards and (size > (HELD if len(blocks) > 1 else 0) or off is None):
+                    for shard in searched(shards):
+                        for row in rows_of(*shard):
+                            for k, v in enumerate(row):
+                                out[k].append(v)
+                    shards, size = [], 0
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, k) for v, k in zip(out, kinds))], [*(f"c{i}" for i in range(at + 1)), *result.names])
 
     named = docs.toDF(*(f"c{i}" for i in range(at + 1)))

@@ -668,3 +668,38 @@ def test_html_ends_of_articles():
     assert html_text.main_text(page(f"<div><p>By me.</p>{advert}<div><p>{long}</p></div></div>")) == "By me.\n" + text
     assert html_text.main_text(f"<body>{menu}<p>{long}</p>{advert}<p>The end.</p>{foot}</body>") == text + "\nThe end."
     assert html_text.main_text(page(f"<div><p>{long}</p></div>") + "<p>Stray</p>") == text
+
+
+def test_decontamination_reads_blocks_once_for_many_shards(spark, monkeypatch):
+    """With several blocks, each is read once for all shards that are held, not once for each shard."""
+    import pyarrow as pa
+
+    from corpusjobs.llm import common
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j) % 50}" for j in range(40))) for i in range(60)], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(k, " ".join(f"w{(k * 11 + j) % 50}" for j in range(15))) for k in range(12)], "item_id long, text string")
+    whole = sorted(map(str, decontam.find(docs, items).collect()))
+    folder, blocks = decontam.blocks_of(items, 13, 60)
+    assert len(blocks) >= 3
+    monkeypatch.setattr(decontam, "pieces", lambda data, off: common.pieces(data, off, 200))  # a shard for every document
+    read = []
+    monkeypatch.setattr(decontam, "block", lambda f, k, own=decontam.block: (read.append(k), own(f, k))[1])
+    monkeypatch.setattr(decontam, "blocks_of", lambda *_: (folder, blocks))
+    task = {}
+
+    class Frame:
+        def __init__(self, df):
+            self.df, self.columns = df, df.columns
+
+        def toDF(self, *names):
+            out = self.df.toDF(*names)
+            out.mapInArrow = lambda f, schema: task.update(f=f)
+            return out
+
+    decontam.marked(Frame(docs), items)
+    batch = docs.toArrow().rename_columns(["c0", "c1"]).combine_chunks().to_batches()
+    rows = [r for b in task["f"](batch) for r in b.to_pylist()]
+    assert sorted(read) == sorted(blocks)
+    monkeypatch.undo()
+    got = sorted(map(str, decontam.find(docs, items, block_bytes=60).collect()))
+    assert got == whole and len(rows) == 60 and any(r["n_hit"] for r in rows)
