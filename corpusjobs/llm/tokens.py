@@ -31,11 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import REMEMBERED, join_hot, lean, pieces, table, table_of, utf8
+from .common import REMEMBERED, give_back, join_hot, lean, pieces, table, table_of, utf8
 
 RUN_BYTES = 4 << 20
 #: Parts of texts that a worker remembers with their ids, and the longest of them.
-MOST_PARTS, LONGEST = 180_000, 64
+MOST_PARTS, LONGEST = 80_000, 64
 NO_ID = 0xFFFFFFFF  # stands for tokens whose bytes aren't the text's
 #: How byte-level vocabularies cut texts before their merges, and their bytes that stand for themselves.
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -150,6 +150,7 @@ def ids_of(a: str, b: str) -> tuple[Ids, Ids]:
     if (a, b) not in own:
         own.clear()
         own[a, b] = byte_ids(a), piece_ids(b)
+        give_back("tokens")  # what reading the files took
     return own[a, b]
 
 
