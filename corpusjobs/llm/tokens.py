@@ -265,6 +265,7 @@ def align(docs: DataFrame, a: str, b: str, run_bytes: int = RUN_BYTES) -> DataFr
     told = join_hot(pairs.select("run", "code"), counts, "code", "runs").select(F.col("run").alias("of_run"), "code", "n", "best")
 
     def counted(own: pa.Table, told: pa.Table) -> pa.Table:
+        give_back("")  # the worker has no use for what it remembers of the vocabularies
         row = own.slice(0, 1)
         flat = lambda name: row[name].combine_chunks().flatten()
         code, n, best = (np.asarray(told[c].combine_chunks().cast(pa.int64())) for c in ("code", "n", "best"))
