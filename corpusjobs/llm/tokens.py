@@ -20,9 +20,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,18 +33,15 @@ from pyspark.sql import functions as F
 from .common import REMEMBERED, give_back, join_hot, lean, pieces, table, table_of, utf8
 
 RUN_BYTES = 4 << 20
-#: Parts of texts that a worker remembers with their ids, and the longest of them.
-MOST_PARTS, LONGEST = 80_000, 64
-NO_ID = 0xFFFFFFFF  # stands for tokens whose bytes aren't the text's
+#: Characters of a text from which on pieces are asked for segment by segment.
+LONG = 1 << 16
 #: How byte-level vocabularies cut texts before their merges, and their bytes that stand for themselves.
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHOWN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: Characters below this have had their classes for long, whatever the version of Unicode.
 PLAIN_END = "԰"
-SPACES = "\t\n\x0b\x0c\r \x85\xa0"
-_OF_CLASS = {k: "".join(re.escape(c) for c in map(chr, range(ord(PLAIN_END))) if unicodedata.category(c)[0] == k) for k in "LN"}
-_PARTS = re.compile(CUTS.replace(r"[^\s\p{L}\p{N}]", f"[^{SPACES}{_OF_CLASS['L']}{_OF_CLASS['N']}]").replace(r"\p{L}", f"[{_OF_CLASS['L']}]").replace(r"\p{N}", f"[{_OF_CLASS['N']}]").replace(r"\s", f"[{SPACES}]").replace(r"\S", f"[^{SPACES}]"))
-_SEGMENTS = re.compile(" +[^ ]*")
+_NEW = re.compile(f"[^\x00-{chr(ord(PLAIN_END) - 1)}]")
+_SEGMENT = re.compile("(?<=[^ ]) +[^ ]")
 
 DOCUMENT = ["ids", "n_a", "n_b", "n_groups", "n_links", "sha"]
 
@@ -56,93 +52,86 @@ def byte_of() -> dict[str, int]:
     return {chr(b): b for b in SHOWN_BYTES} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-class Ids(dict):
-    """Ids, as bytes, of parts of texts that a tokenizer never joins; those used last, `most` at least and twice at most.
+class Ids:
+    """The ids of texts by a vocabulary; tokens: each id's bytes."""
 
-    encode() gives the ids of each of some texts, or of parts where these are asked for.
-    """
-
-    def __init__(self, tokens: list[bytes], whole: Callable[[list[str]], list], parts: Callable[[list[str]], list] | None, cut: re.Pattern, uncut: str = "", most: int = MOST_PARTS):
-        super().__init__()
-        self.tokens, self.whole, self.parts, self.cut, self.most, self.older = tokens, whole, parts, cut, most, {}
+    def __init__(self, tokens: list[bytes], encode: Callable[[str], Iterable[int]]):
+        self.tokens, self.encode = tokens, encode
         self.sizes = np.array([len(t) for t in tokens], np.int64)
-        self.uncut = re.compile(f"[^\x00-{chr(ord(PLAIN_END) - 1)}]{uncut and '|' + uncut}")
-
-    def checked(self, text: str, ids: list[int]) -> bytes:
-        same = b"".join(map(self.tokens.__getitem__, ids)) == text.encode()
-        return array("I", ids if same else [NO_ID]).tobytes()
-
-    def learn(self, parts: set[str]) -> dict[str, bytes]:
-        """Ids of parts that aren't remembered; long ones are only returned."""
-        known = {p: self.older[p] for p in parts if p in self.older}
-        unknown = [p for p in parts if p not in known]
-        known |= {p: self.checked(p, ids) for p, ids in zip(unknown, self.parts(unknown))}
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-        self.update((p, ids) for p, ids in known.items() if len(p) <= LONGEST)
-        return known
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, which begins with a space or is empty; none if their bytes aren't the text's."""
-        cut = [self.cut.findall(t) if self.parts and not self.uncut.search(t) else None for t in texts]
-        new = self.learn({p for own in cut if own for p in own if p not in self})
         out = []
-        for text, own in zip(texts, cut):
-            if own is None:
-                raw = self.checked(text, self.whole([text])[0])
-            else:
-                try:
-                    raw = b"".join(map(self.__getitem__, own))
-                except KeyError:  # some are long, or went as others were learned
-                    again = self.learn({p for p in own if p not in self and p not in new})
-                    raw = b"".join([self.get(p) or new.get(p) or again.get(p) or self.older[p] for p in own])
-            ids = np.frombuffer(raw, np.uint32)
-            out.append(ids[:0] if NO_ID in ids else ids)
+        for text in texts:
+            ids = array("I", self.encode(text) if text else ())
+            same = b"".join(map(self.tokens.__getitem__, ids)) == text.encode()
+            out.append(np.frombuffer(ids if same else b"", np.uint32))
         return out
 
 
+def by_ranks(model: dict, entries: dict[bytes, int], alone: Callable[[str], list]) -> bool:
+    """Whether merging the neighbours whose joined bytes have the least id gives what the listed merges give.
+
+    It does if the merges' ids ascend and each entry, alone, is encoded as itself: two neighbours stand beside each other
+    as they do where their joined text is alone, and of its two halves only the listed ones ever do.
+    """
+    made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    ascending = all(x < y for x, y in zip(made, made[1:]))
+    ids = set(entries.values())
+    whole = all([t.id for t in alone(e)] == [k] for e, k in model["vocab"].items() if k in ids)
+    return plain and ascending and whole and sum(len(e) == 1 for e in entries) == 256
+
+
 def byte_ids(path: str) -> Ids:
-    """Of a byte-level vocabulary of the tokenizers library; special tokens' strings are plain text."""
-    from tokenizers import Tokenizer, pre_tokenizers
+    """Of a byte-level vocabulary of the tokenizers library; special tokens' strings are plain text.
+
+    Where by_ranks() holds, texts of characters whose classes are settled are merged by tiktoken, others by the library.
+    """
+    import tiktoken
+    from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
     own.encode_special_tokens = True
     told, decode = json.loads(own.to_str()), byte_of()
-    entries = sorted(own.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])
-    tokens = [b""] * (entries[-1][1] + 1)
     special = {t["id"] for t in told["added_tokens"]}
-    for entry, k in entries:
+    vocabulary = own.get_vocab(with_added_tokens=True)
+    tokens = [b""] * (max(vocabulary.values()) + 1)
+    for entry, k in vocabulary.items():
         tokens[k] = entry.encode() if k in special else bytes(decode[c] for c in entry)
-    shape = told["normalizer"], (told["pre_tokenizer"] or {}).get("type"), (told["pre_tokenizer"] or {}).get("use_regex"), (told["pre_tokenizer"] or {}).get("add_prefix_space"), told["model"]["type"]
-    model, shown = own.model, str.maketrans({b: c for c, b in decode.items()})
-
-    def parts(texts: list[str]) -> list:
-        return [[t.id for t in model.tokenize(x.encode().decode("latin-1").translate(shown))] for x in texts]
-
-    whole = lambda texts: [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
-    return Ids(tokens, whole, parts if shape == (None, "ByteLevel", True, False, "BPE") else None, _PARTS)
+    entries = {tokens[k]: k for k in vocabulary.values() if k not in special}
+    cuts = told["pre_tokenizer"] or {}
+    shape = told["normalizer"], cuts.get("type"), cuts.get("use_regex"), cuts.get("add_prefix_space"), told["model"]["type"]
+    whole = lambda text: own.encode(text, add_special_tokens=False).ids
+    if shape != (None, "ByteLevel", True, False, "BPE") or not by_ranks(told["model"], entries, own.model.tokenize):
+        return Ids(tokens, whole)
+    ranked = tiktoken.Encoding("bytes", pat_str=CUTS, mergeable_ranks=entries, special_tokens={})
+    return Ids(tokens, lambda text: whole(text) if _NEW.search(text) else ranked.encode_ordinary(text))
 
 
 def piece_ids(path: str) -> Ids:
-    """Of a sentencepiece model, which puts the first space there itself; U+2581 in a piece is a space, <0xHH> a byte."""
+    """Of a sentencepiece model, which puts the first space there itself; U+2581 in a piece is a space, <0xHH> a byte.
+
+    Long texts are asked for in runs of segments, each of spaces and what follows them, where no piece goes on over a
+    space and so no merge does.
+    """
     import sentencepiece
 
     own = sentencepiece.SentencePieceProcessor(model_file=path)
     entries = [own.id_to_piece(k) for k in range(own.piece_size())]
     tokens = [bytes([int(p[3:5], 16)]) if own.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(entries)]
-    apart = not any("▁" in p.lstrip("▁") for p in entries)  # no piece goes on over a space, so neither do merges
-    encode = lambda texts: own.encode([t[1:] for t in texts], num_threads=1)
-    one = len(own.encode("x"))
-
-    def parts(texts: list[str]) -> list:
-        out = encode(texts)
-        for k, t in enumerate(texts):
-            if not t.strip(" "):  # spaces alone are read behind a letter
-                out[k] = own.encode("x" + t, num_threads=1)[one:]
-        return out
-
-    return Ids(tokens, encode, parts if apart else None, _SEGMENTS, "▁")
+    apart = not any("▁" in p.lstrip("▁") for p in entries)
+    encode = lambda text: own.encode(text[1:], num_threads=1)
+
+    def by_segments(text: str) -> array:
+        ids, lo = array("I"), 0
+        while cut := _SEGMENT.search(text, lo + LONG):
+            ids.extend(encode(text[lo : cut.start()]))
+            lo = cut.start()
+        ids.extend(encode(text[lo:]))
+        return ids
+
+    return Ids(tokens, lambda text: by_segments(text) if apart and len(text) > LONG and "▁" not in text and not _NEW.search(text) else encode(text))
 
 
 def ids_of(a: str, b: str) -> tuple[Ids, Ids]:

@@ -85,17 +85,16 @@ def test_odd_rows(spark):
     assert told(tokens.align(df.filter("text is null"), A, B)) == [(0, 0, 0, 0, 0, 0, 0, "")]
 
 
-def test_parts_are_whole_texts_ids():
-    """Ids by remembered parts are those of the tokenizers' own calls, for all characters below PLAIN_END."""
+def test_texts_ids(monkeypatch):
+    """Ids by ranks and by runs of segments are those of the tokenizers' own calls, for all characters below PLAIN_END and some above."""
+    monkeypatch.setattr(tokens, "LONG", 5)
     rng = random.Random(7)
     every = [chr(c) for c in range(1, ord(tokens.PLAIN_END))]
     by_a, by_b = own_calls()
     a, b = tokens.byte_ids(A), tokens.piece_ids(B)
-    a.most = b.most = 50
-    assert a.parts and b.parts
     texts = ["".join(every[i : i + 7]) + " " + every[i] for i in range(len(every) - 7)]
     texts += ["".join(rng.choice(" " * 6 + "\n\t\r's" + "abcdé1²Жя,.'" + rng.choice(every)) for _ in range(rng.randrange(1, 60))) for _ in range(3000)]
-    texts += ["z" * 200 + " " + "z" * 200, "w" * 70 + " w"]  # parts too long to be remembered
+    texts += ["z" * 200 + " " + "z" * 200, "w" * 70 + " w", " ", "   ", "x" * 9 + " " * 9, " " * 9 + "x", "<|endoftext|> </s> <s>", "日本語 の テキスト です。 ab", "a▁b ▁ c d e f", "\u0660\u06f0 \u2003 x\u200by"]
     for own, call in ((a, by_a), (b, by_b)):
         got = [x.tolist() for lo in range(0, len(texts), 17) for x in own.of([" " + t for t in texts[lo : lo + 17]])]
         for t, ids_of_t in zip(texts, got):
@@ -103,6 +102,27 @@ def test_parts_are_whole_texts_ids():
             assert ids_of_t == (ids if b"".join(raw) == (" " + t).encode() else []), repr(t)
 
 
+def test_by_ranks():
+    """Ranks stand for merges only if no other halves of an entry can meet."""
+    model = lambda merges: {"vocab": {c: k for k, c in enumerate([*map(chr, range(256)), *("".join(m) for m in merges)])}, "merges": [" ".join(m) for m in merges]}
+
+    def alone(own):
+        from tokenizers.models import BPE
+
+        return BPE(own["vocab"], [tuple(m.split(" ")) for m in own["merges"]]).tokenize
+
+    def holds(merges, **others):
+        own = model(merges) | others
+        return tokens.by_ranks(own, {e.encode("latin-1"): k for e, k in own["vocab"].items()}, alone(model(merges)))
+
+    assert holds([("a", "b"), ("ab", "c")])
+    assert not holds([("b", "c"), ("a", "b"), ("ab", "c")])  # "abc" alone is "a", "bc", whose joined text has an id
+    assert not holds([("a", "b"), ("ab", "c")], ignore_merges=True)
+    own = model([("a", "b"), ("ab", "c")])
+    own["merges"].reverse()
+    assert not tokens.by_ranks(own, {e.encode("latin-1"): k for e, k in own["vocab"].items()}, alone(own))
+
+
 def test_overlaps():
     rng = random.Random(2)
     for _ in range(50):
