@@ -146,9 +146,16 @@ def read_translations(spark: SparkSession, path: str, weighted: bool = False) ->
 
 
 def conllu_lines(rows: DataFrame) -> DataFrame:
-    """sent_id, block: the CoNLL-U lines of each sentence, from flat tokens with a feats map."""
-    cell = lambda n: F.coalesce(F.col(n).cast("string"), F.lit("_")) if n in rows.columns else F.lit("_")
-    line = F.concat_ws("\t", F.col("tok_idx").cast("string"), cell("form"), cell("lemma"), cell("upos"), cell("xpos"), feats_string(F.col("feats")), cell("head"), cell("deprel"), cell("deps"), cell("misc"))
+    """sent_id, block: the CoNLL-U lines of each sentence, from flat tokens with a feats map, or from sentences (sent_id, s)."""
+
+    def line_of(names, column):
+        cell = lambda n: F.coalesce(column(n).cast("string"), F.lit("_")) if n in names else F.lit("_")
+        return F.concat_ws("\t", column("tok_idx").cast("string"), cell("form"), cell("lemma"), cell("upos"), cell("xpos"), feats_string(column("feats")), cell("head"), cell("deprel"), cell("deps"), cell("misc"))
+
+    if "s" in rows.columns:
+        names = rows.schema["s"].dataType.elementType.names
+        return rows.select("sent_id", F.concat_ws("\n", F.transform("s", lambda x: line_of(names, lambda c: x[c]))).alias("block"))
+    line = line_of(rows.columns, F.col)
     parts = F.sort_array(F.collect_list(F.struct("tok_idx", line.alias("line"))))
     return rows.groupBy("sent_id").agg(F.concat_ws("\n", F.transform(parts, lambda x: x["line"])).alias("block"))
 
