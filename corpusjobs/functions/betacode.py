@@ -70,4 +70,6 @@ def word_list(forms: DataFrame, regularized: bool = True) -> DataFrame:
     for pattern in LEFT_OUT:
         out = out | F.col("form").rlike(pattern)
     beta = to_beta(F.col("form"))
-    return forms.filter(~out).select((regular(beta) if regularized else beta).alias("beta")).distinct()
+    # patterns and code are for different forms only: a filter on a count isn't moved below it
+    different = forms.groupBy("form").agg(F.count("*").alias("_n")).filter(F.when(F.col("_n") > 0, ~out))
+    return different.select((regular(beta) if regularized else beta).alias("beta")).distinct()
