@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 from .common import REMEMBERED, lean, table, table_of
 
 LENGTH, WINDOWS, FAN_IN, END_ID = 2048, 32, 256, 1
-#: Words, and parts of words, that a worker remembers with their ids, and the longest of them.
-MOST_WORDS, LONGEST = 500_000, 64
+#: Words, and parts of words, that a worker remembers with their ids (twice as many at most, of 200 bytes each or less:
+#: an executor's memory holds all its workers' beside the heap of the stages before), and the longest of them.
+MOST_WORDS, LONGEST = 150_000, 64
 #: Control characters that str.split() takes for white space and the tokenizer doesn't.
 CONTROLS = "\x1c\x1d\x1e\x1f"
 #: The steps of a tokenizer that can be asked word by word.

@@ -703,3 +703,14 @@ def test_decontamination_reads_blocks_once_for_many_shards(spark, monkeypatch):
     monkeypatch.undo()
     got = sorted(map(str, decontam.find(docs, items, block_bytes=60).collect()))
     assert got == whole and len(rows) == 60 and any(r["n_hit"] for r in rows)
+
+
+def test_packing_remembers_little():
+    import sys
+
+    import public_tokenizers
+
+    words, texts = packing.WordIds(public_tokenizers.path("word_bpe_49k.json")), (" ".join(f"w{k:x}" for k in range(lo, lo + 1000)) for lo in range(0, 400_000, 1000))
+    assert sum(len(ids) for ids in words.of(texts)) > 400_000
+    held = sum(sys.getsizeof(d) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in d.items()) for d in (words, words.older))
+    assert held < 45e6
