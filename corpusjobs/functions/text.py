@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 # Characters that the folding and splitting rules name.
 APOSTROPHES = "᾽'ʼ´"
@@ -73,12 +75,46 @@ def is_punct(form: Column) -> Column:
     return form.isin(*PUNCTUATION, "")
 
 
+def of_different(work: Callable, kind: pa.DataType) -> Callable:
+    """A function of arrays that works once on each different value of a batch: tags repeat far more often than they differ."""
+
+    def run(values: pa.Array) -> pa.Array:
+        coded = values.dictionary_encode()
+        told = pa.array([*map(work, coded.dictionary.to_pylist()), work(None)], kind)
+        return told.take(coded.indices.fill_null(len(told) - 1))
+
+    return run
+
+
+def _parsed(feats: str | None) -> list[tuple[str, str]]:
+    pairs = [p.split("=", 1) for p in (feats or "").split("|") if "=" in p]
+    return list({k: v for k, v in reversed(pairs)}.items())[::-1]
+
+
+@F.arrow_udf(ArrayType(StructType([StructField("key", StringType()), StructField("value", StringType())])))
+def _entries(feats: pa.Array) -> pa.Array:
+    return of_different(lambda x: [{"key": k, "value": v} for k, v in _parsed(x)], pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())])))(feats)
+
+
 def feats_map(feats: Column) -> Column:
     """Map of 'A=b|C=d', the first value of a name winning; '_' and null are empty."""
-    parts = F.filter(F.split(F.coalesce(feats, F.lit("_")), "\\|"), lambda x: F.contains(x, F.lit("=")))
-    pairs = F.transform(parts, lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.substr(x, F.instr(x, F.lit("=")) + 1).alias("value")))
-    first = F.filter(pairs, lambda x, i: F.array_position(F.transform(pairs, lambda y: y["key"]), x["key"]) == i + 1)
-    return F.map_from_entries(first)
+    return F.map_from_entries(_entries(feats))
+
+
+@F.arrow_udf(StringType())
+def feats_ordered(feats: pa.Array) -> pa.Array:
+    """feats_string(feats_map(feats)), without a map between."""
+    return of_different(lambda x: "|".join(sorted(f"{k}={v}" for k, v in _parsed(x) if v != "_")) or "_", pa.string())(feats)
+
+
+def feature(feats: Column, name: str) -> Column:
+    """The value of a name in 'A=b|C=d', '_' if there is none."""
+
+    @F.arrow_udf(StringType())
+    def value(feats: pa.Array) -> pa.Array:
+        return of_different(lambda x: dict(_parsed(x)).get(name, "_"), pa.string())(feats)
+
+    return value(feats)
 
 
 def feats_string(feats: Column) -> Column:
@@ -87,10 +123,6 @@ def feats_string(feats: Column) -> Column:
     return F.when(F.size(kept) == 0, "_").otherwise(F.concat_ws("|", kept))
 
 
-def feature(feats: Column, name: str) -> Column:
-    return F.coalesce(F.element_at(feats_map(feats), name), F.lit("_"))
-
-
 def context_label(lemma: Column, relation: Column, prefix: Column, direction: bool = True, relations: bool = False, conjunct: str = "CO") -> Column:
     """lemma, prefix_lemma or prefix_relation_lemma; a conjunct's prefix is Cd."""
     if not direction:

@@ -129,3 +129,11 @@ def test_halves_and_windows(spark):
     assert {r.half for r in q["unknown_words_crossfit"](spark, sf).select("half").distinct().collect()} == {0, 1}
     got = {(r.sent_id, r.tok_idx): r.context.split(" ") for r in q["token_windows"](spark, sf).collect()}
     assert max(map(len, got.values())) == 13 and all(len(c) - 2 <= 11 for c in got.values())
+
+
+def test_feats_are_parsed_once_a_value(spark):
+    cases = {"A=b|C=d|A=x": ({"A": "b", "C": "d"}, "A=b|C=d", "d"), "C=d=e|x|A=_": ({"C": "d=e", "A": "_"}, "C=d=e", "d=e"), "_": ({}, "_", "_"), "": ({}, "_", "_"), "C=|B=z": ({"C": "", "B": "z"}, "B=z|C=", ""), None: ({}, "_", "_")}
+    rows = spark.createDataFrame([(k,) for k in cases] * 3, "t string")
+    out = rows.select("t", text.feats_map(F.col("t")), text.feats_ordered(F.col("t")), text.feature(F.col("t"), "C"), text.feats_string(text.feats_map(F.col("t"))).alias("s"))
+    assert all(tuple(r)[1:4] == cases[r["t"]] and r["s"] == cases[r["t"]][1] for r in out.collect())
+    assert "transform" not in rows.select(text.feats_ordered(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
