@@ -13,23 +13,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rules that may be broadcast.
+MOST_RULES = 20_000
 TREE = "tree string, pattern string, replacement string, key string"
 
 
 def _common(form: str, lemma: str) -> list[tuple[int, int, int]]:
     """Start in form, start in lemma and length of all longest common substrings, in order of place."""
-    most, found, before = 0, [], [0] * (len(lemma) + 1)
-    for i, c in enumerate(form, 1):
-        row = [0] * (len(lemma) + 1)
-        for j, d in enumerate(lemma, 1):
-            if c == d:
-                row[j] = n = before[j - 1] + 1
-                if n > most:
-                    most, found = n, []
-                if n == most:
-                    found.append((i - n, j - n, n))
-        before = row
-    return sorted(found)
+    # most lemmas are nearly their forms, so long substrings are asked for first
+    for n in range(min(len(form), len(lemma)), 0, -1):
+        places: dict[str, list[int]] = {}
+        for j in range(len(lemma) - n + 1):
+            places.setdefault(lemma[j : j + n], []).append(j)
+        found = [(i, j, n) for i in range(len(form) - n + 1) for j in places.get(form[i : i + n], ())]
+        if found:
+            return found
+    return []
 
 
 @cache
@@ -65,7 +64,14 @@ def _segments(tree: tuple | None, length: int | None) -> list:
 
 
 def _rule(form: str, lemma: str, depth: int) -> tuple[str, str, str, str]:
-    _, tree = _best(form, lemma, depth)
+    if form == lemma and form and depth:
+        return _written(("m", 0, None, 0, None))
+    return _written(_best(form, lemma, depth)[1])
+
+
+@cache
+def _written(tree: tuple) -> tuple[str, str, str, str]:
+    """The printed tree, its pattern, replacement and key; trees are far fewer than pairs."""
     segments = _segments(tree, None)
     pattern, replacement, group = "(?s)^", "", 0
     for s in segments:
@@ -88,6 +94,7 @@ def rule(form: Column, lemma: Column, depth: int = -1) -> Column:
     def build(forms: pd.Series, lemmas: pd.Series) -> pd.DataFrame:
         rows = [_rule(f, le, depth) for f, le in zip(forms, lemmas)]
         _best.cache_clear()
+        _written.cache_clear()
         return pd.DataFrame(rows, columns=["tree", "pattern", "replacement", "key"])
 
     return build(form, lemma)
@@ -112,7 +119,10 @@ def apply(forms: DataFrame, rules: DataFrame) -> DataFrame:
     n = F.length("form")
     ends = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.lit(">"), F.right(F.col("form"), i)))
     starts = F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(F.lit("<"), F.left(F.col("form"), i)))
-    met = forms.withColumn("key", F.explode(F.array_distinct(F.concat(ends, starts)))).join(rules.select("tree", "pattern", "replacement", "key"), "key")
+    asked = forms.withColumn("key", F.explode(F.array_distinct(F.concat(ends, starts))))
+    own = rules.select("tree", "pattern", "replacement", "key").persist()
+    few = own.limit(MOST_RULES + 1).count() <= MOST_RULES  # then they go to the forms, whose keys are many
+    met = asked.join(F.broadcast(own) if few else own, "key")
     fits = met.filter(F.regexp_like("form", F.col("pattern")))
     return fits.select(*forms.columns, "tree", F.regexp_replace("form", F.col("pattern"), F.col("replacement")).alias("lemma"))
 

@@ -137,3 +137,13 @@ def test_feats_are_parsed_once_a_value(spark):
     out = rows.select("t", text.feats_map(F.col("t")), text.feats_ordered(F.col("t")), text.feature(F.col("t"), "C"), text.feats_string(text.feats_map(F.col("t"))).alias("s"))
     assert all(tuple(r)[1:4] == cases[r["t"]] and r["s"] == cases[r["t"]][1] for r in out.collect())
     assert "transform" not in rows.select(text.feats_ordered(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_substrings_and_rules_by_brief_ways(spark):
+    assert edit_trees._common("abab", "ab") == [(0, 0, 2), (2, 0, 2)] and edit_trees._common("Aab", "aab") == [(1, 1, 2)] and edit_trees._common("x", "y") == [] == edit_trees._common("", "")
+    assert edit_trees._rule("abc", "abc", -1) == edit_trees._rule("x", "x", 1) != edit_trees._rule("abc", "abc", 0)
+    assert edit_trees._rule("", "", -1)[0] == "r(, )"
+    rules = spark.createDataFrame([edit_trees._rule(*p, -1) for p in (("x", "x"), ("runs", "run"))], edit_trees.TREE)
+    out = edit_trees.apply(spark.createDataFrame([("cats",), ("s",)], "form string"), rules)
+    assert sorted((r["form"], r["lemma"]) for r in out.collect()) == [("cats", "cat"), ("cats", "cats"), ("s", "s")]
+    assert "BroadcastExchange" in out._jdf.queryExecution().executedPlan().toString()
