@@ -8,6 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusjobs.operators import association
 from corpusjobs.operators.sentences import over_sentences
 from corpusjobs.operators.treebank import first_conjuncts, heads_of
 
@@ -40,12 +41,22 @@ def label(marked: DataFrame, labels: DataFrame, ids: dict[str, int], last: bool
 def join_phrases(tokens: DataFrame, phrases: DataFrame) -> DataFrame:
     """sent_id, tok_idx, phrase: pairs of neighbours that are phrases (a, b), taken greedily from the left.
 
-    In a run of overlapping pairs every second one is taken, beginning with the first.
+    In a run of overlapping pairs every second one is taken, beginning with the first. tokens: sent_id, tok_idx, lemma, or
+    sentences (sent_id, s: tok_idx and lemma in order), whose pairs need no exchange by sentence and meet phrases by a
+    64-bit hash.
     """
+    if "s" in tokens.columns:
+        pairs = association.neighbours(tokens).filter("a is not null").select("sent_id", "tok_idx", (F.col("tok_idx") - F.col("place")).alias("gap"), F.xxhash64("a", "b").alias("h"))  # the gap is mostly 0
+        hits = pairs.join(phrases.select("a", "b").distinct().select(F.xxhash64("a", "b").alias("h"), "a", "b"), "h")
+        return _every_second(hits.withColumn("place", F.col("tok_idx") - F.col("gap")))
     own = Window.partitionBy("sent_id").orderBy("tok_idx")
     pairs = tokens.select("sent_id", "tok_idx", F.col("lemma").alias("a"), F.lead("lemma").over(own).alias("b"), F.row_number().over(own).alias("place"))
     hits = pairs.filter("b is not null").join(phrases.select("a", "b").distinct(), ["a", "b"])
-    runs = hits.withColumn("run", F.col("place") - F.row_number().over(own))
+    return _every_second(hits)
+
+
+def _every_second(hits: DataFrame) -> DataFrame:
+    runs = hits.withColumn("run", F.col("place") - F.row_number().over(Window.partitionBy("sent_id").orderBy("tok_idx")))
     rank = F.row_number().over(Window.partitionBy("sent_id", "run").orderBy("tok_idx"))
     return runs.withColumn("rank", rank).filter("rank % 2 = 1").select("sent_id", "tok_idx", F.concat_ws("_", "a", "b").alias("phrase"))
 
