@@ -11,8 +11,9 @@ Equal sets are one class. Between classes, two sets that reach the threshold mis
 The boundary between light and heavy sets is the one with the least cost over the sizes that occur: keys that
 are made, and entries that are scanned at `SCAN` times that cost. Sets that meet in a list form clusters around
 the list's smallest class. Clusters are cut into blocks of at most `BLOCK` sets and `BLOCK_SHINGLES` shingles;
-for each pair of blocks one group of rows counts all overlaps exactly and returns a spanning forest of the links,
-never the pairs. Nothing is capped or sampled.
+a block moves once, and those of larger clusters are written to the shared folder, where each pair of blocks is read
+and all its overlaps are counted exactly. A spanning forest of the links is returned, never the pairs. Nothing is
+capped or sampled.
 
 Words and shingles are 64-bit hashes, and a class is the 120-bit hash of its set: n sets are told apart but for a
 chance of about n**2 / 2**121. Defined cases: a document without words has no shingles, is linked with nothing
@@ -23,6 +24,7 @@ join() reads doc_id and text alone, keep_one() returns all columns whatever thei
 
 from __future__ import annotations
 
+import uuid
 from decimal import Decimal
 from math import comb, exp, sqrt
 
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, StructField, StructType
 
-from .common import SPACE_WORDS, Words, lean, mix, pieces, table, table_of, unused, utf8, with_text
+from .common import SPACE_WORDS, Words, fs_of, lean, mix, pieces, shared_dir, table, table_of, unused, utf8, with_text
 from .components import components
 
 BLOCK, BLOCK_SHINGLES, SCAN = 800, 1 << 20, 6
@@ -271,28 +273,71 @@ def links(docs: DataFrame, sets: DataFrame, rule: Rule, block: int = BLOCK, bloc
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(named), f"doc_id {dict(docs.dtypes)['doc_id']}, node decimal(38, 0), text string")
     texts = texts.select(own, "text").join(needed.select(own, "places"), "own").select("own.node", "text", "places")
     members = texts.mapInArrow(lean(run), "node decimal(38, 0), places array<struct<pivot: decimal(38, 0), b: int, blocks: int>>, members binary")
-    pairs = members.select("node", "members", F.explode("places").alias("p")).select("node", "members", "p.*").withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)")))
-    pairs = pairs.select("pivot", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "members")
+    dealt = members.select("node", "members", F.explode("places").alias("p")).select("p.pivot", "p.b", "p.blocks", "node", "members").repartition("pivot", "b").sortWithinPartitions("pivot", "b")
+    folder = shared_dir(docs.sparkSession, "cluster-blocks")
+    edges = lambda out: [numbers([u for u, _ in out]), numbers([v for _, v in out])]
+
+    def inner(batches):
+        at, nodes, raws, held, name = None, [], [], set(), "u v pivot b name".split()
+
+        def ended():
+            """The links of a block, and where it stands for the others of its cluster."""
+            out = forest(nodes, [np.frombuffer(r, U) for r in raws], rule) if len(nodes) > 1 else []
+            yield pa.RecordBatch.from_arrays([*edges(out), *(pa.nulls(len(out), t) for t in (pa.decimal128(38, 0), pa.int32(), pa.string()))], name)
+            if at is not None and at[2] > 1:
+                file = _written(folder, nodes, raws)
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.decimal128(38, 0))] * 2, numbers([at[0]]), pa.array([at[1]], pa.int32()), pa.array([file])], name)
 
-    def verify(batches):
-        at, nodes, sets, held = None, [], [], set()
         for batch in batches:
-            out = []
-            for p, i, j, node, raw in zip(*(batch.column(k) for k in range(5))):
-                key = (p.as_py(), i.as_py(), j.as_py())
+            for p, b, blocks, node, raw in zip(*(batch.column(k) for k in range(5))):
+                key = (p.as_py(), b.as_py(), blocks.as_py())
                 if key != at:
-                    out += forest(nodes, sets, rule) if len(nodes) > 1 else []
-                    at, nodes, sets, held = key, [], [], set()
+                    yield from ended()
+                    at, nodes, raws, held = key, [], [], set()
                 if node.as_py() not in held:  # a repeated row
                     held.add(node.as_py())
                     nodes.append(node.as_py())
-                    sets.append(np.frombuffer(raw.as_py(), U))
-            yield pa.RecordBatch.from_arrays([numbers([u for u, _ in out]), numbers([v for _, v in out])], ["u", "v"])
-        out = forest(nodes, sets, rule) if len(nodes) > 1 else []
-        yield pa.RecordBatch.from_arrays([numbers([u for u, _ in out]), numbers([v for _, v in out])], ["u", "v"])
+                    raws.append(raw.as_py())
+        yield from ended()
 
-    dealt = pairs.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
-    return dealt.mapInArrow(lean(verify), "u decimal(38, 0), v decimal(38, 0)")
+    def outer(batches):
+        left = None, [], []
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if x != left[0]:
+                    left = x, *_block(folder, x)
+                nodes, sets = _block(folder, y)
+                yield pa.RecordBatch.from_arrays(edges(forest(left[1] + nodes, left[2] + sets, rule)), ["u", "v"])
+
+    # members move once for each of their clusters; pairs of blocks of one cluster, which are quadratic, are only named
+    found = table_of(dealt.mapInArrow(lean(inner), "u decimal(38, 0), v decimal(38, 0), pivot decimal(38, 0), b int, name string"), "block-links")
+    own = found.filter("name is null").select("u", "v")
+    written = found.filter("name is not null")
+    pairs = written.select("pivot", "b", F.col("name").alias("x")).join(written.select("pivot", F.col("b").alias("c"), F.col("name").alias("y")), "pivot").filter("b < c").select("x", "y")
+    many = pairs.count()
+    if not many:
+        return own
+    spark = docs.sparkSession  # rows are small, so Spark wouldn't part them by itself
+    parts = min(many, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+    return own.unionByName(pairs.repartition(parts, "x", "y").sortWithinPartitions("x", "y").mapInArrow(lean(outer), "u decimal(38, 0), v decimal(38, 0)"))
+
+
+def _written(folder: str, nodes: list[int], raws: list[bytes]) -> str:
+    """The name of a new file in the shared folder with the classes of a block and the bytes of their members."""
+    fs, base = fs_of(folder)
+    fs.create_dir(base, recursive=True)
+    name = uuid.uuid4().hex
+    own = pa.table({"node": numbers(nodes), "members": pa.array(raws, pa.large_binary())})
+    with fs.open_output_stream(f"{base}/{name}") as out, pa.ipc.new_stream(out, own.schema) as file:
+        file.write_table(own)
+    return name
+
+
+def _block(folder: str, name: str) -> tuple[list[int], list[np.ndarray]]:
+    fs, base = fs_of(folder)
+    with fs.open_input_stream(f"{base}/{name}") as file:
+        own = pa.ipc.open_stream(file).read_all()
+    return [int(x) for x in own["node"].to_pylist()], [np.frombuffer(x, U) for x in own["members"].to_pylist()]
 
 
 def rooted_classes(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
