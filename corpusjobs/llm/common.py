@@ -60,10 +60,19 @@ def passing() -> Iterator[None]:
                 fs.delete_dir(base)
 
 
-def table_of(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts the lineage, survives a lost executor."""
+#: Bytes of a row group of large rows.
+LARGE_ROWS = 4 << 20
+
+
+def table_of(df: DataFrame, name: str, large: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it again: cuts the lineage, survives a lost executor.
+
+    large: rows take megabytes each. Parquet's writer asks only after a hundred rows whether its buffer is full, and its
+    reader holds up to 4,096 rows of a row group, so such rows get row groups of a few.
+    """
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    out = df.write.options(**{"parquet.block.size": LARGE_ROWS, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}) if large else df.write
+    out.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

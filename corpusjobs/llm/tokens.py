@@ -246,7 +246,7 @@ def align(docs: DataFrame, a: str, b: str, run_bytes: int = RUN_BYTES) -> DataFr
             yield run.row(task + number, arrow)
 
     lists = f"ids array<{kind}>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, codes array<long>, counts array<long>, links array<int>"
-    runs = table_of(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(gathered, "tokens"), f"run long, {lists}"), "token-runs")
+    runs = table_of(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(gathered, "tokens"), f"run long, {lists}"), "token-runs", large=True)
     pairs = runs.select("run", F.inline(F.arrays_zip("codes", "counts"))).withColumnsRenamed({"codes": "code", "counts": "n"})
     counts = pairs.groupBy("code").agg(F.sum("n").alias("n"), F.count("*").alias("runs"))
     most = F.max("n").over(Window.partitionBy(F.col("code").bitwiseAND(0xFFFFFFFF)))
